@@ -286,3 +286,7 @@ def q_sun_times(spark, sf_dir):
     out = solar.sun_times(pos)
     return out.select("report_id", *[F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
                                      for c in ("dawn", "sunrise", "sunset", "dusk")])
+
+
+# The remaining registrations live in sibling modules; importing them fills QUERIES/ORACLE.
+from . import registry_writes  # noqa: E402,F401
