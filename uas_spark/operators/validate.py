@@ -1,6 +1,185 @@
-"""placeholder"""
+"""Validation of raw rows as one bulk job.
+
+A rule is (path, message, ok-column). ``validate`` evaluates every rule as a
+Catalyst boolean column and splits the input into accepted rows and rejected rows
+carrying all issues (``array<struct<path, message>>``) and the joined report text
+(V12). No per-row Python.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The reference's enumerations and instant/date text patterns.
+ENUMS = {
+    "visibility_state": ["clear", "cloudy", "foggy", "rainy", "stormy"],
+    "wind_state": ["calm", "slight_winds", "heavy_winds", "dangerous_winds"],
+    "sensor_status": ["online", "offline"],
+    "owner_type": ["individual", "organization"],
+    "waiver_type": ["operations_from_moving_vehicle", "night_operations", "beyond_visual_line_of_sight",
+                    "operations_over_people"],
+    "status": ["proposed", "approved", "rescinded"],
+}
+ISO_INSTANT_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"
+ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
+
+
+@dataclass(frozen=True)
+class Rule:
+    path: str
+    message: str
+    ok: Column
+
+
+# ------------------------------------------------------------------ rule builders
+
+def coordinates_ok(lat: Column, lon: Column) -> Column:
+    """V1: ``-90 < lat < 90`` (poles excluded), ``-180 <= lon <= 180`` (included); null fails."""
+    return F.coalesce((lat > -90) & (lat < 90) & (lon >= -180) & (lon <= 180), F.lit(False))
+
+
+def vertices_ok(rings: Column) -> Column:
+    """V1 for every vertex of a polygon."""
+    return F.coalesce(F.forall(F.flatten(rings), lambda v: coordinates_ok(v["lat"], v["lon"])), F.lit(False))
+
+
+def polygon_ok(rings: Column) -> Column:
+    """V2: at least one ring; each ring has at least 4 positions and is closed (no
+    self-intersection check, as in the reference)."""
+    return F.coalesce((F.size(rings) >= 1) & F.forall(rings, lambda r: (F.size(r) >= 4) & (
+        (r[0]["lon"] == F.element_at(r, -1)["lon"]) & (r[0]["lat"] == F.element_at(r, -1)["lat"]))), F.lit(False))
+
+
+def spatial_probe_issues(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    """V3: a probe is a complete point or a complete extent, never both, neither or partial;
+    an extent needs nonzero height and width (both may be reported). Returns the issue list."""
+    def present(*cs):
+        return [F.col(c).isNotNull() if isinstance(c, str) else c.isNotNull() for c in cs]
+    pl, pn = present(lat, lon)
+    e = present(lat1, lon1, lat2, lon2)
+    has_point = pl | pn
+    has_ext = e[0] | e[1] | e[2] | e[3]
+    point_full = pl & pn
+    ext_full = e[0] & e[1] & e[2] & e[3]
+    c = (lambda x: F.col(x) if isinstance(x, str) else x)
+
+    def issue(path, msg):
+        return F.struct(F.lit(path).alias("path"), F.lit(msg).alias("message"))
+
+    first = (F.when(has_point & has_ext, F.array(issue("", "Provide either lat/lon or lat1/lon1/lat2/lon2, not both")))
+              .when(has_point & ~point_full, F.array(issue("lon", "lat and lon must both be provided")))
+              .when(has_ext & ~ext_full, F.array(issue("lat1", "lat1, lon1, lat2, and lon2 must all be provided")))
+              .when(~has_point & ~has_ext,
+                    F.array(issue("", "Provide either a point (lat/lon) or an extent (lat1/lon1/lat2/lon2)"))))
+    h = F.when(c(lat1) == c(lat2), F.array(issue(
+        "lat2", "The extent must have nonzero height (lat1 and lat2 must differ)"))).otherwise(F.array())
+    w = F.when(c(lon1) == c(lon2), F.array(issue(
+        "lon2", "The extent must have nonzero width (lon1 and lon2 must differ)"))).otherwise(F.array())
+    return F.when(first.isNotNull(), first).when(ext_full, F.concat(h, w)).otherwise(
+        F.array().cast("array<struct<path:string,message:string>>"))
+
+
+def spatial_filter_kind(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    """X10: 'point' when a point is given (preferred), else 'extent', else null (an error)."""
+    c = (lambda x: F.col(x) if isinstance(x, str) else x)
+    return (F.when(c(lat).isNotNull() & c(lon).isNotNull(), "point")
+             .when(c(lat1).isNotNull() & c(lon1).isNotNull() & c(lat2).isNotNull() & c(lon2).isNotNull(), "extent"))
+
+
+def enum_ok(value: Column, enum: str) -> Column:
+    """V4."""
+    return F.coalesce(value.isin(*ENUMS[enum]), F.lit(False))
+
+
+def iff_present(flag: Column, value: Column) -> Column:
+    """V5: ``value`` is present exactly when ``flag`` holds (ceiling iff foggy, company iff organization)."""
+    return F.coalesce(flag, F.lit(False)) == value.isNotNull()
+
+
+def exactly_one(a: Column, b: Column) -> Column:
+    """V5: exactly one of two is present (waiver pilot / owner)."""
+    return a.isNotNull() != b.isNotNull()
+
+
+def interval_ok(start: Column, end: Column, closed: bool) -> Column:
+    """V6: ``end >= start`` for registrations (closed), ``end > start`` for other windows."""
+    return F.coalesce(end >= start if closed else end > start, F.lit(False))
+
+
+def altitude_ok(alt: Column) -> Column:
+    """V7: 0..2000 ft inclusive."""
+    return F.coalesce((alt >= 0) & (alt <= 2000), F.lit(False))
+
+
+def band_ok(lo: Column, hi: Column) -> Column:
+    """V7: waypoint band inside 0..2000 with ``max > min`` strictly."""
+    return altitude_ok(lo) & altitude_ok(hi) & F.coalesce(hi > lo, F.lit(False))
+
+
+def unknown_keys(raw_json: Column, allowed: list[str]) -> Column:
+    """V8 (strict objects): keys of the raw JSON object not in ``allowed``."""
+    return F.array_except(F.coalesce(F.json_object_keys(raw_json), F.array().cast("array<string>")),
+                          F.array(*[F.lit(k) for k in allowed]))
+
+
+def plan_shape_ok(raw_json: Column) -> Column:
+    """V8: a waypoint plan has at least one waypoint and no polygon fields; a polygon plan has
+    both polygon fields and no waypoints; unknown keys are rejected."""
+    keys = F.coalesce(F.json_object_keys(raw_json), F.array().cast("array<string>"))
+    plan_type = F.get_json_object(raw_json, "$.planType")
+    n_wp = F.json_array_length(F.get_json_object(raw_json, "$.waypoints"))
+    has = (lambda k: F.array_contains(keys, k))
+    wp_ok = (plan_type == "waypoints") & F.coalesce(n_wp >= 1, F.lit(False)) & ~has("polygonArea") & ~has(
+        "polygonMaxAltitudeFt")
+    poly_ok = (plan_type == "polygon") & has("polygonArea") & has("polygonMaxAltitudeFt") & ~has("waypoints")
+    allowed = ["flightPlanId", "planType", "ownerId", "registrationId", "pilotId", "airspaceAuthorizationId",
+               "startTime", "endTime", "waypoints", "polygonArea", "polygonMaxAltitudeFt"]
+    return F.coalesce(wp_ok | poly_ok, F.lit(False)) & (F.size(unknown_keys(raw_json, allowed)) == 0)
+
+
+def text_ok(value: Column) -> Column:
+    """V9: nonempty text."""
+    return F.coalesce(F.length(value) > 0, F.lit(False))
+
+
+def iso_instant_ok(text: Column) -> Column:
+    """ISO-8601 UTC instant (``Z`` only) that parses."""
+    return F.coalesce(text.rlike(ISO_INSTANT_RE)
+                      & F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX")).isNotNull(),
+                      F.lit(False))
+
+
+def iso_date_ok(text: Column) -> Column:
+    """``YYYY-MM-DD`` that is a real date (a datetime is not a date)."""
+    return F.coalesce(text.rlike(ISO_DATE_RE) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def positive_int_text(text: Column) -> Column:
+    """``limit`` given as text must be a positive integer."""
+    v = text.try_cast("int")
+    return F.coalesce(text.rlike(r"^\d+$") & (v > 0), F.lit(False))
+
+
+# ------------------------------------------------------------------ bulk validation
+
+def issues(rules: list[Rule]) -> Column:
+    """All failing rules as ``array<struct<path, message>>``."""
+    items = [F.when(~F.coalesce(r.ok, F.lit(False)),
+                    F.struct(F.lit(r.path).alias("path"), F.lit(r.message).alias("message"))) for r in rules]
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def reject_report(issue_list: Column) -> Column:
+    """Issues as ``path: message`` joined by ``; ``."""
+    return F.array_join(F.transform(issue_list, lambda i: F.concat(i["path"], F.lit(": "), i["message"])), "; ")
+
 
-def coordinates_ok(lat, lon):
-    return (lat > -90) & (lat < 90) & (lon >= -180) & (lon <= 180)
+def validate(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Split rows into (accepted, rejected with ``issues`` and ``reason``)."""
+    x = df.withColumn("issues", issues(rules))
+    ok = x.filter(F.size("issues") == 0).drop("issues")
+    bad = x.filter(F.size("issues") > 0).withColumn("reason", reject_report(F.col("issues")))
+    return ok, bad

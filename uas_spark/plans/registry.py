@@ -290,3 +290,5 @@ def q_sun_times(spark, sf_dir):
 
 # The remaining registrations live in sibling modules; importing them fills QUERIES/ORACLE.
 from . import registry_writes  # noqa: E402,F401
+
+from . import registry_reads  # noqa: E402,F401
