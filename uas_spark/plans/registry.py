@@ -292,3 +292,4 @@ def q_sun_times(spark, sf_dir):
 from . import registry_writes  # noqa: E402,F401
 
 from . import registry_reads  # noqa: E402,F401
+from . import registry_streams  # noqa: E402,F401

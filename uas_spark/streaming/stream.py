@@ -9,8 +9,6 @@ so a restarted query resumes exactly where it stopped.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +28,31 @@ def position_stream(spark: SparkSession, source: str) -> DataFrame:
                         F.col("r.altitudeFt").alias("altitude_ft"))
 
 
+def _fs(spark: SparkSession, path: str):
+    """Hadoop FileSystem of ``path`` (works for local, HDFS and object-store folders)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)]
+
+
 def _table_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    if os.path.exists(path) and any(n.endswith(".parquet") or n.startswith("recorded_date=")
-                                    for n in os.listdir(path)):
+    names = list_children(spark, path)
+    if any(n.endswith(".parquet") or n.startswith("recorded_date=") for n in names):
         return spark.read.parquet(path)
     return spark.createDataFrame([], like.schema)
 
 
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in list_children(spark, root) if n.startswith("v="))
+
+
 def stream_ingest_positions(spark: SparkSession, source: str, table: str, checkpoint: str):
     """ST1: continuous S1 -> validate -> M1 into a table partitioned by ``recorded_date``.
 
@@ -74,22 +90,20 @@ def stream_latest_position(spark: SparkSession, source: str, snapshot_root: str,
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        versions = sorted(int(v.split("=")[1]) for v in os.listdir(snapshot_root)) if os.path.exists(
-            snapshot_root) else []
-        cur = batch.select(*POSITION_COLS)
-        if versions:
-            cur = sess.read.parquet(os.path.join(snapshot_root, f"v={versions[-1]}")).unionByName(cur)
+        versions = _versions(sess, snapshot_root)
         if versions and versions[-1] >= batch_id + 1:
             return  # replayed batch: already merged
-        asof.latest_position(cur).write.mode("overwrite").parquet(os.path.join(snapshot_root, f"v={batch_id + 1}"))
+        cur = batch.select(*POSITION_COLS)
+        if versions:
+            cur = sess.read.parquet(f"{snapshot_root}/v={versions[-1]}").unionByName(cur)
+        asof.latest_position(cur).write.mode("overwrite").parquet(f"{snapshot_root}/v={batch_id + 1}")
 
     return (position_stream(spark, source).writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    versions = sorted(int(v.split("=")[1]) for v in os.listdir(snapshot_root))
-    return spark.read.parquet(os.path.join(snapshot_root, f"v={versions[-1]}"))
+    return spark.read.parquet(f"{snapshot_root}/v={_versions(spark, snapshot_root)[-1]}")
 
 
 def stream_zone_staleness(spark: SparkSession, source: str, sink: str, checkpoint: str,
