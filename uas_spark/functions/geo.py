@@ -206,3 +206,151 @@ def explode_cells(df, cells: Column, prefix: str = "g_"):
               .withColumn(prefix + "cx", F.col("_cell.cx"))
               .withColumn(prefix + "cy", F.col("_cell.cy"))
               .drop("_cell"))
+
+
+def _level_size(lvl: Column, cell: float, coarse_shift: int) -> Column:
+    return F.when(lvl == 0, F.lit(cell)).otherwise(F.lit(cell * (1 << coarse_shift)))
+
+
+def explode_shape_cells(df, bbox_col: str, cell: float = DEFAULT_CELL_DEG, cap: int = DEFAULT_CELL_CAP,
+                        coarse_shift: int = DEFAULT_COARSE_SHIFT, prefix: str = "g_"):
+    """One row per grid cell of the bounding box (same cells as ``shape_cells``).
+
+    Two ``explode(sequence(...))`` generators instead of nested higher-order functions, so
+    the whole step runs as generated code.
+    """
+    b = F.col(bbox_col)
+    n_fine = ((_cell_index(b["max_lon"], cell) - _cell_index(b["min_lon"], cell) + 1)
+              * (_cell_index(b["max_lat"], cell) - _cell_index(b["min_lat"], cell) + 1))
+    lvl = F.when(n_fine <= cap, F.lit(0)).otherwise(F.lit(1))
+    out = df.withColumn(prefix + "lvl", lvl)
+    size = _level_size(F.col(prefix + "lvl"), cell, coarse_shift)
+    out = out.withColumn(prefix + "cx", F.explode(F.sequence(F.floor(b["min_lon"] / size).cast("long"),
+                                                             F.floor(b["max_lon"] / size).cast("long"))))
+    return out.withColumn(prefix + "cy", F.explode(F.sequence(F.floor(b["min_lat"] / size).cast("long"),
+                                                              F.floor(b["max_lat"] / size).cast("long"))))
+
+
+def explode_box_cells(df, bbox_col: str, cell: float = DEFAULT_CELL_DEG, coarse_shift: int = DEFAULT_COARSE_SHIFT,
+                      prefix: str = "g_"):
+    """A search box on both levels (it may meet fine and coarse shapes): one row per cell."""
+    b = F.col(bbox_col)
+    out = df.withColumn(prefix + "lvl", F.explode(F.array(F.lit(0), F.lit(1))))
+    size = _level_size(F.col(prefix + "lvl"), cell, coarse_shift)
+    out = out.withColumn(prefix + "cx", F.explode(F.sequence(F.floor(b["min_lon"] / size).cast("long"),
+                                                             F.floor(b["max_lon"] / size).cast("long"))))
+    return out.withColumn(prefix + "cy", F.explode(F.sequence(F.floor(b["min_lat"] / size).cast("long"),
+                                                              F.floor(b["max_lat"] / size).cast("long"))))
+
+
+def with_point_cells(df, lon: str, lat: str, cell: float = DEFAULT_CELL_DEG,
+                     coarse_shift: int = DEFAULT_COARSE_SHIFT, prefix: str = "g_"):
+    """A point on both levels: two rows, its fine and its coarse cell."""
+    out = df.withColumn(prefix + "lvl", F.explode(F.array(F.lit(0), F.lit(1))))
+    size = _level_size(F.col(prefix + "lvl"), cell, coarse_shift)
+    return (out.withColumn(prefix + "cx", F.floor(F.col(lon) / size).cast("long"))
+               .withColumn(prefix + "cy", F.floor(F.col(lat) / size).cast("long")))
+
+
+# --------------------------------------------------------------------------- per-shape preparation
+
+def edges(rings) -> Column:
+    """Every ring edge of a polygon as four flat coordinate arrays (x1, y1, x2, y2).
+
+    Computed once per shape; the per-pair tests below then loop over primitive arrays
+    instead of nested arrays of structs. Even-odd counting is unaffected by concatenating
+    the shell and the holes.
+    """
+    r = _c(rings)
+
+    def coord(off, field):
+        return F.flatten(F.transform(r, lambda ring: F.transform(
+            F.sequence(F.lit(0), F.size(ring) - 2), lambda i: ring[i + off][field])))
+
+    return F.struct(coord(0, "lon").alias("x1"), coord(0, "lat").alias("y1"),
+                    coord(1, "lon").alias("x2"), coord(1, "lat").alias("y2"))
+
+
+def is_rectangle(rings) -> Column:
+    """One ring of 4 axis-parallel edges: the bounding box is the shape, so bbox tests are exact."""
+    r = _c(rings)
+    ring = r[0]
+    return (F.size(r) == 1) & (F.size(ring) == 5) & F.forall(
+        F.sequence(F.lit(0), F.lit(3)),
+        lambda i: (ring[i]["lon"] == ring[i + 1]["lon"]) | (ring[i]["lat"] == ring[i + 1]["lat"]))
+
+
+# Polygons with at most this many edges are tested by an unrolled expression (generated
+# code); larger ones fall back to a higher-order-function loop (interpreted, exact too).
+UNROLL_EDGES = 8
+
+
+def _edge(e: Column, i):
+    return e["x1"][i], e["y1"][i], e["x2"][i], e["y2"][i]
+
+
+def _on_edge(x1, y1, x2, y2, x, y) -> Column:
+    cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    return ((cross == 0) & (x >= F.least(x1, x2)) & (x <= F.greatest(x1, x2))
+            & (y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2)))
+
+
+def _crosses(x1, y1, x2, y2, x, y) -> Column:
+    c = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+    return F.coalesce(c, F.lit(False))
+
+
+def _edge_meets_box(x1, y1, x2, y2, bx0, by0, bx1, by1) -> Column:
+    ex, ey = x2 - x1, y2 - y1
+    s = [ex * (cy - y1) - ey * (cx - x1) for cx, cy in ((bx0, by0), (bx1, by0), (bx1, by1), (bx0, by1))]
+    all_pos = (s[0] > 0) & (s[1] > 0) & (s[2] > 0) & (s[3] > 0)
+    all_neg = (s[0] < 0) & (s[1] < 0) & (s[2] < 0) & (s[3] < 0)
+    overlap = ((F.least(x1, x2) <= bx1) & (F.greatest(x1, x2) >= bx0)
+               & (F.least(y1, y2) <= by1) & (F.greatest(y1, y2) >= by0))
+    return overlap & ~all_pos & ~all_neg
+
+
+def _unrolled_any(n: Column, k: int, pred) -> Column:
+    out = F.lit(False)
+    for i in range(k):
+        out = out | ((F.lit(i) < n) & pred(i))
+    return out
+
+
+def _unrolled_count(n: Column, k: int, pred) -> Column:
+    out = F.lit(0)
+    for i in range(k):
+        out = out + F.when((F.lit(i) < n) & pred(i), 1).otherwise(0)
+    return out
+
+
+def contains_point_edges(e: Column, lon, lat) -> Column:
+    """Strict point-in-polygon over prepared ``edges`` (boundary excluded, holes counted by
+    even-odd). Small polygons run as generated code; larger ones loop in one pass."""
+    x, y = _c(lon), _c(lat)
+    n = F.size(e["x1"])
+    k = UNROLL_EDGES
+    fast_touch = _unrolled_any(n, k, lambda i: _on_edge(*_edge(e, i), x, y))
+    fast_count = _unrolled_count(n, k, lambda i: _crosses(*_edge(e, i), x, y))
+    fast = ~fast_touch & (fast_count % 2 == 1)
+
+    def step(acc, i):
+        return (F.when(acc < 0, acc).when(_on_edge(*_edge(e, i), x, y), F.lit(-1))
+                 .otherwise(acc + F.when(_crosses(*_edge(e, i), x, y), 1).otherwise(0)))
+
+    slow = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step) % 2 == 1
+    return F.when(n <= k, fast).otherwise(slow)
+
+
+def box_meets_edges(e: Column, min_lon, min_lat, max_lon, max_lat) -> Column:
+    """Closed polygon (prepared ``edges``) meets closed box: an edge meets the box (separating
+    axes) or, failing that, a box corner lies inside by even-odd."""
+    bx0, by0, bx1, by1 = _c(min_lon), _c(min_lat), _c(max_lon), _c(max_lat)
+    n = F.size(e["x1"])
+    k = UNROLL_EDGES
+    fast = (_unrolled_any(n, k, lambda i: _edge_meets_box(*_edge(e, i), bx0, by0, bx1, by1))
+            | (_unrolled_count(n, k, lambda i: _crosses(*_edge(e, i), bx0, by0)) % 2 == 1))
+    ids = F.sequence(F.lit(0), n - 1)
+    slow = (F.exists(ids, lambda i: _edge_meets_box(*_edge(e, i), bx0, by0, bx1, by1))
+            | (F.size(F.filter(ids, lambda i: _crosses(*_edge(e, i), bx0, by0))) % 2 == 1))
+    return F.when(n <= k, fast).otherwise(slow)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # Sun altitudes of the events (degrees) and iteration count.
 SUNRISE_ALT_DEG = -0.833
 CIVIL_ALT_DEG = -6.0
-ITERATIONS = 5
+ITERATIONS = 3
 
 # Fixed values of the NOAA solar position equations (degrees, Julian centuries).
 J2000 = 2451545.0
@@ -40,34 +40,35 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _solar(jd: Column):
-    """(equation of time in minutes, declination in radians) at Julian day ``jd``."""
-    t = (jd - F.lit(J2000)) / F.lit(36525.0)
-    l0 = F.pmod(F.lit(MEAN_LONG[0]) + t * (F.lit(MEAN_LONG[1]) + t * MEAN_LONG[2]), F.lit(360.0)) * RAD
-    m_deg = F.lit(MEAN_ANOM[0]) + t * (F.lit(MEAN_ANOM[1]) - t * MEAN_ANOM[2])
-    m = m_deg * RAD
-    e = F.lit(ECCENTRICITY[0]) - t * (F.lit(ECCENTRICITY[1]) + t * ECCENTRICITY[2])
+def _stages(t_col: str, day_jd: Column, phi: Column, lon: Column, alt_deg: float, sign: int, p: str):
+    """One refinement round for one event as two projections: the slowly varying solar
+    quantities first, then the new event time from them. Small projections stay within the
+    generated-code size limit; two per round keep planning cheap."""
+    c = (lambda n: F.col(p + n))
+    t = ((day_jd + F.col(t_col) / 1440.0) - F.lit(J2000)) / F.lit(36525.0)
     (c1, c1a, c1b), (c2, c2a), c3 = CENTRE
-    c = (F.sin(m) * (F.lit(c1) - t * (F.lit(c1a) + t * c1b)) + F.sin(2 * m) * (F.lit(c2) - t * c2a)
-         + F.sin(3 * m) * c3)
-    omega = (F.lit(OMEGA[0]) - t * OMEGA[1]) * RAD
-    lam = (l0 / RAD + c - APPARENT[0] - APPARENT[1] * F.sin(omega)) * RAD
     a, b, s0, s1, s2, s3, corr = OBLIQUITY
+    m = (F.lit(MEAN_ANOM[0]) + t * (F.lit(MEAN_ANOM[1]) - t * MEAN_ANOM[2])) * RAD
+    om = (F.lit(OMEGA[0]) - t * OMEGA[1]) * RAD
     eps0 = F.lit(a) + (F.lit(b) + (F.lit(s0) - t * (F.lit(s1) + t * (F.lit(s2) - t * s3))) / 60.0) / 60.0
-    eps = (eps0 + F.cos(omega) * corr) * RAD
-    dec = F.asin(F.sin(eps) * F.sin(lam))
-    y = F.pow(F.tan(eps / 2), 2)
-    eqt = 4 * F.degrees(y * F.sin(2 * l0) - 2 * e * F.sin(m) + 4 * e * y * F.sin(m) * F.cos(2 * l0)
-                        - 0.5 * y * y * F.sin(4 * l0) - 1.25 * e * e * F.sin(2 * m))
-    return eqt, dec
-
-
-def _step(tmin: Column, day_jd: Column, phi: Column, lon: Column, alt_deg: float, sign: int) -> Column:
-    """One refinement of an event time (minutes after 00:00 UTC); NaN when the event never happens."""
-    eqt, dec = _solar(day_jd + tmin / 1440.0)
-    cos_h = (F.lit(math.sin(alt_deg * RAD)) - F.sin(phi) * F.sin(dec)) / (F.cos(phi) * F.cos(dec))
-    ha = F.degrees(F.acos(cos_h))   # NaN outside [-1, 1]
-    return F.lit(720.0) - 4 * lon - eqt + sign * 4 * ha
+    first = {
+        p + "l0": F.pmod(F.lit(MEAN_LONG[0]) + t * (F.lit(MEAN_LONG[1]) + t * MEAN_LONG[2]), F.lit(360.0)) * RAD,
+        p + "m": m,
+        p + "e": F.lit(ECCENTRICITY[0]) - t * (F.lit(ECCENTRICITY[1]) + t * ECCENTRICITY[2]),
+        p + "c": (F.sin(m) * (F.lit(c1) - t * (F.lit(c1a) + t * c1b)) + F.sin(2 * m) * (F.lit(c2) - t * c2a)
+                  + F.sin(3 * m) * c3),
+        p + "om": om,
+        p + "eps": (eps0 + F.cos(om) * corr) * RAD,
+    }
+    lam = (c("l0") / RAD + c("c") - APPARENT[0] - APPARENT[1] * F.sin(c("om"))) * RAD
+    y = F.pow(F.tan(c("eps") / 2), 2)
+    dec = F.asin(F.sin(c("eps")) * F.sin(lam))
+    eqt = 4 * F.degrees(y * F.sin(2 * c("l0")) - 2 * c("e") * F.sin(c("m"))
+                        + 4 * c("e") * y * F.sin(c("m")) * F.cos(2 * c("l0"))
+                        - 0.5 * y * y * F.sin(4 * c("l0")) - 1.25 * c("e") * c("e") * F.sin(2 * c("m")))
+    second = {t_col: F.lit(720.0) - 4 * lon - eqt + sign * 4 * F.degrees(F.acos(
+        (F.lit(math.sin(alt_deg * RAD)) - F.sin(phi) * F.sin(dec)) / (F.cos(phi) * F.cos(dec))))}
+    return [first, second]
 
 
 EVENTS = (("dawn", CIVIL_ALT_DEG, -1), ("sunrise", SUNRISE_ALT_DEG, -1),
@@ -78,23 +79,32 @@ def sun_times(probes: DataFrame, date_col: str = "date", lat_col: str = "lat", l
               iterations: int = ITERATIONS) -> DataFrame:
     """Add ``dawn, sunrise, sunset, dusk`` (nullable timestamps) to every probe row.
 
-    Each refinement round is its own projection over the previous one, so every round is
-    compiled (whole-stage codegen with common-subexpression elimination) instead of being
-    interpreted inside a lambda.
+    Fixed-point refinement (NaN acos = the event does not happen), each round built from
+    small projections so it runs as generated code.
     """
     day0_ms = F.unix_millis(F.to_timestamp(F.col(date_col).cast("date").cast("string")))
-    df = probes.select(*probes.columns, day0_ms.alias("_d0"),
+    keep = list(probes.columns)
+    df = probes.select(*keep, day0_ms.alias("_d0"),
                        (day0_ms / F.lit(86400000.0) + F.lit(JD_UNIX_EPOCH)).alias("_jd"),
                        (F.col(lat_col).cast("double") * RAD).alias("_phi"),
                        F.col(lon_col).cast("double").alias("_lon"))
     df = df.select("*", *[(F.lit(720.0) - 4 * F.col("_lon")).alias(f"_{n}") for n, _, _ in EVENTS])
+    base = keep + ["_d0", "_jd", "_phi", "_lon"] + [f"_{n}" for n, _, _ in EVENTS]
     for _ in range(iterations):
-        df = df.select(*probes.columns, "_d0", "_jd", "_phi", "_lon",
-                       *[_step(F.col(f"_{n}"), F.col("_jd"), F.col("_phi"), F.col("_lon"), a, s).alias(f"_{n}")
-                         for n, a, s in EVENTS])
+        plans = [_stages(f"_{n}", F.col("_jd"), F.col("_phi"), F.col("_lon"), a, sg, f"_{n}_")
+                 for n, a, sg in EVENTS]
+        extra: list[str] = []
+        for i in range(len(plans[0])):
+            stage = {}
+            for pl in plans:
+                stage.update(pl[i])
+            carried = [c for c in base + extra if c not in stage]
+            df = df.select(*carried, *[e.alias(k) for k, e in stage.items()])
+            extra = [c for c in extra + list(stage) if c not in base]
+        df = df.select(*base)
 
     def ts(n):
         mins = F.col(f"_{n}")
         return F.when(~F.isnan(mins), F.timestamp_millis(F.floor(F.col("_d0") + mins * 60000.0).cast("long")))
 
-    return df.select(*probes.columns, *[ts(n).alias(n) for n, _, _ in EVENTS])
+    return df.select(*keep, *[ts(n).alias(n) for n, _, _ in EVENTS])

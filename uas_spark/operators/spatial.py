@@ -42,11 +42,11 @@ def _time_buckets(from_us: Column, to_us: Column, bucket_us: int) -> Column:
 
 
 def _with_shape_cells(df: DataFrame, bbox_col: str, cell: float, cap: int) -> DataFrame:
-    return geo.explode_cells(df, geo.shape_cells(F.col(bbox_col), cell, cap))
+    return geo.explode_shape_cells(df, bbox_col, cell, cap)
 
 
 def _with_point_cells(df: DataFrame, lon: str, lat: str, cell: float) -> DataFrame:
-    return geo.explode_cells(df, geo.point_cells(F.col(lon), F.col(lat), cell))
+    return geo.with_point_cells(df, lon, lat, cell)
 
 
 def _owning_cell(b1: str, b2: str, cell: float, cap: int) -> Column:
@@ -57,6 +57,33 @@ def _owning_cell(b1: str, b2: str, cell: float, cap: int) -> Column:
     return (F.floor(x / size) == F.col("g_cx")) & (F.floor(y / size) == F.col("g_cy"))
 
 
+def _light(shapes: DataFrame, rings_col: str) -> DataFrame:
+    """Shapes without their rings but with a bounding box ``_sb``: what the grid join shuffles."""
+    return shapes.withColumn("_sb", geo.bbox(F.col(rings_col))).drop(rings_col)
+
+
+def _rings_back(cand: DataFrame, shapes: DataFrame, id_col: str, rings_col: str) -> DataFrame:
+    """Join the exact-test data of each shape to the candidate pairs by shape id.
+
+    The shapes side is prepared once per shape (flat edge arrays and a rectangle flag), so
+    the per-pair test loops over primitive arrays, and rectangles skip it: their bounding-box
+    test, already applied, is exact. One shuffle of the few candidates and of each shape once,
+    instead of shuffling rings with every exploded cell and bucket.
+    """
+    prep = shapes.select(F.col(id_col).alias("_rid"), geo.edges(F.col(rings_col)).alias("_edges"),
+                         geo.is_rectangle(F.col(rings_col)).alias("_rect"))
+    return cand.join(prep, cand[id_col] == prep["_rid"], "inner").drop("_rid")
+
+
+def _exact_contains(lon: str, lat: str) -> Column:
+    return F.col("_rect") | geo.contains_point_edges(F.col("_edges"), F.col(lon), F.col(lat))
+
+
+def _exact_box(bc: Column) -> Column:
+    return F.col("_rect") | geo.box_meets_edges(F.col("_edges"), bc["min_lon"], bc["min_lat"], bc["max_lon"],
+                                                bc["max_lat"])
+
+
 # ------------------------------------------------------------------ points in polygons
 
 def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon: str = "lon", lat: str = "lat",
@@ -65,34 +92,32 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon:
 
     Column names of ``points`` and ``shapes`` must be disjoint.
     """
-    s = shapes.withColumn("_sb", geo.bbox(F.col(rings_col)))
+    s = (shapes.withColumn("_sb", geo.bbox(F.col(rings_col)))
+               .withColumn("_edges", geo.edges(F.col(rings_col)))
+               .withColumn("_rect", geo.is_rectangle(F.col(rings_col))))
     s = _with_shape_cells(s, "_sb", cell, cap)
     p = _with_point_cells(points, lon, lat, cell)
     j = p.join(s, CELL_KEYS, "inner")
-    j = j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)),
-                         geo.contains_point(F.col(rings_col), F.col(lon), F.col(lat))))
-    return j.drop(*CELL_KEYS, "_sb")
+    j = j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)), _exact_contains(lon, lat)))
+    return j.drop(*CELL_KEYS, "_sb", "_edges", "_rect")
 
 
 def _box_cells(boxes: DataFrame, bbox_col: str, cell: float) -> DataFrame:
     """Explode boxes into their fine and coarse cells, so they meet shapes of either level."""
-    fine = geo.shape_cells(F.col(bbox_col), cell, 1 << 30)
-    coarse_b = geo.shape_cells(F.col(bbox_col), cell * (1 << geo.DEFAULT_COARSE_SHIFT), 1 << 30)
-    coarse = F.transform(coarse_b, lambda c: F.struct(F.lit(1).alias("lvl"), c["cx"].alias("cx"), c["cy"].alias("cy")))
-    return geo.explode_cells(boxes, F.concat(fine, coarse))
+    return geo.explode_box_cells(boxes, bbox_col, cell)
 
 
-def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, bbox_col: str = "box",
+def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, id_col: str, bbox_col: str = "box",
                       cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
                       window: tuple[str, str, str] | None = None, cheap: Column | None = None,
-                      bucket_us: int = HOUR_US) -> DataFrame:
-    """All (box, shape) pairs whose closed regions meet. ``bbox_col`` is a normalised box struct.
+                      bucket_us: int = HOUR_US, rings_source: DataFrame | None = None) -> DataFrame:
+    """All (box, shape) pairs whose closed regions meet. ``bbox_col`` is a normalised box struct;
+    ``id_col`` identifies a shape (its rings join back only for candidate pairs).
 
     ``window`` = (shape_from, shape_to, box_at) adds the closed time test and puts the hour
     bucket into the join key; ``cheap`` is an extra filter evaluated before the exact test.
     """
-    s = shapes.withColumn("_sb", geo.bbox(F.col(rings_col)))
-    s = _with_shape_cells(s, "_sb", cell, cap)
+    s = _with_shape_cells(_light(shapes, rings_col), "_sb", cell, cap)
     b = _box_cells(boxes, bbox_col, cell)
     keys = list(CELL_KEYS)
     bc = F.col(bbox_col)
@@ -106,10 +131,9 @@ def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, bbox_
         test = test & (F.col(f) <= F.col(at)) & (F.col(t) >= F.col(at))
     if cheap is not None:
         test = test & cheap
-    j = b.join(s, keys, "inner")
-    j = j.filter(guarded(test, geo.polygon_box_intersects(F.col(rings_col), bc["min_lon"], bc["min_lat"],
-                                                          bc["max_lon"], bc["max_lat"])))
-    return j.drop(*keys, "_sb")
+    cand = b.join(s, keys, "inner").filter(test).drop(*keys, "_sb")
+    j = _rings_back(cand, rings_source if rings_source is not None else shapes, id_col, rings_col)
+    return j.filter(_exact_box(bc)).drop("_edges", "_rect")
 
 
 # ------------------------------------------------------------------ weather
@@ -137,12 +161,13 @@ def zone_observed_in_extent(observed: DataFrame, boxes: DataFrame, stamp: str |
                             at: str | None = None, stale_minutes: int = 30) -> DataFrame:
     """X11 (observed): zones whose chosen report meets each box (box: normalised struct column ``box``)."""
     pick = asof.zone_asof(observed, at) if at is not None else asof.zone_latest_fresh(observed, stamp, stale_minutes)
-    return boxes_meet_shapes(boxes, _zone_cols(pick), "z_rings")
+    return boxes_meet_shapes(boxes, _zone_cols(pick), "z_rings", "z_report_id", rings_source=_zone_cols(observed))
 
 
 def zone_forecast_in_extent(forecast: DataFrame, boxes: DataFrame, at: str) -> DataFrame:
     """X11 (forecast)."""
-    return boxes_meet_shapes(boxes, _zone_cols(asof.zone_forecast_nearest(forecast, at)), "z_rings")
+    return boxes_meet_shapes(boxes, _zone_cols(asof.zone_forecast_nearest(forecast, at)), "z_rings", "z_report_id",
+                             rings_source=_zone_cols(forecast))
 
 
 # ------------------------------------------------------------------ authorizations
@@ -160,18 +185,17 @@ def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "
     """
     a = auths if status is None else auths.filter(F.col("status") == status)
     a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
-    a = a.withColumn("_sb", geo.bbox(F.col("a_area")))
-    a = _with_shape_cells(a, "_sb", cell, cap)
-    a = a.withColumn("g_tb", F.explode(_time_buckets(_us("a_start_time"), _us("a_end_time"), bucket_us)))
+    la = _with_shape_cells(_light(a, "a_area"), "_sb", cell, cap)
+    la = la.withColumn("g_tb", F.explode(_time_buckets(_us("a_start_time"), _us("a_end_time"), bucket_us)))
     p = _with_point_cells(probes, lon, lat, cell)
     p = p.withColumn("g_tb", F.floor(_us(at_col) / F.lit(bucket_us)))
-    j = p.join(a, CELL_KEYS + ["g_tb"], "inner")
     cond = ((F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col))
             & geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)))
     if alt_col is not None:
         cond = cond & (F.col("a_max_altitude_ft") >= F.col(alt_col))
-    j = j.filter(guarded(cond, geo.contains_point(F.col("a_area"), F.col(lon), F.col(lat))))
-    return j.drop(*CELL_KEYS, "g_tb", "_sb")
+    cand = p.join(la, CELL_KEYS + ["g_tb"], "inner").filter(cond).drop(*CELL_KEYS, "g_tb", "_sb")
+    j = _rings_back(cand, a, "a_authorization_id", "a_area")
+    return j.filter(_exact_contains(lon, lat)).drop("_edges", "_rect")
 
 
 def intersecting_authorizations(auths: DataFrame, boxes: DataFrame, alt_col: str | None = None,
@@ -184,7 +208,7 @@ def intersecting_authorizations(auths: DataFrame, boxes: DataFrame, alt_col: str
     a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
     cheap = (F.col("a_max_altitude_ft") >= F.col(alt_col)) if alt_col is not None else None
     window = ("a_start_time", "a_end_time", at_col) if at_col is not None else None
-    return boxes_meet_shapes(boxes, a, "a_area", window=window, cheap=cheap)
+    return boxes_meet_shapes(boxes, a, "a_area", "a_authorization_id", window=window, cheap=cheap)
 
 
 # ------------------------------------------------------------------ flight plans
@@ -203,7 +227,7 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
 
     poly_cheap = (F.col("f_polygon_max_altitude_ft") >= F.col(alt_col)) if alt_col is not None else None
     poly = boxes_meet_shapes(boxes, pl.filter(F.col("f_plan_type") == "polygon"), "f_polygon_area",
-                             window=window, cheap=poly_cheap, cell=cell, bucket_us=bucket_us)
+                             "f_flight_plan_id", window=window, cheap=poly_cheap, cell=cell, bucket_us=bucket_us)
 
     # waypoint branch: each disc carries its plan's window; discs are shapes with a padded box
     w = waypoints.select(F.col("flight_plan_id").alias("w_plan"), F.col("lat").alias("w_lat"),
@@ -255,10 +279,10 @@ def sensor_coverage(sensors: DataFrame, positions: DataFrame, cell: float = geo.
 
 def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to_col: str,
                    bucket_us: int, cell: float, cap: int) -> DataFrame:
-    """Grid-cell x hour-bucket equi-join of positions with zone validity intervals."""
+    """Grid-cell x hour-bucket equi-join of positions with zone validity intervals (rings
+    left out; the caller joins them back for the candidates)."""
     t_max = positions.select(F.max(_us("recorded_at"))).scalar()
-    z = intervals.withColumn("_sb", geo.bbox(F.col("z_rings")))
-    z = _with_shape_cells(z, "_sb", cell, cap)
+    z = _with_shape_cells(intervals, "_sb", cell, cap)
     lo = F.coalesce(F.col(from_col), F.col("z_" + "t_us"))
     hi = F.coalesce(F.col(to_col), F.greatest(t_max, F.col("z_t_us")))
     z = z.withColumn("g_tb", F.explode(_time_buckets(lo, hi, bucket_us)))
@@ -278,14 +302,16 @@ def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucke
     "interval and polygon together".
     """
     iv = asof.observed_intervals(observed, interval_bucket_us)
-    iv = iv.select(*[F.col(c).alias("z_" + c) for c in observed.columns],
+    iv = iv.select(*[F.col(c).alias("z_" + c) for c in observed.columns if c != "rings"],
+                   geo.bbox(F.col("rings")).alias("_sb"),
                    F.col("valid_from_us").alias("z_t_us"), F.col("valid_to_us").alias("z_to_us"))
     j = _interval_join(positions, iv, "z_t_us", "z_to_us", bucket_us, cell, cap)
     cheap = ((F.col("_pt") >= F.col("z_t_us"))
              & (F.col("z_to_us").isNull() | (F.col("_pt") < F.col("z_to_us")))
              & geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")))
-    j = j.filter(guarded(cheap, geo.contains_point(F.col("z_rings"), F.col("longitude"), F.col("latitude"))))
-    return j.drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_to_us")
+    cand = j.filter(cheap).drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_to_us")
+    j = _rings_back(cand, observed.select(F.col("report_id").alias("z_report_id"), F.col("rings").alias("z_rings")), "z_report_id", "z_rings")
+    return j.filter(_exact_contains("longitude", "latitude")).drop("_edges", "_rect")
 
 
 def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, bucket_us: int = HOUR_US,
@@ -297,7 +323,8 @@ def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, buck
     a probe exactly on a midpoint goes to the side that wins T4's tie rule.
     """
     iv = asof.forecast_intervals(forecast, interval_bucket_us)
-    iv = iv.select(*[F.col(c).alias("z_" + c) for c in forecast.columns],
+    iv = iv.select(*[F.col(c).alias("z_" + c) for c in forecast.columns if c != "rings"],
+                   geo.bbox(F.col("rings")).alias("_sb"),
                    F.unix_micros(F.col("recorded_at")).alias("z_t_us"),
                    F.col("valid_from_us").alias("z_from_us"), F.col("valid_to_us").alias("z_to_us"),
                    "lo2", "hi2", "lo_in", "hi_in")
@@ -306,5 +333,7 @@ def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, buck
     j = _interval_join(positions, iv, "z_from_us", "z_to_us", bucket_us, cell, cap)
     cheap = (asof.in_forecast_interval(F.col("_pt"))
              & geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")))
-    j = j.filter(guarded(cheap, geo.contains_point(F.col("z_rings"), F.col("longitude"), F.col("latitude"))))
-    return j.drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_from_us", "z_to_us", "lo2", "hi2", "lo_in", "hi_in")
+    cand = j.filter(cheap).drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_from_us", "z_to_us", "lo2", "hi2",
+                                "lo_in", "hi_in")
+    j = _rings_back(cand, forecast.select(F.col("report_id").alias("z_report_id"), F.col("rings").alias("z_rings")), "z_report_id", "z_rings")
+    return j.filter(_exact_contains("longitude", "latitude")).drop("_edges", "_rect")
