@@ -21,8 +21,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_listed(spark):
     m = _entry()
     q, o = m.queries(), m.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) <= {"sun_times"}
+    assert set(o) == set(q)
 
 
 def test_small_queries_run(spark):

@@ -199,3 +199,52 @@ def delete_reporting(pilots: DataFrame, deletes: DataFrame) -> tuple[DataFrame,
 def delete_idempotent(profiles: DataFrame, deletes: DataFrame, key: str = "sensor_id") -> DataFrame:
     """Delete profiles; deleting an absent one is fine."""
     return profiles.join(deletes.select(key), key, "left_anti")
+
+
+# ------------------------------------------------------------------ M20
+
+def flight_plan_patch(plans: DataFrame, patches: DataFrame, pilots: DataFrame, registrations: DataFrame,
+                      auths: DataFrame, raw_col: str = "raw", target_col: str = "target_id") -> DataFrame:
+    """link/unlink (``registrationId``, ``pilotId``, ``airspaceAuthorizationId``: absent
+    keeps, null clears, value sets) and window patches (absent keeps), each judged against the
+    stored plan. Shape and owner are immutable. Reasons in the reference's order: not_found,
+    pilot_not_found, registration_not_found, registration_owner_mismatch,
+    authorization_not_found, end_before_start; else accepted.
+
+    Returns the patches with ``outcome`` and the merged link fields and window.
+    """
+    from .refs import ref_authorization_exists, ref_pilot_under_owner, ref_registration_owner
+    raw = F.col(raw_col)
+    p = patches.select(
+        "*",
+        json_has_key(raw, "pilotId").alias("_has_pilot"), F.get_json_object(raw, "$.pilotId").alias("_pilot"),
+        json_has_key(raw, "registrationId").alias("_has_reg"),
+        F.get_json_object(raw, "$.registrationId").alias("_reg"),
+        json_has_key(raw, "airspaceAuthorizationId").alias("_has_auth"),
+        F.get_json_object(raw, "$.airspaceAuthorizationId").alias("_auth"),
+        F.try_to_timestamp(F.get_json_object(raw, "$.startTime"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")).alias("_st"),
+        F.try_to_timestamp(F.get_json_object(raw, "$.endTime"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")).alias("_en"))
+    base = plans.select(F.col("flight_plan_id").alias("_fid"), F.col("owner_id").alias("_owner"),
+                        F.col("registration_id").alias("_reg0"), F.col("pilot_id").alias("_pilot0"),
+                        F.col("airspace_authorization_id").alias("_auth0"), F.col("start_time").alias("_st0"),
+                        F.col("end_time").alias("_en0"))
+    p = p.join(base, F.col(target_col) == F.col("_fid"), "left")
+    # checks only look at values being set (a null value clears and needs no check)
+    p = ref_pilot_under_owner(p, pilots, "_pilot", "_owner")
+    p = ref_registration_owner(p, registrations, "_reg", "_owner")
+    p = ref_authorization_exists(p, auths, "_auth")
+    new_reg = F.when(F.col("_has_reg"), F.col("_reg")).otherwise(F.col("_reg0"))
+    new_pilot = F.when(F.col("_has_pilot"), F.col("_pilot")).otherwise(F.col("_pilot0"))
+    new_auth = F.when(F.col("_has_auth"), F.col("_auth")).otherwise(F.col("_auth0"))
+    new_st = F.coalesce(F.col("_st"), F.col("_st0"))
+    new_en = F.coalesce(F.col("_en"), F.col("_en0"))
+    outcome = (F.when(F.col("_fid").isNull(), "not_found")
+                .when(~F.col("pilot_found"), "pilot_not_found")
+                .when(F.col("registration_check").isNotNull(), F.col("registration_check"))
+                .when(~F.col("authorization_found"), "authorization_not_found")
+                .when(new_en <= new_st, "end_before_start")
+                .otherwise("accepted"))
+    out = p.select(*patches.columns, outcome.alias("outcome"), new_reg.alias("registration_id"),
+                   new_pilot.alias("pilot_id"), new_auth.alias("airspace_authorization_id"),
+                   new_st.alias("start_time"), new_en.alias("end_time"))
+    return out

@@ -279,12 +279,52 @@ def q_sensor_coverage(spark, sf_dir):
 
 # ============================================================ C1: sun times for every report
 
-@query("sun_times")
+def _sun_oracle() -> str:
+    """The NOAA refinement written in SQL: one CTE per round, four events per round."""
+    from ..functions import solar as so
+    (c1, c1a, c1b), (c2, c2a), c3 = so.CENTRE
+    a, b, s0, s1, s2, s3, corr = so.OBLIQUITY
+    events = [("dawn", so.CIVIL_ALT_DEG, -1), ("sunrise", so.SUNRISE_ALT_DEG, -1),
+              ("sunset", so.SUNRISE_ALT_DEG, 1), ("dusk", so.CIVIL_ALT_DEG, 1)]
+
+    def step(t, alt, sign):
+        T = f"((jd + {t} / 1440.0) - {so.J2000}) / 36525.0"
+        l0 = f"radians(fmod(fmod({so.MEAN_LONG[0]} + ({T}) * ({so.MEAN_LONG[1]} + ({T}) * {so.MEAN_LONG[2]}), 360.0) + 360.0, 360.0))"
+        m = f"radians({so.MEAN_ANOM[0]} + ({T}) * ({so.MEAN_ANOM[1]} - ({T}) * {so.MEAN_ANOM[2]}))"
+        e = f"({so.ECCENTRICITY[0]} - ({T}) * ({so.ECCENTRICITY[1]} + ({T}) * {so.ECCENTRICITY[2]}))"
+        c = (f"(sin({m}) * ({c1} - ({T}) * ({c1a} + ({T}) * {c1b})) + sin(2 * {m}) * ({c2} - ({T}) * {c2a})"
+             f" + sin(3 * {m}) * {c3})")
+        om = f"radians({so.OMEGA[0]} - ({T}) * {so.OMEGA[1]})"
+        eps0 = f"({a} + ({b} + ({s0} - ({T}) * ({s1} + ({T}) * ({s2} - ({T}) * {s3}))) / 60.0) / 60.0)"
+        eps = f"radians({eps0} + cos({om}) * {corr})"
+        lam = f"radians(degrees({l0}) + {c} - {so.APPARENT[0]} - {so.APPARENT[1]} * sin({om}))"
+        y = f"pow(tan({eps} / 2), 2)"
+        dec = f"asin(sin({eps}) * sin({lam}))"
+        eqt = (f"4 * degrees({y} * sin(2 * {l0}) - 2 * {e} * sin({m}) + 4 * {e} * {y} * sin({m}) * cos(2 * {l0})"
+               f" - 0.5 * {y} * {y} * sin(4 * {l0}) - 1.25 * {e} * {e} * sin(2 * {m}))")
+        cosh = f"((sin(radians({alt})) - sin(phi) * sin({dec})) / (cos(phi) * cos({dec})))"
+        return (f"CASE WHEN isnan({t}) OR abs({cosh}) > 1 THEN 'NaN'::DOUBLE ELSE "
+                f"720.0 - 4 * lon + (-({eqt})) + ({sign}) * 4 * degrees(acos({cosh})) END")
+
+    ctes = ["p0 AS (SELECT report_id, epoch_ms(CAST(CAST(recorded_at AS DATE) AS TIMESTAMP)) AS d0, "
+            "epoch_ms(CAST(CAST(recorded_at AS DATE) AS TIMESTAMP)) / 86400000.0 + 2440587.5 AS jd, "
+            "radians(latitude) AS phi, longitude AS lon, "
+            + ", ".join(f"720.0 - 4 * longitude AS {n}" for n, _, _ in events) + " FROM live_positions)"]
+    for r in range(1, so.ITERATIONS + 1):
+        cols = ", ".join(f"{step(n, alt, sg)} AS {n}" for n, alt, sg in events)
+        ctes.append(f"p{r} AS (SELECT report_id, d0, jd, phi, lon, {cols} FROM p{r - 1})")
+    last = f"p{so.ITERATIONS}"
+    out = ", ".join(f"CASE WHEN isnan({n}) THEN NULL ELSE strftime(make_timestamp(CAST(floor(d0 + {n} * 60000.0) "
+                    f"AS BIGINT) * 1000), '%Y-%m-%d %H:%M:%S') END AS {n}" for n, _, _ in events)
+    return with_fixtures("live_positions") + ", " + ", ".join(ctes) + f" SELECT report_id, {out} FROM {last}"
+
+
+@query("sun_times", _sun_oracle())
 def q_sun_times(spark, sf_dir):
     pos = fx.live_positions(spark, sf_dir).select("report_id", F.to_date("recorded_at").alias("date"),
                                                   F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     out = solar.sun_times(pos)
-    return out.select("report_id", *[F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return out.select("report_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
                                      for c in ("dawn", "sunrise", "sunset", "dusk")])
 
 

@@ -565,3 +565,15 @@ def q_downsample_track(spark, sf_dir):
     """First report per drone per 6-hour tumbling window."""
     out = sn.downsample_track(fx.live_positions(spark, sf_dir), "6 hours")
     return out.select("drone_serial_number", "window_start", "report_id")
+
+
+@query("geojson_encode", with_fixtures("zone_reports") + """
+SELECT report_id, 'Polygon' AS type, CASE shape WHEN 'holed' THEN 2 ELSE 1 END AS n_rings,
+       CASE shape WHEN 'tri' THEN 4 ELSE 5 END AS n_shell FROM zone_reports""")
+def q_geojson_encode(spark, sf_dir):
+    """S8 encode: zone polygons to GeoJSON text, read back with JSON path functions."""
+    z = fx.zone_reports(spark, sf_dir)
+    txt = js.geojson_encode(F.col("rings"))
+    return z.select("report_id", F.get_json_object(txt, "$.type").alias("type"),
+                    F.json_array_length(F.get_json_object(txt, "$.coordinates")).cast("long").alias("n_rings"),
+                    F.json_array_length(F.get_json_object(txt, "$.coordinates[0]")).cast("long").alias("n_shell"))

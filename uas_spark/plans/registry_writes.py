@@ -672,3 +672,50 @@ def q_in_list(spark, sf_dir):
     fp = fx.flight_plans(spark, sf_dir).filter(F.col("airspace_authorization_id").isNotNull())
     return listings.in_list(fx.waypoints(spark, sf_dir), "flight_plan_id", fp, "flight_plan_id").select(
         "flight_plan_id", "sequence_number")
+
+
+def _plan_patches(spark, sf_dir):
+    p = fx.lineitem_pairs(spark, sf_dir)
+    k, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    raw = (F.when(F.col("l_returnflag") == "R",
+                  F.concat(F.lit('{"pilotId":null,"airspaceAuthorizationId":"'),
+                           F.when(ln == 3, F.lit("A-X")).otherwise(F.lit("A-")), pk.cast("string"), F.lit('"}')))
+            .when(F.col("l_returnflag") == "A",
+                  F.concat(F.lit('{"registrationId":"R-'), (sk * 7).cast("string"),
+                           F.lit('","startTime":"2024-01-'), F.lpad((ln + 10).cast("string"), 2, "0"),
+                           F.lit('T00:00:00Z"}')))
+            .otherwise(F.concat(F.lit('{"pilotId":"P-'), (pk - pk % 3).cast("string"),
+                                F.lit('","registrationId":null}'))))
+    return p.select(F.concat(F.lit("FP-"), k.cast("string")).alias("target_id"), ln.cast("long").alias("seq"),
+                    raw.alias("raw"))
+
+
+@query("flight_plan_patch", with_fixtures("flight_plans", "pilots", "registrations", "authorizations",
+                                          "lineitem_pairs") + """,
+p AS (SELECT 'FP-' || CAST(l_orderkey AS VARCHAR) AS target_id, CAST(l_linenumber AS BIGINT) AS seq, l_returnflag AS fl,
+             l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln FROM lineitem_pairs),
+v AS (SELECT p.*, f.flight_plan_id IS NOT NULL AS found, f.owner_id, f.start_time, f.end_time,
+        CASE WHEN fl = 'N' THEN 'P-' || CAST(pk - pk % 3 AS VARCHAR) END AS set_pilot,
+        CASE WHEN fl = 'A' THEN 'R-' || CAST(sk * 7 AS VARCHAR) END AS set_reg,
+        CASE WHEN fl = 'R' THEN (CASE WHEN ln = 3 THEN 'A-X' ELSE 'A-' END) || CAST(pk AS VARCHAR) END AS set_auth,
+        CASE WHEN fl = 'A' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln + 9) END AS set_start
+      FROM p LEFT JOIN flight_plans f ON f.flight_plan_id = p.target_id)
+SELECT target_id, seq,
+  CASE WHEN NOT found THEN 'not_found'
+       WHEN set_pilot IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pilots x WHERE x.pilot_id = set_pilot
+            AND x.organization_owner_id = v.owner_id) THEN 'pilot_not_found'
+       WHEN set_reg IS NOT NULL AND set_reg NOT IN (SELECT registration_id FROM registrations)
+            THEN 'registration_not_found'
+       WHEN set_reg IS NOT NULL AND (SELECT r.owner_id FROM registrations r WHERE r.registration_id = set_reg)
+            <> v.owner_id THEN 'registration_owner_mismatch'
+       WHEN set_auth IS NOT NULL AND set_auth NOT IN (SELECT authorization_id FROM authorizations)
+            THEN 'authorization_not_found'
+       WHEN end_time <= coalesce(set_start, start_time) THEN 'end_before_start'
+       ELSE 'accepted' END AS outcome
+FROM v""")
+def q_flight_plan_patch(spark, sf_dir):
+    """One link/window patch per lineitem pair against the stored plans."""
+    out = patches.flight_plan_patch(fx.flight_plans(spark, sf_dir), _plan_patches(spark, sf_dir),
+                                    fx.pilots(spark, sf_dir), fx.registrations(spark, sf_dir),
+                                    fx.authorizations(spark, sf_dir))
+    return out.select("target_id", "seq", "outcome")
