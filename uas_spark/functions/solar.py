@@ -40,35 +40,41 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _stages(t_col: str, day_jd: Column, phi: Column, lon: Column, alt_deg: float, sign: int, p: str):
-    """One refinement round for one event as two projections: the slowly varying solar
-    quantities first, then the new event time from them. Small projections stay within the
-    generated-code size limit; two per round keep planning cheap."""
-    c = (lambda n: F.col(p + n))
-    t = ((day_jd + F.col(t_col) / 1440.0) - F.lit(J2000)) / F.lit(36525.0)
+def _stages(t_col: str, day_jd: str, phi: str, lon: str, alt_deg: float, sign: int, p: str):
+    """One refinement round for one event as two projections of SQL expressions: the slowly
+    varying solar quantities first, then the new event time from them.
+
+    Small projections stay within the generated-code size limit, and SQL text is sent to the
+    JVM in one call per column instead of one call per expression node.
+    """
     (c1, c1a, c1b), (c2, c2a), c3 = CENTRE
     a, b, s0, s1, s2, s3, corr = OBLIQUITY
-    m = (F.lit(MEAN_ANOM[0]) + t * (F.lit(MEAN_ANOM[1]) - t * MEAN_ANOM[2])) * RAD
-    om = (F.lit(OMEGA[0]) - t * OMEGA[1]) * RAD
-    eps0 = F.lit(a) + (F.lit(b) + (F.lit(s0) - t * (F.lit(s1) + t * (F.lit(s2) - t * s3))) / 60.0) / 60.0
+    rad = repr(RAD)
+    t = f"(({day_jd} + {t_col} / 1440.0D) - {J2000!r}D) / 36525.0D"
+    m = f"(({MEAN_ANOM[0]!r}D + {t} * ({MEAN_ANOM[1]!r}D - {t} * {MEAN_ANOM[2]!r}D)) * {rad}D)"
+    om = f"(({OMEGA[0]!r}D - {t} * {OMEGA[1]!r}D) * {rad}D)"
+    eps0 = (f"({a!r}D + ({b!r}D + ({s0!r}D - {t} * ({s1!r}D + {t} * ({s2!r}D - {t} * {s3!r}D))) / 60.0D)"
+            f" / 60.0D)")
     first = {
-        p + "l0": F.pmod(F.lit(MEAN_LONG[0]) + t * (F.lit(MEAN_LONG[1]) + t * MEAN_LONG[2]), F.lit(360.0)) * RAD,
+        p + "l0": f"pmod({MEAN_LONG[0]!r}D + {t} * ({MEAN_LONG[1]!r}D + {t} * {MEAN_LONG[2]!r}D), 360.0D) * {rad}D",
         p + "m": m,
-        p + "e": F.lit(ECCENTRICITY[0]) - t * (F.lit(ECCENTRICITY[1]) + t * ECCENTRICITY[2]),
-        p + "c": (F.sin(m) * (F.lit(c1) - t * (F.lit(c1a) + t * c1b)) + F.sin(2 * m) * (F.lit(c2) - t * c2a)
-                  + F.sin(3 * m) * c3),
+        p + "e": f"{ECCENTRICITY[0]!r}D - {t} * ({ECCENTRICITY[1]!r}D + {t} * {ECCENTRICITY[2]!r}D)",
+        p + "c": (f"sin({m}) * ({c1!r}D - {t} * ({c1a!r}D + {t} * {c1b!r}D)) + sin(2 * {m}) * ({c2!r}D - {t} * "
+                  f"{c2a!r}D) + sin(3 * {m}) * {c3!r}D"),
         p + "om": om,
-        p + "eps": (eps0 + F.cos(om) * corr) * RAD,
+        p + "eps": f"({eps0} + cos({om}) * {corr!r}D) * {rad}D",
     }
-    lam = (c("l0") / RAD + c("c") - APPARENT[0] - APPARENT[1] * F.sin(c("om"))) * RAD
-    y = F.pow(F.tan(c("eps") / 2), 2)
-    dec = F.asin(F.sin(c("eps")) * F.sin(lam))
-    eqt = 4 * F.degrees(y * F.sin(2 * c("l0")) - 2 * c("e") * F.sin(c("m"))
-                        + 4 * c("e") * y * F.sin(c("m")) * F.cos(2 * c("l0"))
-                        - 0.5 * y * y * F.sin(4 * c("l0")) - 1.25 * c("e") * c("e") * F.sin(2 * c("m")))
-    second = {t_col: F.lit(720.0) - 4 * lon - eqt + sign * 4 * F.degrees(F.acos(
-        (F.lit(math.sin(alt_deg * RAD)) - F.sin(phi) * F.sin(dec)) / (F.cos(phi) * F.cos(dec))))}
-    return [first, second]
+    c = (lambda n: p + n)
+    lam = f"(({c('l0')} / {rad}D + {c('c')} - {APPARENT[0]!r}D - {APPARENT[1]!r}D * sin({c('om')})) * {rad}D)"
+    y = f"pow(tan({c('eps')} / 2), 2)"
+    dec = f"asin(sin({c('eps')}) * sin({lam}))"
+    eqt = (f"4 * degrees({y} * sin(2 * {c('l0')}) - 2 * {c('e')} * sin({c('m')}) + 4 * {c('e')} * {y} * "
+           f"sin({c('m')}) * cos(2 * {c('l0')}) - 0.5D * {y} * {y} * sin(4 * {c('l0')}) - 1.25D * {c('e')} * "
+           f"{c('e')} * sin(2 * {c('m')}))")
+    h = repr(math.sin(alt_deg * RAD))
+    second = {t_col: (f"720.0D - 4 * {lon} - {eqt} + ({sign}) * 4 * degrees(acos(({h}D - sin({phi}) * sin({dec}))"
+                      f" / (cos({phi}) * cos({dec}))))")}
+    return [{k: F.expr(v) for k, v in first.items()}, {k: F.expr(v) for k, v in second.items()}]
 
 
 EVENTS = (("dawn", CIVIL_ALT_DEG, -1), ("sunrise", SUNRISE_ALT_DEG, -1),
@@ -82,6 +88,8 @@ def sun_times(probes: DataFrame, date_col: str = "date", lat_col: str = "lat", l
     Fixed-point refinement (NaN acos = the event does not happen), each round built from
     small projections so it runs as generated code.
     """
+    from ..session import spread
+    probes = spread(probes)
     day0_ms = F.unix_millis(F.to_timestamp(F.col(date_col).cast("date").cast("string")))
     keep = list(probes.columns)
     df = probes.select(*keep, day0_ms.alias("_d0"),
@@ -91,8 +99,7 @@ def sun_times(probes: DataFrame, date_col: str = "date", lat_col: str = "lat", l
     df = df.select("*", *[(F.lit(720.0) - 4 * F.col("_lon")).alias(f"_{n}") for n, _, _ in EVENTS])
     base = keep + ["_d0", "_jd", "_phi", "_lon"] + [f"_{n}" for n, _, _ in EVENTS]
     for _ in range(iterations):
-        plans = [_stages(f"_{n}", F.col("_jd"), F.col("_phi"), F.col("_lon"), a, sg, f"_{n}_")
-                 for n, a, sg in EVENTS]
+        plans = [_stages(f"_{n}", "_jd", "_phi", "_lon", a, sg, f"_{n}_") for n, a, sg in EVENTS]
         extra: list[str] = []
         for i in range(len(plans[0])):
             stage = {}

@@ -72,13 +72,17 @@ def sensor_ingest(stored: DataFrame, batch: DataFrame, sensors: DataFrame, batch
 def insert_if_absent(existing: DataFrame, requests: DataFrame, id_col: str, arrival: list) -> DataFrame:
     """M6: create with a caller-chosen id; an id already stored, or claimed by an earlier
     request of the batch, is a conflict. Returns requests with ``outcome`` in
-    ('accepted', 'duplicate_id')."""
-    w = Window.partitionBy(id_col).orderBy(*arrival)
-    r = requests.withColumn("_rn", F.row_number().over(w))
+    ('accepted', 'duplicate_id').
+
+    The first claim per id is a partial aggregate (``min`` of the arrival key), not a window,
+    so an id requested a million times is combined map-side. Arrival keys must be unique per id.
+    """
+    r = requests.withColumn("_arr", F.struct(*arrival))
+    first = r.groupBy(F.col(id_col).alias("_fid")).agg(F.min("_arr").alias("_first"))
     ex = existing.select(F.col(id_col).alias("_eid")).distinct()
-    r = r.join(ex, F.col(id_col) == F.col("_eid"), "left")
-    outcome = F.when(F.col("_eid").isNull() & (F.col("_rn") == 1), "accepted").otherwise("duplicate_id")
-    return r.withColumn("outcome", outcome).drop("_rn", "_eid")
+    r = r.join(first, F.col(id_col) == F.col("_fid"), "left").join(ex, F.col(id_col) == F.col("_eid"), "left")
+    outcome = F.when(F.col("_eid").isNull() & (F.col("_arr") == F.col("_first")), "accepted").otherwise("duplicate_id")
+    return r.withColumn("outcome", outcome).drop("_arr", "_fid", "_first", "_eid")
 
 
 def distinct_missing(ids: DataFrame, id_col: str, found: DataFrame, found_col: str) -> DataFrame:

@@ -44,13 +44,46 @@ def registration_overlap(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("n_overlaps", F.coalesce(F.col("n_overlaps"), F.lit(0)))
 
 
+def self_overlap(registrations: DataFrame) -> DataFrame:
+    """M13 over a whole stored table: does each registration overlap (closed ranges, touching
+    dates overlap) another one of the same serial?
+
+    A linear sweep per serial ordered by (start, id): a registration overlaps an earlier one iff
+    the running maximum end before it reaches its start, and a later one iff the next start is
+    within its range. No pairs are formed, so a serial with many registrations costs a sort,
+    not a square. Adds boolean ``overlap``.
+    """
+    w = Window.partitionBy("serial_number").orderBy("start_date", "registration_id")
+    prev_end = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    next_start = F.lead("start_date").over(w)
+    return registrations.withColumn("overlap", F.coalesce(prev_end >= F.col("start_date"), F.lit(False))
+                                    | F.coalesce(next_start <= F.col("end_date"), F.lit(False)))
+
+
+def _overlap_clusters(rows: DataFrame) -> DataFrame:
+    """Connected runs of overlapping date ranges per serial (``cluster`` column).
+
+    Sorted by start, a new run begins where the start passes the running maximum end of
+    everything before it. Ranges in different runs never overlap, so each run can be
+    judged on its own.
+    """
+    w = Window.partitionBy("serial_number").orderBy("start_date", "_kind", "arrival")
+    prev_end = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new_run = F.when(prev_end.isNull() | (F.col("start_date") > prev_end), 1).otherwise(0)
+    return rows.withColumn("_new", new_run).withColumn(
+        "cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+
+
 def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Registrations judged one after the other in ``arrival`` order; a rejected request
     never blocks a later one. Check order: owner, overlap, duplicate id.
 
-    The fold runs per serial (parallel across serials): ``aggregate`` over the serial's
-    requests sorted by arrival, carrying the accepted intervals. Returns
-    (registration_id, serial_number, arrival, outcome).
+    Requests failing the owner check are rejected without entering the fold (they change
+    nothing). The others, with the stored registrations, are cut into overlap clusters per
+    serial; the ordered fold (``aggregate`` over the cluster's requests sorted by arrival,
+    carrying the accepted ranges) runs per (serial, cluster), so only requests that can
+    actually conflict share a group. Duplicate ids are checked against stored ids and earlier
+    accepted ids of the same cluster. Returns (registration_id, serial_number, arrival, outcome).
     """
     r = requests.join(owners.select(F.col("owner_id").alias("_oid")).distinct(),
                       F.col("owner_id") == F.col("_oid"), "left")
@@ -59,16 +92,26 @@ def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame
         known = stored.select(F.col("registration_id").alias("_sid")).distinct()
         r = r.join(known, F.col("registration_id") == F.col("_sid"), "left") \
              .withColumn("stored_id", F.col("_sid").isNotNull()).drop("_sid")
-        seed = stored.groupBy(F.col("serial_number").alias("_ss")).agg(
-            F.collect_list(F.struct(F.col("start_date").alias("s"), F.col("end_date").alias("e"))).alias("seed"))
     else:
         r = r.withColumn("stored_id", F.lit(False))
-    g = r.groupBy("serial_number").agg(F.array_sort(F.collect_list(F.struct(
-        "arrival", "registration_id", "start_date", "end_date", "owner_ok", "stored_id"))).alias("reqs"))
+    no_owner = r.filter(~F.col("owner_ok")).select("registration_id", "serial_number",
+                                                   F.col("arrival").cast("bigint").alias("arrival"),
+                                                   F.lit("owner_not_found").alias("outcome"))
+    req = r.filter(F.col("owner_ok")).select("registration_id", "serial_number", "start_date", "end_date",
+                                             F.col("arrival").cast("bigint").alias("arrival"), "stored_id",
+                                             F.lit(1).alias("_kind"))
+    rows = req
     if stored is not None:
-        g = g.join(seed, F.col("serial_number") == F.col("_ss"), "left").drop("_ss")
-    else:
-        g = g.withColumn("seed", F.lit(None))
+        rows = rows.unionByName(stored.select("registration_id", "serial_number", "start_date", "end_date",
+                                              F.lit(None).cast("bigint").alias("arrival"),
+                                              F.lit(True).alias("stored_id"), F.lit(0).alias("_kind")))
+    rows = _overlap_clusters(rows)
+    seed = rows.filter(F.col("_kind") == 0).groupBy("serial_number", "cluster").agg(
+        F.collect_list(F.struct(F.col("start_date").alias("s"), F.col("end_date").alias("e"))).alias("seed"))
+    g = rows.filter(F.col("_kind") == 1).groupBy("serial_number", "cluster").agg(
+        F.array_sort(F.collect_list(F.struct("arrival", "registration_id", "start_date", "end_date",
+                                             "stored_id"))).alias("reqs"))
+    g = g.join(seed, ["serial_number", "cluster"], "left")
     g = g.withColumn("seed", F.coalesce(F.col("seed").cast("array<struct<s:date,e:date>>"),
                                         F.array().cast("array<struct<s:date,e:date>>")))
     fold = F.expr("""
@@ -76,22 +119,22 @@ def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame
         named_struct('acc', seed, 'ids', cast(array() as array<string>),
                      'out', cast(array() as array<struct<registration_id:string, arrival:bigint, outcome:string>>)),
         (st, q) -> named_struct(
-          'acc', IF(q.owner_ok AND NOT exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
+          'acc', IF(NOT exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
                     AND NOT q.stored_id AND NOT array_contains(st.ids, q.registration_id),
                     concat(st.acc, array(named_struct('s', q.start_date, 'e', q.end_date))), st.acc),
-          'ids', IF(q.owner_ok AND NOT exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
+          'ids', IF(NOT exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
                     AND NOT q.stored_id AND NOT array_contains(st.ids, q.registration_id),
                     concat(st.ids, array(q.registration_id)), st.ids),
           'out', concat(st.out, array(named_struct('registration_id', q.registration_id,
-                    'arrival', cast(q.arrival as bigint),
-                    'outcome', CASE WHEN NOT q.owner_ok THEN 'owner_not_found'
-                                    WHEN exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
+                    'arrival', q.arrival,
+                    'outcome', CASE WHEN exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
                                       THEN 'registration_overlap'
                                     WHEN q.stored_id OR array_contains(st.ids, q.registration_id) THEN 'duplicate_id'
                                     ELSE 'accepted' END)))),
         st -> st.out)""")
-    return g.select("serial_number", F.explode(fold).alias("o")).select(
+    folded = g.select("serial_number", F.explode(fold).alias("o")).select(
         F.col("o.registration_id"), "serial_number", F.col("o.arrival"), F.col("o.outcome"))
+    return folded.unionByName(no_owner)
 
 
 def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFrame:

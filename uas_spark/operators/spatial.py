@@ -79,7 +79,8 @@ def _exact_contains(lon: str, lat: str) -> Column:
     return F.col("_rect") | geo.contains_point_edges(F.col("_edges"), F.col(lon), F.col(lat))
 
 
-def _exact_box(bc: Column) -> Column:
+def _exact_box(box_col: str) -> Column:
+    bc = F.col(box_col)
     return F.col("_rect") | geo.box_meets_edges(F.col("_edges"), bc["min_lon"], bc["min_lat"], bc["max_lon"],
                                                 bc["max_lat"])
 
@@ -133,7 +134,7 @@ def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, id_co
         test = test & cheap
     cand = b.join(s, keys, "inner").filter(test).drop(*keys, "_sb")
     j = _rings_back(cand, rings_source if rings_source is not None else shapes, id_col, rings_col)
-    return j.filter(_exact_box(bc)).drop("_edges", "_rect")
+    return j.filter(_exact_box(bbox_col)).drop("_edges", "_rect")
 
 
 # ------------------------------------------------------------------ weather

@@ -276,8 +276,8 @@ def _zone_src(spark, sf_dir, layer):
 
 _ZONE_SRC_SQL = """
 SELECT report_id, kind, state,
-       CASE shape WHEN 'tri' THEN 4 WHEN 'holed' THEN 10 ELSE 5 END AS n_vertices,
-       CASE shape WHEN 'holed' THEN 2 ELSE 1 END AS n_rings, cx - h AS lon0 FROM {t}"""
+       CAST(CASE shape WHEN 'tri' THEN 4 WHEN 'holed' THEN 10 ELSE 5 END AS BIGINT) AS n_vertices,
+       CAST(CASE shape WHEN 'holed' THEN 2 ELSE 1 END AS BIGINT) AS n_rings, cx - h AS lon0 FROM {t}"""
 
 
 @query("src_visibility_reports", with_fixtures("zone_reports") + _ZONE_SRC_SQL.format(t="zone_reports"))
@@ -307,7 +307,7 @@ def q_src_registry(spark, sf_dir):
 @query("src_authorizations", """
 SELECT 'FP-' || CAST(o_orderkey AS VARCHAR) AS flight_plan_id,
        CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 2 = 0 THEN 'waypoints' ELSE 'polygon' END AS plan_type,
-       CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 END AS n_waypoints,
+       CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 END AS BIGINT) AS n_waypoints,
        CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 2 = 1 THEN 300.0::DOUBLE
             WHEN o_orderkey % 10 = 4 THEN 1.0::DOUBLE END AS ceiling
 FROM orders""")
@@ -339,7 +339,7 @@ def q_src_sensors_profiles(spark, sf_dir):
 
 
 @query("geojson_decode", with_fixtures("authorizations") + """
-SELECT authorization_id, CASE shape WHEN 'tri' THEN 4 ELSE 5 END AS n_vertices,
+SELECT authorization_id, CAST(CASE shape WHEN 'tri' THEN 4 ELSE 5 END AS BIGINT) AS n_vertices,
        cx - h AS min_lon, cy + h AS max_lat FROM authorizations""")
 def q_geojson_decode(spark, sf_dir):
     """Authorization areas encoded to GeoJSON text and decoded back."""
@@ -568,8 +568,8 @@ def q_downsample_track(spark, sf_dir):
 
 
 @query("geojson_encode", with_fixtures("zone_reports") + """
-SELECT report_id, 'Polygon' AS type, CASE shape WHEN 'holed' THEN 2 ELSE 1 END AS n_rings,
-       CASE shape WHEN 'tri' THEN 4 ELSE 5 END AS n_shell FROM zone_reports""")
+SELECT report_id, 'Polygon' AS type, CAST(CASE shape WHEN 'holed' THEN 2 ELSE 1 END AS BIGINT) AS n_rings,
+       CAST(CASE shape WHEN 'tri' THEN 4 ELSE 5 END AS BIGINT) AS n_shell FROM zone_reports""")
 def q_geojson_encode(spark, sf_dir):
     """S8 encode: zone polygons to GeoJSON text, read back with JSON path functions."""
     z = fx.zone_reports(spark, sf_dir)

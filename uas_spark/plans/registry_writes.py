@@ -81,7 +81,7 @@ def q_dedup_append_zone(spark, sf_dir):
 
 @query("atomic_batch", with_fixtures("live_positions") + """
 SELECT event_id // 50 AS batch_id,
-       sum(CASE WHEN NOT (47.0 + altitude_ft / 4 > -90 AND 47.0 + altitude_ft / 4 < 90) THEN 1 ELSE 0 END) AS bad_rows,
+       CAST(sum(CASE WHEN NOT (47.0 + altitude_ft / 4 > -90 AND 47.0 + altitude_ft / 4 < 90) THEN 1 ELSE 0 END) AS BIGINT) AS bad_rows,
        count(*) AS n_rows
 FROM live_positions GROUP BY event_id // 50""")
 def q_atomic_batch(spark, sf_dir):
@@ -200,14 +200,13 @@ def q_flight_plan_create_check(spark, sf_dir):
 # ============================================================ M13, M14, M17, T5, P3, F1, F9
 
 @query("registration_overlap", with_fixtures("registrations") + """
-SELECT c.registration_id, count(s.registration_id) AS n_overlaps
-FROM registrations c LEFT JOIN registrations s
-  ON s.serial_number = c.serial_number AND s.registration_id <> c.registration_id
- AND s.start_date <= c.end_date AND c.start_date <= s.end_date
-GROUP BY c.registration_id""")
+SELECT c.registration_id, EXISTS (SELECT 1 FROM registrations s
+  WHERE s.serial_number = c.serial_number AND s.registration_id <> c.registration_id
+    AND s.start_date <= c.end_date AND c.start_date <= s.end_date) AS overlap
+FROM registrations c""")
 def q_registration_overlap(spark, sf_dir):
-    r = fx.registrations(spark, sf_dir)
-    return registrations.registration_overlap(r, r).select("registration_id", "n_overlaps")
+    """M13 over the whole table: each registration against every other of its serial."""
+    return registrations.self_overlap(fx.registrations(spark, sf_dir)).select("registration_id", "overlap")
 
 
 @query("registration_sequential_accept", with_fixtures("registrations", "owners").replace("WITH ", "WITH RECURSIVE ", 1) + """,

@@ -64,3 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (no shuffle of its own) at least one task per core.
+
+    A large input already has many scan tasks and is returned unchanged; a tiny input (one
+    small file is one task) is spread round-robin so the work is not single-threaded.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
