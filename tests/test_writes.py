@@ -141,3 +141,61 @@ def test_pilot_of_another_owner_refused(spark):
                                "id string, pilot_id string, owner_id string")
     got = {r.id: r.pilot_found for r in refs.ref_pilot_under_owner(df, pilots).collect()}
     assert got == {"x": True, "y": False, "z": True}
+
+
+def test_self_overlap_sweep(spark):
+    rows = [("a", "S", "2026-01-01", "2026-01-10"), ("b", "S", "2026-01-10", "2026-01-20"),
+            ("c", "S", "2026-02-01", "2026-02-05"), ("d", "S", "2026-01-12", "2026-01-13"),
+            ("e", "T", "2026-01-01", "2026-12-31")]
+    df = spark.createDataFrame([(a, b, dt.date.fromisoformat(c), dt.date.fromisoformat(d)) for a, b, c, d in rows],
+                               "registration_id string, serial_number string, start_date date, end_date date")
+    got = {r.registration_id: r.overlap for r in registrations.self_overlap(df).collect()}
+    assert got == {"a": True, "b": True, "c": False, "d": True, "e": False}
+
+
+def test_insert_if_absent_first_claim(spark):
+    existing = spark.createDataFrame([("x",)], "id string")
+    req = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), ("z", 4)], "id string, arrival int")
+    got = {(r.id, r.arrival): r.outcome for r in ingest.insert_if_absent(existing, req, "id",
+                                                                         [F.col("arrival")]).collect()}
+    assert got == {("x", 1): "duplicate_id", ("y", 2): "accepted", ("y", 3): "duplicate_id", ("z", 4): "accepted"}
+
+
+def test_sequential_clusters_are_independent(spark):
+    owners = spark.createDataFrame([("o1",)], "owner_id string")
+    rows = [("r1", "S", "o1", "2026-01-01", "2026-01-10", 0), ("r2", "S", "o1", "2026-01-05", "2026-01-06", 1),
+            ("r3", "S", "o1", "2026-03-01", "2026-03-10", 2), ("r4", "S", "o1", "2026-03-10", "2026-03-12", 3),
+            ("r5", "S", "o1", "2026-01-10", "2026-01-11", 4)]
+    df = spark.createDataFrame([(a, b, c, dt.date.fromisoformat(d), dt.date.fromisoformat(e), i)
+                                for a, b, c, d, e, i in rows], REG)
+    got = {r.registration_id: r.outcome for r in registrations.sequential_accept(df, owners).collect()}
+    assert got == {"r1": "accepted", "r2": "registration_overlap", "r3": "accepted",
+                   "r4": "registration_overlap", "r5": "registration_overlap"}
+
+
+def test_flight_plan_patch_reasons(spark):
+    plans = spark.createDataFrame([("fp1", "o1", None, None, None, _t("2026-08-01 14:00:00"),
+                                    _t("2026-08-01 18:00:00"))],
+                                  "flight_plan_id string, owner_id string, registration_id string, pilot_id string, "
+                                  "airspace_authorization_id string, start_time timestamp, end_time timestamp")
+    pilots = spark.createDataFrame([("p1", "o1"), ("p2", "o2")], "pilot_id string, organization_owner_id string")
+    regs = spark.createDataFrame([("r1", "o1"), ("r2", "o2")], "registration_id string, owner_id string")
+    auths = spark.createDataFrame([("a1",)], "authorization_id string")
+    ps = spark.createDataFrame([
+        ("fp1", 1, '{"pilotId":"p2"}'), ("fp1", 2, '{"registrationId":"r9"}'), ("fp1", 3, '{"registrationId":"r2"}'),
+        ("fp1", 4, '{"airspaceAuthorizationId":"a9"}'), ("fp1", 5, '{"startTime":"2026-08-01T19:00:00Z"}'),
+        ("fp1", 6, '{"pilotId":"p1","registrationId":"r1","airspaceAuthorizationId":"a1"}'),
+        ("fp1", 7, '{"pilotId":null}'), ("nope", 1, '{}')], "target_id string, seq long, raw string")
+    got = {(r.target_id, r.seq): r.outcome for r in patches.flight_plan_patch(plans, ps, pilots, regs, auths).collect()}
+    assert [got[("fp1", i)] for i in range(1, 8)] == [
+        "pilot_not_found", "registration_not_found", "registration_owner_mismatch", "authorization_not_found",
+        "end_before_start", "accepted", "accepted"]
+    assert got[("nope", 1)] == "not_found"
+
+
+def test_snapshot_sink_pointer(spark, tmp_path):
+    from uas_spark.sources import sinks
+    root = str(tmp_path / "owners")
+    sinks.write_snapshot(spark.createDataFrame([("o1",)], "owner_id string"), root)
+    sinks.write_snapshot(spark.createDataFrame([("o1",), ("o2",)], "owner_id string"), root)
+    assert sorted(r.owner_id for r in sinks.read_snapshot(spark, root).collect()) == ["o1", "o2"]

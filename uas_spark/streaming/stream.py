@@ -49,8 +49,16 @@ def _table_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFram
     return spark.createDataFrame([], like.schema)
 
 
+def _committed(spark: SparkSession, folder: str) -> bool:
+    fs, p = _fs(spark, folder + "/_SUCCESS")
+    return bool(fs.exists(p))
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
-    return sorted(int(n.split("=")[1]) for n in list_children(spark, root) if n.startswith("v="))
+    """Snapshot versions whose write committed (``_SUCCESS`` present); a folder left by a
+    failed write does not count and is overwritten on replay."""
+    return sorted(int(n.split("=")[1]) for n in list_children(spark, root)
+                  if n.startswith("v=") and _committed(spark, f"{root}/{n}"))
 
 
 def stream_ingest_positions(spark: SparkSession, source: str, table: str, checkpoint: str):
@@ -115,13 +123,15 @@ def stream_zone_staleness(spark: SparkSession, source: str, sink: str, checkpoin
     store = sink + "_reports"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(store)
-        allr = batch.sparkSession.read.parquet(store)
+        # per-batch folders written with overwrite: a replayed micro-batch rewrites its own
+        # folders instead of appending twice
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        allr = batch.sparkSession.read.parquet(store).drop("batch")
         stamp = stamp_of_batch(batch_id) if stamp_of_batch else None
         if stamp is None:
             stamp = allr.agg(F.max("recorded_at")).first()[0].strftime("%Y-%m-%d %H:%M:%S")
         fresh = asof.zone_latest_fresh(allr, stamp, stale_minutes)
-        fresh.select(F.lit(batch_id).alias("batch_id"), "zone_id", "report_id").write.mode("append").parquet(sink)
+        fresh.select("zone_id", "report_id").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return (zones.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
