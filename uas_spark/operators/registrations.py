@@ -178,11 +178,12 @@ def active_registration(registrations: DataFrame, probes: DataFrame, serial_col:
                              F.col("start_date").alias("r_start_date"), F.col("end_date").alias("r_end_date"))
     r = r.withColumn("_m", F.explode(_month_span(F.col("r_start_date"), F.col("r_end_date"))))
     p = probes.withColumn("_pm", _month(F.col(date_col)))
+    # left join: a probe without a covering registration keeps one row of nulls, so the top-1
+    # per probe needs no join back to the probes
     j = p.join(r, (F.col(serial_col) == F.col("r_serial")) & (F.col("_pm") == F.col("_m"))
-               & (F.col("r_start_date") <= F.col(date_col)) & (F.col("r_end_date") >= F.col(date_col)), "inner")
-    best = asof.top1(j, [probe_key], [F.col("r_start_date").desc(), F.col("r_registration_id")])
-    best = best.select(F.col(probe_key).alias("_pk"), "r_registration_id", "r_owner_id", "r_start_date", "r_end_date")
-    return probes.join(best, probes[probe_key] == best["_pk"], "left").drop("_pk")
+               & (F.col("r_start_date") <= F.col(date_col)) & (F.col("r_end_date") >= F.col(date_col)), "left")
+    best = asof.top1(j, [probe_key], [F.col("r_start_date").desc_nulls_last(), F.col("r_registration_id")])
+    return best.drop("_pm", "_m", "r_serial")
 
 
 def registration_active_by_serial(registrations: DataFrame, serial: str, on_date: str) -> DataFrame:
