@@ -354,3 +354,84 @@ def box_meets_edges(e: Column, min_lon, min_lat, max_lon, max_lat) -> Column:
     slow = (F.exists(ids, lambda i: _edge_meets_box(*_edge(e, i), bx0, by0, bx1, by1))
             | (F.size(F.filter(ids, lambda i: _crosses(*_edge(e, i), bx0, by0))) % 2 == 1))
     return F.when(n <= k, fast).otherwise(slow)
+
+
+# --------------------------------------------------------------------------- SQL-text forms
+# The same exact tests built as SQL text, for arguments that are column names: the JVM parses
+# one string per column, instead of receiving every expression node from Python one call at a
+# time (hundreds of calls for an unrolled test).
+
+def _sql_edge(e: str, i) -> tuple[str, str, str, str]:
+    return f"{e}.x1[{i}]", f"{e}.y1[{i}]", f"{e}.x2[{i}]", f"{e}.y2[{i}]"
+
+
+def _sql_on_edge(x1, y1, x2, y2, x, y) -> str:
+    return (f"(({x2} - {x1}) * ({y} - {y1}) - ({y2} - {y1}) * ({x} - {x1}) = 0 AND {x} >= least({x1}, {x2}) "
+            f"AND {x} <= greatest({x1}, {x2}) AND {y} >= least({y1}, {y2}) AND {y} <= greatest({y1}, {y2}))")
+
+
+def _sql_crosses(x1, y1, x2, y2, x, y) -> str:
+    return (f"coalesce((({y1} > {y}) <> ({y2} > {y})) AND {x} < ({x2} - {x1}) * ({y} - {y1}) "
+            f"/ nullif({y2} - {y1}, 0D) + {x1}, false)")
+
+
+def _sql_meets(x1, y1, x2, y2, bx0, by0, bx1, by1) -> str:
+    sides = [f"(({x2} - {x1}) * ({cy} - {y1}) - ({y2} - {y1}) * ({cx} - {x1}))"
+             for cx, cy in ((bx0, by0), (bx1, by0), (bx1, by1), (bx0, by1))]
+    return (f"(least({x1}, {x2}) <= {bx1} AND greatest({x1}, {x2}) >= {bx0} AND least({y1}, {y2}) <= {by1} "
+            f"AND greatest({y1}, {y2}) >= {by0} AND NOT ({' AND '.join(v + ' > 0' for v in sides)}) "
+            f"AND NOT ({' AND '.join(v + ' < 0' for v in sides)}))")
+
+
+def contains_point_edges_sql(e: str, x: str, y: str) -> str:
+    """``contains_point_edges`` as SQL text over column names."""
+    k, n = UNROLL_EDGES, f"size({e}.x1)"
+    touch = " OR ".join(f"({i} < {n} AND {_sql_on_edge(*_sql_edge(e, i), x, y)})" for i in range(k))
+    count = " + ".join(f"(CASE WHEN {i} < {n} AND {_sql_crosses(*_sql_edge(e, i), x, y)} THEN 1 ELSE 0 END)"
+                       for i in range(k))
+    ed = _sql_edge(e, "i_")
+    slow = (f"aggregate(sequence(0, {n} - 1), 0, (acc_, i_) -> CASE WHEN acc_ < 0 THEN acc_ "
+            f"WHEN {_sql_on_edge(*ed, x, y)} THEN -1 "
+            f"ELSE acc_ + CASE WHEN {_sql_crosses(*ed, x, y)} THEN 1 ELSE 0 END END) % 2 = 1")
+    return f"(CASE WHEN {n} <= {k} THEN NOT ({touch}) AND ({count}) % 2 = 1 ELSE {slow} END)"
+
+
+def box_meets_edges_sql(e: str, bx0: str, by0: str, bx1: str, by1: str) -> str:
+    """``box_meets_edges`` as SQL text over column names."""
+    k, n = UNROLL_EDGES, f"size({e}.x1)"
+    meets = " OR ".join(f"({i} < {n} AND {_sql_meets(*_sql_edge(e, i), bx0, by0, bx1, by1)})" for i in range(k))
+    count = " + ".join(f"(CASE WHEN {i} < {n} AND {_sql_crosses(*_sql_edge(e, i), bx0, by0)} THEN 1 ELSE 0 END)"
+                       for i in range(k))
+    ed = _sql_edge(e, "i_")
+    slow = (f"exists(sequence(0, {n} - 1), i_ -> {_sql_meets(*ed, bx0, by0, bx1, by1)}) OR "
+            f"size(filter(sequence(0, {n} - 1), i_ -> {_sql_crosses(*ed, bx0, by0)})) % 2 = 1")
+    return f"(CASE WHEN {n} <= {k} THEN ({meets}) OR ({count}) % 2 = 1 ELSE {slow} END)"
+
+
+def ring_sql(points: list[tuple[str, str]]) -> str:
+    """Closed ring as SQL text from (lon, lat) SQL expressions; the first point is repeated."""
+    pts = list(points) + [points[0]]
+    return "array(" + ", ".join(f"named_struct('lon', CAST({x} AS DOUBLE), 'lat', CAST({y} AS DOUBLE))"
+                                for x, y in pts) + ")"
+
+
+def bbox_sql(rings: str) -> str:
+    """``bbox`` as SQL text (the shell holds every vertex)."""
+    return (f"named_struct('min_lon', array_min(transform({rings}[0], v -> v.lon)), "
+            f"'min_lat', array_min(transform({rings}[0], v -> v.lat)), "
+            f"'max_lon', array_max(transform({rings}[0], v -> v.lon)), "
+            f"'max_lat', array_max(transform({rings}[0], v -> v.lat)))")
+
+
+def edges_sql(rings: str) -> str:
+    """``edges`` as SQL text."""
+    def coord(off, f):
+        return f"flatten(transform({rings}, r -> transform(sequence(0, size(r) - 2), i -> r[i + {off}].{f})))"
+    return (f"named_struct('x1', {coord(0, 'lon')}, 'y1', {coord(0, 'lat')}, "
+            f"'x2', {coord(1, 'lon')}, 'y2', {coord(1, 'lat')})")
+
+
+def is_rectangle_sql(rings: str) -> str:
+    """``is_rectangle`` as SQL text."""
+    return (f"(size({rings}) = 1 AND size({rings}[0]) = 5 AND forall(sequence(0, 3), "
+            f"i -> {rings}[0][i].lon = {rings}[0][i + 1].lon OR {rings}[0][i].lat = {rings}[0][i + 1].lat))")

@@ -59,7 +59,7 @@ def _owning_cell(b1: str, b2: str, cell: float, cap: int) -> Column:
 
 def _light(shapes: DataFrame, rings_col: str) -> DataFrame:
     """Shapes without their rings but with a bounding box ``_sb``: what the grid join shuffles."""
-    return shapes.withColumn("_sb", geo.bbox(F.col(rings_col))).drop(rings_col)
+    return shapes.withColumn("_sb", F.expr(geo.bbox_sql(f"`{rings_col}`"))).drop(rings_col)
 
 
 def _rings_back(cand: DataFrame, shapes: DataFrame, id_col: str, rings_col: str) -> DataFrame:
@@ -70,19 +70,21 @@ def _rings_back(cand: DataFrame, shapes: DataFrame, id_col: str, rings_col: str)
     test, already applied, is exact. One shuffle of the few candidates and of each shape once,
     instead of shuffling rings with every exploded cell and bucket.
     """
-    prep = shapes.select(F.col(id_col).alias("_rid"), geo.edges(F.col(rings_col)).alias("_edges"),
-                         geo.is_rectangle(F.col(rings_col)).alias("_rect"))
+    r = f"`{rings_col}`"
+    prep = shapes.select(F.col(id_col).alias("_rid"), F.expr(geo.edges_sql(r)).alias("_edges"),
+                         F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
     return cand.join(prep, cand[id_col] == prep["_rid"], "inner").drop("_rid")
 
 
 def _exact_contains(lon: str, lat: str) -> Column:
-    return F.col("_rect") | geo.contains_point_edges(F.col("_edges"), F.col(lon), F.col(lat))
+    """Rectangles pass (their bbox test was exact); others run the edge test (SQL text: one
+    JVM call instead of one per expression node)."""
+    return F.expr(f"_rect OR {geo.contains_point_edges_sql('_edges', f'`{lon}`', f'`{lat}`')}")
 
 
 def _exact_box(box_col: str) -> Column:
-    bc = F.col(box_col)
-    return F.col("_rect") | geo.box_meets_edges(F.col("_edges"), bc["min_lon"], bc["min_lat"], bc["max_lon"],
-                                                bc["max_lat"])
+    b = f"`{box_col}`"
+    return F.expr(f"_rect OR {geo.box_meets_edges_sql('_edges', f'{b}.min_lon', f'{b}.min_lat', f'{b}.max_lon', f'{b}.max_lat')}")
 
 
 # ------------------------------------------------------------------ points in polygons
@@ -93,9 +95,9 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon:
 
     Column names of ``points`` and ``shapes`` must be disjoint.
     """
-    s = (shapes.withColumn("_sb", geo.bbox(F.col(rings_col)))
-               .withColumn("_edges", geo.edges(F.col(rings_col)))
-               .withColumn("_rect", geo.is_rectangle(F.col(rings_col))))
+    r = f"`{rings_col}`"
+    s = shapes.select("*", F.expr(geo.bbox_sql(r)).alias("_sb"), F.expr(geo.edges_sql(r)).alias("_edges"),
+                      F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
     s = _with_shape_cells(s, "_sb", cell, cap)
     p = _with_point_cells(points, lon, lat, cell)
     j = p.join(s, CELL_KEYS, "inner")
@@ -304,7 +306,7 @@ def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucke
     """
     iv = asof.observed_intervals(observed, interval_bucket_us)
     iv = iv.select(*[F.col(c).alias("z_" + c) for c in observed.columns if c != "rings"],
-                   geo.bbox(F.col("rings")).alias("_sb"),
+                   F.expr(geo.bbox_sql("rings")).alias("_sb"),
                    F.col("valid_from_us").alias("z_t_us"), F.col("valid_to_us").alias("z_to_us"))
     j = _interval_join(positions, iv, "z_t_us", "z_to_us", bucket_us, cell, cap)
     cheap = ((F.col("_pt") >= F.col("z_t_us"))
@@ -325,7 +327,7 @@ def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, buck
     """
     iv = asof.forecast_intervals(forecast, interval_bucket_us)
     iv = iv.select(*[F.col(c).alias("z_" + c) for c in forecast.columns if c != "rings"],
-                   geo.bbox(F.col("rings")).alias("_sb"),
+                   F.expr(geo.bbox_sql("rings")).alias("_sb"),
                    F.unix_micros(F.col("recorded_at")).alias("z_t_us"),
                    F.col("valid_from_us").alias("z_from_us"), F.col("valid_to_us").alias("z_to_us"),
                    "lo2", "hi2", "lo_in", "hi_in")

@@ -135,18 +135,19 @@ def sensor_positions(spark, sf_dir) -> DataFrame:
 
 # ----------------------------------------------------------------- weather zones
 
-def _zone_shape(eid: Column):
-    cx = F.lit(-123.0) + _frac(eid * 13 % 1024, 1024)
-    cy = F.lit(47.0) + _frac(eid * 5 % 512, 1024)
-    h = _frac(F.lit(8) + eid % 25, 256)
-    tri = geo.ring_from_points((cx - h, cy - h), (cx + h, cy - h), (cx, cy + h))
-    box = geo.ring_from_points((cx - h, cy - h), (cx + h, cy - h), (cx + h, cy + h), (cx - h, cy + h))
-    g = h / 2
-    hole = geo.ring_from_points((cx - g, cy - g), (cx - g, cy + g), (cx + g, cy + g), (cx + g, cy - g))
-    rings = (F.when(eid % 4 == 0, F.array(tri))
-              .when(eid % 8 == 1, F.array(box, hole))
-              .otherwise(F.array(box)))
-    return rings
+def _zone_shape_sql() -> str:
+    """Zone polygon of an event: a box, every 4th a triangle, every 8th (odd) a box with a hole."""
+    cx = "(-123.0D + CAST(event_id * 13 % 1024 AS DOUBLE) / 1024.0D)"
+    cy = "(47.0D + CAST(event_id * 5 % 512 AS DOUBLE) / 1024.0D)"
+    h = "(CAST(8 + event_id % 25 AS DOUBLE) / 256.0D)"
+    g = f"({h} / 2)"
+    tri = geo.ring_sql([(f"{cx} - {h}", f"{cy} - {h}"), (f"{cx} + {h}", f"{cy} - {h}"), (cx, f"{cy} + {h}")])
+    box = geo.ring_sql([(f"{cx} - {h}", f"{cy} - {h}"), (f"{cx} + {h}", f"{cy} - {h}"),
+                        (f"{cx} + {h}", f"{cy} + {h}"), (f"{cx} - {h}", f"{cy} + {h}")])
+    hole = geo.ring_sql([(f"{cx} - {g}", f"{cy} - {g}"), (f"{cx} - {g}", f"{cy} + {g}"),
+                         (f"{cx} + {g}", f"{cy} + {g}"), (f"{cx} + {g}", f"{cy} - {g}")])
+    return (f"CASE WHEN event_id % 4 = 0 THEN array({tri}) WHEN event_id % 8 = 1 THEN array({box}, {hole}) "
+            f"ELSE array({box}) END")
 
 
 def zone_reports(spark, sf_dir, layer: str = "visibility") -> DataFrame:
@@ -172,7 +173,7 @@ def zone_reports(spark, sf_dir, layer: str = "visibility") -> DataFrame:
                  F.when(eid % 5 == 2, _k("value") * 10).cast("double").alias("ceiling_ft")]
     else:
         cols += [_pick(WIND_STATES, eid % 4).alias("state")]
-    cols += [_zone_shape(eid).alias("rings"),
+    cols += [F.expr(_zone_shape_sql()).alias("rings"),
              F.when(observed, _k("ts")).otherwise(_plus_hours(_k("ts"), -(eid % 7))).alias("ingested_at")]
     return e.select(*cols)
 
@@ -245,13 +246,15 @@ def registrations(spark, sf_dir) -> DataFrame:
 
 # ----------------------------------------------------------------- authorizations
 
-def _auth_area(k: Column):
-    cx = F.lit(-123.0) + _frac(k * 29 % 1024, 1024)
-    cy = F.lit(47.0) + _frac(k * 11 % 512, 1024)
-    h = _frac(F.lit(1) + k % 8, 128)
-    tri = geo.ring_from_points((cx - h, cy - h), (cx + h, cy - h), (cx, cy + h))
-    box = geo.ring_from_points((cx - h, cy - h), (cx + h, cy - h), (cx + h, cy + h), (cx - h, cy + h))
-    return F.when(k % 3 == 0, F.array(tri)).otherwise(F.array(box))
+def _auth_area_sql() -> str:
+    """Authorization area of an order: a box, every 3rd a triangle."""
+    cx = "(-123.0D + CAST(o_orderkey * 29 % 1024 AS DOUBLE) / 1024.0D)"
+    cy = "(47.0D + CAST(o_orderkey * 11 % 512 AS DOUBLE) / 1024.0D)"
+    h = "(CAST(1 + o_orderkey % 8 AS DOUBLE) / 128.0D)"
+    tri = geo.ring_sql([(f"{cx} - {h}", f"{cy} - {h}"), (f"{cx} + {h}", f"{cy} - {h}"), (cx, f"{cy} + {h}")])
+    box = geo.ring_sql([(f"{cx} - {h}", f"{cy} - {h}"), (f"{cx} + {h}", f"{cy} - {h}"),
+                        (f"{cx} + {h}", f"{cy} + {h}"), (f"{cx} - {h}", f"{cy} + {h}")])
+    return f"CASE WHEN o_orderkey % 3 = 0 THEN array({tri}) ELSE array({box}) END"
 
 
 def _window(k: Column, offset_hours: int = 0):
@@ -266,7 +269,7 @@ def authorizations(spark, sf_dir) -> DataFrame:
     start, end = _window(k)
     return o.select(
         _s("A-", k).alias("authorization_id"),
-        _auth_area(k).alias("area"),
+        F.expr(_auth_area_sql()).alias("area"),
         (k % 2001).cast("double").alias("max_altitude_ft"),
         start.alias("start_time"), end.alias("end_time"),
         _s("O-", "o_custkey").alias("owner_id"),
@@ -283,10 +286,11 @@ def flight_plans(spark, sf_dir) -> DataFrame:
     k = _k("o_orderkey")
     is_wp = k % 2 == 0
     start, end = _window(k, 3)
-    cx = F.lit(-123.0) + _frac(k * 37 % 1024, 1024)
-    cy = F.lit(47.0) + _frac(k * 3 % 512, 1024)
-    h = _frac(F.lit(1) + k % 4, 128)
-    box = geo.ring_from_points((cx - h, cy - h), (cx + h, cy - h), (cx + h, cy + h), (cx - h, cy + h))
+    cx = "(-123.0D + CAST(o_orderkey * 37 % 1024 AS DOUBLE) / 1024.0D)"
+    cy = "(47.0D + CAST(o_orderkey * 3 % 512 AS DOUBLE) / 1024.0D)"
+    h = "(CAST(1 + o_orderkey % 4 AS DOUBLE) / 128.0D)"
+    box = F.expr(geo.ring_sql([(f"{cx} - {h}", f"{cy} - {h}"), (f"{cx} + {h}", f"{cy} - {h}"),
+                               (f"{cx} + {h}", f"{cy} + {h}"), (f"{cx} - {h}", f"{cy} + {h}")]))
     reg = (F.when(k % 4 == 0, F.lit(None).cast("string"))
             .when(k % 4 == 1, _s("R-", k))
             .when(k % 4 == 2, _s("R-", k + 1))
