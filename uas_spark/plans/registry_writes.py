@@ -445,7 +445,7 @@ def _profiles(spark, sf_dir):
 old AS (SELECT sensor_id, created_at FROM sensor_profiles),
 u AS (SELECT 'S-' || CAST(l_suppkey AS VARCHAR) AS sensor_id, l_orderkey * 8 + l_linenumber AS seq,
              '{{"pollIntervalMs":{{"min":' || CAST(1000 + l_partkey AS VARCHAR) || ',"max":9000}}}}' AS profile_json
-      FROM lineitem_pairs WHERE l_linenumber = 1),
+      FROM lineitem_pairs),
 last AS (SELECT sensor_id, arg_max(profile_json, seq) AS pj FROM u
          WHERE sensor_id IN (SELECT sensor_id FROM sensors) GROUP BY sensor_id)
 SELECT coalesce(o.sensor_id, l.sensor_id) AS sensor_id,
@@ -456,8 +456,8 @@ SELECT coalesce(o.sensor_id, l.sensor_id) AS sensor_id,
        coalesce({iso('o.created_at')}, '{STAMP}.000000') AS created_at
 FROM old o FULL OUTER JOIN last l ON l.sensor_id = o.sensor_id""")
 def q_profile_upsert(spark, sf_dir):
-    """The first line of every order upserts the profile of sensor ``l_suppkey``."""
-    p = fx.lineitem_pairs(spark, sf_dir).filter(F.col("l_linenumber") == 1)
+    """Every order line upserts the profile of sensor ``l_suppkey``; the last write wins."""
+    p = fx.lineitem_pairs(spark, sf_dir)
     ups = p.select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("sensor_id"),
                    (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
                    F.concat(F.lit('{"pollIntervalMs":{"min":'), (F.lit(1000) + F.col("l_partkey")).cast("string"),
