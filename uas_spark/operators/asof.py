@@ -7,7 +7,10 @@ it: a hot key sends at most one row per map partition across the network.
 Probe joins (P1, P2) never partition by the key alone. Rows are cut into
 (key, time bucket) partitions; each probe bucket is seeded with the last report
 of the earlier buckets, found on a per-bucket summary (one row per key and
-bucket). A key holding a third of all rows is therefore spread over its buckets.
+non-empty bucket). A key holding a third of all rows is therefore spread over its
+buckets. The bucket (default one hour) bounds the largest window partition by a
+key's rows per hour; the summary a key sorts alone grows only with the time span
+(8,760 rows per key-year).
 """
 
 from __future__ import annotations
@@ -132,7 +135,7 @@ def _asof_last(probes: DataFrame, reports: DataFrame, key: str, probe_us: Column
 
 
 def join_zone_asof(probes: DataFrame, observed: DataFrame, at_col: str = "at",
-                   bucket_us: int = DAY_US) -> DataFrame:
+                   bucket_us: int = HOUR_US) -> DataFrame:
     """Zone state at each probe time (T3 for many (zone_id, at) probes).
 
     Newest report with ``recorded_at <= at``; same-instant ties go to the smallest report_id.
@@ -153,7 +156,7 @@ def _beats(a: Column, b: Column) -> Column:
 
 
 def join_zone_forecast_nearest(probes: DataFrame, forecast: DataFrame, at_col: str = "at",
-                               bucket_us: int = DAY_US) -> DataFrame:
+                               bucket_us: int = HOUR_US) -> DataFrame:
     """T4 for many (zone_id, at) probes: nearest forecast either side of ``at``."""
     inst = forecast_instants(forecast)
     back = _asof_last(probes, inst, "zone_id", _us(at_col), _us("recorded_at"), [], bucket_us)
@@ -190,7 +193,7 @@ def _next_start(rows: DataFrame, key: str, t_us: Column, rank: list[Column], buc
              .drop("_lead", "_next_first"))
 
 
-def observed_intervals(observed: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
+def observed_intervals(observed: DataFrame, bucket_us: int = HOUR_US) -> DataFrame:
     """Each observed report holds from its instant until the zone's next report.
 
     Adds ``valid_from_us`` (inclusive) and ``valid_to_us`` (exclusive, null = open).
@@ -201,7 +204,7 @@ def observed_intervals(observed: DataFrame, bucket_us: int = DAY_US) -> DataFram
              .drop("_b"))
 
 
-def forecast_intervals(forecast: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
+def forecast_intervals(forecast: DataFrame, bucket_us: int = HOUR_US) -> DataFrame:
     """Each per-instant winning forecast holds where it is the nearest one.
 
     Bounds are kept doubled (``lo2``/``hi2`` in microseconds x 2) so midpoints stay integral;

@@ -296,7 +296,7 @@ def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to
 
 def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucket_us: int = HOUR_US,
                                 cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
-                                interval_bucket_us: int = asof.DAY_US) -> DataFrame:
+                                interval_bucket_us: int = asof.HOUR_US) -> DataFrame:
     """For every position report, the zones whose as-of report (at the report's instant)
     contains the drone.
 
@@ -319,7 +319,7 @@ def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucke
 
 def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, bucket_us: int = HOUR_US,
                                  cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
-                                 interval_bucket_us: int = asof.DAY_US) -> DataFrame:
+                                 interval_bucket_us: int = asof.HOUR_US) -> DataFrame:
     """For every position report, zones whose nearest forecast (T4 rule) contains the drone.
 
     Forecast intervals are cut at midpoints between a zone's neighbouring target instants;
