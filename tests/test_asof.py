@@ -118,3 +118,27 @@ def test_positions_zone_current_matches_asof_then_polygon(spark):
                 if best[5] < x < best[5] + 0.5 and best[6] < y < best[6] + 0.5:
                     expect.add((pid, best[0]))
     assert got == expect
+
+
+def test_positions_forecast_zone_matches_nearest_then_polygon(spark):
+    from uas_spark.operators import spatial
+    rnd = random.Random(17)
+    rows = []
+    for i in range(80):
+        x0, y0 = rnd.randint(0, 20) / 16, rnd.randint(0, 20) / 16
+        # several forecasts share target instants (multiples of 60 min), issued at different times
+        rows.append((f"f{i:02d}", f"Z{i % 3}", _at(rnd.randint(-10, 10) * 60), "s", _at(rnd.randint(-900, -1)), x0, y0))
+    zdf = spark.createDataFrame(rows, SCHEMA + ", x0 double, y0 double").withColumn(
+        "rings", geo.box_rings(F.col("x0"), F.col("y0"), F.col("x0") + 0.5, F.col("y0") + 0.5)).drop("x0", "y0")
+    pos = [(f"p{i}", _at(rnd.randint(-20, 20) * 30), rnd.randint(1, 100) / 64 + 1 / 256,
+            rnd.randint(1, 100) / 64 + 1 / 256) for i in range(200)]
+    pdf = spark.createDataFrame(pos, "report_id string, recorded_at timestamp, longitude double, latitude double")
+    got = {(r.report_id, r.z_report_id) for r in spatial.join_positions_forecast_zone(pdf, zdf).collect()}
+    expect = set()
+    for pid, t, x, y in pos:
+        for z in ("Z0", "Z1", "Z2"):
+            cands = [r for r in rows if r[1] == z]
+            best = min(cands, key=lambda r: (abs((r[2] - t).total_seconds()), -r[4].timestamp(), r[0]))
+            if best[5] < x < best[5] + 0.5 and best[6] < y < best[6] + 0.5:
+                expect.add((pid, best[0]))
+    assert got == expect

@@ -86,3 +86,59 @@ def test_shape_cells_levels(spark):
     b = _eval(spark, geo.shape_cells(big))
     assert {c["lvl"] for c in s} == {0} and len(s) <= geo.DEFAULT_CELL_CAP
     assert {c["lvl"] for c in b} == {1}
+
+
+def _sat_meets(tri, box):
+    """Exact closed triangle-box intersection by separating axes (rational arithmetic)."""
+    from fractions import Fraction as Fr
+    tri = [(Fr(x), Fr(y)) for x, y in tri]
+    bx0, by0, bx1, by1 = [Fr(v) for v in box]
+    if max(x for x, _ in tri) < bx0 or min(x for x, _ in tri) > bx1:
+        return False
+    if max(y for _, y in tri) < by0 or min(y for _, y in tri) > by1:
+        return False
+    corners = [(bx0, by0), (bx1, by0), (bx1, by1), (bx0, by1)]
+    for i in range(3):
+        (x1, y1), (x2, y2) = tri[i], tri[(i + 1) % 3]
+        nx, ny = y2 - y1, x1 - x2
+        tp = [nx * x + ny * y for x, y in tri]
+        bp = [nx * x + ny * y for x, y in corners]
+        if max(tp) < min(bp) or max(bp) < min(tp):
+            return False
+    return True
+
+
+def test_random_triangle_box_against_exact_sat(spark):
+    rnd = random.Random(21)
+    rows = []
+    for i in range(300):
+        tri = [(rnd.randint(0, 32) / 8, rnd.randint(0, 32) / 8) for _ in range(3)]
+        if (tri[1][0] - tri[0][0]) * (tri[2][1] - tri[0][1]) == (tri[2][0] - tri[0][0]) * (tri[1][1] - tri[0][1]):
+            continue  # degenerate
+        x0, y0 = rnd.randint(0, 32) / 8, rnd.randint(0, 32) / 8
+        box = (x0, y0, x0 + rnd.randint(0, 8) / 8, y0 + rnd.randint(0, 8) / 8)
+        rows.append((i, [[{"lon": a, "lat": b} for a, b in _closed(tri)]], *box, _sat_meets(tri, box)))
+    df = spark.createDataFrame(rows, "i int, rings array<array<struct<lon:double,lat:double>>>, bx0 double, "
+                                     "by0 double, bx1 double, by1 double, expect boolean")
+    e = geo.edges(F.col("rings"))
+    df = df.withColumn("_edges", e)
+    got = df.select("expect", geo.polygon_box_intersects(F.col("rings"), "bx0", "by0", "bx1", "by1").alias("a"),
+                    geo.box_meets_edges(F.col("_edges"), F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"))
+                    .alias("b"),
+                    F.expr(geo.box_meets_edges_sql("_edges", "bx0", "by0", "bx1", "by1")).alias("c")).collect()
+    assert all(r["a"] == r["expect"] and r["b"] == r["expect"] and r["c"] == r["expect"] for r in got)
+
+
+def test_sql_and_column_edge_tests_agree(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(200):
+        pts = [(rnd.randint(0, 16) / 4, rnd.randint(0, 16) / 4) for _ in range(rnd.randint(3, 12))]
+        rows.append((i, [[{"lon": a, "lat": b} for a, b in _closed(pts)]], rnd.randint(0, 64) / 16,
+                     rnd.randint(0, 64) / 16))
+    df = spark.createDataFrame(rows, "i int, rings array<array<struct<lon:double,lat:double>>>, x double, y double")
+    df = df.withColumn("_edges", F.expr(geo.edges_sql("rings")))
+    got = df.select(geo.contains_point(F.col("rings"), F.col("x"), F.col("y")).alias("hof"),
+                    F.expr(geo.contains_point_edges_sql("_edges", "x", "y")).alias("sql"),
+                    geo.contains_point_edges(F.col("_edges"), F.col("x"), F.col("y")).alias("col")).collect()
+    assert all(r.hof == r.sql == r.col for r in got)

@@ -66,11 +66,6 @@ def api_projection(df: DataFrame, rename: dict[str, str] | None = None,
     return df.select(*out)
 
 
-def record_json(df: DataFrame, keep_null: tuple[str, ...] = ()) -> Column:
-    """JSON text of a projected record. ``to_json`` drops null fields; fields in ``keep_null``
-    are written as explicit ``null``."""
-    fields = []
-    for c in df.columns:
-        if c in keep_null:
-            fields.append(F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit('{"v":null}')))
+def record_json(df: DataFrame) -> Column:
+    """JSON text of a projected record; ``to_json`` leaves out null (absent optional) fields."""
     return F.to_json(F.struct(*[F.col(c) for c in df.columns]))

@@ -23,6 +23,9 @@ from ..functions import geo
 from . import asof
 
 HOUR_US = asof.HOUR_US
+# Time bucket of window joins (authorizations, plans): about the typical window length, so a
+# window explodes into few buckets while a probe still meets few windows per bucket.
+WINDOW_BUCKET_US = 6 * HOUR_US
 CELL_KEYS = ["g_lvl", "g_cx", "g_cy"]
 
 
@@ -113,7 +116,7 @@ def _box_cells(boxes: DataFrame, bbox_col: str, cell: float) -> DataFrame:
 def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, id_col: str, bbox_col: str = "box",
                       cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
                       window: tuple[str, str, str] | None = None, cheap: Column | None = None,
-                      bucket_us: int = HOUR_US, rings_source: DataFrame | None = None) -> DataFrame:
+                      bucket_us: int = WINDOW_BUCKET_US, rings_source: DataFrame | None = None) -> DataFrame:
     """All (box, shape) pairs whose closed regions meet. ``bbox_col`` is a normalised box struct;
     ``id_col`` identifies a shape (its rings join back only for candidate pairs).
 
@@ -177,7 +180,7 @@ def zone_forecast_in_extent(forecast: DataFrame, boxes: DataFrame, at: str) -> D
 
 def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "at", alt_col: str | None = None,
                             status: str | None = None, lon: str = "lon", lat: str = "lat",
-                            bucket_us: int = HOUR_US, cell: float = geo.DEFAULT_CELL_DEG,
+                            bucket_us: int = WINDOW_BUCKET_US, cell: float = geo.DEFAULT_CELL_DEG,
                             cap: int = geo.DEFAULT_CELL_CAP) -> DataFrame:
     """Per probe point and instant, authorizations whose area strictly contains the point,
     whose window holds the instant (closed), with ``max_altitude_ft >= altitude`` when an altitude
@@ -218,7 +221,7 @@ def intersecting_authorizations(auths: DataFrame, boxes: DataFrame, alt_col: str
 
 def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: DataFrame,
                               alt_col: str | None = None, at_col: str | None = None,
-                              cell: float = geo.DEFAULT_CELL_DEG, bucket_us: int = HOUR_US) -> DataFrame:
+                              cell: float = geo.DEFAULT_CELL_DEG, bucket_us: int = WINDOW_BUCKET_US) -> DataFrame:
     """Per box, polygon plans meeting the box (ceiling ``>=`` altitude) union waypoint plans
     with one waypoint whose disc meets the box and whose band ``(min, max]`` holds the altitude.
 
