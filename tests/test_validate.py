@@ -49,3 +49,16 @@ def test_profile_must_be_object(spark):
     out = df.select(js.profile_is_object(js.profile_variant(F.col("t"))).alias("o"),
                     js.profile_extract(js.profile_variant(F.col("t")), "$.pollIntervalMs.min").alias("m")).collect()
     assert [(r.o, r.m) for r in out] == [(True, 2000), (False, None)]
+
+
+def test_record_json_optional_fields(spark):
+    import json
+
+    from uas_spark.functions.timefn import api_projection, record_json
+    df = spark.createDataFrame([("o1", "individual", None, None, "x"), ("o2", "organization", "Acme", None, None)],
+                               "owner_id string, owner_type string, company_name string, address_line2 string, "
+                               "email string")
+    rec = api_projection(df)
+    out = [json.loads(r[0]) for r in rec.select(record_json(rec)).collect()]
+    assert out[0] == {"ownerId": "o1", "ownerType": "individual", "email": "x"}
+    assert out[1] == {"ownerId": "o2", "ownerType": "organization", "email": None, "companyName": "Acme"}

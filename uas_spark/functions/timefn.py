@@ -66,6 +66,22 @@ def api_projection(df: DataFrame, rename: dict[str, str] | None = None,
     return df.select(*out)
 
 
-def record_json(df: DataFrame) -> Column:
-    """JSON text of a projected record; ``to_json`` leaves out null (absent optional) fields."""
-    return F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+# Record fields the public API leaves out when absent; every other nullable
+# field is written as an explicit null.
+OPTIONAL_FIELDS = ("companyName", "addressLine2", "ceilingFt")
+
+
+def record_json(df: DataFrame, optional: tuple[str, ...] = OPTIONAL_FIELDS) -> Column:
+    """JSON text of a projected record. Fields in ``optional`` are omitted when null;
+    all other fields are always present (``null`` when null)."""
+    req = [F.col(c) for c in df.columns if c not in optional]
+    opt = [F.col(c) for c in df.columns if c in optional]
+    extra = F.to_json(F.struct(*opt)) if opt else None            # null fields dropped
+    if not req:
+        return extra if extra is not None else F.lit("{}")
+    body = F.to_json(F.struct(*req), {"ignoreNullFields": "false"})
+    if extra is None:
+        return body
+    inner = F.regexp_extract(extra, r"^\{(.*)\}$", 1)
+    return F.when(inner == "", body).otherwise(
+        F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(","), inner, F.lit("}")))

@@ -76,35 +76,35 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
     """``proposed`` takes any patch; ``approved`` only a pure rescind; ``rescinded``
     nothing. A patch failing the pilot check is refused first and changes nothing.
 
-    The status can move at most twice, so each patch's outcome follows from two per-id
-    minima (partial aggregates): k1, the first effective patch leaving ``proposed``, and
-    k2, the first effective pure rescind after it. Returns the patches with ``outcome``
-    and ``status_after``.
+    The status moves at most twice, so each patch's outcome follows from per-id minima over
+    the effective patches (one partial aggregate, no fold): k1, the first status move, with
+    its status, and k2, the first pure rescind. A pure rescind is itself a move, so k2 >= k1
+    always, and after an approval at k1 the next accepted patch is k2.
+    Returns the patches with ``outcome`` and ``status_after``.
     """
     touches = None
     for f in other_fields:
         c = F.col(f).isNotNull()
         touches = c if touches is None else touches | c
     touches = touches if touches is not None else F.lit(False)
-    p = patches.withColumn("_eff", pilot_ok if pilot_ok is not None else F.lit(True)) \
-               .withColumn("_pure", (F.col("status") == "rescinded") & ~touches)
-    b = base.select(F.col(key).alias("_tid"), F.col("status").alias("_s0"))
-    p = p.join(b, F.col(target_col) == F.col("_tid"), "left")
+    eff = pilot_ok if pilot_ok is not None else F.lit(True)
+    p = patches.withColumn("_eff", eff)
     moves = F.col("_eff") & F.col("status").isin("approved", "rescinded")
-    k1 = p.groupBy("_tid").agg(F.min(F.when(moves & (F.col("_s0") == "proposed"), F.col(seq_col))).alias("_k1"),
-                               F.min_by(F.col("status"), F.when(moves & (F.col("_s0") == "proposed"),
-                                                                F.col(seq_col))).alias("_k1_status"))
-    p = p.join(k1, "_tid", "left")
-    # the status in force from k1 on (for 'approved' bases, from the start)
-    approved_from = F.when(F.col("_s0") == "approved", F.lit(-1 << 62)) \
-                     .when(F.col("_k1_status") == "approved", F.col("_k1"))
-    k2 = p.groupBy("_tid").agg(F.min(F.when(F.col("_eff") & F.col("_pure") & approved_from.isNotNull()
-                                            & (F.col(seq_col) > approved_from), F.col(seq_col))).alias("_k2"))
-    p = p.join(k2, "_tid", "left")
+    pure = F.col("_eff") & (F.col("status") == "rescinded") & ~touches
+    agg = p.groupBy(F.col(target_col).alias("_tid")).agg(
+        F.min(F.when(moves, F.col(seq_col))).alias("_k1"),
+        F.min_by(F.col("status"), F.when(moves, F.col(seq_col))).alias("_k1_status"),
+        F.min(F.when(pure, F.col(seq_col))).alias("_k2"))
+    b = base.select(F.col(key).alias("_bid"), F.col("status").alias("_s0"))
+    agg = agg.join(b, F.col("_tid") == F.col("_bid"), "left").drop("_bid")
+    p = p.join(agg, F.col(target_col) == F.col("_tid"), "left")
     seq = F.col(seq_col)
+    proposed = F.col("_s0") == "proposed"
+    approved_from = (F.when(F.col("_s0") == "approved", F.lit(-1 << 62))
+                      .when(proposed & (F.col("_k1_status") == "approved"), F.col("_k1")))
     rescinded_from = (F.when(F.col("_s0") == "rescinded", F.lit(-1 << 62))
-                       .when(F.col("_k1_status") == "rescinded", F.col("_k1"))
-                       .otherwise(F.col("_k2")))
+                       .when(proposed & (F.col("_k1_status") == "rescinded"), F.col("_k1"))
+                       .when(approved_from.isNotNull(), F.col("_k2")))
     outcome = (F.when(F.col("_s0").isNull(), "not_found")
                 .when(~F.col("_eff"), "pilot_not_found")
                 .when(rescinded_from.isNotNull() & (seq > rescinded_from), "rescinded_terminal")
@@ -116,7 +116,7 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
                      .when(approved_from.isNotNull() & (seq >= approved_from), "approved")
                      .otherwise("proposed"))
     return p.withColumn("outcome", outcome).withColumn("status_after", status_after) \
-            .drop("_tid", "_s0", "_k1", "_k1_status", "_k2", "_eff", "_pure")
+            .drop("_tid", "_s0", "_k1", "_k1_status", "_k2", "_eff")
 
 
 # ------------------------------------------------------------------ M19: lifecycle as an ordered fold
