@@ -62,3 +62,10 @@ def test_record_json_optional_fields(spark):
     out = [json.loads(r[0]) for r in rec.select(record_json(rec)).collect()]
     assert out[0] == {"ownerId": "o1", "ownerType": "individual", "email": "x"}
     assert out[1] == {"ownerId": "o2", "ownerType": "organization", "email": None, "companyName": "Acme"}
+
+
+def test_coordinate_text_coercion(spark):
+    df = spark.createDataFrame([('{"lat": 47.6}',), ('{"lat": "47.6"}',), ('{"lat": "north"}',), ('{}',)], "raw string")
+    out = df.select(js.number_field(F.col("raw"), "$.lat", True).alias("w"),
+                    js.number_field(F.col("raw"), "$.lat", False).alias("log")).collect()
+    assert [(r.w, r.log) for r in out] == [(47.6, 47.6), (47.6, None), (None, None), (None, None)]

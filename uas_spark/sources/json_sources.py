@@ -104,3 +104,17 @@ def profile_is_object(v: Column) -> Column:
 def profile_extract(v: Column, path: str, type_: str = "int") -> Column:
     """Nested tuning value from a profile, e.g. ``$.pollIntervalMs.min``."""
     return F.try_variant_get(v, path, type_)
+
+
+def number_field(raw_json: Column, path: str, coerce_text: bool) -> Column:
+    """A numeric field of a raw JSON body as DOUBLE.
+
+    Weather and authorization inputs coerce numeric text ("47.6") to a number; the flight
+    logs do not (text there is invalid, so the result is null and validation rejects it).
+    The JSON type is read from the VARIANT, which tells a string from a number.
+    """
+    v = F.try_parse_json(raw_json)
+    if coerce_text:
+        return F.try_variant_get(v, path, "double")
+    is_text = F.schema_of_variant(F.variant_get(v, path, "variant")).startswith("STRING")
+    return F.when(~F.coalesce(is_text, F.lit(False)), F.try_variant_get(v, path, "double"))
