@@ -473,60 +473,52 @@ def q_plan_intersecting(spark, sf_dir):
     return out.select("box_id", "flight_plan_id")
 
 
-@query("contains_point", with_fixtures("live_positions", "zone_reports") + f""",
-{_POINTS_SQL}
-SELECT p.probe_id, z.report_id FROM points p JOIN zone_reports z
-  ON z.event_id % 50 = CAST(substr(p.probe_id, 3) AS BIGINT) % 50 AND {contains_sql('p.lon', 'p.lat', 'z')}""")
+@query("contains_point", with_fixtures("live_positions", "zone_reports") + f"""
+SELECT p.report_id, z.report_id AS zone_report_id, {contains_sql('p.longitude', 'p.latitude', 'z')} AS inside
+FROM live_positions p JOIN zone_reports z ON z.event_id = p.event_id""")
 def q_contains_point(spark, sf_dir):
-    """Strict containment of every report point in the zone polygons of its event-id class
-    (a keyed pairing, so the pair set grows linearly with the tables)."""
-    z = fx.zone_reports(spark, sf_dir).select("report_id", "rings",
-                                              (F.expr("cast(substring(report_id, 3) as bigint)") % 50).alias("cls"))
-    p = _points(spark, sf_dir).select("probe_id", "lat", "lon",
-                                      (F.expr("cast(substring(probe_id, 3) as bigint)") % 50).alias("pcls"))
-    j = p.join(z, F.col("cls") == F.col("pcls"))
-    b = geo.bbox(F.col("rings"))
-    j = j.filter(spatial.guarded(geo.bbox_contains_strict(b, F.col("lon"), F.col("lat")),
-                                 geo.contains_point(F.col("rings"), F.col("lon"), F.col("lat"))))
-    return j.select("probe_id", "report_id")
+    """Is each event's drone position strictly inside the zone polygon reported by the
+    same event? One row per event, the predicate as a column (true and false both checked)."""
+    pos = fx.live_positions(spark, sf_dir).select("report_id", "latitude", "longitude",
+                                                  F.expr("substring(report_id, 3)").alias("_e"))
+    z = fx.zone_reports(spark, sf_dir).select(F.col("report_id").alias("zone_report_id"), "rings",
+                                              F.expr("substring(report_id, 3)").alias("_ze"))
+    j = pos.join(z, F.col("_e") == F.col("_ze"))
+    return j.select("report_id", "zone_report_id",
+                    geo.contains_point(F.col("rings"), F.col("longitude"), F.col("latitude")).alias("inside"))
 
 
 @query("polygon_box_intersects", with_fixtures("zone_reports") + f""",
 {_BOX_SQL}
-SELECT b.box_id, z.report_id FROM boxes b JOIN zone_reports z
-  ON z.event_id % 50 = CAST(substr(b.box_id, 3) AS BIGINT) % 50 AND {of.box_meets_sql('z', 'b.bx0', 'b.by0', 'b.bx1', 'b.by1')}""")
+SELECT b.box_id, z.report_id, {of.box_meets_sql('z', 'b.bx0', 'b.by0', 'b.bx1', 'b.by1')} AS meets
+FROM boxes b JOIN zone_reports z ON z.event_id = CAST(substr(b.box_id, 3) AS BIGINT)""")
 def q_polygon_box_intersects(spark, sf_dir):
-    """Closed polygon against closed box (touching counts), keyed pairing as X6."""
-    z = fx.zone_reports(spark, sf_dir).select("report_id", "rings",
-                                              (F.expr("cast(substring(report_id, 3) as bigint)") % 50).alias("cls"))
-    bx = _boxes(spark, sf_dir).select("box_id", "box",
-                                      (F.expr("cast(substring(box_id, 3) as bigint)") % 50).alias("bcls"))
-    j = bx.join(z, F.col("cls") == F.col("bcls"))
+    """Does each event's search box meet (closed) the zone polygon of the same event?"""
+    z = fx.zone_reports(spark, sf_dir).select("report_id", "rings", F.expr("substring(report_id, 3)").alias("_ze"))
+    bx = _boxes(spark, sf_dir).select("box_id", "box", F.expr("substring(box_id, 3)").alias("_be"))
+    j = bx.join(z, F.col("_ze") == F.col("_be"))
     bc = F.col("box")
-    sb = geo.bbox(F.col("rings"))
-    j = j.filter(spatial.guarded(geo.bbox_overlaps(sb, bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"]),
-                                 geo.polygon_box_intersects(F.col("rings"), bc["min_lon"], bc["min_lat"],
-                                                            bc["max_lon"], bc["max_lat"])))
-    return j.select("box_id", "report_id")
+    return j.select("box_id", "report_id", geo.polygon_box_intersects(
+        F.col("rings"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"]).alias("meets"))
 
 
 @query("disc_box_intersects", with_fixtures("waypoints") + f""",
 {_BOX_SQL}
-SELECT b.box_id, w.flight_plan_id, w.sequence_number FROM boxes b JOIN waypoints w
-  ON CAST(substr(w.flight_plan_id, 4) AS BIGINT) % 100 = CAST(substr(b.box_id, 3) AS BIGINT) % 100
- AND w.radius_meters > 0
- AND {of.haversine_sql('w.lat', 'w.lon', 'least(greatest(w.lat, b.by0), b.by1)', 'least(greatest(w.lon, b.bx0), b.bx1)')}
-     <= w.radius_meters""")
+SELECT b.box_id, w.flight_plan_id, w.sequence_number,
+       w.radius_meters > 0 AND {of.haversine_sql('w.lat', 'w.lon', 'least(greatest(w.lat, b.by0), b.by1)',
+                                                  'least(greatest(w.lon, b.bx0), b.bx1)')} <= w.radius_meters AS meets
+FROM boxes b JOIN waypoints w ON w.flight_plan_id = 'FP-' || substr(b.box_id, 3)""")
 def q_disc_box_intersects(spark, sf_dir):
-    """Waypoint discs (radius in metres) against boxes, keyed pairing by id class."""
-    w = fx.waypoints(spark, sf_dir).withColumn("cls", F.expr("cast(substring(flight_plan_id, 4) as bigint)") % 100)
+    """Each event's box against the waypoint discs (radius in metres) of the plan with the
+    same number."""
+    w = fx.waypoints(spark, sf_dir)
     bx = _boxes(spark, sf_dir).select("box_id", "box",
-                                      (F.expr("cast(substring(box_id, 3) as bigint)") % 100).alias("bcls"))
-    j = bx.join(w, F.col("cls") == F.col("bcls"))
+                                      F.concat(F.lit("FP-"), F.expr("substring(box_id, 3)")).alias("_fp"))
+    j = bx.join(w, F.col("flight_plan_id") == F.col("_fp"))
     bc = F.col("box")
-    j = j.filter(geo.disc_box_intersects(F.col("lat"), F.col("lon"), F.col("radius_meters"), bc["min_lon"],
-                                         bc["min_lat"], bc["max_lon"], bc["max_lat"]))
-    return j.select("box_id", "flight_plan_id", "sequence_number")
+    return j.select("box_id", "flight_plan_id", "sequence_number", geo.disc_box_intersects(
+        F.col("lat"), F.col("lon"), F.col("radius_meters"), bc["min_lon"], bc["min_lat"], bc["max_lon"],
+        bc["max_lat"]).alias("meets"))
 
 
 # ============================================================ N1-N3
