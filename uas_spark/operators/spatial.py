@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import spread
 from . import asof
 
 HOUR_US = asof.HOUR_US
@@ -102,7 +103,7 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon:
     s = shapes.select("*", F.expr(geo.bbox_sql(r)).alias("_sb"), F.expr(geo.edges_sql(r)).alias("_edges"),
                       F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
     s = _with_shape_cells(s, "_sb", cell, cap)
-    p = _with_point_cells(points, lon, lat, cell)
+    p = _with_point_cells(spread(points), lon, lat, cell)
     j = p.join(s, CELL_KEYS, "inner")
     j = j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)), _exact_contains(lon, lat)))
     return j.drop(*CELL_KEYS, "_sb", "_edges", "_rect")
@@ -123,8 +124,8 @@ def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, id_co
     ``window`` = (shape_from, shape_to, box_at) adds the closed time test and puts the hour
     bucket into the join key; ``cheap`` is an extra filter evaluated before the exact test.
     """
-    s = _with_shape_cells(_light(shapes, rings_col), "_sb", cell, cap)
-    b = _box_cells(boxes, bbox_col, cell)
+    s = _with_shape_cells(_light(spread(shapes), rings_col), "_sb", cell, cap)
+    b = _box_cells(spread(boxes), bbox_col, cell)
     keys = list(CELL_KEYS)
     bc = F.col(bbox_col)
     test = (geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
@@ -191,9 +192,9 @@ def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "
     """
     a = auths if status is None else auths.filter(F.col("status") == status)
     a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
-    la = _with_shape_cells(_light(a, "a_area"), "_sb", cell, cap)
+    la = _with_shape_cells(_light(spread(a), "a_area"), "_sb", cell, cap)
     la = la.withColumn("g_tb", F.explode(_time_buckets(_us("a_start_time"), _us("a_end_time"), bucket_us)))
-    p = _with_point_cells(probes, lon, lat, cell)
+    p = _with_point_cells(spread(probes), lon, lat, cell)
     p = p.withColumn("g_tb", F.floor(_us(at_col) / F.lit(bucket_us)))
     cond = ((F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col))
             & geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)))
@@ -241,9 +242,9 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
                          F.col("altitude_min_ft").alias("w_min"), F.col("altitude_max_ft").alias("w_max"))
     wp_plans = pl.filter(F.col("f_plan_type") == "waypoints")
     w = w.join(wp_plans, F.col("w_plan") == F.col("f_flight_plan_id"), "inner")
-    w = w.withColumn("_sb", geo.disc_bbox(F.col("w_lat"), F.col("w_lon"), F.col("w_r")))
+    w = spread(w).withColumn("_sb", geo.disc_bbox(F.col("w_lat"), F.col("w_lon"), F.col("w_r")))
     w = _with_shape_cells(w, "_sb", cell, geo.DEFAULT_CELL_CAP)
-    b = _box_cells(boxes, "box", cell)
+    b = _box_cells(spread(boxes), "box", cell)
     keys = list(CELL_KEYS)
     bc = F.col("box")
     cheap = (geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
@@ -272,7 +273,7 @@ def sensor_coverage(sensors: DataFrame, positions: DataFrame, cell: float = geo.
     s = sensors.select(*[F.col(c).alias("s_" + c) for c in sensors.columns])
     s = s.withColumn("_sb", geo.disc_bbox(F.col("s_latitude"), F.col("s_longitude"), F.col("s_sensing_radius_meters")))
     s = _with_shape_cells(s, "_sb", cell, geo.DEFAULT_CELL_CAP)
-    p = _with_point_cells(positions, "longitude", "latitude", cell)
+    p = _with_point_cells(spread(positions), "longitude", "latitude", cell)
     j = p.join(s, CELL_KEYS, "inner")
     d = geo.haversine_m(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude"))
     return (j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")),
@@ -288,11 +289,11 @@ def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to
     """Grid-cell x hour-bucket equi-join of positions with zone validity intervals (rings
     left out; the caller joins them back for the candidates)."""
     t_max = positions.select(F.max(_us("recorded_at"))).scalar()
-    z = _with_shape_cells(intervals, "_sb", cell, cap)
+    z = _with_shape_cells(spread(intervals), "_sb", cell, cap)
     lo = F.coalesce(F.col(from_col), F.col("z_" + "t_us"))
     hi = F.coalesce(F.col(to_col), F.greatest(t_max, F.col("z_t_us")))
     z = z.withColumn("g_tb", F.explode(_time_buckets(lo, hi, bucket_us)))
-    p = _with_point_cells(positions, "longitude", "latitude", cell)
+    p = _with_point_cells(spread(positions), "longitude", "latitude", cell)
     p = p.withColumn("_pt", _us("recorded_at")).withColumn("g_tb", F.floor(F.col("_pt") / F.lit(bucket_us)))
     return p.join(z, CELL_KEYS + ["g_tb"], "inner")
 
