@@ -88,8 +88,6 @@ def sun_times(probes: DataFrame, date_col: str = "date", lat_col: str = "lat", l
     Fixed-point refinement (NaN acos = the event does not happen), each round built from
     small projections so it runs as generated code.
     """
-    from ..session import spread
-    probes = spread(probes)
     day0_ms = F.unix_millis(F.to_timestamp(F.col(date_col).cast("date").cast("string")))
     keep = list(probes.columns)
     df = probes.select(*keep, day0_ms.alias("_d0"),
