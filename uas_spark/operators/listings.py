@@ -55,8 +55,8 @@ def list_flight_plans(plans: DataFrame, waypoints: DataFrame, owner_id=None, reg
         df = df.filter(active_at("start_time", "end_time", active))
     nested = nest_waypoints(waypoints.join(df.select("flight_plan_id"), "flight_plan_id", "left_semi"))
     out = df.join(nested, "flight_plan_id", "left")
-    out = out.withColumn("waypoints", F.when(F.col("plan_type") == "waypoints",
-                                             F.coalesce(F.col("waypoints"), F.array())))
+    # a polygon plan (or a waypoint plan without rows) lists no waypoints: an empty array
+    out = out.withColumn("waypoints", F.coalesce(F.col("waypoints"), F.array().cast(nested.schema["waypoints"].dataType)))
     return out.orderBy("created_at", "flight_plan_id")
 
 

@@ -134,11 +134,11 @@ _ZPROBES_SQL = ("zprobes AS (SELECT 'q-' || CAST(event_id AS VARCHAR) AS probe_i
 
 @query("join_zone_asof", with_fixtures("observed_reports") + f""",
 {_ZPROBES_SQL}
-SELECT p.probe_id, p.zone_id, {iso('p.at')} AS at, o.report_id, o.state
+SELECT p.probe_id, p.zone_id, {iso('p.at')} AS probe_at, o.report_id, o.state
 FROM zprobes p ASOF LEFT JOIN observed_reports o ON p.zone_id = o.zone_id AND o.recorded_at <= p.at""")
 def q_join_zone_asof(spark, sf_dir):
     out = asof.join_zone_asof(_zone_time_probes(spark, sf_dir), fx.observed_reports(spark, sf_dir))
-    return out.select("probe_id", "zone_id", "at", F.col("rep.report_id").alias("report_id"),
+    return out.select("probe_id", "zone_id", F.col("at").alias("probe_at"), F.col("rep.report_id").alias("report_id"),
                       F.col("rep.state").alias("state"))
 
 
@@ -155,7 +155,7 @@ f AS (SELECT p.probe_id, i.report_id AS f_id, i.recorded_at AS f_t, i.ingested_a
 j AS (SELECT b.*, f.f_id, f.f_t, f.f_ing, f.f_state,
              epoch_us(b.at) - epoch_us(b.b_t) AS dp, epoch_us(f.f_t) - epoch_us(b.at) AS dn
       FROM b JOIN f USING (probe_id))
-SELECT probe_id, zone_id, {iso('j.at')} AS at,
+SELECT probe_id, zone_id, {iso('j.at')} AS probe_at,
        CASE WHEN f_id IS NULL OR (b_id IS NOT NULL AND (dp < dn OR (dp = dn AND (b_ing > f_ing OR (b_ing = f_ing AND b_id <= f_id)))))
             THEN b_id ELSE f_id END AS report_id,
        CASE WHEN f_id IS NULL OR (b_id IS NOT NULL AND (dp < dn OR (dp = dn AND (b_ing > f_ing OR (b_ing = f_ing AND b_id <= f_id)))))
@@ -163,7 +163,7 @@ SELECT probe_id, zone_id, {iso('j.at')} AS at,
 FROM j""")
 def q_join_zone_forecast_nearest(spark, sf_dir):
     out = asof.join_zone_forecast_nearest(_zone_time_probes(spark, sf_dir), fx.forecast_reports(spark, sf_dir))
-    return out.select("probe_id", "zone_id", "at", F.col("rep.report_id").alias("report_id"),
+    return out.select("probe_id", "zone_id", F.col("at").alias("probe_at"), F.col("rep.report_id").alias("report_id"),
                       F.col("rep.state").alias("state"))
 
 

@@ -307,7 +307,7 @@ def q_src_registry(spark, sf_dir):
 @query("src_authorizations", """
 SELECT 'FP-' || CAST(o_orderkey AS VARCHAR) AS flight_plan_id,
        CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 2 = 0 THEN 'waypoints' ELSE 'polygon' END AS plan_type,
-       CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 END AS BIGINT) AS n_waypoints,
+       CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_waypoints,
        CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 2 = 1 THEN 300.0::DOUBLE
             WHEN o_orderkey % 10 = 4 THEN 1.0::DOUBLE END AS ceiling
 FROM orders""")
@@ -318,7 +318,7 @@ def q_src_authorizations(spark, sf_dir):
     return r.select(F.col("flightPlanId").alias("flight_plan_id"), F.col("planType").alias("plan_type"),
                     F.size("waypoints").cast("long").alias("n_waypoints"),
                     F.col("polygonMaxAltitudeFt").alias("ceiling")).withColumn(
-        "n_waypoints", F.when(F.col("plan_type") == "waypoints", F.col("n_waypoints")))
+        "n_waypoints", F.coalesce(F.col("n_waypoints"), F.lit(0).cast("long")))
 
 
 @query("src_sensors_profiles", with_fixtures("sensors") + """

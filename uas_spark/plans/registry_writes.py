@@ -509,18 +509,16 @@ def q_list_authorizations(spark, sf_dir):
 
 @query("list_flight_plans", with_fixtures("flight_plans", "waypoints") + """
 SELECT f.flight_plan_id, f.plan_type,
-       CASE WHEN f.plan_type = 'waypoints' THEN (SELECT count(*) FROM waypoints w WHERE w.flight_plan_id = f.flight_plan_id)
-       END AS n_waypoints,
-       CASE WHEN f.plan_type = 'waypoints' THEN coalesce((SELECT string_agg(CAST(w.radius_meters AS BIGINT)::VARCHAR, ','
-            ORDER BY w.sequence_number) FROM waypoints w WHERE w.flight_plan_id = f.flight_plan_id), '') END AS radii
+       (SELECT count(*) FROM waypoints w WHERE w.flight_plan_id = f.flight_plan_id) AS n_waypoints,
+       coalesce((SELECT string_agg(CAST(w.radius_meters AS BIGINT)::VARCHAR, ','
+            ORDER BY w.sequence_number) FROM waypoints w WHERE w.flight_plan_id = f.flight_plan_id), '') AS radii
 FROM flight_plans f WHERE f.start_time <= TIMESTAMP '2024-01-20 12:00:00' AND f.end_time >= TIMESTAMP '2024-01-20 12:00:00'""")
 def q_list_flight_plans(spark, sf_dir):
     out = listings.list_flight_plans(fx.flight_plans(spark, sf_dir), fx.waypoints(spark, sf_dir),
                                      active="2024-01-20 12:00:00")
     return out.select("flight_plan_id", "plan_type", F.size("waypoints").alias("n_waypoints"),
                       F.array_join(F.transform("waypoints", lambda w: w["radiusMeters"].cast("bigint").cast("string")),
-                                   ",").alias("radii")).withColumn(
-        "n_waypoints", F.when(F.col("plan_type") == "waypoints", F.col("n_waypoints")).cast("long"))
+                                   ",").alias("radii")).withColumn("n_waypoints", F.col("n_waypoints").cast("long"))
 
 
 @query("list_waivers", with_fixtures("waivers") + """
