@@ -1,5 +1,5 @@
 """Compare pandas dtypes of every non-streaming query (Spark toPandas vs DuckDB df)."""
-import sys; sys.path.insert(0,'/root/repo')
+import os, sys; sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb
 from uas_spark.session import build_session
 from uas_spark.plans.registry import QUERIES, ORACLE
