@@ -72,7 +72,9 @@ def spread(df: DataFrame) -> DataFrame:
     A large input already has many scan tasks and is returned unchanged; a tiny input (one
     small file is one task) is spread round-robin so the work is not single-threaded.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave as is
         return df
-    return df.repartition(cores)
+    return df if parts >= cores else df.repartition(cores)
