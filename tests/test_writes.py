@@ -199,3 +199,18 @@ def test_snapshot_sink_pointer(spark, tmp_path):
     sinks.write_snapshot(spark.createDataFrame([("o1",)], "owner_id string"), root)
     sinks.write_snapshot(spark.createDataFrame([("o1",), ("o2",)], "owner_id string"), root)
     assert sorted(r.owner_id for r in sinks.read_snapshot(spark, root).collect()) == ["o1", "o2"]
+
+
+def test_overlap_counts_touching_and_disjoint(spark):
+    d = dt.date.fromisoformat
+    stored = spark.createDataFrame([("s1", "S", d("2026-01-01"), d("2026-01-10")),
+                                    ("s2", "S", d("2026-01-20"), d("2026-01-25")),
+                                    ("s3", "T", d("2026-01-01"), d("2026-12-31"))],
+                                   "registration_id string, serial_number string, start_date date, end_date date")
+    cand = spark.createDataFrame([("a", "S", d("2026-01-10"), d("2026-01-19")),   # touches s1
+                                  ("b", "S", d("2026-01-11"), d("2026-01-19")),   # in the gap
+                                  ("c", "S", d("2025-12-01"), d("2026-02-01")),   # covers both
+                                  ("e", "U", d("2026-01-01"), d("2026-01-02"))],  # no stored rows
+                                 "_pk string, serial_number string, start_date date, end_date date")
+    got = {r._pk: r.n_stored_overlaps for r in registrations.overlap_counts(cand, stored).collect()}
+    assert got == {"a": 1, "b": 0, "c": 2, "e": 0}

@@ -137,35 +137,62 @@ def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame
     return folded.unionByName(no_owner)
 
 
+def overlap_counts(candidates: DataFrame, stored: DataFrame, key: str = "_pk") -> DataFrame:
+    """Per candidate range, how many stored ranges of the same serial overlap it (closed).
+
+    No pairs: the count is (stored starting on or before the candidate's end) minus (stored
+    ending before its start), each a running count in one sort per serial. Candidates need
+    ``key``, ``serial_number``, ``start_date``, ``end_date``; adds ``n_stored_overlaps``.
+    """
+    c = candidates.select(key, "serial_number", "start_date", "end_date")
+    st = stored.select("serial_number", "start_date", "end_date")
+    w = (Window.partitionBy("serial_number").orderBy("_v", "_kind")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # stored starts (kind 0) sort before a marker at the candidate's end (kind 1) of equal date
+    u1 = (st.select("serial_number", F.col("start_date").alias("_v"), F.lit(0).alias("_kind"),
+                    F.lit(None).cast(c.schema[key].dataType).alias(key))
+          .unionByName(c.select("serial_number", F.col("end_date").alias("_v"), F.lit(1).alias("_kind"), key)))
+    a = (u1.withColumn("_n", F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).over(w))
+           .filter(F.col("_kind") == 1).select(key, F.col("_n").alias("_starts_le_end")))
+    # a marker at the candidate's start (kind 0) sorts before stored ends (kind 1) of equal date
+    u2 = (st.select("serial_number", F.col("end_date").alias("_v"), F.lit(1).alias("_kind"),
+                    F.lit(None).cast(c.schema[key].dataType).alias(key))
+          .unionByName(c.select("serial_number", F.col("start_date").alias("_v"), F.lit(0).alias("_kind"), key)))
+    b = (u2.withColumn("_n", F.sum(F.when(F.col("_kind") == 1, 1).otherwise(0)).over(w))
+           .filter(F.col("_kind") == 0).select(key, F.col("_n").alias("_ends_lt_start")))
+    return (candidates.join(a, key, "left").join(b, key, "left")
+            .withColumn("n_stored_overlaps", F.coalesce(F.col("_starts_le_end"), F.lit(0))
+                        - F.coalesce(F.col("_ends_lt_start"), F.lit(0)))
+            .drop("_starts_le_end", "_ends_lt_start"))
+
+
 def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFrame:
     """Patched dates (absent fields keep their value) re-run M13 against the other stored
     registrations of the serial; owner and serial are immutable. Each patch is judged
     against the stored table. Returns patches with ``outcome``: 'not_found',
-    'end_before_start', 'registration_overlap' or 'accepted'."""
+    'end_before_start', 'registration_overlap' or 'accepted'.
+
+    Overlaps are counted without forming pairs (``overlap_counts``); the patched
+    registration's own stored row is then subtracted when it overlaps the new range.
+    """
     base = stored.select("registration_id", "serial_number", F.col("start_date").alias("_s0"),
                          F.col("end_date").alias("_e0"))
     p = patches.join(base, "registration_id", "left")
     p = p.withColumn("_found", F.col("serial_number").isNotNull())
     p = (p.withColumn("new_start", F.coalesce(F.col("start_date"), F.col("_s0")))
           .withColumn("new_end", F.coalesce(F.col("end_date"), F.col("_e0"))))
-    cand = p.filter(F.col("_found") & (F.col("new_end") >= F.col("new_start"))).select(
-        F.concat_ws("#", "registration_id", F.col("seq").cast("string")).alias("_pk"),
-        F.col("registration_id").alias("_self"), "serial_number",
-        F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"))
-    # a patched registration is compared with every other registration of its serial
-    hits = registration_overlap(cand.withColumnRenamed("_pk", "registration_id"),
-                                stored.withColumnRenamed("registration_id", "registration_id"))
-    hits = hits.filter(F.col("n_overlaps") > 0)
-    # drop overlaps with the patched registration's own stored row
-    hits = hits.withColumn("_others", F.filter("overlapping_ids", lambda x: x != F.col("_self"))) \
-               .filter(F.size("_others") > 0).select(F.col("registration_id").alias("_pk"))
     p = p.withColumn("_pk", F.concat_ws("#", "registration_id", F.col("seq").cast("string")))
-    p = p.join(hits.withColumn("_ov", F.lit(True)), "_pk", "left")
+    cand = p.filter(F.col("_found") & (F.col("new_end") >= F.col("new_start"))).select(
+        "_pk", "serial_number", F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"),
+        ((F.col("_s0") <= F.col("new_end")) & (F.col("new_start") <= F.col("_e0"))).alias("_self"))
+    counted = overlap_counts(cand, stored).select(
+        "_pk", (F.col("n_stored_overlaps") - F.when(F.col("_self"), 1).otherwise(0)).alias("_others"))
+    p = p.join(counted, "_pk", "left")
     outcome = (F.when(~F.col("_found"), "not_found")
                 .when(F.col("new_end") < F.col("new_start"), "end_before_start")
-                .when(F.col("_ov"), "registration_overlap")
+                .when(F.col("_others") > 0, "registration_overlap")
                 .otherwise("accepted"))
-    return p.withColumn("outcome", outcome).drop("_s0", "_e0", "_found", "_pk", "_ov")
+    return p.withColumn("outcome", outcome).drop("_s0", "_e0", "_found", "_pk", "_others")
 
 
 def active_registration(registrations: DataFrame, probes: DataFrame, serial_col: str = "serial_number",
