@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, saved, text_bytes
-from .tokens import END_ID, WordEncoder, tokenizer_path
+from .tokens import END_ID, tokenizer_path, worker_encoder
 
 CAPACITY = 4096
 
@@ -178,7 +178,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_
     ``part`` and ``rank`` number the pieces of equal length: rank within one task's output.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             flat, at = enc.encode(b.column(1).to_pylist(), end_id)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, text_bytes
-from .tokens import END_ID, WordEncoder, tokenizer_path
+from .tokens import END_ID, tokenizer_path, worker_encoder
 
 NULL_ID = -(1 << 63)  # stands for a null document id in .ids
 
@@ -54,7 +54,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     os.makedirs(folder, exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, offset, n_docs = WordEncoder(tokenizer), 0, 0
+        enc, offset, n_docs = worker_encoder(tokenizer), 0, 0
         kind = "<u2" if max(enc.vocab_size - 1, end_id) < 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         stem = os.path.join(folder, f"part-{part:06d}")

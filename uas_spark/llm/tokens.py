@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import re
-from itertools import islice
+import sys
+import types
+from itertools import chain, islice
 
 import numpy as np
 
 END_ID = 1
-# Letters whose lower-case form is as long, then a run of marks: one pre-token each.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?%&*#$|]*)")
+# A piece of Latin-1 letters (one pre-token in any case) may end in a run of these (one more).
+_MARKS = ".,;:!?%&*#$|"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,7 +36,7 @@ class WordEncoder:
     when it holds ``most`` pieces, which bounds it and changes no result.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
         from tokenizers import Tokenizer
         self.tok, self.most = Tokenizer.from_file(path), most
@@ -50,43 +51,51 @@ class WordEncoder:
     def _empty(self) -> None:
         self.index = _Index()
         self.done, self.n_ids = 0, 0
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)  # of piece k: ids[first[k]:first[k + 1]]
+        self.ids = np.empty(1 << 16, np.uint32)  # of piece k: ids[first[k]:first[k] + size[k]]
+        self.first = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
 
-    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, which: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.done + len(lengths) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         self.ids[self.n_ids:self.n_ids + len(ids)] = ids
-        self.first[self.done + 1:self.done + 1 + len(lengths)] = self.n_ids + np.cumsum(lengths)
+        self.first[which] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[which] = sizes
         self.n_ids += len(ids)
-        self.done += len(lengths)
 
     def _learn(self) -> None:
         """Encode the pieces seen since the last call; plain words go many to a call."""
-        new = [p.decode("utf-8", "replace") for p in islice(self.index, self.done, None)]
-        found: list = [None] * len(new)
-        plain = [(k, p, m.end() - m.start(1)) for k, p in enumerate(new)
-                 if len(p) < 200 and (m := _PLAIN.fullmatch(p))]
-        for at in range(0, len(plain), 4096):
-            some = plain[at:at + 4096]
-            text = " ".join(f"{p[:-n]} {p[-n:]}" if n else p for _, p, n in some)
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        new = b"\n".join(islice(self.index, self.done, None)).decode("utf-8", "replace").split("\n")
+        while self.done + len(new) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        rest = []
+        for at in range(0, len(new), 1024):
+            which, words, marks = [], [], []
+            for k, p in enumerate(new[at:at + 1024], self.done + at):
+                w = p.rstrip(_MARKS)
+                if w.isalpha() and len(w) < 200 and (w.isascii() or max(w) <= "ÿ"):
+                    which.append(k)
+                    n = len(p) - len(w)
+                    marks.append(1 if n else 0)
+                    words.append(f"{w} {p[-n:]}" if n else p)
+                else:
+                    rest.append(k)
+            if not which:
+                continue
+            ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             stop = np.flatnonzero(self.ends_word[np.minimum(ids, len(self.ends_word) - 1)]) + 1
-            last = np.cumsum([1 + (n > 0) for _, _, n in some]) - 1  # the pre-token that ends piece k
+            last = np.cumsum(1 + np.array(marks)) - 1  # the pre-token that ends each piece
             if len(stop) == last[-1] + 1:
-                start = 0
-                for (k, _, _), end in zip(some, stop[last].tolist()):
-                    found[k] = ids[start:end]
-                    start = end
-        rest = [k for k, f in enumerate(found) if f is None]
+                self._keep(np.array(which), ids, np.diff(stop[last], prepend=0))
+            else:
+                rest += which
         for at in range(0, len(rest), 4096):
             ks = rest[at:at + 4096]
-            for k, e in zip(ks, self.tok.encode_batch([new[k] for k in ks], add_special_tokens=False)):
-                found[k] = np.array(e.ids, np.uint32)
-        self._append(np.concatenate(found) if found else np.empty(0, np.uint32),
-                     np.array([len(f) for f in found], np.int64))
+            found = [e.ids for e in self.tok.encode_batch_fast([new[k - self.done] for k in ks],
+                                                               add_special_tokens=False)]
+            self._keep(np.array(ks), np.fromiter(chain.from_iterable(found), np.uint32),
+                       np.array([len(f) for f in found]))
+        self.done += len(new)
 
     def encode(self, texts: list[bytes], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i + 1]], ``end_id`` last."""
@@ -102,7 +111,7 @@ class WordEncoder:
         if len(self.index) > self.done:
             self._learn()
         at = np.concatenate(pieces) if pieces else np.empty(0, np.int64)
-        size = self.first[at + 1] - self.first[at]
+        size = self.size[at]
         through = np.cumsum(size)
         src = np.arange(through[-1] if len(through) else 0) + np.repeat(self.first[at] - (through - size), size)
         flat = self.ids[src]
@@ -113,3 +122,12 @@ class WordEncoder:
         if len(self.index) > self.most:
             self._empty()
         return flat, np.concatenate([[0], stop]).astype(np.int64)
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker process. Spark reuses workers from task to task, and the
+    words it has met stay known; a module of its own holds it, as task functions come by value."""
+    kept = sys.modules.setdefault("_word_encoders", types.ModuleType("_word_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, WordEncoder(path))
+    return getattr(kept, path)
