@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, tokenbin
-from .common import prepare, table
+from . import decontaminate, langid, packing, pii, quality, simhash, tokenbin
+from .common import id_bucket, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,11 +23,30 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op1_language")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 4) == 2)
+    model = langid.fit(docs, usable=~F.col("held_out"))
+    out = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return out.withColumn("held_out", id_bucket("doc_id", 4) == 2).select(
+        "doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @query("op2_simhash")
 def op2(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op3_personal_data")
+def op3(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 
