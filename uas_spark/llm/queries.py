@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, pii, quality, simhash, tokenbin
+from . import decontaminate, langid, lmscore, packing, pii, quality, simhash, tokenbin
 from .common import id_bucket, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,13 @@ def op6(spark, sf_dir):
     return tokenbin.encode_and_read_back(table(spark, sf_dir, "documents"))
 
 
+@query("op8_lm_score")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 10) == 0)
+    model = lmscore.fit(docs.filter("NOT held_out"))
+    return lmscore.score(docs, model, keep=["held_out"]).withColumnRenamed("id", "doc_id")
+
+
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
