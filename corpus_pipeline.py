@@ -9,11 +9,18 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from uas_spark.llm import decontaminate, packing, simhash
+from uas_spark.llm import decontaminate, packing, pii, quality, simhash
 from uas_spark.llm.common import prepare, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    prepare(spark)
+    return quality.keep_good(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id."""
     prepare(spark)
@@ -26,13 +33,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that disclose it, are replaced or removed; n_chars follows."""
+    prepare(spark)
+    out = pii.sanitise(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes."""
     prepare(spark)
     return packing.pack(docs)
 
 
-STAGES = [("simhash_dedup", near_dedup), ("decontamination", decontamination), ("packing", packed)]
+STAGES = [("quality", quality_filter), ("simhash_dedup", near_dedup), ("decontamination", decontamination),
+          ("personal_data", sanitised), ("packing", packed)]
 
 # Fingerprints, learned scores and tokenizers have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None

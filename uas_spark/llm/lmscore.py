@@ -28,7 +28,7 @@ from .common import prepare, saved, text_bytes
 MAX_BITS = 1 << 29
 BITS_PER_KEY, PROBES = 12, 6
 FREQUENT = 1 << 19
-PRIOR = 20.0  # weight of the unigram model against a context's own counts
+PRIOR = 100.0  # weight of the unigram model against a context's own counts
 SEGMENT_TEXT = 4 << 20  # bytes of text a segment stands for
 _FLUSH = 2_000_000  # tokens
 _END = np.uint64(xxhash.xxh64_intdigest(b" "))  # the end token: no word holds a blank

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lmscore, packing, pii, quality, simhash, tokenbin
+from . import ann, chat, decontaminate, langid, lmscore, packing, pii, quality, simhash, tokenbin
 from .common import id_bucket, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op6(spark, sf_dir):
     return tokenbin.encode_and_read_back(table(spark, sf_dir, "documents"))
 
 
+@query("op7_nearest")
+def op7(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_lm_score")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 10) == 0)
@@ -80,3 +85,45 @@ def op8(spark, sf_dir):
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+_MARKED = "</s>[INST] ok [/INST]"
+_LONG = len(chat.START + chat.SEP + chat.END)
+
+
+def _esc(c: str) -> str:
+    return f"regexp_replace({c}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+
+
+@query("op10_chat", f"""
+WITH c AS (SELECT conv_id, coalesce(turn, -{1 << 62}) turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL
+           UNION ALL VALUES (-7, 0, 'user', '{_MARKED}'), (-7, 1, 'assistant', '{_MARKED}')),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 pos,
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {chat.TURN_TOKENS} tok FROM c),
+s AS (SELECT *, pos = 0 AND role = 'system' sys FROM p),
+r AS (SELECT *, greatest({chat.BUDGET - chat.HISTORY} - coalesce(max(CASE WHEN sys THEN tok END)
+      OVER (PARTITION BY conv_id), 0), {chat.BUDGET // 4}) room FROM s),
+b AS (SELECT *, NOT sys AND tok * 2 > room big FROM r),
+t AS (SELECT *, greatest(room - coalesce(max(CASE WHEN NOT big AND NOT sys THEN tok END)
+      OVER (PARTITION BY conv_id), 0), 1) stride,
+      coalesce(sum(CASE WHEN sys THEN 0 ELSE tok END) OVER w, 0) at0,
+      coalesce(sum(CASE WHEN sys OR big THEN 0 ELSE tok END) OVER w, 0) line,
+      coalesce(sum(CASE WHEN big THEN 1 ELSE 0 END) OVER w, 0) big_before,
+      {_LONG} + length({_esc("role")}) + length({_esc("text")}) chars
+      FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT conv_id, min(pos) first_pos, min(at0) f
+      FROM t GROUP BY conv_id, big_before, big, CASE WHEN big THEN 0 ELSE line // stride END),
+again AS (SELECT h.conv_id, sum(t.chars) n FROM h JOIN t ON t.conv_id = h.conv_id AND h.first_pos > 0
+          AND (t.sys OR (t.pos < h.first_pos AND t.at0 + t.tok <= h.f AND t.at0 >= h.f - {chat.HISTORY}
+                         AND t.tok <= {chat.HISTORY})) GROUP BY 1)
+SELECT t.conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) loss_sha256,
+       CAST(sum(chars) + coalesce(any_value(again.n), 0) AS BIGINT) formatted_chars
+FROM t LEFT JOIN again ON again.conv_id = t.conv_id GROUP BY t.conv_id""")
+def op10(spark, sf_dir):
+    marked = spark.createDataFrame([(-7, 0, "user", _MARKED), (-7, 1, "assistant", _MARKED)],
+                                   "conv_id long, turn long, role string, text string")
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.windows(own.unionByName(marked)))
