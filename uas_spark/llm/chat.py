@@ -34,9 +34,9 @@ def unescaped(col: Column) -> Column:
     return F.regexp_replace(col, r"<\\(\\*)\|", "<$1|")
 
 
-def _prefix(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+def _prefix(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     """Add, for each name, the sum of an expression over the conversation's earlier turns."""
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(
+    within = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("conv_id", "block").agg(*[F.sum(F.expr(e)).alias(f"__{n}") for n, e in sums.items()])
@@ -56,7 +56,7 @@ def laid_out(conversations: DataFrame, budget: int = BUDGET, history: int = HIST
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .withColumn("block", F.expr(f"floor(turn / {BLOCK_TURNS}D)"))
             .withColumn("tokens", word_count_column(F.col("text")) + TURN_TOKENS))
-    rows = _prefix(rows, {"pos": "1L"}).withColumn("is_system", F.expr("pos = 0 AND role = 'system'"))
+    rows = _prefix(rows, ["turn", "role", "text"], {"pos": "1L"}).withColumn("is_system", F.expr("pos = 0 AND role = 'system'"))
     left = rows.groupBy("conv_id").agg(
         F.greatest(F.lit(budget - history) - F.coalesce(F.max(F.expr("CASE WHEN is_system THEN tokens END")), F.lit(0)),
                    F.lit(budget // 4)).alias("room"))
@@ -64,9 +64,9 @@ def laid_out(conversations: DataFrame, budget: int = BUDGET, history: int = HIST
     longest = rows.filter("NOT is_big AND NOT is_system").groupBy("conv_id").agg(F.max("tokens").alias("longest"))
     rows = rows.join(longest, "conv_id", "left").withColumn(
         "stride", F.expr("greatest(room - coalesce(longest, 0), 1)"))
-    rows = _prefix(rows, {"at": "CASE WHEN is_system THEN 0L ELSE tokens END",
-                          "line": "CASE WHEN is_system OR is_big THEN 0L ELSE tokens END",
-                          "big_before": "CASE WHEN is_big THEN 1L ELSE 0L END"})
+    rows = _prefix(rows, ["pos"], {"at": "CASE WHEN is_system THEN 0L ELSE tokens END",
+                                    "line": "CASE WHEN is_system OR is_big THEN 0L ELSE tokens END",
+                                    "big_before": "CASE WHEN is_big THEN 1L ELSE 0L END"})
     return rows.withColumn("stretch", F.expr("CASE WHEN is_big THEN 0L ELSE floor(line / cast(stride AS double)) END"))
 
 

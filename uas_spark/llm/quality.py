@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, saved, text_bytes
 
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column quality_score, the scorer's probability of good."""
+    """``docs`` with a last column __quality, the scorer's probability of good."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     names = docs.columns
 
@@ -197,8 +198,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*names, "__quality"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__t", text_bytes(text_col)).mapInArrow(run, f"{fields}, __quality double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__quality", T.DoubleType())])
+    return docs.withColumn("__t", text_bytes(text_col)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
