@@ -72,9 +72,11 @@ def patch_nullable(base: DataFrame, patches: DataFrame, key: str, field: str, js
 
 def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fields: list[str],
                        pilot_ok: Column | None = None, target_col: str = "target_id",
-                       seq_col: str = "seq") -> DataFrame:
+                       seq_col: str = "seq", present_cols: list[str] | None = None) -> DataFrame:
     """``proposed`` takes any patch; ``approved`` only a pure rescind; ``rescinded``
-    nothing. A patch failing the pilot check is refused first and changes nothing.
+    nothing. A patch failing the pilot check is refused first and changes nothing. A patch
+    touches a field if it gives a value, or if a column of ``present_cols`` says that it lists
+    the field's key (an explicit null clears the field and is a touch too).
 
     The status moves at most twice, so each patch's outcome follows from per-id minima over
     the effective patches (one partial aggregate, no fold): k1, the first status move, with
@@ -86,6 +88,9 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
     for f in other_fields:
         c = F.col(f).isNotNull()
         touches = c if touches is None else touches | c
+    for f in present_cols or []:
+        c = F.coalesce(F.col(f), F.lit(False))
+        touches = c if touches is None else touches | c
     touches = touches if touches is not None else F.lit(False)
     eff = pilot_ok if pilot_ok is not None else F.lit(True)
     p = patches.withColumn("_eff", eff)

@@ -52,12 +52,12 @@ SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS sensor_id, s_name AS name,
 FROM supplier""")
 
 _def("sensor_profiles", """
-SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS sensor_id,
+SELECT 'S-' || CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS VARCHAR) AS sensor_id,
        2000 + s_suppkey % 7 * 100 AS poll_min, 5000 AS poll_max,
        200 AS latency_min, 1000 + s_suppkey % 5 * 100 AS latency_max,
        'p' || CAST(s_suppkey AS VARCHAR) AS label,
        TIMESTAMP '2023-12-02 00:00:00' + to_seconds(s_suppkey) AS created_at
-FROM supplier WHERE s_suppkey % 3 = 0""")
+FROM supplier""")
 
 _def("sensor_positions", """
 SELECT 'r-' || CAST(event_id AS VARCHAR) AS report_id,
@@ -113,12 +113,12 @@ SELECT 'O-' || CAST(c_custkey AS VARCHAR) AS owner_id,
 FROM customer""")
 
 _def("pilots", """
-SELECT 'P-' || CAST(c_custkey AS VARCHAR) AS pilot_id,
+SELECT CASE WHEN c_custkey % 3 = 0 THEN 'P-' ELSE 'PX-' END || CAST(c_custkey AS VARCHAR) AS pilot_id,
        'O-' || CAST(c_custkey % 1000 AS VARCHAR) AS organization_owner_id,
        c_name AS name, '+1-555-' || CAST(c_custkey AS VARCHAR) AS phone_number,
        'LIC-' || CAST(c_custkey AS VARCHAR) AS license_number,
        TIMESTAMP '2025-02-01 00:00:00' + to_seconds(c_custkey) AS created_at, c_custkey
-FROM customer WHERE c_custkey % 3 = 0""")
+FROM customer""")
 
 _def("registrations", """
 SELECT 'R-' || CAST(o_orderkey AS VARCHAR) AS registration_id,
@@ -173,18 +173,19 @@ SELECT 'FP-' || CAST(o_orderkey AS VARCHAR) AS flight_plan_id,
 FROM orders""")
 
 _def("lineitem_pairs", """
-SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey,
-       max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
-FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+         l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS l_linenumber,
+       l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus
+FROM lineitem""")
 
 _def("waypoints", """
-SELECT 'FP-' || CAST(l_orderkey AS VARCHAR) AS flight_plan_id,
-       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS sequence_number,
+SELECT 'FP-' || CAST(l_orderkey + l_orderkey % 2 AS VARCHAR) AS flight_plan_id,
+       CAST(row_number() OVER (PARTITION BY l_orderkey + l_orderkey % 2 ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS sequence_number,
        47.0::DOUBLE + CAST(l_partkey * 3 % 512 AS DOUBLE) / 1024.0 AS lat,
        -123.0::DOUBLE + CAST((l_partkey * 7 + l_linenumber * 131) % 1024 AS DOUBLE) / 1024.0 AS lon,
        l_quantity * 4 AS altitude_min_ft, l_quantity * 4 + 100 AS altitude_max_ft,
        CAST(l_linenumber * 200 AS DOUBLE) AS radius_meters
-FROM lineitem_pairs WHERE l_orderkey % 2 = 0""", ("lineitem_pairs",))
+FROM lineitem_pairs""", ("lineitem_pairs",))
 
 _def("waivers", f"""
 SELECT 'WV-' || CAST(o_orderkey AS VARCHAR) AS waiver_id,
@@ -201,7 +202,8 @@ FROM orders""")
 _def("lifecycle_patches", """
 SELECT 'A-' || CAST(l_orderkey AS VARCHAR) AS target_id, CAST(l_linenumber AS BIGINT) AS seq,
        CASE l_returnflag WHEN 'R' THEN 'rescinded' WHEN 'A' THEN 'approved' END AS status,
-       CASE WHEN l_linestatus = 'O' THEN l_quantity * 10 END AS max_altitude_ft
+       CASE WHEN l_linestatus = 'O' THEN l_quantity * 10 END AS max_altitude_ft,
+       l_partkey % 5 = 0 AS pilot_present
 FROM lineitem_pairs""", ("lineitem_pairs",))
 
 

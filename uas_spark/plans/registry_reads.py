@@ -122,11 +122,10 @@ def q_val_interval_order(spark, sf_dir):
                      .alias("window_ok"))
 
 
-@query("val_altitude", """
+@query("val_altitude", with_fixtures("lineitem_pairs") + """
 SELECT l_orderkey, l_linenumber, l_quantity * 45 <= 2000 AS ceiling_ok,
        (l_partkey % 300) * 5 > l_quantity * 4 AND (l_partkey % 300) * 5 <= 2000 AS band_ok
-FROM lineitem_pairs""".replace("FROM lineitem_pairs", "FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, "
-                               "max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)"))
+FROM lineitem_pairs""")
 def q_val_altitude(spark, sf_dir):
     """V7: ceilings 0..2000 inclusive; waypoint bands with max > min."""
     p = fx.lineitem_pairs(spark, sf_dir)
@@ -531,20 +530,20 @@ def q_active_sensors(spark, sf_dir):
 
 
 @query("sensor_reconcile", """
-WITH p AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS sensor_id, s_suppkey % 5 AS v FROM supplier WHERE s_suppkey % 3 = 0),
-c AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS sensor_id, s_suppkey % 7 AS v FROM supplier WHERE s_suppkey % 2 = 0)
+WITH p AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS sensor_id, s_suppkey % 5 AS v FROM supplier WHERE s_suppkey % 3 <> 1),
+c AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS sensor_id, s_suppkey % 7 AS v FROM supplier WHERE s_suppkey % 3 <> 2)
 SELECT coalesce(p.sensor_id, c.sensor_id) AS sensor_id,
   CASE WHEN p.sensor_id IS NULL THEN 'start' WHEN c.sensor_id IS NULL THEN 'stop'
        WHEN p.v <> c.v THEN 'restart' ELSE 'keep' END AS action,
   CASE WHEN c.sensor_id IS NULL THEN 'offline' ELSE 'online' END AS status
 FROM p FULL OUTER JOIN c ON p.sensor_id = c.sensor_id""")
 def q_sensor_reconcile(spark, sf_dir):
-    """Previous snapshot = every 3rd supplier (profile version key % 5), current = every
-    2nd (version key % 7)."""
+    """A third of the suppliers is in both snapshots (versions key % 5 and key % 7), a third
+    only in the current one and a third only in the previous one."""
     s = fx.load(spark, sf_dir, "supplier")
     sid = F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("sensor_id")
-    prev = s.filter(F.col("s_suppkey") % 3 == 0).select(sid, (F.col("s_suppkey") % 5).alias("profile_version"))
-    cur = s.filter(F.col("s_suppkey") % 2 == 0).select(sid, (F.col("s_suppkey") % 7).alias("profile_version"))
+    prev = s.filter(F.col("s_suppkey") % 3 != 1).select(sid, (F.col("s_suppkey") % 5).alias("profile_version"))
+    cur = s.filter(F.col("s_suppkey") % 3 != 2).select(sid, (F.col("s_suppkey") % 7).alias("profile_version"))
     return sn.sensor_reconcile(prev, cur)
 
 

@@ -43,14 +43,19 @@ unknown AS (SELECT DISTINCT b.batch_id, b.sensor_id FROM sbatch b
 
 
 @query("dedup_append_sensor", with_fixtures("sensor_positions", "sensors") + f""", {_SENSOR_SPLIT}
-SELECT report_id, sensor_id, batch_id
+SELECT 'rejected' AS kind, string_agg(sensor_id, ',' ORDER BY sensor_id) AS report_id, 'unknown_sensor' AS sensor_id,
+       batch_id FROM unknown GROUP BY batch_id
+UNION ALL
+SELECT 'stored', report_id, sensor_id, batch_id
 FROM (SELECT *, row_number() OVER (PARTITION BY recorded_at, report_id ORDER BY attempt) rn FROM sbatch) b
 WHERE rn = 1 AND batch_id NOT IN (SELECT batch_id FROM unknown)
   AND NOT EXISTS (SELECT 1 FROM sstored s WHERE s.recorded_at = b.recorded_at AND s.report_id = b.report_id)""")
 def q_dedup_append_sensor(spark, sf_dir):
     stored, batch = _sensor_split(spark, sf_dir)
-    new, _ = ingest.sensor_ingest(stored, batch, fx.sensors(spark, sf_dir), arrival=[F.col("attempt")])
-    return new.select("report_id", "sensor_id", "batch_id")
+    new, rejected = ingest.sensor_ingest(stored, batch, fx.sensors(spark, sf_dir), arrival=[F.col("attempt")])
+    bad = rejected.select(F.lit("rejected").alias("kind"), F.array_join("unknown_sensor_ids", ",").alias("report_id"),
+                          F.col("reason").alias("sensor_id"), "batch_id")
+    return new.select(F.lit("stored").alias("kind"), "report_id", "sensor_id", "batch_id").unionByName(bad)
 
 
 @query("unknown_sensor_check", with_fixtures("sensor_positions", "sensors") + f""", {_SENSOR_SPLIT}
@@ -337,13 +342,23 @@ p AS (SELECT 'O-' || CAST(l_orderkey AS VARCHAR) AS target_id, l_linenumber AS s
       FROM lineitem_pairs),
 a AS (SELECT target_id, arg_max(phone_number, seq) FILTER (WHERE phone_number IS NOT NULL) AS ph,
              arg_max(address_city, seq) FILTER (WHERE address_city IS NOT NULL) AS city FROM p GROUP BY target_id)
-SELECT o.owner_id, coalesce(a.ph, o.phone_number) AS phone_number, coalesce(a.city, o.address_city) AS address_city,
-       CASE WHEN a.target_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('o.updated_at')} END AS updated_at
-FROM owners o LEFT JOIN a ON a.target_id = o.owner_id""")
+SELECT 'owner' AS kind, o.owner_id, coalesce(a.ph, o.phone_number) AS phone_number,
+       coalesce(a.city, o.address_city) AS address_city,
+       CASE WHEN a.target_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('o.updated_at')} END AS updated_at,
+       CAST(-1 AS BIGINT) AS seq
+FROM owners o LEFT JOIN a ON a.target_id = o.owner_id
+UNION ALL
+SELECT 'not_found', target_id, phone_number, address_city, NULL, seq FROM p
+WHERE target_id NOT IN (SELECT owner_id FROM owners)""")
 def q_patch_coalesce(spark, sf_dir):
-    out, _ = patches.patch_coalesce(fx.owners(spark, sf_dir), _owner_patches(spark, sf_dir), "owner_id",
-                                    ["phone_number", "address_city"], STAMP)
-    return out.select("owner_id", "phone_number", "address_city", "updated_at")
+    """The owners after their patches, and the patches whose owner does not exist."""
+    out, missing = patches.patch_coalesce(fx.owners(spark, sf_dir), _owner_patches(spark, sf_dir), "owner_id",
+                                          ["phone_number", "address_city"], STAMP)
+    cols = ["kind", "owner_id", "phone_number", "address_city", "updated_at", "seq"]
+    found = out.withColumns({"kind": F.lit("owner"), "seq": F.lit(-1).cast("long")}).select(*cols)
+    lost = missing.select(F.col("reason").alias("kind"), F.col("target_id").alias("owner_id"), "phone_number",
+                          "address_city", F.lit(None).cast("timestamp").alias("updated_at"), "seq")
+    return found.unionByName(lost)
 
 
 @query("patch_nullable", with_fixtures("authorizations", "lineitem_pairs") + """,
@@ -378,14 +393,15 @@ fold(target_id, rn, s, seq, outcome, status_after) AS (
          CASE WHEN outcome = 'accepted' THEN coalesce(pst, s) ELSE s END
   FROM (SELECT f.target_id, p.rn, f.s, p.seq, p.status AS pst,
                CASE WHEN f.s = 'rescinded' THEN 'rescinded_terminal'
-                    WHEN f.s = 'approved' AND NOT coalesce(p.status = 'rescinded' AND p.max_altitude_ft IS NULL, false)
+                    WHEN f.s = 'approved' AND NOT coalesce(p.status = 'rescinded' AND p.max_altitude_ft IS NULL
+                         AND NOT p.pilot_present, false)
                       THEN 'approved_immutable'
                     ELSE 'accepted' END AS outcome
         FROM fold f JOIN p ON p.target_id = f.target_id AND p.rn = f.rn + 1) x)
 SELECT target_id, seq, outcome, status_after FROM fold WHERE seq IS NOT NULL""")
 def q_authorization_lifecycle(spark, sf_dir):
     out = patches.lifecycle_outcomes(fx.authorizations(spark, sf_dir), fx.lifecycle_patches(spark, sf_dir, "A-"),
-                                     "authorization_id", ["max_altitude_ft"])
+                                     "authorization_id", ["max_altitude_ft"], present_cols=["pilot_present"])
     return out.select("target_id", "seq", "outcome", "status_after")
 
 
@@ -443,7 +459,8 @@ def _profiles(spark, sf_dir):
 
 @query("profile_upsert", with_fixtures("sensor_profiles", "sensors", "lineitem_pairs") + f""",
 old AS (SELECT sensor_id, created_at FROM sensor_profiles),
-u AS (SELECT 'S-' || CAST(l_suppkey AS VARCHAR) AS sensor_id, l_orderkey * 8 + l_linenumber AS seq,
+u AS (SELECT 'S-' || CAST(l_suppkey + CASE WHEN l_partkey % 11 = 0 THEN 200000 ELSE 0 END AS VARCHAR) AS sensor_id,
+             l_orderkey * 1024 + l_linenumber AS seq,
              '{{"pollIntervalMs":{{"min":' || CAST(1000 + l_partkey AS VARCHAR) || ',"max":9000}}}}' AS profile_json
       FROM lineitem_pairs),
 last AS (SELECT sensor_id, arg_max(profile_json, seq) AS pj FROM u
@@ -453,33 +470,43 @@ SELECT coalesce(o.sensor_id, l.sensor_id) AS sensor_id,
          (SELECT '{{"pollIntervalMs":{{"min":' || CAST(poll_min AS VARCHAR) || ',"max":5000}},"latencyMs":{{"min":200,"max":'
                  || CAST(latency_max AS VARCHAR) || '}},"label":"' || label || '"}}'
           FROM sensor_profiles sp WHERE sp.sensor_id = o.sensor_id) END AS profile_json,
-       coalesce({iso('o.created_at')}, '{STAMP}.000000') AS created_at
-FROM old o FULL OUTER JOIN last l ON l.sensor_id = o.sensor_id""")
+       coalesce({iso('o.created_at')}, '{STAMP}.000000') AS created_at, 'profile' AS kind
+FROM old o FULL OUTER JOIN last l ON l.sensor_id = o.sensor_id
+UNION ALL
+SELECT sensor_id, profile_json, NULL, 'unknown_sensor' FROM u WHERE sensor_id NOT IN (SELECT sensor_id FROM sensors)""")
 def q_profile_upsert(spark, sf_dir):
-    """Every order line upserts the profile of sensor ``l_suppkey``; the last write wins."""
+    """Every order line upserts the profile of sensor ``l_suppkey`` (every 11th part that of
+    an unknown sensor); the last write wins, unknown sensors are refused."""
     p = fx.lineitem_pairs(spark, sf_dir)
-    ups = p.select(F.concat(F.lit("S-"), F.col("l_suppkey").cast("string")).alias("sensor_id"),
-                   (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+    ups = p.select(F.concat(F.lit("S-"), (F.col("l_suppkey") + F.when(F.col("l_partkey") % 11 == 0, 200000).otherwise(0))
+                            .cast("string")).alias("sensor_id"),
+                   (F.col("l_orderkey") * 1024 + F.col("l_linenumber")).alias("seq"),
                    F.concat(F.lit('{"pollIntervalMs":{"min":'), (F.lit(1000) + F.col("l_partkey")).cast("string"),
                             F.lit(',"max":9000}}')).alias("profile_json"))
-    out, _ = patches.profile_upsert(_profiles(spark, sf_dir), fx.sensors(spark, sf_dir), ups, STAMP)
-    return out.select("sensor_id", "profile_json", "created_at")
+    out, refused = patches.profile_upsert(_profiles(spark, sf_dir), fx.sensors(spark, sf_dir), ups, STAMP)
+    return (out.select("sensor_id", "profile_json", "created_at", F.lit("profile").alias("kind"))
+            .unionByName(refused.select("sensor_id", "profile_json", F.lit(None).cast("timestamp").alias("created_at"),
+                                        F.col("reason").alias("kind"))))
 
 
 @query("delete_reporting", with_fixtures("pilots") + """,
 d AS (SELECT 'P-' || CAST(c_custkey AS VARCHAR) AS pilot_id,
              'O-' || CAST(CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 1000 ELSE c_custkey END AS VARCHAR) AS owner_id
       FROM customer)
-SELECT d.pilot_id, d.owner_id, EXISTS (SELECT 1 FROM pilots p WHERE p.pilot_id = d.pilot_id
-                                       AND p.organization_owner_id = d.owner_id) AS deleted FROM d""")
+SELECT 'delete' AS kind, d.pilot_id, d.owner_id, EXISTS (SELECT 1 FROM pilots p WHERE p.pilot_id = d.pilot_id
+                                       AND p.organization_owner_id = d.owner_id) AS done FROM d
+UNION ALL SELECT 'remaining', pilot_id, organization_owner_id, false FROM pilots p
+WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.pilot_id = p.pilot_id AND d.owner_id = p.organization_owner_id)""")
 def q_delete_reporting(spark, sf_dir):
     """A delete per customer; even keys name the right owner, odd keys another one."""
     c = fx.load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     d = c.select(F.concat(F.lit("P-"), k.cast("string")).alias("pilot_id"),
                  F.concat(F.lit("O-"), F.when(k % 2 == 0, k % 1000).otherwise(k).cast("string")).alias("owner_id"))
-    _, report = patches.delete_reporting(fx.pilots(spark, sf_dir), d)
-    return report.select("pilot_id", "owner_id", "deleted")
+    left, report = patches.delete_reporting(fx.pilots(spark, sf_dir), d)
+    return (report.select(F.lit("delete").alias("kind"), "pilot_id", "owner_id", F.col("deleted").alias("done"))
+            .unionByName(left.select(F.lit("remaining").alias("kind"), "pilot_id",
+                                     F.col("organization_owner_id").alias("owner_id"), F.lit(False).alias("done"))))
 
 
 @query("delete_idempotent", with_fixtures("sensor_profiles") + """
@@ -679,7 +706,7 @@ def _plan_patches(spark, sf_dir):
                            F.when(ln == 3, F.lit("A-X")).otherwise(F.lit("A-")), pk.cast("string"), F.lit('"}')))
             .when(F.col("l_returnflag") == "A",
                   F.concat(F.lit('{"registrationId":"R-'), (sk * 7).cast("string"),
-                           F.lit('","startTime":"2024-01-'), F.lpad((ln + 10).cast("string"), 2, "0"),
+                           F.lit('","startTime":"2024-01-'), F.lpad((ln % 7 + 10).cast("string"), 2, "0"),
                            F.lit('T00:00:00Z"}')))
             .otherwise(F.concat(F.lit('{"pilotId":"P-'), (pk - pk % 3).cast("string"),
                                 F.lit('","registrationId":null}'))))
@@ -695,7 +722,7 @@ v AS (SELECT p.*, f.flight_plan_id IS NOT NULL AS found, f.owner_id, f.start_tim
         CASE WHEN fl = 'N' THEN 'P-' || CAST(pk - pk % 3 AS VARCHAR) END AS set_pilot,
         CASE WHEN fl = 'A' THEN 'R-' || CAST(sk * 7 AS VARCHAR) END AS set_reg,
         CASE WHEN fl = 'R' THEN (CASE WHEN ln = 3 THEN 'A-X' ELSE 'A-' END) || CAST(pk AS VARCHAR) END AS set_auth,
-        CASE WHEN fl = 'A' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln + 9) END AS set_start
+        CASE WHEN fl = 'A' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 9) END AS set_start
       FROM p LEFT JOIN flight_plans f ON f.flight_plan_id = p.target_id)
 SELECT target_id, seq,
   CASE WHEN NOT found THEN 'not_found'

@@ -104,13 +104,14 @@ def sensors(spark, sf_dir) -> DataFrame:
 
 
 def sensor_profiles_raw(spark, sf_dir) -> DataFrame:
-    """Profile JSON text per supplier key divisible by 3 (others have no profile)."""
+    """A profile JSON text per supplier: of its sensor if the key is divisible by 3, else of a
+    sensor that is no longer registered."""
     s = load(spark, sf_dir, "supplier")
     k = _k("s_suppkey")
     txt = F.concat(F.lit('{"pollIntervalMs":{"min":'), (F.lit(2000) + k % 7 * 100).cast("string"),
                    F.lit(',"max":5000},"latencyMs":{"min":200,"max":'), (F.lit(1000) + k % 5 * 100).cast("string"),
                    F.lit('},"label":"p'), k.cast("string"), F.lit('"}'))
-    return s.filter(k % 3 == 0).select(_s("S-", k).alias("sensor_id"), txt.alias("profile_json"),
+    return s.select(_s("S-", F.when(k % 3 == 0, k).otherwise(k + 100000)).alias("sensor_id"), txt.alias("profile_json"),
                                        _plus_seconds(_ts("2023-12-02 00:00:00"), k).alias("created_at"))
 
 
@@ -211,11 +212,12 @@ def owners(spark, sf_dir) -> DataFrame:
 
 
 def pilots(spark, sf_dir) -> DataFrame:
-    """Pilot candidates: every third customer, claimed under owner ``c_custkey % 1000``."""
+    """A pilot per customer, claimed under owner ``c_custkey % 1000``. Plans and waivers refer to
+    keys divisible by three; the others fly under ids of their own series."""
     c = load(spark, sf_dir, "customer")
     k = _k("c_custkey")
-    return c.filter(k % 3 == 0).select(
-        _s("P-", k).alias("pilot_id"),
+    return c.select(
+        F.when(k % 3 == 0, _s("P-", k)).otherwise(_s("PX-", k)).alias("pilot_id"),
         _s("O-", k % 1000).alias("organization_owner_id"),
         _k("c_name").alias("name"),
         _s("+1-555-", k).alias("phone_number"),
@@ -310,24 +312,29 @@ def flight_plans(spark, sf_dir) -> DataFrame:
     )
 
 
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def lineitem_pairs(spark, sf_dir) -> DataFrame:
-    """lineitem reduced to one row per (l_orderkey, l_linenumber), max of each column."""
-    li = load(spark, sf_dir, "lineitem")
-    return (li.groupBy("l_orderkey", "l_linenumber")
-              .agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"),
-                   F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"),
-                   F.max("l_linestatus").alias("l_linestatus")))
+    """Every order line, numbered anew from 1 within its order (stored numbers repeat)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    return load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.row_number().over(w).alias("l_linenumber"), "l_partkey", "l_suppkey", "l_quantity",
+        "l_returnflag", "l_linestatus")
 
 
 def waypoints(spark, sf_dir) -> DataFrame:
-    """Waypoints of the waypoint plans (even order keys), numbered from 0 by line number."""
+    """Waypoints of the waypoint plans (even order keys), numbered from 0. The lines of an odd
+    order belong to the plan of the next even key, after which theirs are numbered."""
     from pyspark.sql import Window
-    p = lineitem_pairs(spark, sf_dir).filter(F.col("l_orderkey") % 2 == 0)
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    p = lineitem_pairs(spark, sf_dir).withColumn("plan_key", F.col("l_orderkey") + F.col("l_orderkey") % 2)
+    w = Window.partitionBy("plan_key").orderBy("l_orderkey", "l_linenumber")
     pk, ln = _k("l_partkey"), _k("l_linenumber")
     lo = _k("l_quantity") * 4
     return p.select(
-        _s("FP-", "l_orderkey").alias("flight_plan_id"),
+        _s("FP-", "plan_key").alias("flight_plan_id"),
         (F.row_number().over(w) - 1).cast("int").alias("sequence_number"),
         (F.lit(47.0) + _frac(pk * 3 % 512, 1024)).alias("lat"),
         (F.lit(-123.0) + _frac((pk * 7 + ln * 131) % 1024, 1024)).alias("lon"),
@@ -360,7 +367,8 @@ def lifecycle_patches(spark, sf_dir, prefix: str = "A-") -> DataFrame:
     """Patches against authorizations (or waivers): id from l_orderkey, order by line number.
 
     Return flag R asks to rescind, A to approve, N leaves status alone; open lines
-    (linestatus O) also set a field, so some rescinds are not pure.
+    (linestatus O) also set a field, and every fifth part number lists ``pilotId`` with a null,
+    so some rescinds are not pure.
     """
     p = lineitem_pairs(spark, sf_dir)
     status = F.when(_k("l_returnflag") == "R", "rescinded").when(_k("l_returnflag") == "A", "approved")
@@ -369,4 +377,5 @@ def lifecycle_patches(spark, sf_dir, prefix: str = "A-") -> DataFrame:
         _k("l_linenumber").cast("long").alias("seq"),
         status.alias("status"),
         F.when(_k("l_linestatus") == "O", _k("l_quantity") * 10).alias("max_altitude_ft"),
+        (_k("l_partkey") % 5 == 0).alias("pilot_present"),
     )
