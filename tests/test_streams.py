@@ -35,3 +35,47 @@ def test_latest_snapshot_ignores_late_report(spark, tmp_path):
     snap = str(tmp_path / "snap")
     st.stream_latest_position(spark, str(src), snap, str(tmp_path / "ck")).awaitTermination()
     assert [r.report_id for r in st.latest_snapshot(spark, snap).collect()] == ["b"]
+
+
+def _report(i, at="2026-07-25T14:00:00Z", lat=47.0):
+    return {"reportId": i, "recordedAt": at, "latitude": lat, "longitude": -122.0, "altitudeFt": 1.0}
+
+
+def test_bad_report_rejects_its_body(spark, tmp_path):
+    src, table = tmp_path / "src", str(tmp_path / "table")
+    _write_bodies(src, [("SN", json.dumps([_report("a"), _report("b", lat=99.0)])), ("SN", json.dumps(_report("c"))),
+                        ("SN", "not json"), ("SN", "[]")])
+    st.stream_ingest_positions(spark, str(src), table, str(tmp_path / "ck"), str(tmp_path / "bad")).awaitTermination()
+    assert [r.report_id for r in spark.read.parquet(table).collect()] == ["c"]
+    bad = spark.read.json(str(tmp_path / "bad")).collect()
+    assert len(bad) == 2 and all(r.n_bad == 1 for r in bad)
+
+
+def test_first_in_the_body_wins(spark, tmp_path):
+    src, table = tmp_path / "src", str(tmp_path / "table")
+    two = [dict(_report("a"), altitudeFt=float(9 - k)) for k in range(5)]
+    _write_bodies(src, [("SN", json.dumps(two)), ("SN", json.dumps(dict(_report("a"), altitudeFt=0.0)))])
+    st.stream_ingest_positions(spark, str(src), table, str(tmp_path / "ck")).awaitTermination()
+    assert [r.altitude_ft for r in spark.read.parquet(table).collect()] == [9.0]
+
+
+def test_bounded_dedup_keeps_late_first_reports(spark, tmp_path):
+    src, table, ck = tmp_path / "src", str(tmp_path / "table"), str(tmp_path / "ck")
+    _write_bodies(src / "1", [("SN", json.dumps([_report("new"), _report("new")]))])
+    st.stream_dedup_bounded(spark, str(src) + "/*", table, ck).awaitTermination()
+    _write_bodies(src / "2", [("SN", json.dumps([_report("late", "2026-07-24T13:00:00Z"), _report("new"), _report("x")]))])
+    st.stream_dedup_bounded(spark, str(src) + "/*", table, ck).awaitTermination()
+    _write_bodies(src / "3", [("SN", json.dumps([_report("late", "2026-07-24T13:00:00Z"), _report("y")]))])
+    st.stream_dedup_bounded(spark, str(src) + "/*", table, ck).awaitTermination()
+    assert sorted(r.report_id for r in spark.read.parquet(table).collect()) == ["late", "new", "x", "y"]
+
+
+def test_zone_goes_stale_by_the_clock(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.json").write_text(json.dumps({"report_id": "r", "zone_id": "z", "recorded_at": "2026-07-25T14:00:00Z"}))
+    for minute, fresh in ((29, 1), (31, 0)):
+        sink = str(tmp_path / f"sink{minute}")
+        st.stream_zone_staleness(spark, str(src), sink, str(tmp_path / f"ck{minute}"),
+                                 stamp_of_batch=lambda _, m=minute: f"2026-07-25 14:{m}:00").awaitTermination()
+        assert spark.read.schema("zone_id string, report_id string, batch_id int").parquet(sink).count() == fresh

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -193,24 +195,99 @@ def test_flight_plan_patch_reasons(spark):
     assert got[("nope", 1)] == "not_found"
 
 
-def test_snapshot_sink_pointer(spark, tmp_path):
+def test_replace_partitions(spark, tmp_path):
     from uas_spark.sources import sinks
     root = str(tmp_path / "owners")
-    sinks.write_snapshot(spark.createDataFrame([("o1",)], "owner_id string"), root)
-    sinks.write_snapshot(spark.createDataFrame([("o1",), ("o2",)], "owner_id string"), root)
-    assert sorted(r.owner_id for r in sinks.read_snapshot(spark, root).collect()) == ["o1", "o2"]
-
-
-def test_overlap_counts_touching_and_disjoint(spark):
-    d = dt.date.fromisoformat
-    stored = spark.createDataFrame([("s1", "S", d("2026-01-01"), d("2026-01-10")),
-                                    ("s2", "S", d("2026-01-20"), d("2026-01-25")),
-                                    ("s3", "T", d("2026-01-01"), d("2026-12-31"))],
-                                   "registration_id string, serial_number string, start_date date, end_date date")
-    cand = spark.createDataFrame([("a", "S", d("2026-01-10"), d("2026-01-19")),   # touches s1
-                                  ("b", "S", d("2026-01-11"), d("2026-01-19")),   # in the gap
-                                  ("c", "S", d("2025-12-01"), d("2026-02-01")),   # covers both
-                                  ("e", "U", d("2026-01-01"), d("2026-01-02"))],  # no stored rows
-                                 "_pk string, serial_number string, start_date date, end_date date")
-    got = {r._pk: r.n_stored_overlaps for r in registrations.overlap_counts(cand, stored).collect()}
-    assert got == {"a": 1, "b": 0, "c": 2, "e": 0}
+    mk = lambda rows: spark.createDataFrame(rows, "owner_id string, city string, k int")
+    sinks.replace_partitions(mk([("o1", "a", 1), ("o2", "a", 2)]), root, "k")
+    sinks.replace_partitions(mk([("o2", "b", 2), ("o3", "b", 2)]), root, "k")
+    assert sorted((r.owner_id, r.city) for r in spark.read.parquet(root).collect()) == [
+        ("o1", "a"), ("o2", "b"), ("o3", "b")]
+
+
+REG = "registration_id string, serial_number string, owner_id string, start_date date, end_date date, arrival long"
+
+
+def _day(n):
+    return dt.date(2026, 1, 1) + dt.timedelta(days=n)
+
+
+def test_patch_overlap_brute_force(spark):
+    rng = random.Random(11)
+    stored = [(f"r{i}", f"S{i % 4}", "o", _day(a := rng.randint(0, 200)), _day(a + rng.randint(0, 30)), i) for i in range(60)]
+    ps = [(f"r{rng.randint(0, 65)}", k, _day(rng.randint(0, 220)) if rng.random() < 0.5 else None,
+           _day(rng.randint(0, 220)) if rng.random() < 0.5 else None) for k in range(400)]
+    got = registrations.registration_patch_overlap(
+        spark.createDataFrame(stored, REG),
+        spark.createDataFrame(ps, "registration_id string, seq long, start_date date, end_date date")).collect()
+    by = {r[0]: r for r in stored}
+    exp = {}
+    for rid, seq, s, e in ps:
+        if rid not in by:
+            exp[seq] = "not_found"
+            continue
+        row = by[rid]
+        ns, ne = s or row[3], e or row[4]
+        hit = (s or e) and any(x[1] == row[1] and x[0] != rid and x[3] <= ne and x[4] >= ns for x in stored)
+        exp[seq] = "registration_overlap" if hit else "end_before_start" if ne < ns else "accepted"
+    assert {r.seq: r.outcome for r in got} == exp and len(set(exp.values())) == 4
+
+
+def test_dateless_patch_never_overlaps(spark):
+    # the stored rows already overlap; a patch without a date must not look at that
+    stored = spark.createDataFrame([("a", "S", "o", _day(0), _day(9), 0), ("b", "S", "o", _day(5), _day(15), 1)], REG)
+    p = spark.createDataFrame([("a", 1, None, None)], "registration_id string, seq long, start_date date, end_date date")
+    assert registrations.registration_patch_overlap(stored, p).first().outcome == "accepted"
+
+
+def test_sequential_accept_ids_are_global(spark):
+    rng = random.Random(5)
+    for case in range(3):
+        reqs = [(f"id{rng.randint(0, 25)}", f"S{rng.randint(0, 5)}", rng.choice(["o", "o", "o", "none"]),
+                 _day(a := rng.randint(0, 120)), _day(a + rng.randint(0, 20)), k) for k in range(80)]
+        stored = [("id3", "S1", "o", _day(0), _day(20), 0), ("z", "S2", "o", _day(30), _day(60), 0)] if case else []
+        accepted, exp = list(stored), {}
+        for r in reqs:
+            if r[2] != "o":
+                exp[r[5]] = "owner_not_found"
+            elif any(x[1] == r[1] and x[3] <= r[4] and r[3] <= x[4] for x in accepted):
+                exp[r[5]] = "registration_overlap"
+            elif any(x[0] == r[0] for x in accepted):
+                exp[r[5]] = "duplicate_id"
+            else:
+                exp[r[5]] = "accepted"
+                accepted.append(r)
+        got = registrations.sequential_accept(spark.createDataFrame(reqs, REG),
+                                              spark.createDataFrame([("o",)], "owner_id string"),
+                                              spark.createDataFrame(stored, REG) if stored else None)
+        assert {r.arrival: r.outcome for r in got.collect()} == exp and "duplicate_id" in exp.values()
+
+
+def test_insert_if_absent_ties(spark):
+    ex = spark.createDataFrame([("old",)], "id string")
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("a", 2, "z"), ("b", 5, "x"), ("old", 0, "x")]
+    out = ingest.insert_if_absent(ex, spark.createDataFrame(rows, "id string, t int, v string"), "id", [F.col("t")])
+    got = [(r.id, r.t) for r in out.filter("outcome = 'accepted'").collect()]
+    assert sorted(got) == [("a", 1), ("b", 5)] and out.count() == len(rows)
+
+
+def test_explicit_null_touches_an_approved_row(spark):
+    base = spark.createDataFrame([("A", "approved")], "authorization_id string, status string")
+    p = spark.createDataFrame([("A", 1, "rescinded", None, True), ("A", 2, "rescinded", None, False)],
+                              "target_id string, seq long, status string, max_altitude_ft double, pilot_present boolean")
+    got = patches.lifecycle_outcomes(base, p, "authorization_id", ["max_altitude_ft"], present_cols=["pilot_present"])
+    assert {r.seq: r.outcome for r in got.collect()} == {1: "approved_immutable", 2: "accepted"}
+
+
+def test_keyed_append_reads_the_batch_dates_only(spark, tmp_path):
+    from uas_spark.sources import sinks
+    table = str(tmp_path / "t")
+    cols = "report_id string, recorded_at timestamp, v int"
+    rows = [(f"r{i}", dt.datetime(2026, 1, 1 + i % 20, i % 24), 0) for i in range(100)]
+    sinks.append_time_partitioned(spark.createDataFrame(rows, cols), table)
+    batch = spark.createDataFrame([("r3", rows[3][1], 7), ("new", rows[3][1], 1), ("new", rows[3][1], 2)], cols)
+    out = ingest.dedup_append(spark.read.parquet(table), batch, arrival=[F.col("v")])
+    assert [(r.report_id, r.v) for r in out.collect()] == [("new", 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    listed = re.findall(r"PartitionFilters: \[([^\]]*)", plan)
+    assert listed and all("recorded_date" in x and "2026-01-04" in x for x in listed)

@@ -50,7 +50,7 @@ def time_distance_us(a, b) -> Column:
     return F.abs(_us(a) - _us(b))
 
 
-def zone_latest_fresh(observed: DataFrame, stamp: str, stale_minutes: int = 30) -> DataFrame:
+def zone_latest_fresh(observed: DataFrame, stamp: str | Column, stale_minutes: int = 30) -> DataFrame:
     """Newest observed report per zone recorded at or after ``stamp - stale`` (no upper bound)."""
     fresh = observed.filter(F.col("recorded_at") >= minutes_ago(stamp, stale_minutes))
     return top1(fresh, ["zone_id"], [F.col("recorded_at").desc(), F.col("report_id")])

@@ -16,27 +16,34 @@ POSITION_KEY = ["recorded_at", "report_id"]
 
 
 def first_arrival(batch: DataFrame, key: list[str], arrival: list) -> DataFrame:
-    """Keep the first row per key in arrival order (later copies are retries)."""
-    w = Window.partitionBy(*key).orderBy(*arrival)
-    return batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    """Keep the first row per key in arrival order (later copies are retries). A partial
+    aggregate: a key sent a million times is combined before the shuffle."""
+    rest = [c for c in batch.columns if c not in key]
+    first = batch.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_r"))
+    return first.select(*key, "_r.*").select(*batch.columns)
+
+
+def touched_days(stored: DataFrame, batch: DataFrame, partition_col: str, ts_col: str) -> DataFrame:
+    """The partitions of ``stored`` that hold a date of ``batch``. The batch's distinct dates (a
+    small aggregate, bounded by the calendar) become a literal filter on the partition column,
+    so the other partitions' files are not listed for reading."""
+    days = [r[0] for r in batch.select(F.to_date(F.col(ts_col))).distinct().collect() if r[0] is not None]
+    return stored.filter(F.col(partition_col).isin(days)) if days else stored.filter(F.lit(False))
 
 
 def dedup_append(stored: DataFrame, batch: DataFrame, key: list[str] = POSITION_KEY,
-                 arrival: list | None = None, date_col: str | None = "recorded_at") -> DataFrame:
+                 arrival: list | None = None, ts_col: str = "recorded_at",
+                 partition_col: str = "recorded_date") -> DataFrame:
     """M1/M2/M3: rows of ``batch`` whose key is neither stored nor earlier in the batch.
 
-    The anti-join also matches on the report date, so a stored table partitioned by
-    ``recorded_date`` is pruned to the batch's dates (dynamic partition pruning).
+    ``arrival`` orders the batch (default: its columns). A ``stored`` table that is partitioned
+    by ``partition_col`` is read in the batch's dates only: the key holds the instant, so an
+    equal key lies in an equal partition.
     """
-    arrival = arrival or [F.lit(0)]
-    new = first_arrival(batch, key, arrival)
-    keys = list(key)
-    if date_col is not None:
-        new = new.withColumn("_d", F.to_date(F.col(date_col)))
-        stored = stored.withColumn("_d", F.to_date(F.col(date_col)))
-        keys = keys + ["_d"]
-    out = new.join(stored.select(*keys), keys, "left_anti")
-    return out.drop("_d") if date_col is not None else out
+    new = first_arrival(batch, key, arrival or [F.col(c) for c in batch.columns])
+    if partition_col in stored.columns:
+        stored = touched_days(stored, batch, partition_col, ts_col)
+    return new.join(stored.select(*key), key, "left_anti")
 
 
 def atomic_batch(df: DataFrame, batch_col: str, valid: Column) -> tuple[DataFrame, DataFrame]:
@@ -75,14 +82,19 @@ def insert_if_absent(existing: DataFrame, requests: DataFrame, id_col: str, arri
     ('accepted', 'duplicate_id').
 
     The first claim per id is a partial aggregate (``min`` of the arrival key), not a window,
-    so an id requested a million times is combined map-side. Arrival keys must be unique per id.
+    so an id requested a million times is combined map-side. Only requests that share the first
+    arrival key are ranked, by their other columns: exactly one of them gets the id.
     """
     r = requests.withColumn("_arr", F.struct(*arrival))
     first = r.groupBy(F.col(id_col).alias("_fid")).agg(F.min("_arr").alias("_first"))
     ex = existing.select(F.col(id_col).alias("_eid")).distinct()
     r = r.join(first, F.col(id_col) == F.col("_fid"), "left").join(ex, F.col(id_col) == F.col("_eid"), "left")
-    outcome = F.when(F.col("_eid").isNull() & (F.col("_arr") == F.col("_first")), "accepted").otherwise("duplicate_id")
-    return r.withColumn("outcome", outcome).drop("_arr", "_fid", "_first", "_eid")
+    r = r.withColumn("_tie", F.col("_arr") == F.col("_first")).withColumn("_row", F.xxhash64(*requests.columns))
+    # the later requests of an id are spread by their hash; the ties of one id meet
+    w = Window.partitionBy(id_col, "_tie", F.when(~F.col("_tie"), F.col("_row"))).orderBy("_row")
+    won = F.col("_eid").isNull() & F.col("_tie") & (F.row_number().over(w) == 1)
+    return r.withColumn("outcome", F.when(won, "accepted").otherwise("duplicate_id")).drop(
+        "_arr", "_fid", "_first", "_eid", "_tie", "_row")
 
 
 def distinct_missing(ids: DataFrame, id_col: str, found: DataFrame, found_col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import asof
 
 
@@ -74,9 +75,39 @@ def _overlap_clusters(rows: DataFrame) -> DataFrame:
         "cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame | None = None,
+                      max_rounds: int = 50) -> DataFrame:
     """Registrations judged one after the other in ``arrival`` order; a rejected request
-    never blocks a later one. Check order: owner, overlap, duplicate id.
+    never blocks a later one. Check order: owner, overlap, duplicate id. An id is a global key:
+    it conflicts with stored ids and with any earlier accepted request, of any serial.
+
+    Within an overlap cluster the fold below is exact. Ids that meet across clusters are settled
+    by repeating it: a request whose id an earlier request took in the last round is treated as
+    a stored id. Each round settles at least the next request of the chain, as every decision
+    depends on earlier arrivals only; the rounds end when nothing changes. Without an id that
+    occurs twice there is one round.
+    """
+    taken = requests.filter("false").select("registration_id", F.col("arrival").cast("bigint").alias("arrival"))
+    twice = (requests.groupBy("registration_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .select("registration_id"))
+    contested = not twice.isEmpty()
+    for _ in range(max_rounds):
+        out = _accept_round(requests, owners, stored, taken)
+        if not contested:
+            return out
+        out = cut_lineage(out)
+        first = (out.filter("outcome = 'accepted'").join(twice, "registration_id", "left_semi")
+                 .groupBy("registration_id").agg(F.min("arrival").alias("_first")))
+        late = cut_lineage(requests.join(first, "registration_id").filter(F.col("arrival") > F.col("_first"))
+                           .select("registration_id", F.col("arrival").cast("bigint").alias("arrival")))
+        if late.exceptAll(taken).isEmpty() and taken.exceptAll(late).isEmpty():
+            return out
+        taken = late
+    raise RuntimeError("sequential_accept did not settle")
+
+
+def _accept_round(requests: DataFrame, owners: DataFrame, stored: DataFrame | None, taken: DataFrame) -> DataFrame:
+    """One round of M14; ``taken`` are (registration_id, arrival) of requests whose id is gone.
 
     Requests failing the owner check are rejected without entering the fold (they change
     nothing). The others, with the stored registrations, are cut into overlap clusters per
@@ -94,6 +125,9 @@ def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame
              .withColumn("stored_id", F.col("_sid").isNotNull()).drop("_sid")
     else:
         r = r.withColumn("stored_id", F.lit(False))
+    gone = taken.select(F.col("registration_id").alias("_tid"), F.col("arrival").alias("_tarr"))
+    r = r.join(gone, (F.col("registration_id") == F.col("_tid")) & (F.col("arrival") == F.col("_tarr")), "left") \
+         .withColumn("stored_id", F.col("stored_id") | F.col("_tid").isNotNull()).drop("_tid", "_tarr")
     no_owner = r.filter(~F.col("owner_ok")).select("registration_id", "serial_number",
                                                    F.col("arrival").cast("bigint").alias("arrival"),
                                                    F.lit("owner_not_found").alias("outcome"))
@@ -137,62 +171,52 @@ def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame
     return folded.unionByName(no_owner)
 
 
-def overlap_counts(candidates: DataFrame, stored: DataFrame, key: str = "_pk") -> DataFrame:
-    """Per candidate range, how many stored ranges of the same serial overlap it (closed).
+def other_overlaps(ranges: DataFrame, stored: DataFrame, key: str = "_pk") -> DataFrame:
+    """(key) of the ranges that overlap a stored range of the same serial with another id.
 
-    No pairs: the count is (stored starting on or before the candidate's end) minus (stored
-    ending before its start), each a running count in one sort per serial. Candidates need
-    ``key``, ``serial_number``, ``start_date``, ``end_date``; adds ``n_stored_overlaps``.
+    ``ranges``: key, registration_id, serial_number, start_date, end_date. No pairs: some other
+    registration starts by the range's end and ends on or after its start exactly if the largest
+    end among the others that start by then reaches the start. One sort per serial carries the
+    two largest ends with their ids; the second largest so far is the largest of what each row
+    left standing when compared with the largest before it.
     """
-    c = candidates.select(key, "serial_number", "start_date", "end_date")
-    st = stored.select("serial_number", "start_date", "end_date")
-    w = (Window.partitionBy("serial_number").orderBy("_v", "_kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # stored starts (kind 0) sort before a marker at the candidate's end (kind 1) of equal date
-    u1 = (st.select("serial_number", F.col("start_date").alias("_v"), F.lit(0).alias("_kind"),
-                    F.lit(None).cast(c.schema[key].dataType).alias(key))
-          .unionByName(c.select("serial_number", F.col("end_date").alias("_v"), F.lit(1).alias("_kind"), key)))
-    a = (u1.withColumn("_n", F.sum(F.when(F.col("_kind") == 0, 1).otherwise(0)).over(w))
-           .filter(F.col("_kind") == 1).select(key, F.col("_n").alias("_starts_le_end")))
-    # a marker at the candidate's start (kind 0) sorts before stored ends (kind 1) of equal date
-    u2 = (st.select("serial_number", F.col("end_date").alias("_v"), F.lit(1).alias("_kind"),
-                    F.lit(None).cast(c.schema[key].dataType).alias(key))
-          .unionByName(c.select("serial_number", F.col("start_date").alias("_v"), F.lit(0).alias("_kind"), key)))
-    b = (u2.withColumn("_n", F.sum(F.when(F.col("_kind") == 1, 1).otherwise(0)).over(w))
-           .filter(F.col("_kind") == 0).select(key, F.col("_n").alias("_ends_lt_start")))
-    return (candidates.join(a, key, "left").join(b, key, "left")
-            .withColumn("n_stored_overlaps", F.coalesce(F.col("_starts_le_end"), F.lit(0))
-                        - F.coalesce(F.col("_ends_lt_start"), F.lit(0)))
-            .drop("_starts_le_end", "_ends_lt_start"))
+    st = stored.select("serial_number", F.col("start_date").alias("_v"), F.lit(0).alias("_kind"),
+                       F.struct("end_date", "registration_id").alias("_x"))
+    c = ranges.select("serial_number", F.col("end_date").alias("_v"), F.lit(1).alias("_kind"), F.col(key).alias(key),
+                      F.col("start_date").alias("_from"), F.col("registration_id").alias("_self"))
+    rows = c.unionByName(st, allowMissingColumns=True)
+    w = Window.partitionBy("serial_number").orderBy("_v", "_kind", F.col("_x.registration_id"))
+    before = F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # least() skips nulls, so the first row must be kept from standing as its own second
+    rows = rows.withColumn("_low", F.when(F.col("_x").isNotNull() & before.isNotNull(), F.least(F.col("_x"), before)))
+    rows = rows.withColumn("_m1", F.max("_x").over(upto)).withColumn("_m2", F.max("_low").over(upto))
+    best = F.when(F.col("_m1.registration_id") == F.col("_self"), F.col("_m2.end_date")).otherwise(F.col("_m1.end_date"))
+    return rows.filter("_kind = 1").filter(best >= F.col("_from")).select(key)
 
 
 def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patched dates (absent fields keep their value) re-run M13 against the other stored
-    registrations of the serial; owner and serial are immutable. Each patch is judged
-    against the stored table. Returns patches with ``outcome``: 'not_found',
-    'end_before_start', 'registration_overlap' or 'accepted'.
-
-    Overlaps are counted without forming pairs (``overlap_counts``); the patched
-    registration's own stored row is then subtracted when it overlaps the new range.
+    """A patch that gives a date re-runs M13 for its merged range against the other stored
+    registrations of the serial; one without a date never overlaps. Absent fields keep their
+    value; owner and serial are immutable; each patch is judged against the stored table.
+    Returns patches with ``outcome``: 'not_found', 'registration_overlap', 'end_before_start'
+    (which the stored table's own constraint finds after the overlap check) or 'accepted'.
     """
     base = stored.select("registration_id", "serial_number", F.col("start_date").alias("_s0"),
                          F.col("end_date").alias("_e0"))
-    p = patches.join(base, "registration_id", "left")
-    p = p.withColumn("_found", F.col("serial_number").isNotNull())
-    p = (p.withColumn("new_start", F.coalesce(F.col("start_date"), F.col("_s0")))
-          .withColumn("new_end", F.coalesce(F.col("end_date"), F.col("_e0"))))
-    p = p.withColumn("_pk", F.concat_ws("#", "registration_id", F.col("seq").cast("string")))
-    cand = p.filter(F.col("_found") & (F.col("new_end") >= F.col("new_start"))).select(
-        "_pk", "serial_number", F.col("new_start").alias("start_date"), F.col("new_end").alias("end_date"),
-        ((F.col("_s0") <= F.col("new_end")) & (F.col("new_start") <= F.col("_e0"))).alias("_self"))
-    counted = overlap_counts(cand, stored).select(
-        "_pk", (F.col("n_stored_overlaps") - F.when(F.col("_self"), 1).otherwise(0)).alias("_others"))
-    p = p.join(counted, "_pk", "left")
-    outcome = (F.when(~F.col("_found"), "not_found")
+    p = (patches.join(base, "registration_id", "left")
+         .withColumn("new_start", F.coalesce(F.col("start_date"), F.col("_s0")))
+         .withColumn("new_end", F.coalesce(F.col("end_date"), F.col("_e0")))
+         .withColumn("_pk", F.concat_ws("#", "registration_id", F.col("seq").cast("string"))))
+    dated = p.filter(F.col("serial_number").isNotNull() & (F.col("start_date").isNotNull() | F.col("end_date").isNotNull()))
+    hit = other_overlaps(dated.select("_pk", "registration_id", "serial_number", F.col("new_start").alias("start_date"),
+                                      F.col("new_end").alias("end_date")), stored)
+    p = p.join(hit.withColumn("_hit", F.lit(True)), "_pk", "left")
+    outcome = (F.when(F.col("serial_number").isNull(), "not_found")
+                .when(F.col("_hit").isNotNull(), "registration_overlap")
                 .when(F.col("new_end") < F.col("new_start"), "end_before_start")
-                .when(F.col("_others") > 0, "registration_overlap")
                 .otherwise("accepted"))
-    return p.withColumn("outcome", outcome).drop("_s0", "_e0", "_found", "_pk", "_others")
+    return p.withColumn("outcome", outcome).drop("_s0", "_e0", "_pk", "_hit")
 
 
 def active_registration(registrations: DataFrame, probes: DataFrame, serial_col: str = "serial_number",

@@ -25,43 +25,63 @@ def _scratch(spark) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/streams/" + uuid.uuid4().hex
 
 
-def _position_source(spark, sf_dir, path: str, retries: bool) -> None:
-    """Bodies {serial, body}; odd events as one-element arrays. With ``retries`` every body
-    is sent twice (a client retry)."""
+def _position_source(spark, sf_dir, path: str, retries: bool, bad: bool = False) -> None:
+    """Bodies {serial, body} in four files, so that a stream meets them in several micro-batches;
+    odd events as one-element arrays. With ``retries`` every body is sent twice (a client retry,
+    in another file). With ``bad``, the bodies of events ending in 5 also hold an impossible
+    latitude."""
     e = fx.load(spark, sf_dir, "events")
-    item = F.struct(F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("reportId"),
-                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("recordedAt"),
-                    (F.lit(47.0) + (F.col("event_id") % 512).cast("double") / 1024.0).alias("latitude"),
-                    (F.lit(-123.0) + (F.col("event_id") * 7 % 1024).cast("double") / 1024.0).alias("longitude"),
-                    F.col("value").alias("altitudeFt"))
-    body = F.when(F.col("event_id") % 2 == 1, F.to_json(F.array(item))).otherwise(F.to_json(item))
-    b = e.select(F.concat(F.lit("SN-"), F.col("user_id").cast("string")).alias("serial"), body.alias("body"))
+
+    def item(latitude):
+        return F.struct(F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("reportId"),
+                        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("recordedAt"),
+                        latitude.alias("latitude"),
+                        (F.lit(-123.0) + (F.col("event_id") * 7 % 1024).cast("double") / 1024.0).alias("longitude"),
+                        F.col("value").alias("altitudeFt"))
+    good = item(F.lit(47.0) + (F.col("event_id") % 512).cast("double") / 1024.0)
+    body = F.when(F.col("event_id") % 2 == 1, F.to_json(F.array(good))).otherwise(F.to_json(good))
+    if bad:
+        body = F.when(F.col("event_id") % 10 == 5, F.to_json(F.array(good, item(F.lit(95.0))))).otherwise(body)
+    b = e.select(F.concat(F.lit("SN-"), F.col("user_id").cast("string")).alias("serial"), body.alias("body"),
+                 F.col("event_id").alias("k"))
     if retries:
-        b = b.unionAll(b)
-    b.write.mode("overwrite").json(path)
+        b = b.unionAll(b.withColumn("k", F.col("k") + 1))
+    b.repartition(4, F.col("k") % 4).drop("k").write.mode("overwrite").json(path)
 
 
 @query("stream_ingest_positions", with_fixtures("live_positions") + f"""
-SELECT report_id, drone_serial_number, {iso('recorded_at')} AS recorded_at FROM live_positions""")
+SELECT 'stored' AS kind, report_id, drone_serial_number, {iso('recorded_at')} AS recorded_at, CAST(0 AS BIGINT) AS n
+FROM live_positions WHERE event_id % 10 <> 5
+UNION ALL
+SELECT 'rejected', NULL, drone_serial_number, NULL, 2 * count(*) FROM live_positions WHERE event_id % 10 = 5
+GROUP BY drone_serial_number""")
 def q_stream_ingest_positions(spark, sf_dir):
-    """ST1: every body sent twice; the table ends with each report exactly once."""
+    """ST1 over several micro-batches, every body sent twice: the table ends with each report of
+    the good bodies exactly once, and every body with a bad report is in the rejects."""
     d = _scratch(spark)
-    _position_source(spark, sf_dir, os.path.join(d, "src"), retries=True)
-    q = st.stream_ingest_positions(spark, os.path.join(d, "src"), os.path.join(d, "table"), os.path.join(d, "ckpt"))
+    _position_source(spark, sf_dir, os.path.join(d, "src"), retries=True, bad=True)
+    q = st.stream_ingest_positions(spark, os.path.join(d, "src"), os.path.join(d, "table"), os.path.join(d, "ckpt"),
+                                   os.path.join(d, "rejects"), files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(d, "table")).select("report_id", "drone_serial_number", "recorded_at")
+    stored = spark.read.parquet(os.path.join(d, "table")).select(
+        F.lit("stored").alias("kind"), "report_id", "drone_serial_number", "recorded_at", F.lit(0).cast("long").alias("n"))
+    bad = spark.read.schema("serial string, body string, n_bad long, batch int").json(os.path.join(d, "rejects"))
+    return stored.unionByName(bad.groupBy(F.col("serial").alias("drone_serial_number")).agg(F.count("*").alias("n"))
+                              .select(F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("report_id"),
+                                      "drone_serial_number", F.lit(None).cast("timestamp").alias("recorded_at"), "n"))
 
 
 @query("stream_dedup_bounded", with_fixtures("live_positions") + """
 SELECT report_id FROM live_positions""")
 def q_stream_dedup_bounded(spark, sf_dir):
-    """ST2: retries inside the watermark delay are dropped with bounded state."""
+    """ST2 over several micro-batches: retries and most first reports come far later than the
+    delay; each report is stored once and none is lost."""
     d = _scratch(spark)
     _position_source(spark, sf_dir, os.path.join(d, "src"), retries=True)
-    q = st.stream_dedup_bounded(spark, os.path.join(d, "src"), os.path.join(d, "sink"), os.path.join(d, "ckpt"),
-                                delay="400 days")
+    q = st.stream_dedup_bounded(spark, os.path.join(d, "src"), os.path.join(d, "table"), os.path.join(d, "ckpt"),
+                                delay="1 hour", files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(d, "sink")).select("report_id")
+    return spark.read.parquet(os.path.join(d, "table")).select("report_id")
 
 
 @query("stream_latest_position", with_fixtures("live_positions") + f"""
@@ -69,13 +89,14 @@ SELECT drone_serial_number, report_id, {iso('recorded_at')} AS recorded_at
 FROM (SELECT *, row_number() OVER (PARTITION BY drone_serial_number ORDER BY recorded_at DESC, report_id) rn
       FROM live_positions) WHERE rn = 1""")
 def q_stream_latest_position(spark, sf_dir):
-    """ST3: the latest-position snapshot kept current by micro-batch merges."""
+    """ST3: the latest positions kept current by several micro-batches in no order of time."""
     d = _scratch(spark)
     _position_source(spark, sf_dir, os.path.join(d, "src"), retries=False)
-    q = st.stream_latest_position(spark, os.path.join(d, "src"), os.path.join(d, "snap"), os.path.join(d, "ckpt"))
+    q = st.stream_latest_position(spark, os.path.join(d, "src"), os.path.join(d, "changes"), os.path.join(d, "ckpt"),
+                                  files_per_trigger=1)
     q.awaitTermination()
-    return st.latest_snapshot(spark, os.path.join(d, "snap")).select("drone_serial_number", "report_id",
-                                                                    "recorded_at")
+    return st.latest_snapshot(spark, os.path.join(d, "changes")).select("drone_serial_number", "report_id",
+                                                                        "recorded_at")
 
 
 @query("stream_zone_staleness", with_fixtures("observed_reports") + """,
@@ -84,12 +105,12 @@ SELECT zone_id, report_id FROM (
   SELECT o.*, row_number() OVER (PARTITION BY zone_id ORDER BY recorded_at DESC, report_id) rn
   FROM observed_reports o, m WHERE o.recorded_at >= m.stamp - INTERVAL 30 MINUTE) WHERE rn = 1""")
 def q_stream_zone_staleness(spark, sf_dir):
-    """ST4: fresh zones recomputed per micro-batch with stamp = the newest report so far."""
+    """ST4: fresh zones after the last of several micro-batches, at the newest report so far."""
     d = _scratch(spark)
     z = fx.observed_reports(spark, sf_dir).select("report_id", "zone_id", "recorded_at")
-    z.write.mode("overwrite").json(os.path.join(d, "src"))
-    q = st.stream_zone_staleness(spark, os.path.join(d, "src"), os.path.join(d, "sink"), os.path.join(d, "ckpt"))
+    z.repartition(3, F.col("report_id")).write.mode("overwrite").json(os.path.join(d, "src"))
+    q = st.stream_zone_staleness(spark, os.path.join(d, "src"), os.path.join(d, "sink"), os.path.join(d, "ckpt"),
+                                 stamp_of_batch=st.newest_report, files_per_trigger=1)
     q.awaitTermination()
-    out = spark.read.parquet(os.path.join(d, "sink"))
-    last = out.agg(F.max("batch_id").alias("b"))
-    return out.join(last, out["batch_id"] == last["b"]).select("zone_id", "report_id")
+    out = spark.read.schema("zone_id string, report_id string, batch_id int").parquet(os.path.join(d, "sink"))
+    return out.join(out.agg(F.max("batch_id").alias("batch_id")), "batch_id").select("zone_id", "report_id")

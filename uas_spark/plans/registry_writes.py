@@ -105,15 +105,16 @@ def q_atomic_batch(spark, sf_dir):
 
 
 @query("insert_if_absent", with_fixtures("authorizations") + """
-SELECT authorization_id, CASE WHEN start_time < TIMESTAMP '2024-01-15 00:00:00' THEN 'duplicate_id'
-                              ELSE 'accepted' END AS outcome
-FROM authorizations""")
+SELECT authorization_id, CASE WHEN start_time < TIMESTAMP '2024-01-15 00:00:00' OR n = 1 THEN 'duplicate_id'
+                              ELSE 'accepted' END AS outcome, count(*) AS n_requests
+FROM authorizations, (SELECT unnest([0, 1]) AS n) GROUP BY ALL""")
 def q_insert_if_absent(spark, sf_dir):
-    """M6: all authorizations submitted; those starting before Jan 15 are already stored."""
+    """M6: all authorizations submitted twice at the same instant; those starting before Jan 15
+    are already stored."""
     a = fx.authorizations(spark, sf_dir)
     existing = a.filter(F.col("start_time") < F.to_timestamp(F.lit("2024-01-15 00:00:00")))
-    out = ingest.insert_if_absent(existing, a, "authorization_id", [F.col("created_at")])
-    return out.select("authorization_id", "outcome")
+    out = ingest.insert_if_absent(existing, a.unionAll(a), "authorization_id", [F.col("created_at")])
+    return out.groupBy("authorization_id", "outcome").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
 @query("distinct_ids", with_fixtures("sensor_positions", "sensors") + """
@@ -253,14 +254,14 @@ p AS (SELECT 'R-' || CAST(l_orderkey AS VARCHAR) AS registration_id, CAST(l_line
         CASE WHEN l_linestatus = 'O' THEN DATE '2023-09-01' + CAST(l_partkey % 180 AS INTEGER) END AS start_date,
         CASE WHEN l_returnflag = 'R' THEN DATE '2023-09-01' + CAST(l_suppkey % 200 AS INTEGER) END AS end_date
       FROM lineitem_pairs),
-m AS (SELECT p.registration_id, p.seq, b.serial_number, b.registration_id IS NOT NULL AS found,
+m AS (SELECT p.registration_id, p.seq, p.start_date IS NOT NULL OR p.end_date IS NOT NULL AS dated, b.serial_number, b.registration_id IS NOT NULL AS found,
              coalesce(p.start_date, b.start_date) AS ns, coalesce(p.end_date, b.end_date) AS ne
       FROM p LEFT JOIN registrations b ON b.registration_id = p.registration_id)
 SELECT registration_id, seq,
-  CASE WHEN NOT found THEN 'not_found' WHEN ne < ns THEN 'end_before_start'
-       WHEN EXISTS (SELECT 1 FROM registrations s WHERE s.serial_number = m.serial_number
+  CASE WHEN NOT found THEN 'not_found'
+       WHEN dated AND EXISTS (SELECT 1 FROM registrations s WHERE s.serial_number = m.serial_number
                     AND s.registration_id <> m.registration_id AND s.start_date <= m.ne AND m.ns <= s.end_date)
-         THEN 'registration_overlap' ELSE 'accepted' END AS outcome
+         THEN 'registration_overlap' WHEN ne < ns THEN 'end_before_start' ELSE 'accepted' END AS outcome
 FROM m""")
 def q_registration_patch_overlap(spark, sf_dir):
     out = registrations.registration_patch_overlap(fx.registrations(spark, sf_dir), _reg_patches(spark, sf_dir))

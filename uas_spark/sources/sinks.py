@@ -1,10 +1,8 @@
-"""Sinks: time-partitioned append (S10) and keyed snapshot replace."""
+"""Sinks: time-partitioned append (S10) and keyed replace."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,21 +13,8 @@ def append_time_partitioned(df: DataFrame, path: str, ts_col: str = "recorded_at
       .partitionBy("recorded_date").parquet(path)
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new snapshot folder of a keyed table and point ``_CURRENT`` at it.
-
-    Writers never overwrite the folder readers use; the pointer file flips last, so a reader
-    sees the old or the new snapshot, never a partial one. (With a v2 catalog, ``mergeInto``
-    would replace this.)
-    """
-    spark = df.sparkSession
-    name = "snap-" + uuid.uuid4().hex
-    df.write.mode("errorifexists").parquet(f"{root}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{root}/_CURRENT")
-    return name
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Read the snapshot ``_CURRENT`` points at (a one-line text file)."""
-    name = spark.read.text(f"{root}/_CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+def replace_partitions(df: DataFrame, path: str, partition_col: str) -> None:
+    """Replace the partitions of a keyed table that ``df`` holds rows of; the others stay.
+    Spark's own dynamic partition overwrite; ``df`` must not read ``path`` lazily (write it to
+    the checkpoint folder first if it does)."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))

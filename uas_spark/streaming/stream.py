@@ -1,137 +1,153 @@
 """Structured Streaming forms of the ingest and "current state" operators (ST1-ST4).
 
-The reference has no stream processor: clients POST small batches with safe retries.
-Here a stream of JSON-lines bodies is micro-batched; each micro-batch runs the same
-batch operators. Sinks are tables (parquet folders) in a caller-given folder, normally
-under the cluster's shared ``spark.checkpoint.dir``; stream checkpoints go there too,
-so a restarted query resumes exactly where it stopped.
+The reference has no stream processor: clients POST small batches with safe retries. Here a
+stream of JSON-lines bodies is micro-batched; each micro-batch runs the same batch operators.
+Sinks are parquet folders given by the caller, normally under the cluster's shared
+``spark.checkpoint.dir``; stream checkpoints go there too, so a restarted query resumes where it
+stopped. What a micro-batch writes is either keyed by an anti-join or goes to a folder of its
+own that a replay overwrites.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, ingest
+from ..operators.validate import coordinates_ok
 from ..sources import json_sources as js
+from ..sources.sinks import append_time_partitioned
 
 POSITION_COLS = ["report_id", "drone_serial_number", "recorded_at", "latitude", "longitude", "altitude_ft"]
+POSITION_SCHEMA = ("report_id string, drone_serial_number string, recorded_at timestamp, latitude double, "
+                   "longitude double, altitude_ft double, recorded_date date")
 
 
-def position_stream(spark: SparkSession, source: str) -> DataFrame:
-    """S1 as a stream: bodies ``{serial, body}`` per line; one-or-many reports per body."""
-    raw = spark.readStream.schema("serial string, body string").json(source)
-    items = raw.select("serial", F.posexplode(js.one_or_many(F.col("body"), js.POSITION_BODY)).alias("pos", "r"))
-    return items.select(F.col("r.reportId").alias("report_id"), F.col("serial").alias("drone_serial_number"),
+def _bodies(spark: SparkSession, source: str, files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema("serial string, body string")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.json(source)
+
+
+def _reports(bodies: DataFrame) -> DataFrame:
+    """The one or many reports of each body, with their place in it."""
+    items = bodies.select("*", F.posexplode_outer(js.one_or_many(F.col("body"), js.POSITION_BODY)).alias("pos", "r"))
+    keep = [c for c in bodies.columns if c not in ("serial", "body")]
+    return items.select(*keep, "pos", F.col("r.reportId").alias("report_id"),
+                        F.col("serial").alias("drone_serial_number"),
                         js.to_instant(F.col("r.recordedAt")).alias("recorded_at"),
                         F.col("r.latitude").alias("latitude"), F.col("r.longitude").alias("longitude"),
                         F.col("r.altitudeFt").alias("altitude_ft"))
 
 
-def _fs(spark: SparkSession, path: str):
-    """Hadoop FileSystem of ``path`` (works for local, HDFS and object-store folders)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def list_children(spark: SparkSession, path: str) -> list[str]:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(p)]
-
-
-def _table_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    names = list_children(spark, path)
-    if any(n.endswith(".parquet") or n.startswith("recorded_date=") for n in names):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], like.schema)
-
-
-def _committed(spark: SparkSession, folder: str) -> bool:
-    fs, p = _fs(spark, folder + "/_SUCCESS")
-    return bool(fs.exists(p))
+def position_stream(spark: SparkSession, source: str, files_per_trigger: int | None = None) -> DataFrame:
+    """S1 as a stream: bodies ``{serial, body}`` per line; one-or-many reports per body."""
+    return _reports(_bodies(spark, source, files_per_trigger)).filter("report_id IS NOT NULL").select(*POSITION_COLS)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Snapshot versions whose write committed (``_SUCCESS`` present); a folder left by a
-    failed write does not count and is overwritten on replay."""
-    return sorted(int(n.split("=")[1]) for n in list_children(spark, root)
-                  if n.startswith("v=") and _committed(spark, f"{root}/{n}"))
+def _stored(spark: SparkSession, table: str) -> DataFrame:
+    """The table as stored so far; its columns without rows before the first append."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return spark.createDataFrame([], POSITION_SCHEMA)
+    return spark.read.schema(POSITION_SCHEMA).parquet(table)
 
 
-def stream_ingest_positions(spark: SparkSession, source: str, table: str, checkpoint: str):
-    """ST1: continuous S1 -> validate -> M1 into a table partitioned by ``recorded_date``.
+def stream_ingest_positions(spark: SparkSession, source: str, table: str, checkpoint: str, rejects: str | None = None,
+                            files_per_trigger: int | None = None):
+    """ST1: continuous S1 -> validate -> M4 -> M1 into a table partitioned by ``recorded_date``.
 
-    Each micro-batch is anti-joined against the stored rows of the dates it touches, so a
-    replayed micro-batch (after a failure) appends nothing twice: exact and replay-safe.
-    Returns the started query.
+    A body with one bad report is rejected whole; with ``rejects`` given, rejected bodies go
+    there with their count of bad reports. Of two reports with one key the first in the body,
+    and the first body of the micro-batch, stays. The anti-join reads the stored partitions of
+    the micro-batch's dates only, so a replayed micro-batch appends nothing twice. Returns the
+    started query.
     """
-    from ..operators.validate import coordinates_ok
-
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        good = batch.filter(coordinates_ok(F.col("latitude"), F.col("longitude")) & F.col("recorded_at").isNotNull())
-        stored = _table_or_empty(batch.sparkSession, table, good.withColumn("recorded_date", F.lit(None).cast("date")))
-        new = ingest.dedup_append(stored.drop("recorded_date"), good.withColumn("_arr", F.lit(0)),
-                                  arrival=[F.col("_arr")]).drop("_arr")
-        new.withColumn("recorded_date", F.to_date("recorded_at")).write.mode("append") \
-           .partitionBy("recorded_date").parquet(table)
-
-    return (position_stream(spark, source).writeStream.foreachBatch(upsert)
+        bodies = batch.withColumn("line", F.monotonically_increasing_id()).persist()
+        try:
+            good, bad = ingest.atomic_batch(
+                _reports(bodies).filter("pos IS NOT NULL OR report_id IS NOT NULL"), "line",
+                F.coalesce(coordinates_ok(F.col("latitude"), F.col("longitude")), F.lit(False))
+                & F.col("recorded_at").isNotNull() & F.col("report_id").isNotNull())
+            new = ingest.dedup_append(_stored(batch.sparkSession, table), good, arrival=[F.col("line"), F.col("pos")])
+            append_time_partitioned(new.select(*POSITION_COLS), table)
+            if rejects:
+                (bodies.join(bad, "line").select("serial", "body", F.col("bad_rows").alias("n_bad"))
+                 .write.mode("overwrite").json(f"{rejects}/batch={batch_id}"))
+        finally:
+            bodies.unpersist()
+
+    return (_bodies(spark, source, files_per_trigger).writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_dedup_bounded(spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str = "1 hour"):
-    """ST2: the same with bounded state: duplicates within the watermark delay are dropped;
-    a retry later than the watermark may be appended again (documented deviation)."""
-    s = (position_stream(spark, source).withWatermark("recorded_at", delay)
-         .dropDuplicatesWithinWatermark(["recorded_at", "report_id"]))
-    return (s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
-
-
-def stream_latest_position(spark: SparkSession, source: str, snapshot_root: str, checkpoint: str):
-    """ST3: keep T1 current. Each micro-batch merges its newest report per drone into the
-    latest snapshot (a late report never replaces a newer one) and writes a new snapshot
-    version folder; readers take the highest version."""
+def stream_dedup_bounded(spark: SparkSession, source: str, table: str, checkpoint: str, delay: str = "1 hour",
+                         files_per_trigger: int | None = None):
+    """ST2: idempotent append with a bounded look-back and no rows lost.
 
+    Reports at most ``delay`` older than the newest of the micro-batch are compared with the
+    stored partitions of that stretch alone. Reports that come later than that are few: they are
+    compared with the partitions of their own dates, so a first-time late report is stored and a
+    late retry is not stored again.
+    """
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            newest = rows.select(F.max("recorded_at")).scalar()
+            late = F.col("recorded_at") < newest - F.expr(f"INTERVAL {delay}")
+            stored = _stored(batch.sparkSession, table)
+            new = [ingest.dedup_append(stored, part) for part in (rows.filter(~late), rows.filter(late))]
+            append_time_partitioned(new[0].unionByName(new[1]), table)
+        finally:
+            rows.unpersist()
+
+    return (position_stream(spark, source, files_per_trigger).filter("recorded_at IS NOT NULL").writeStream
+            .foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def stream_latest_position(spark: SparkSession, source: str, changes: str, checkpoint: str,
+                           files_per_trigger: int | None = None):
+    """ST3: keep T1 current. Each micro-batch writes its newest report per drone to a folder of
+    its own (a replay overwrites it); ``latest_snapshot`` merges them, so a late report never
+    replaces a newer one."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        sess = batch.sparkSession
-        versions = _versions(sess, snapshot_root)
-        if versions and versions[-1] >= batch_id + 1:
-            return  # replayed batch: already merged
-        cur = batch.select(*POSITION_COLS)
-        if versions:
-            cur = sess.read.parquet(f"{snapshot_root}/v={versions[-1]}").unionByName(cur)
-        asof.latest_position(cur).write.mode("overwrite").parquet(f"{snapshot_root}/v={batch_id + 1}")
-
-    return (position_stream(spark, source).writeStream.foreachBatch(merge)
+        asof.latest_position(batch).write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
+
+    return (position_stream(spark, source, files_per_trigger).writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def latest_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame:
-    return spark.read.parquet(f"{snapshot_root}/v={_versions(spark, snapshot_root)[-1]}")
+def latest_snapshot(spark: SparkSession, changes: str) -> DataFrame:
+    """T1 over what the micro-batches wrote: at most one row per drone and micro-batch."""
+    return asof.latest_position(spark.read.parquet(changes).drop("batch"))
 
 
-def stream_zone_staleness(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                          stale_minutes: int = 30, stamp_of_batch=None):
-    """ST4: T2 as a continuous view. Every micro-batch recomputes the fresh zones over all
-    reports so far with ``stamp`` = the batch time (or ``stamp_of_batch(batch_id)``), and
-    appends (batch_id, zone_id, report_id)."""
-    zones = spark.readStream.schema("report_id string, zone_id string, recorded_at timestamp").json(source)
+def stream_zone_staleness(spark: SparkSession, source: str, sink: str, checkpoint: str, stale_minutes: int = 30,
+                          stamp_of_batch=None, files_per_trigger: int | None = None):
+    """ST4: T2 as a continuous view. Every micro-batch keeps its newest report per zone, and
+    writes the zones that are fresh at ``stamp_of_batch(reports so far)``, a column or a literal
+    instant (default: the current time, so a zone leaves when its reports stop), as
+    (zone_id, report_id) of its ``batch_id``."""
+    reader = spark.readStream.schema("report_id string, zone_id string, recorded_at timestamp")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     store = sink + "_reports"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        # per-batch folders written with overwrite: a replayed micro-batch rewrites its own
-        # folders instead of appending twice
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        allr = batch.sparkSession.read.parquet(store).drop("batch")
-        stamp = stamp_of_batch(batch_id) if stamp_of_batch else None
-        if stamp is None:
-            stamp = allr.agg(F.max("recorded_at")).first()[0].strftime("%Y-%m-%d %H:%M:%S")
-        fresh = asof.zone_latest_fresh(allr, stamp, stale_minutes)
+        newest = asof.top1(batch, ["zone_id"], [F.col("recorded_at").desc(), F.col("report_id")])
+        newest.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        known = batch.sparkSession.read.parquet(store).drop("batch")
+        stamp = stamp_of_batch(known) if stamp_of_batch else F.current_timestamp()
+        fresh = asof.zone_latest_fresh(known, stamp, stale_minutes)
         fresh.select("zone_id", "report_id").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    return (zones.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (reader.json(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def newest_report(known: DataFrame) -> Column:
+    """A stamp for ``stream_zone_staleness``: the instant of the newest report so far."""
+    return known.select(F.max("recorded_at")).scalar()
