@@ -79,13 +79,14 @@ def test_random_triangles_against_python_ray_caster(spark):
     assert all(r["got"] == r["expect"] for r in got)
 
 
-def test_shape_cells_levels(spark):
-    small = geo.normalize_box(F.lit(47.0), F.lit(-123.0), F.lit(47.1), F.lit(-122.9))
-    big = geo.normalize_box(F.lit(40.0), F.lit(-130.0), F.lit(50.0), F.lit(-110.0))
-    s = _eval(spark, geo.shape_cells(small))
-    b = _eval(spark, geo.shape_cells(big))
-    assert {c["lvl"] for c in s} == {0} and len(s) <= geo.DEFAULT_CELL_CAP
-    assert {c["lvl"] for c in b} == {1}
+def test_grid_levels_bound_the_cells(spark):
+    rows = [(47.0, -123.0, 47.1, -122.9), (40.0, -130.0, 50.0, -110.0), (-89.0, -179.9, 89.0, 179.9), (1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").select(
+        geo.normalize_box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("box"))
+    for levels in (None, F.array(*[F.lit(k) for k in range(geo.TOP_LEVEL + 1)])):
+        n = [r["count"] for r in geo.explode_box_cells(df, "box", levels).groupBy("box").count().collect()]
+        assert len(n) == 4 and max(n) <= 81 + 9 * geo.TOP_LEVEL
+    assert {r.g_own for r in geo.explode_box_cells(df, "box").collect()} == {0, 2, 4}
 
 
 def _sat_meets(tri, box):
@@ -120,7 +121,7 @@ def test_random_triangle_box_against_exact_sat(spark):
         rows.append((i, [[{"lon": a, "lat": b} for a, b in _closed(tri)]], *box, _sat_meets(tri, box)))
     df = spark.createDataFrame(rows, "i int, rings array<array<struct<lon:double,lat:double>>>, bx0 double, "
                                      "by0 double, bx1 double, by1 double, expect boolean")
-    e = geo.edges(F.col("rings"))
+    e = F.expr(geo.edges_sql("rings"))
     df = df.withColumn("_edges", e)
     got = df.select("expect", geo.polygon_box_intersects(F.col("rings"), "bx0", "by0", "bx1", "by1").alias("a"),
                     geo.box_meets_edges(F.col("_edges"), F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"))

@@ -84,3 +84,74 @@ def test_sensor_coverage_great_circle(spark):
                                 "report_id string, latitude double, longitude double")
     got = [r.report_id for r in spatial.sensor_coverage(sensors, pos).collect()]
     assert got == ["in"]
+
+
+def test_sensor_coverage_at_the_antimeridian_and_the_poles(spark):
+    sensors = spark.createDataFrame([("east", 10.0, 179.999, 5000.0), ("west", -20.0, -179.999, 5000.0),
+                                     ("pole", 89.99, 0.0, 5000.0), ("all", -90.0, 50.0, 3000.0), ("off", 10.0, 0.0, 0.0)],
+                                    "sensor_id string, latitude double, longitude double, sensing_radius_meters double")
+    pos = spark.createDataFrame([("a", 10.0, -179.999), ("b", 10.0, 179.99), ("c", -20.0, 179.999), ("d", 89.99, 180.0),
+                                 ("e", 89.99, 90.0), ("f", -89.99, -130.0), ("g", 10.0, 179.0), ("h", 10.0, 0.0),
+                                 ("i", 10.0, 180.0), ("j", 10.0, -180.0)],
+                                "report_id string, latitude double, longitude double")
+    got = {(r.s_sensor_id, r.report_id) for r in spatial.sensor_coverage(sensors, pos).collect()}
+    exp = {(s.sensor_id, p.report_id) for s in sensors.collect() for p in pos.collect()
+           if s.sensing_radius_meters and _metres(s.latitude, s.longitude, p.latitude, p.longitude) <= s.sensing_radius_meters}
+    assert got == exp and {("east", "a"), ("west", "c"), ("pole", "d"), ("all", "f")} <= got
+    assert spatial.sensor_coverage(sensors, pos).count() == len(exp)
+
+
+def _metres(a, b, c, d):
+    import math
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
+
+
+ZONES = "report_id string, zone_id string, state string, recorded_at timestamp, ingested_at timestamp, x double"
+
+
+def _zones(spark, rows):
+    df = spark.createDataFrame(rows, ZONES)
+    return df.withColumn("rings", geo.box_rings(F.col("x"), F.lit(47.0), F.col("x") + 1, F.lit(48.0))).drop("x")
+
+
+def test_one_report_id_at_two_instants(spark):
+    t = lambda h: dt.datetime(2026, 1, 1, h)
+    zones = _zones(spark, [("r", "z", "clear", t(1), t(1), -123.0), ("r", "z", "rainy", t(3), t(3), -120.0)])
+    pos = spark.createDataFrame([("p1", dt.datetime(2026, 1, 1, 1, 30), 47.5, -122.5), ("p2", t(4), 47.5, -122.5), ("p3", t(4), 47.5, -119.5)],
+                                "report_id string, recorded_at timestamp, latitude double, longitude double")
+    for join in (spatial.join_positions_zone_current, spatial.join_positions_forecast_zone):
+        got = sorted((r.report_id, r.z_state) for r in join(pos, zones).collect())
+        assert got == [("p1", "clear"), ("p3", "rainy")], join
+    boxes = spark.createDataFrame([("b", 47.2, -122.8, 47.4, -122.6)], "box_id string, a double, b double, c double, d double")
+    boxes = boxes.select("box_id", geo.normalize_box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("box"))
+    at = lambda h: f"2026-01-01 0{h}:00:00"
+    for find in (lambda h: spatial.zone_observed_in_extent(zones, boxes, at=at(h)),
+                 lambda h: spatial.zone_forecast_in_extent(zones, boxes, at(h))):
+        assert [r.z_state for r in find(1).collect()] == ["clear"] and find(3).count() == 0
+
+
+def test_wide_shapes_and_long_windows_stay_small(spark):
+    t = lambda y: dt.datetime(y, 1, 1)
+    # one zone is quiet for years, one covers nearly the world
+    zones = spark.createDataFrame([("a", "z1", "clear", t(2020), t(2020), -123.0, -122.0, 47.0, 48.0),
+                                   ("b", "z2", "rainy", t(2024), t(2024), -179.0, 179.0, -89.0, 89.0)],
+                                  ZONES.replace("x double", "x double, y double, u double, v double"))
+    zones = zones.withColumn("rings", geo.box_rings(F.col("x"), F.col("u"), F.col("y"), F.col("v"))).drop("x", "y", "u", "v")
+    pos = spark.createDataFrame([("p", t(2021), 47.5, -122.5), ("q", t(2025), 10.0, 10.0), ("o", t(1999), 47.5, -122.5)],
+                                "report_id string, recorded_at timestamp, latitude double, longitude double")
+    got = sorted((r.report_id, r.z_report_id) for r in spatial.join_positions_zone_current(pos, zones).collect())
+    assert got == [("p", "a"), ("q", "b")]
+    windows = spark.createDataFrame([(0, 3_000_000_000_000_000)], "a long, b long")
+    n, levels = spatial._with_windows(windows, F.col("a"), F.col("b"), spatial.HOUR_US)
+    assert n.count() <= spatial.BUCKETS
+
+
+def test_world_sized_search_box(spark):
+    auths = _auths(spark)
+    boxes = spark.createDataFrame([("world", -89.0, -180.0, 89.0, 180.0), ("near", 47.6, -122.5, 47.7, -122.4),
+                                   ("far", 0.0, 0.0, 1.0, 1.0)], "box_id string, a double, b double, c double, d double")
+    boxes = boxes.select("box_id", geo.normalize_box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("box"))
+    got = sorted(r.box_id for r in spatial.intersecting_authorizations(auths, boxes).collect())
+    assert got == ["near", "world"]

@@ -291,3 +291,33 @@ def test_keyed_append_reads_the_batch_dates_only(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     listed = re.findall(r"PartitionFilters: \[([^\]]*)", plan)
     assert listed and all("recorded_date" in x and "2026-01-04" in x for x in listed)
+
+
+def test_registration_probe_overlap(spark):
+    rng = random.Random(3)
+    stored = [(f"r{i}", f"S{i % 3}", "o", _day(a := rng.randint(0, 300)), _day(a + rng.randint(0, 20)), i) for i in range(40)]
+    cand = [(f"r{rng.randint(0, 45)}", f"S{rng.randint(0, 3)}", "o", _day(a := rng.randint(0, 300)),
+             _day(a + rng.randint(0, 10)), k) for k in range(200)]
+    got = registrations.registration_overlap(spark.createDataFrame(cand, REG), spark.createDataFrame(stored, REG)).collect()
+    by = {r[0]: r for r in stored}
+    assert len(got) == len(cand)
+    for r in got:
+        hits = {x[0] for x in stored if x[1] == r.serial_number and x[0] != r.registration_id
+                and x[3] <= r.end_date and x[4] >= r.start_date}
+        assert (r.overlapping_id in hits) if hits else r.overlapping_id is None
+        if hits:
+            assert by[r.overlapping_id][4] == max(by[h][4] for h in hits)
+
+
+def test_far_end_dates_stay_small(spark):
+    regs = spark.createDataFrame([("r1", "S", "o", dt.date(2026, 1, 1), dt.date(9999, 12, 31), 0),
+                                  ("r2", "S", "o", dt.date(2026, 3, 1), dt.date(2026, 3, 9), 1)], REG)
+    exploded, _ = registrations._with_ranges(regs, "start_date", "end_date")
+    assert exploded.count() <= 2 * registrations.BUCKETS
+    probes = spark.createDataFrame([("a", "S", dt.date(2026, 3, 5)), ("b", "S", dt.date(2400, 1, 1)),
+                                    ("c", "S", dt.date(2025, 1, 1)), ("d", "T", dt.date(2026, 3, 5))],
+                                   "probe_id string, serial_number string, date date")
+    got = {r.probe_id: r.r_registration_id for r in registrations.active_registration(regs, probes).collect()}
+    assert got == {"a": "r2", "b": "r1", "c": None, "d": None}
+    none = registrations.active_registration(regs.filter("false"), probes).collect()
+    assert len(none) == 4 and all(r.r_registration_id is None for r in none)

@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 # Fixed value: mean Earth radius in metres used for great-circle distances.
 EARTH_RADIUS_M = 6371008.8
 
-# Grid defaults: power-of-two cell sizes keep floor(x / c) exact.
-DEFAULT_CELL_DEG = 1.0 / 16          # fine level, ~7 km x 5 km at 47N
-DEFAULT_COARSE_SHIFT = 3             # coarse level = 8x the fine cell (0.5 deg)
-DEFAULT_CELL_CAP = 64                # fine cells a shape may occupy before going coarse
+# Grid: power-of-two cell sizes keep floor(x / c) exact. Each level's cells are 8 times as wide
+# as those of the level below; at the top one the world is six cells.
+DEFAULT_CELL_DEG = 1.0 / 16          # level 0, ~7 km x 5 km at 47N
+TOP_LEVEL = 4
+CELLS_PER_SIDE = 9                   # a shape goes to the lowest level where it spans no more
 
 
 def _c(x) -> Column:
@@ -140,18 +141,33 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
 
 
 def disc_box_intersects(lat, lon, radius_m, min_lon, min_lat, max_lon, max_lat) -> Column:
-    """Disc of ``radius_m`` metres around (lat, lon) meets the closed box."""
-    px = F.least(F.greatest(_c(lon), _c(min_lon)), _c(max_lon))
+    """Disc of ``radius_m`` metres around (lat, lon) meets the closed box. The centre is taken on
+    the turn around the globe that brings it nearest to the box."""
+    turn = F.lit(360.0) * F.round(((_c(min_lon) + _c(max_lon)) / 2 - _c(lon)) / 360.0)
+    near = _c(lon) + turn
+    px = F.least(F.greatest(near, _c(min_lon)), _c(max_lon))
     py = F.least(F.greatest(_c(lat), _c(min_lat)), _c(max_lat))
-    return (_c(radius_m) > 0) & (haversine_m(lat, lon, py, px) <= _c(radius_m))
+    return (_c(radius_m) > 0) & (haversine_m(lat, near, py, px) <= _c(radius_m))
 
 
-def disc_bbox(lat, lon, radius_m) -> Column:
-    """Conservative lon/lat box around a disc (for grid cells and prefilters)."""
-    dlat = F.degrees(_c(radius_m) / F.lit(EARTH_RADIUS_M)) * 1.01
-    dlon = dlat / F.greatest(F.cos(F.radians(F.least(F.abs(_c(lat)) + dlat, F.lit(89.9)))), F.lit(1e-6))
-    return F.struct((_c(lon) - dlon).alias("min_lon"), (_c(lat) - dlat).alias("min_lat"),
-                    (_c(lon) + dlon).alias("max_lon"), (_c(lat) + dlat).alias("max_lat"))
+def disc_boxes(lat, lon, radius_m) -> Column:
+    """Conservative lon/lat boxes around a disc, as an array: one, two where it crosses 180
+    degrees, and a band around the globe where it reaches a pole. The boxes do not overlap."""
+    def box(x0, y0, x1, y1):
+        return F.struct(x0.alias("min_lon"), y0.alias("min_lat"), x1.alias("max_lon"), y1.alias("max_lat"))
+
+    dlat = F.degrees(_c(radius_m) / F.lit(EARTH_RADIUS_M)) * 1.01 + 1e-9
+    y0, y1 = _c(lat) - dlat, _c(lat) + dlat
+    polar = (y0 <= -89.999) | (y1 >= 89.999)
+    # the widest longitude of a spherical cap, a little enlarged
+    ratio = F.sin(F.radians(F.least(dlat, F.lit(90.0)))) / F.cos(F.radians(F.least(F.abs(_c(lat)), F.lit(89.9999))))
+    dlon = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.01 + 1e-9
+    x0, x1 = _c(lon) - dlon, _c(lon) + dlon
+    west, east = F.lit(-180.000001), F.lit(180.000001)
+    return (F.when(polar | (dlon >= 180), F.array(box(west, y0, east, y1)))
+             .when(x0 < -180, F.array(box(west, y0, x1, y1), box(x0 + 360, y0, east, y1)))
+             .when(x1 > 180, F.array(box(x0, y0, east, y1), box(west, y0, x1 - 360, y1)))
+             .otherwise(F.array(box(x0, y0, x1, y1))))
 
 
 def bbox_contains_strict(b: Column, lon, lat) -> Column:
@@ -166,119 +182,53 @@ def bbox_overlaps(b: Column, min_lon, min_lat, max_lon, max_lat) -> Column:
 
 # --------------------------------------------------------------------------- grid
 
-def _cell_index(v: Column, size: float) -> Column:
-    return F.floor(v / F.lit(size)).cast("long")
-
-
-def shape_cells(b: Column, cell: float = DEFAULT_CELL_DEG, cap: int = DEFAULT_CELL_CAP,
-                coarse_shift: int = DEFAULT_COARSE_SHIFT) -> Column:
-    """Array of STRUCT(lvl, cx, cy) covering a bounding box.
-
-    Shapes covering at most ``cap`` fine cells use the fine level (0); larger ones
-    use the coarse level, so the explode stays bounded without a broadcast side.
-    """
-    coarse = cell * (1 << coarse_shift)
-
-    def cells(size, lvl):
-        x0, x1 = _cell_index(b["min_lon"], size), _cell_index(b["max_lon"], size)
-        y0, y1 = _cell_index(b["min_lat"], size), _cell_index(b["max_lat"], size)
-        return F.flatten(F.transform(F.sequence(x0, x1), lambda cx: F.transform(
-            F.sequence(y0, y1), lambda cy: F.struct(F.lit(lvl).alias("lvl"), cx.alias("cx"), cy.alias("cy")))))
-
-    n_fine = ((_cell_index(b["max_lon"], cell) - _cell_index(b["min_lon"], cell) + 1)
-              * (_cell_index(b["max_lat"], cell) - _cell_index(b["min_lat"], cell) + 1))
-    return F.when(n_fine <= cap, cells(cell, 0)).otherwise(cells(coarse, 1))
-
-
-def point_cells(lon, lat, cell: float = DEFAULT_CELL_DEG, coarse_shift: int = DEFAULT_COARSE_SHIFT) -> Column:
-    """The two cells (fine and coarse) a point falls in; a point joins shapes of either level."""
-    coarse = cell * (1 << coarse_shift)
-    return F.array(
-        F.struct(F.lit(0).alias("lvl"), _cell_index(_c(lon), cell).alias("cx"), _cell_index(_c(lat), cell).alias("cy")),
-        F.struct(F.lit(1).alias("lvl"), _cell_index(_c(lon), coarse).alias("cx"), _cell_index(_c(lat), coarse).alias("cy")),
-    )
-
-
-def explode_cells(df, cells: Column, prefix: str = "g_"):
-    """Explode an array of cells into ``g_lvl, g_cx, g_cy`` columns."""
-    return (df.withColumn("_cell", F.explode(cells))
-              .withColumn(prefix + "lvl", F.col("_cell.lvl"))
-              .withColumn(prefix + "cx", F.col("_cell.cx"))
-              .withColumn(prefix + "cy", F.col("_cell.cy"))
-              .drop("_cell"))
-
+def own_level(b: Column, cell: float = DEFAULT_CELL_DEG) -> Column:
+    """The lowest level at which a bounding box spans at most ``CELLS_PER_SIDE`` cells a side."""
+    out = F.lit(TOP_LEVEL)
+    for level in reversed(range(TOP_LEVEL)):
+        size = cell * 8 ** level
+        fits = [F.floor(b["max_" + a] / size) - F.floor(b["min_" + a] / size) < CELLS_PER_SIDE for a in ("lon", "lat")]
+        out = F.when(fits[0] & fits[1], F.lit(level)).otherwise(out)
+    return out
 
-def _level_size(lvl: Column, cell: float, coarse_shift: int) -> Column:
-    return F.when(lvl == 0, F.lit(cell)).otherwise(F.lit(cell * (1 << coarse_shift)))
 
+def cell_size(level: Column, cell: float = DEFAULT_CELL_DEG) -> Column:
+    return F.lit(cell) * F.pow(F.lit(8.0), level)
 
-def explode_shape_cells(df, bbox_col: str, cell: float = DEFAULT_CELL_DEG, cap: int = DEFAULT_CELL_CAP,
-                        coarse_shift: int = DEFAULT_COARSE_SHIFT, prefix: str = "g_"):
-    """One row per grid cell of the bounding box (same cells as ``shape_cells``).
 
-    Two ``explode(sequence(...))`` generators instead of nested higher-order functions, so
-    the whole step runs as generated code.
-    """
-    b = F.col(bbox_col)
-    n_fine = ((_cell_index(b["max_lon"], cell) - _cell_index(b["min_lon"], cell) + 1)
-              * (_cell_index(b["max_lat"], cell) - _cell_index(b["min_lat"], cell) + 1))
-    lvl = F.when(n_fine <= cap, F.lit(0)).otherwise(F.lit(1))
-    out = df.withColumn(prefix + "lvl", lvl)
-    size = _level_size(F.col(prefix + "lvl"), cell, coarse_shift)
-    out = out.withColumn(prefix + "cx", F.explode(F.sequence(F.floor(b["min_lon"] / size).cast("long"),
-                                                             F.floor(b["max_lon"] / size).cast("long"))))
-    return out.withColumn(prefix + "cy", F.explode(F.sequence(F.floor(b["min_lat"] / size).cast("long"),
-                                                              F.floor(b["max_lat"] / size).cast("long"))))
-
-
-def explode_box_cells(df, bbox_col: str, cell: float = DEFAULT_CELL_DEG, coarse_shift: int = DEFAULT_COARSE_SHIFT,
-                      prefix: str = "g_"):
-    """A search box on both levels (it may meet fine and coarse shapes): one row per cell."""
+def explode_box_cells(df, bbox_col: str, levels: Column | None = None, cell: float = DEFAULT_CELL_DEG):
+    """One row per grid cell (``g_lvl, g_cx, g_cy``) of a bounding box at its own level
+    (``g_own``), and at those of ``levels`` (an array) above it. At most 81 cells at its own
+    level and at most 9 at each higher one. Generators, not nested higher-order functions, so
+    the whole step runs as generated code."""
     b = F.col(bbox_col)
-    out = df.withColumn(prefix + "lvl", F.explode(F.array(F.lit(0), F.lit(1))))
-    size = _level_size(F.col(prefix + "lvl"), cell, coarse_shift)
-    out = out.withColumn(prefix + "cx", F.explode(F.sequence(F.floor(b["min_lon"] / size).cast("long"),
-                                                             F.floor(b["max_lon"] / size).cast("long"))))
-    return out.withColumn(prefix + "cy", F.explode(F.sequence(F.floor(b["min_lat"] / size).cast("long"),
-                                                              F.floor(b["max_lat"] / size).cast("long"))))
+    out = df.withColumn("g_own", own_level(b, cell))
+    if levels is None:
+        out = out.withColumn("g_lvl", F.col("g_own"))
+    else:
+        out = out.withColumn("_levels", levels).withColumn("g_lvl", F.explode(F.expr(
+            "concat(array(g_own), filter(_levels, x -> x > g_own))"))).drop("_levels")
+    size = cell_size(F.col("g_lvl"), cell)
+    out = out.withColumn("g_cx", F.explode(F.sequence(F.floor(b["min_lon"] / size).cast("long"),
+                                                      F.floor(b["max_lon"] / size).cast("long"))))
+    return out.withColumn("g_cy", F.explode(F.sequence(F.floor(b["min_lat"] / size).cast("long"),
+                                                       F.floor(b["max_lat"] / size).cast("long"))))
 
 
-def with_point_cells(df, lon: str, lat: str, cell: float = DEFAULT_CELL_DEG,
-                     coarse_shift: int = DEFAULT_COARSE_SHIFT, prefix: str = "g_"):
-    """A point on both levels: two rows, its fine and its coarse cell."""
-    out = df.withColumn(prefix + "lvl", F.explode(F.array(F.lit(0), F.lit(1))))
-    size = _level_size(F.col(prefix + "lvl"), cell, coarse_shift)
-    return (out.withColumn(prefix + "cx", F.floor(F.col(lon) / size).cast("long"))
-               .withColumn(prefix + "cy", F.floor(F.col(lat) / size).cast("long")))
+def with_point_cells(df, lon: str, lat: str, levels: Column, cell: float = DEFAULT_CELL_DEG):
+    """A point's cell at each of ``levels``, the levels that the shapes it is joined with use."""
+    out = df.withColumn("g_lvl", F.explode(levels))
+    size = cell_size(F.col("g_lvl"), cell)
+    return (out.withColumn("g_cx", F.floor(F.col(lon) / size).cast("long"))
+               .withColumn("g_cy", F.floor(F.col(lat) / size).cast("long")))
 
 
-# --------------------------------------------------------------------------- per-shape preparation
-
-def edges(rings) -> Column:
-    """Every ring edge of a polygon as four flat coordinate arrays (x1, y1, x2, y2).
+def levels_of(df, bbox_col: str, cell: float = DEFAULT_CELL_DEG) -> Column:
+    """The levels that the boxes of ``df`` use, as an array (at most five; a scalar subquery)."""
+    return df.select(F.array_sort(F.collect_set(own_level(F.col(bbox_col), cell)))).scalar()
 
-    Computed once per shape; the per-pair tests below then loop over primitive arrays
-    instead of nested arrays of structs. Even-odd counting is unaffected by concatenating
-    the shell and the holes.
-    """
-    r = _c(rings)
-
-    def coord(off, field):
-        return F.flatten(F.transform(r, lambda ring: F.transform(
-            F.sequence(F.lit(0), F.size(ring) - 2), lambda i: ring[i + off][field])))
-
-    return F.struct(coord(0, "lon").alias("x1"), coord(0, "lat").alias("y1"),
-                    coord(1, "lon").alias("x2"), coord(1, "lat").alias("y2"))
-
-
-def is_rectangle(rings) -> Column:
-    """One ring of 4 axis-parallel edges: the bounding box is the shape, so bbox tests are exact."""
-    r = _c(rings)
-    ring = r[0]
-    return (F.size(r) == 1) & (F.size(ring) == 5) & F.forall(
-        F.sequence(F.lit(0), F.lit(3)),
-        lambda i: (ring[i]["lon"] == ring[i + 1]["lon"]) | (ring[i]["lat"] == ring[i + 1]["lat"]))
 
+# --------------------------------------------------------------------------- per-shape preparation
 
 # Polygons with at most this many edges are tested by an unrolled expression (generated
 # code); larger ones fall back to a higher-order-function loop (interpreted, exact too).

@@ -42,7 +42,7 @@ def nest_waypoints(waypoints: DataFrame) -> DataFrame:
     g = waypoints.groupBy("flight_plan_id").agg(F.array_sort(F.collect_list(F.struct(
         "sequence_number", "lat", "lon", "altitude_min_ft", "altitude_max_ft", "radius_meters"))).alias("_w"))
     return g.select("flight_plan_id", F.transform("_w", lambda w: F.struct(
-        w["lat"].alias("lat"), w["lon"].alias("lon"), w["altitude_min_ft"].alias("altitudeMinFt"),
+        w["lat"].alias("latitude"), w["lon"].alias("longitude"), w["altitude_min_ft"].alias("altitudeMinFt"),
         w["altitude_max_ft"].alias("altitudeMaxFt"), w["radius_meters"].alias("radiusMeters"))).alias("waypoints"))
 
 
@@ -110,13 +110,21 @@ def lookup_by_key(table: DataFrame, keys: DataFrame, key: str, scope: tuple[str,
 
 
 def history(reports: DataFrame, key_col: str, keys: DataFrame | None = None, key: str | None = None,
-            from_ts: str | None = None, to_ts: str | None = None, limit: int | None = None) -> DataFrame:
+            from_ts: str | None = None, to_ts: str | None = None, limit: int | None = None,
+            at: str | None = None) -> DataFrame:
     """reports of one key (``key``) or of many keys (``keys`` DataFrame),
-    ``from``/``to`` both inclusive, ascending; ``limit`` keeps the oldest n per key.
+    ``from``/``to`` both inclusive, ascending; ``limit`` keeps the oldest n per key. ``at``
+    overrides all three: the newest report per key at or before it, however old.
 
     Many keys: ``row_number() <= limit`` per key (partial WindowGroupLimit).
     """
     r = reports
+    if at is not None:
+        r = r.filter(F.col("recorded_at") <= _ts(at))
+        r = r.filter(F.col(key_col) == key) if key is not None else r
+        r = r.join(keys.select(key_col).distinct(), key_col, "left_semi") if keys is not None else r
+        w = Window.partitionBy(key_col).orderBy(F.col("recorded_at").desc(), "report_id")
+        return r.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     if from_ts is not None:
         r = r.filter(F.col("recorded_at") >= _ts(from_ts))
     if to_ts is not None:

@@ -1,9 +1,9 @@
 """Drone registrations: overlap, sequential acceptance, as-of lookup.
 
-Date-ranged joins never join a serial's every registration with every probe. Both
-sides carry month buckets of their date range, and the join key is (serial, month):
-a pair of intervals is matched only in the month holding the start of their overlap,
-so each pair appears once and a hot serial is split by month.
+Date-ranged joins never join a serial's every registration with every probe. A range goes to
+the level of day buckets (32 days, or 8, 64, ... times as many) at which it meets at most 16 of
+them, however far its end date lies; probes carry one bucket for each level in use; the join
+key is (serial, level, bucket), so a hot serial is split by time.
 """
 
 from __future__ import annotations
@@ -15,34 +15,43 @@ from ..session import cut_lineage
 from . import asof
 
 
-def _month(d: Column) -> Column:
-    return F.year(d) * 12 + F.month(d) - 1
+BUCKET_DAYS, TOP, BUCKETS = 32, 6, 16
 
 
-def _month_span(start: Column, end: Column) -> Column:
-    return F.sequence(_month(start), _month(end))
+def _days(d: Column) -> Column:
+    return F.unix_date(d)
+
+
+def _bucket_days() -> Column:
+    return F.lit(float(BUCKET_DAYS)) * F.pow(F.lit(8.0), F.col("_lvl"))
+
+
+def _with_ranges(df: DataFrame, start: str, end: str) -> tuple[DataFrame, Column]:
+    """Explode closed date ranges into the buckets (``_lvl, _b``) of their level; the levels in use."""
+    level = F.lit(TOP)
+    for k in reversed(range(TOP)):
+        size = float(BUCKET_DAYS * 8 ** k)
+        level = F.when(F.floor(_days(F.col(end)) / size) - F.floor(_days(F.col(start)) / size) < BUCKETS,
+                       F.lit(k)).otherwise(level)
+    leveled = df.filter(F.col(start) <= F.col(end)).withColumn("_lvl", level)
+    levels = leveled.select(F.array_sort(F.collect_set("_lvl"))).scalar()
+    return leveled.withColumn("_b", F.explode(F.sequence(
+        F.floor(_days(F.col(start)) / _bucket_days()).cast("long"),
+        F.floor(_days(F.col(end)) / _bucket_days()).cast("long")))), levels
 
 
 def registration_overlap(candidates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per candidate, the stored registrations of the same serial whose closed date range
-    overlaps (touching dates overlap), excluding the candidate itself.
+    """Per candidate, the id of a stored registration of the same serial, other than the
+    candidate itself, whose closed date range overlaps (touching dates overlap); null if there
+    is none. Of several, the one that ends last, then the largest id.
 
-    Adds ``n_overlaps`` and ``overlapping_ids`` (sorted).
+    Candidates need registration_id, serial_number, start_date and end_date; adds
+    ``overlapping_id``.
     """
-    c = candidates.select(F.col("registration_id").alias("c_id"), F.col("serial_number").alias("c_serial"),
-                          F.col("start_date").alias("c_start"), F.col("end_date").alias("c_end"))
-    c = c.withColumn("_m", F.explode(_month_span(F.col("c_start"), F.col("c_end"))))
-    s = stored.select(F.col("registration_id").alias("s_id"), F.col("serial_number").alias("s_serial"),
-                      F.col("start_date").alias("s_start"), F.col("end_date").alias("s_end"))
-    s = s.withColumn("_sm", F.explode(_month_span(F.col("s_start"), F.col("s_end"))))
-    pairs = (c.join(s, (F.col("c_serial") == F.col("s_serial")) & (F.col("_m") == F.col("_sm")))
-              .filter((F.col("s_start") <= F.col("c_end")) & (F.col("c_start") <= F.col("s_end"))
-                      & (F.col("c_id") != F.col("s_id"))
-                      & (F.col("_m") == _month(F.greatest(F.col("c_start"), F.col("s_start"))))))
-    agg = pairs.groupBy("c_id").agg(F.count(F.lit(1)).alias("n_overlaps"),
-                                    F.array_sort(F.collect_list("s_id")).alias("overlapping_ids"))
-    out = candidates.join(agg, candidates["registration_id"] == agg["c_id"], "left").drop("c_id")
-    return out.withColumn("n_overlaps", F.coalesce(F.col("n_overlaps"), F.lit(0)))
+    cols = ["registration_id", "serial_number", "start_date", "end_date"]
+    key = candidates.withColumn("_pk", F.xxhash64(*cols))  # equal candidates share their answer
+    hit = other_overlaps(key.select("_pk", *cols).distinct(), stored)
+    return key.join(hit, "_pk", "left").drop("_pk")
 
 
 def self_overlap(registrations: DataFrame) -> DataFrame:
@@ -172,7 +181,7 @@ def _accept_round(requests: DataFrame, owners: DataFrame, stored: DataFrame | No
 
 
 def other_overlaps(ranges: DataFrame, stored: DataFrame, key: str = "_pk") -> DataFrame:
-    """(key) of the ranges that overlap a stored range of the same serial with another id.
+    """(key, overlapping_id) of the ranges that overlap a stored range of the same serial with another id.
 
     ``ranges``: key, registration_id, serial_number, start_date, end_date. No pairs: some other
     registration starts by the range's end and ends on or after its start exactly if the largest
@@ -191,8 +200,9 @@ def other_overlaps(ranges: DataFrame, stored: DataFrame, key: str = "_pk") -> Da
     # least() skips nulls, so the first row must be kept from standing as its own second
     rows = rows.withColumn("_low", F.when(F.col("_x").isNotNull() & before.isNotNull(), F.least(F.col("_x"), before)))
     rows = rows.withColumn("_m1", F.max("_x").over(upto)).withColumn("_m2", F.max("_low").over(upto))
-    best = F.when(F.col("_m1.registration_id") == F.col("_self"), F.col("_m2.end_date")).otherwise(F.col("_m1.end_date"))
-    return rows.filter("_kind = 1").filter(best >= F.col("_from")).select(key)
+    best = F.when(F.col("_m1.registration_id") == F.col("_self"), F.col("_m2")).otherwise(F.col("_m1"))
+    return (rows.filter("_kind = 1").withColumn("_best", best).filter(F.col("_best.end_date") >= F.col("_from"))
+            .select(key, F.col("_best.registration_id").alias("overlapping_id")))
 
 
 def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFrame:
@@ -211,7 +221,7 @@ def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFra
     dated = p.filter(F.col("serial_number").isNotNull() & (F.col("start_date").isNotNull() | F.col("end_date").isNotNull()))
     hit = other_overlaps(dated.select("_pk", "registration_id", "serial_number", F.col("new_start").alias("start_date"),
                                       F.col("new_end").alias("end_date")), stored)
-    p = p.join(hit.withColumn("_hit", F.lit(True)), "_pk", "left")
+    p = p.join(hit.withColumnRenamed("overlapping_id", "_hit"), "_pk", "left")
     outcome = (F.when(F.col("serial_number").isNull(), "not_found")
                 .when(F.col("_hit").isNotNull(), "registration_overlap")
                 .when(F.col("new_end") < F.col("new_start"), "end_before_start")
@@ -227,31 +237,30 @@ def active_registration(registrations: DataFrame, probes: DataFrame, serial_col:
     r = registrations.select(F.col("registration_id").alias("r_registration_id"),
                              F.col("serial_number").alias("r_serial"), F.col("owner_id").alias("r_owner_id"),
                              F.col("start_date").alias("r_start_date"), F.col("end_date").alias("r_end_date"))
-    r = r.withColumn("_m", F.explode(_month_span(F.col("r_start_date"), F.col("r_end_date"))))
-    p = probes.withColumn("_pm", _month(F.col(date_col)))
+    r, levels = _with_ranges(r, "r_start_date", "r_end_date")
+    # without any registration a probe still needs one row to be kept by the left join
+    p = (probes.withColumn("_plvl", F.explode(F.when(F.size(levels) > 0, levels).otherwise(F.array(F.lit(0)))))
+         .withColumn("_pb", F.floor(_days(F.col(date_col)) / (F.lit(float(BUCKET_DAYS)) * F.pow(F.lit(8.0), F.col("_plvl"))))))
     # left join: a probe without a covering registration keeps one row of nulls, so the top-1
     # per probe needs no join back to the probes
-    j = p.join(r, (F.col(serial_col) == F.col("r_serial")) & (F.col("_pm") == F.col("_m"))
-               & (F.col("r_start_date") <= F.col(date_col)) & (F.col("r_end_date") >= F.col(date_col)), "left")
+    j = p.join(r, (F.col(serial_col) == F.col("r_serial")) & (F.col("_plvl") == F.col("_lvl"))
+               & (F.col("_pb") == F.col("_b")) & (F.col("r_start_date") <= F.col(date_col)) & (F.col("r_end_date") >= F.col(date_col)), "left")
     best = asof.top1(j, [probe_key], [F.col("r_start_date").desc_nulls_last(), F.col("r_registration_id")])
-    return best.drop("_pm", "_m", "r_serial")
-
+    return best.drop("_plvl", "_pb", "_lvl", "_b", "r_serial")
 
-def registration_active_by_serial(registrations: DataFrame, serial: str, on_date: str) -> DataFrame:
-    """T5 for one (serial, date): the covering registration, newest start first."""
-    r = registrations.filter((F.col("serial_number") == serial)
-                             & (F.col("start_date") <= F.to_date(F.lit(on_date)))
-                             & (F.col("end_date") >= F.to_date(F.lit(on_date))))
-    return r.orderBy(F.col("start_date").desc(), "registration_id").limit(1)
 
-
-def list_registrations(registrations: DataFrame, serial: str | None = None, owner: str | None = None) -> DataFrame:
-    """optional serial AND owner filters, oldest first. A filter is added only when given."""
+def list_registrations(registrations: DataFrame, serial: str | None = None, owner: str | None = None,
+                       as_of: str | None = None) -> DataFrame:
+    """optional serial AND owner AND active-as-of filters, oldest first. A filter is added
+    only when given."""
     r = registrations
     if serial is not None:
         r = r.filter(F.col("serial_number") == serial)
     if owner is not None:
         r = r.filter(F.col("owner_id") == owner)
+    if as_of is not None:
+        d = F.to_date(F.lit(as_of))
+        r = r.filter((F.col("start_date") <= d) & (F.col("end_date") >= d))
     return r.orderBy("created_at", "registration_id")
 
 

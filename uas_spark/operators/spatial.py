@@ -1,15 +1,16 @@
 """Spatial search and spatial probe joins.
 
 No spatial join here is a cartesian product or an unchecked broadcast. Shapes
-are exploded into grid cells of their bounding box (fine cells, or coarse
-cells for large shapes, see ``functions.geo.shape_cells``); points carry one
-fine and one coarse cell; boxes are exploded like shapes. The join is an
-equi-join on the cell (plus an hour bucket when a time window is part of the
-predicate), which Spark shuffles by key and AQE splits when a cell is hot.
-Exact tests run only on candidate pairs, after a bounding-box test.
+are exploded into the cells of their bounding box at the grid level where it spans at most
+nine cells a side (``functions.geo.own_level``); points carry one cell for each level in use.
+Windows of time have levels too: a window goes to the level where it meets at most 16 buckets.
+So neither a shape as large as the world nor a window of many years makes many rows. The join
+is an equi-join on the cell (plus the time bucket when a window is part of the predicate),
+which Spark shuffles by key and AQE splits when a cell is hot. Exact tests run only on
+candidate pairs, after a bounding-box test.
 
 Pairs are produced once: a point lies in exactly one cell per level and a
-shape uses exactly one level; for box-against-shape joins a pair may share
+shape uses exactly one level; a box and a shape meet at the higher of their levels, where they may share
 several cells, so the pair is kept only in the cell holding the lower-left
 corner of the two bounding boxes' overlap.
 """
@@ -40,33 +41,66 @@ def guarded(cheap: Column, exact: Column) -> Column:
     return F.when(cheap, exact).otherwise(F.lit(False))
 
 
-def _time_buckets(from_us: Column, to_us: Column, bucket_us: int) -> Column:
-    return F.sequence(F.floor(from_us / F.lit(bucket_us)), F.floor(to_us / F.lit(bucket_us)))
+# ------------------------------------------------------------------ grid and time levels
 
+TIME_TOP, BUCKETS = 7, 16  # a window goes to the lowest time level where it meets at most 16 buckets
 
-def _with_shape_cells(df: DataFrame, bbox_col: str, cell: float, cap: int) -> DataFrame:
-    return geo.explode_shape_cells(df, bbox_col, cell, cap)
 
+def _time_level(from_us: Column, to_us: Column, bucket_us: int) -> Column:
+    out = F.lit(TIME_TOP)
+    for level in reversed(range(TIME_TOP)):
+        size = float(bucket_us * 8 ** level)
+        out = F.when(F.floor(to_us / size) - F.floor(from_us / size) < BUCKETS, F.lit(level)).otherwise(out)
+    return out
 
-def _with_point_cells(df: DataFrame, lon: str, lat: str, cell: float) -> DataFrame:
-    return geo.with_point_cells(df, lon, lat, cell)
 
+def _bucket_size(bucket_us: int) -> Column:
+    return F.lit(float(bucket_us)) * F.pow(F.lit(8.0), F.col("g_tl"))
 
-def _owning_cell(b1: str, b2: str, cell: float, cap: int) -> Column:
+
+def _with_windows(df: DataFrame, from_us: Column, to_us: Column, bucket_us: int) -> tuple[DataFrame, Column]:
+    """Explode windows into the buckets of their time level (``g_tl, g_tb``; at most 16 rows,
+    however long the window), and the array of the levels in use."""
+    leveled = df.withColumn("g_tl", _time_level(from_us, to_us, bucket_us))
+    levels = leveled.select(F.array_sort(F.collect_set("g_tl"))).scalar()
+    size = _bucket_size(bucket_us)
+    return leveled.withColumn("g_tb", F.explode(F.sequence(F.floor(from_us / size).cast("long"),
+                                                           F.floor(to_us / size).cast("long")))), levels
+
+
+def _with_instants(df: DataFrame, at_us: Column, levels: Column, bucket_us: int) -> DataFrame:
+    """The bucket of an instant at each time level in use."""
+    out = df.withColumn("g_tl", F.explode(levels))
+    return out.withColumn("g_tb", F.floor(at_us / _bucket_size(bucket_us)).cast("long"))
+
+
+def _owning_cell(b1: str, b2: str, cell: float) -> Column:
     """True on the one shared cell that holds the lower-left corner of the boxes' overlap."""
     x = F.greatest(F.col(b1 + ".min_lon"), F.col(b2 + ".min_lon"))
     y = F.greatest(F.col(b1 + ".min_lat"), F.col(b2 + ".min_lat"))
-    size = F.when(F.col("g_lvl") == 0, F.lit(cell)).otherwise(F.lit(cell * (1 << geo.DEFAULT_COARSE_SHIFT)))
+    size = geo.cell_size(F.col("g_lvl"), cell)
     return (F.floor(x / size) == F.col("g_cx")) & (F.floor(y / size) == F.col("g_cy"))
 
 
+def _meeting_cells(boxes: DataFrame, bbox_col: str, shapes: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides' cells. A pair meets at the higher of its two own levels (``_at_common_level``):
+    each side goes to its own level and to the higher ones that the other side uses, so a box as
+    large as the world costs a few rows, not millions."""
+    b = geo.explode_box_cells(boxes, bbox_col, geo.levels_of(shapes, "_sb", cell), cell).withColumnRenamed("g_own", "_bown")
+    s = geo.explode_box_cells(shapes, "_sb", geo.levels_of(boxes, bbox_col, cell), cell).withColumnRenamed("g_own", "_sown")
+    return b, s
+
+
+_at_common_level = "g_lvl = greatest(_bown, _sown)"
+
+
 def _light(shapes: DataFrame, rings_col: str) -> DataFrame:
     """Shapes without their rings but with a bounding box ``_sb``: what the grid join shuffles."""
     return shapes.withColumn("_sb", F.expr(geo.bbox_sql(f"`{rings_col}`"))).drop(rings_col)
 
 
-def _rings_back(cand: DataFrame, shapes: DataFrame, id_col: str, rings_col: str) -> DataFrame:
-    """Join the exact-test data of each shape to the candidate pairs by shape id.
+def _rings_back(cand: DataFrame, shapes: DataFrame, key: list[str], rings_col: str) -> DataFrame:
+    """Join the exact-test data of each shape to the candidate pairs by the shape's full key.
 
     The shapes side is prepared once per shape (flat edge arrays and a rectangle flag), so
     the per-pair test loops over primitive arrays, and rectangles skip it: their bounding-box
@@ -74,9 +108,8 @@ def _rings_back(cand: DataFrame, shapes: DataFrame, id_col: str, rings_col: str)
     instead of shuffling rings with every exploded cell and bucket.
     """
     r = f"`{rings_col}`"
-    prep = shapes.select(F.col(id_col).alias("_rid"), F.expr(geo.edges_sql(r)).alias("_edges"),
-                         F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
-    return cand.join(prep, cand[id_col] == prep["_rid"], "inner").drop("_rid")
+    prep = shapes.select(*key, F.expr(geo.edges_sql(r)).alias("_edges"), F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
+    return cand.join(prep, key, "inner")
 
 
 def _exact_contains(lon: str, lat: str) -> Column:
@@ -93,7 +126,7 @@ def _exact_box(box_col: str) -> Column:
 # ------------------------------------------------------------------ points in polygons
 
 def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon: str = "lon", lat: str = "lat",
-                     cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP) -> DataFrame:
+                     cell: float = geo.DEFAULT_CELL_DEG) -> DataFrame:
     """All (point, shape) pairs with the point strictly inside the shape.
 
     Column names of ``points`` and ``shapes`` must be disjoint.
@@ -101,44 +134,39 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon:
     r = f"`{rings_col}`"
     s = shapes.select("*", F.expr(geo.bbox_sql(r)).alias("_sb"), F.expr(geo.edges_sql(r)).alias("_edges"),
                       F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
-    s = _with_shape_cells(s, "_sb", cell, cap)
-    p = _with_point_cells(points, lon, lat, cell)
-    j = p.join(s, CELL_KEYS, "inner")
+    p = geo.with_point_cells(points, lon, lat, geo.levels_of(s, "_sb", cell), cell)
+    j = p.join(geo.explode_box_cells(s, "_sb", None, cell), CELL_KEYS, "inner")
     j = j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)), _exact_contains(lon, lat)))
-    return j.drop(*CELL_KEYS, "_sb", "_edges", "_rect")
-
-
-def _box_cells(boxes: DataFrame, bbox_col: str, cell: float) -> DataFrame:
-    """Explode boxes into their fine and coarse cells, so they meet shapes of either level."""
-    return geo.explode_box_cells(boxes, bbox_col, cell)
+    return j.drop(*CELL_KEYS, "g_own", "_sb", "_edges", "_rect")
 
 
-def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, id_col: str, bbox_col: str = "box",
-                      cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
-                      window: tuple[str, str, str] | None = None, cheap: Column | None = None,
-                      bucket_us: int = WINDOW_BUCKET_US, rings_source: DataFrame | None = None) -> DataFrame:
+def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, key: list[str], bbox_col: str = "box",
+                      cell: float = geo.DEFAULT_CELL_DEG, window: tuple[str, str, str] | None = None,
+                      cheap: Column | None = None, bucket_us: int = WINDOW_BUCKET_US,
+                      rings_source: DataFrame | None = None) -> DataFrame:
     """All (box, shape) pairs whose closed regions meet. ``bbox_col`` is a normalised box struct;
-    ``id_col`` identifies a shape (its rings join back only for candidate pairs).
+    ``key`` identifies a shape (its rings join back only for candidate pairs, from
+    ``rings_source`` if given).
 
-    ``window`` = (shape_from, shape_to, box_at) adds the closed time test and puts the hour
+    ``window`` = (shape_from, shape_to, box_at) adds the closed time test and puts the time
     bucket into the join key; ``cheap`` is an extra filter evaluated before the exact test.
     """
-    s = _with_shape_cells(_light(shapes, rings_col), "_sb", cell, cap)
-    b = _box_cells(boxes, bbox_col, cell)
+    b, s = _meeting_cells(boxes, bbox_col, _light(shapes, rings_col), cell)
     keys = list(CELL_KEYS)
     bc = F.col(bbox_col)
-    test = (geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
-            & _owning_cell(bbox_col, "_sb", cell, cap))
+    test = (F.expr(_at_common_level)
+            & geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
+            & _owning_cell(bbox_col, "_sb", cell))
     if window is not None:
         f, t, at = window
-        s = s.withColumn("g_tb", F.explode(_time_buckets(_us(f), _us(t), bucket_us)))
-        b = b.withColumn("g_tb", F.floor(_us(at) / F.lit(bucket_us)))
-        keys.append("g_tb")
+        s, levels = _with_windows(s.filter(F.col(f) <= F.col(t)), _us(f), _us(t), bucket_us)
+        b = _with_instants(b, _us(at), levels, bucket_us)
+        keys += ["g_tl", "g_tb"]
         test = test & (F.col(f) <= F.col(at)) & (F.col(t) >= F.col(at))
     if cheap is not None:
         test = test & cheap
-    cand = b.join(s, keys, "inner").filter(test).drop(*keys, "_sb")
-    j = _rings_back(cand, rings_source if rings_source is not None else shapes, id_col, rings_col)
+    cand = b.join(s, keys, "inner").filter(test).drop(*keys, "_sb", "_bown", "_sown")
+    j = _rings_back(cand, rings_source if rings_source is not None else shapes, key, rings_col)
     return j.filter(_exact_box(bbox_col)).drop("_edges", "_rect")
 
 
@@ -167,40 +195,41 @@ def zone_observed_in_extent(observed: DataFrame, boxes: DataFrame, stamp: str |
                             at: str | None = None, stale_minutes: int = 30) -> DataFrame:
     """X11 (observed): zones whose chosen report meets each box (box: normalised struct column ``box``)."""
     pick = asof.zone_asof(observed, at) if at is not None else asof.zone_latest_fresh(observed, stamp, stale_minutes)
-    return boxes_meet_shapes(boxes, _zone_cols(pick), "z_rings", "z_report_id", rings_source=_zone_cols(observed))
+    return boxes_meet_shapes(boxes, _zone_cols(pick), "z_rings", ["z_recorded_at", "z_report_id"],
+                             rings_source=_zone_cols(observed))
 
 
 def zone_forecast_in_extent(forecast: DataFrame, boxes: DataFrame, at: str) -> DataFrame:
     """X11 (forecast)."""
-    return boxes_meet_shapes(boxes, _zone_cols(asof.zone_forecast_nearest(forecast, at)), "z_rings", "z_report_id",
-                             rings_source=_zone_cols(forecast))
+    return boxes_meet_shapes(boxes, _zone_cols(asof.zone_forecast_nearest(forecast, at)), "z_rings",
+                             ["z_recorded_at", "z_report_id"], rings_source=_zone_cols(forecast))
 
 
 # ------------------------------------------------------------------ authorizations
 
 def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "at", alt_col: str | None = None,
                             status: str | None = None, lon: str = "lon", lat: str = "lat",
-                            bucket_us: int = WINDOW_BUCKET_US, cell: float = geo.DEFAULT_CELL_DEG,
-                            cap: int = geo.DEFAULT_CELL_CAP) -> DataFrame:
+                            bucket_us: int = WINDOW_BUCKET_US, cell: float = geo.DEFAULT_CELL_DEG) -> DataFrame:
     """Per probe point and instant, authorizations whose area strictly contains the point,
     whose window holds the instant (closed), with ``max_altitude_ft >= altitude`` when an altitude
     column is given and the status when given.
 
-    Authorizations are exploded by grid cell and by hour bucket of their window; probes
-    carry their cell and bucket, so the join key includes time.
+    Authorizations are exploded by grid cell and by time bucket of their window; probes
+    carry their cell and bucket at the levels in use, so the join key includes time.
     """
     a = auths if status is None else auths.filter(F.col("status") == status)
     a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
-    la = _with_shape_cells(_light(a, "a_area"), "_sb", cell, cap)
-    la = la.withColumn("g_tb", F.explode(_time_buckets(_us("a_start_time"), _us("a_end_time"), bucket_us)))
-    p = _with_point_cells(probes, lon, lat, cell)
-    p = p.withColumn("g_tb", F.floor(_us(at_col) / F.lit(bucket_us)))
+    la = _light(a, "a_area").filter("a_start_time <= a_end_time")
+    p = geo.with_point_cells(probes, lon, lat, geo.levels_of(la, "_sb", cell), cell)
+    la, levels = _with_windows(geo.explode_box_cells(la, "_sb", None, cell), _us("a_start_time"), _us("a_end_time"),
+                               bucket_us)
+    p = _with_instants(p, _us(at_col), levels, bucket_us)
     cond = ((F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col))
             & geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)))
     if alt_col is not None:
         cond = cond & (F.col("a_max_altitude_ft") >= F.col(alt_col))
-    cand = p.join(la, CELL_KEYS + ["g_tb"], "inner").filter(cond).drop(*CELL_KEYS, "g_tb", "_sb")
-    j = _rings_back(cand, a, "a_authorization_id", "a_area")
+    cand = p.join(la, CELL_KEYS + ["g_tl", "g_tb"], "inner").filter(cond).drop(*CELL_KEYS, "g_own", "g_tl", "g_tb", "_sb")
+    j = _rings_back(cand, a, ["a_authorization_id"], "a_area")
     return j.filter(_exact_contains(lon, lat)).drop("_edges", "_rect")
 
 
@@ -214,7 +243,7 @@ def intersecting_authorizations(auths: DataFrame, boxes: DataFrame, alt_col: str
     a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
     cheap = (F.col("a_max_altitude_ft") >= F.col(alt_col)) if alt_col is not None else None
     window = ("a_start_time", "a_end_time", at_col) if at_col is not None else None
-    return boxes_meet_shapes(boxes, a, "a_area", "a_authorization_id", window=window, cheap=cheap)
+    return boxes_meet_shapes(boxes, a, "a_area", ["a_authorization_id"], window=window, cheap=cheap)
 
 
 # ------------------------------------------------------------------ flight plans
@@ -233,7 +262,7 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
 
     poly_cheap = (F.col("f_polygon_max_altitude_ft") >= F.col(alt_col)) if alt_col is not None else None
     poly = boxes_meet_shapes(boxes, pl.filter(F.col("f_plan_type") == "polygon"), "f_polygon_area",
-                             "f_flight_plan_id", window=window, cheap=poly_cheap, cell=cell, bucket_us=bucket_us)
+                             ["f_flight_plan_id"], window=window, cheap=poly_cheap, cell=cell, bucket_us=bucket_us)
 
     # waypoint branch: each disc carries its plan's window; discs are shapes with a padded box
     w = waypoints.select(F.col("flight_plan_id").alias("w_plan"), F.col("lat").alias("w_lat"),
@@ -241,17 +270,17 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
                          F.col("altitude_min_ft").alias("w_min"), F.col("altitude_max_ft").alias("w_max"))
     wp_plans = pl.filter(F.col("f_plan_type") == "waypoints")
     w = w.join(wp_plans, F.col("w_plan") == F.col("f_flight_plan_id"), "inner")
-    w = w.withColumn("_sb", geo.disc_bbox(F.col("w_lat"), F.col("w_lon"), F.col("w_r")))
-    w = _with_shape_cells(w, "_sb", cell, geo.DEFAULT_CELL_CAP)
-    b = _box_cells(boxes, "box", cell)
+    w = w.withColumn("_sb", F.explode(geo.disc_boxes(F.col("w_lat"), F.col("w_lon"), F.col("w_r"))))
+    b, w = _meeting_cells(boxes, "box", w, cell)
     keys = list(CELL_KEYS)
     bc = F.col("box")
-    cheap = (geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
-             & _owning_cell("box", "_sb", cell, geo.DEFAULT_CELL_CAP))
+    cheap = (F.expr(_at_common_level)
+             & geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
+             & _owning_cell("box", "_sb", cell))
     if window is not None:
-        w = w.withColumn("g_tb", F.explode(_time_buckets(_us("f_start_time"), _us("f_end_time"), bucket_us)))
-        b = b.withColumn("g_tb", F.floor(_us(at_col) / F.lit(bucket_us)))
-        keys.append("g_tb")
+        w, levels = _with_windows(w.filter("f_start_time <= f_end_time"), _us("f_start_time"), _us("f_end_time"), bucket_us)
+        b = _with_instants(b, _us(at_col), levels, bucket_us)
+        keys += ["g_tl", "g_tb"]
         cheap = cheap & (F.col("f_start_time") <= F.col(at_col)) & (F.col("f_end_time") >= F.col(at_col))
     if alt_col is not None:
         cheap = cheap & (F.col(alt_col) > F.col("w_min")) & (F.col(alt_col) <= F.col("w_max"))
@@ -269,37 +298,36 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
 
 def sensor_coverage(sensors: DataFrame, positions: DataFrame, cell: float = geo.DEFAULT_CELL_DEG) -> DataFrame:
     """(sensor, position report) pairs with the drone within the sensor's radius (great circle)."""
-    s = sensors.select(*[F.col(c).alias("s_" + c) for c in sensors.columns])
-    s = s.withColumn("_sb", geo.disc_bbox(F.col("s_latitude"), F.col("s_longitude"), F.col("s_sensing_radius_meters")))
-    s = _with_shape_cells(s, "_sb", cell, geo.DEFAULT_CELL_CAP)
-    p = _with_point_cells(positions, "longitude", "latitude", cell)
-    j = p.join(s, CELL_KEYS, "inner")
+    s = sensors.filter("sensing_radius_meters > 0").select(*[F.col(c).alias("s_" + c) for c in sensors.columns])
+    s = s.withColumn("_sb", F.explode(geo.disc_boxes(F.col("s_latitude"), F.col("s_longitude"),
+                                                     F.col("s_sensing_radius_meters"))))
+    p = geo.with_point_cells(positions, "longitude", "latitude", geo.levels_of(s, "_sb", cell), cell)
+    j = p.join(geo.explode_box_cells(s, "_sb", None, cell), CELL_KEYS, "inner")
     d = geo.haversine_m(F.col("s_latitude"), F.col("s_longitude"), F.col("latitude"), F.col("longitude"))
     return (j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")),
                              d <= F.col("s_sensing_radius_meters")))
              .withColumn("distance_m", d)
-             .drop(*CELL_KEYS, "_sb"))
+             .drop(*CELL_KEYS, "g_own", "_sb"))
 
 
 # ------------------------------------------------------------------ positions against zones
 
 def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to_col: str,
-                   bucket_us: int, cell: float, cap: int) -> DataFrame:
-    """Grid-cell x hour-bucket equi-join of positions with zone validity intervals (rings
-    left out; the caller joins them back for the candidates)."""
-    t_max = positions.select(F.max(_us("recorded_at"))).scalar()
-    z = _with_shape_cells(intervals, "_sb", cell, cap)
-    lo = F.coalesce(F.col(from_col), F.col("z_" + "t_us"))
-    hi = F.coalesce(F.col(to_col), F.greatest(t_max, F.col("z_t_us")))
-    z = z.withColumn("g_tb", F.explode(_time_buckets(lo, hi, bucket_us)))
-    p = _with_point_cells(positions, "longitude", "latitude", cell)
-    p = p.withColumn("_pt", _us("recorded_at")).withColumn("g_tb", F.floor(F.col("_pt") / F.lit(bucket_us)))
-    return p.join(z, CELL_KEYS + ["g_tb"], "inner")
+                   bucket_us: int, cell: float) -> DataFrame:
+    """Grid-cell x time-bucket equi-join of positions with zone validity intervals (rings left
+    out; the caller joins them back for the candidates). An interval is cut to the stretch of
+    time that the positions span, one without any of it goes; an open end is that stretch's."""
+    t_min, t_max = (positions.select(f(_us("recorded_at"))).scalar() for f in (F.min, F.max))
+    z = intervals.withColumn("_lo", F.greatest(F.coalesce(F.col(from_col), t_min), t_min))
+    z = z.withColumn("_hi", F.least(F.coalesce(F.col(to_col), t_max), t_max)).filter("_lo <= _hi")
+    p = geo.with_point_cells(positions, "longitude", "latitude", geo.levels_of(z, "_sb", cell), cell)
+    z, levels = _with_windows(geo.explode_box_cells(z, "_sb", None, cell), F.col("_lo"), F.col("_hi"), bucket_us)
+    p = _with_instants(p.withColumn("_pt", _us("recorded_at")), F.col("_pt"), levels, bucket_us)
+    return p.join(z, CELL_KEYS + ["g_tl", "g_tb"], "inner").drop("g_own", "g_tl", "_lo", "_hi")
 
 
 def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucket_us: int = HOUR_US,
-                                cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
-                                interval_bucket_us: int = asof.HOUR_US) -> DataFrame:
+                                cell: float = geo.DEFAULT_CELL_DEG, interval_bucket_us: int = asof.HOUR_US) -> DataFrame:
     """For every position report, the zones whose as-of report (at the report's instant)
     contains the drone.
 
@@ -311,18 +339,19 @@ def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucke
     iv = iv.select(*[F.col(c).alias("z_" + c) for c in observed.columns if c != "rings"],
                    F.expr(geo.bbox_sql("rings")).alias("_sb"),
                    F.col("valid_from_us").alias("z_t_us"), F.col("valid_to_us").alias("z_to_us"))
-    j = _interval_join(positions, iv, "z_t_us", "z_to_us", bucket_us, cell, cap)
+    j = _interval_join(positions, iv, "z_t_us", "z_to_us", bucket_us, cell)
     cheap = ((F.col("_pt") >= F.col("z_t_us"))
              & (F.col("z_to_us").isNull() | (F.col("_pt") < F.col("z_to_us")))
              & geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")))
     cand = j.filter(cheap).drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_to_us")
-    j = _rings_back(cand, observed.select(F.col("report_id").alias("z_report_id"), F.col("rings").alias("z_rings")), "z_report_id", "z_rings")
+    rings = observed.select(F.col("recorded_at").alias("z_recorded_at"), F.col("report_id").alias("z_report_id"),
+                            F.col("rings").alias("z_rings"))
+    j = _rings_back(cand, rings, ["z_recorded_at", "z_report_id"], "z_rings")
     return j.filter(_exact_contains("longitude", "latitude")).drop("_edges", "_rect")
 
 
 def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, bucket_us: int = HOUR_US,
-                                 cell: float = geo.DEFAULT_CELL_DEG, cap: int = geo.DEFAULT_CELL_CAP,
-                                 interval_bucket_us: int = asof.HOUR_US) -> DataFrame:
+                                 cell: float = geo.DEFAULT_CELL_DEG, interval_bucket_us: int = asof.HOUR_US) -> DataFrame:
     """For every position report, zones whose nearest forecast (T4 rule) contains the drone.
 
     Forecast intervals are cut at midpoints between a zone's neighbouring target instants;
@@ -334,12 +363,12 @@ def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, buck
                    F.unix_micros(F.col("recorded_at")).alias("z_t_us"),
                    F.col("valid_from_us").alias("z_from_us"), F.col("valid_to_us").alias("z_to_us"),
                    "lo2", "hi2", "lo_in", "hi_in")
-    t_min = positions.select(F.min(_us("recorded_at"))).scalar()
-    iv = iv.withColumn("z_from_us", F.coalesce(F.col("z_from_us"), F.least(t_min, F.col("z_t_us"))))
-    j = _interval_join(positions, iv, "z_from_us", "z_to_us", bucket_us, cell, cap)
+    j = _interval_join(positions, iv, "z_from_us", "z_to_us", bucket_us, cell)
     cheap = (asof.in_forecast_interval(F.col("_pt"))
              & geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")))
     cand = j.filter(cheap).drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_from_us", "z_to_us", "lo2", "hi2",
                                 "lo_in", "hi_in")
-    j = _rings_back(cand, forecast.select(F.col("report_id").alias("z_report_id"), F.col("rings").alias("z_rings")), "z_report_id", "z_rings")
+    rings = forecast.select(F.col("recorded_at").alias("z_recorded_at"), F.col("report_id").alias("z_report_id"),
+                            F.col("rings").alias("z_rings"))
+    j = _rings_back(cand, rings, ["z_recorded_at", "z_report_id"], "z_rings")
     return j.filter(_exact_contains("longitude", "latitude")).drop("_edges", "_rect")

@@ -333,3 +333,5 @@ from . import registry_writes  # noqa: E402,F401
 
 from . import registry_reads  # noqa: E402,F401
 from . import registry_streams  # noqa: E402,F401
+from . import registry_bodies  # noqa: E402,F401
+from . import registry_wind  # noqa: E402,F401

@@ -136,7 +136,7 @@ def q_val_altitude(spark, sf_dir):
 def _plan_bodies(spark, sf_dir):
     o = fx.load(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    wp = F.lit('"planType":"waypoints","waypoints":[{"lat":47.6,"lon":-122.4,"altitudeMinFt":100,'
+    wp = F.lit('"planType":"waypoints","waypoints":[{"latitude":47.6,"longitude":-122.4,"altitudeMinFt":100,'
                '"altitudeMaxFt":200,"radiusMeters":50}]')
     poly = F.lit('"planType":"polygon","polygonArea":{"type":"Polygon","coordinates":[]},"polygonMaxAltitudeFt":300')
     body = (F.when(k % 2 == 0, wp).otherwise(poly))
@@ -291,18 +291,6 @@ def q_src_wind_reports(spark, sf_dir):
     return _zone_src(spark, sf_dir, "wind")
 
 
-@query("src_registry", with_fixtures("owners") + """
-SELECT owner_id, owner_type, company_name, first_name FROM owners""")
-def q_src_registry(spark, sf_dir):
-    """Owner bodies read with an explicit schema."""
-    o = fx.owners(spark, sf_dir)
-    body = F.to_json(F.struct(F.col("owner_id").alias("ownerId"), F.col("owner_type").alias("ownerType"),
-                              F.col("company_name").alias("companyName"), F.col("first_name").alias("firstName")))
-    r = o.select(F.from_json(body, f"struct<{js.OWNER_BODY}>").alias("b")).select("b.*")
-    return r.select(F.col("ownerId").alias("owner_id"), F.col("ownerType").alias("owner_type"),
-                    F.col("companyName").alias("company_name"), F.col("firstName").alias("first_name"))
-
-
 @query("src_authorizations", """
 SELECT 'FP-' || CAST(o_orderkey AS VARCHAR) AS flight_plan_id,
        CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 2 = 0 THEN 'waypoints' ELSE 'polygon' END AS plan_type,
@@ -482,9 +470,9 @@ def q_contains_point(spark, sf_dir):
                                                   F.expr("substring(report_id, 3)").alias("_e"))
     z = fx.zone_reports(spark, sf_dir).select(F.col("report_id").alias("zone_report_id"), "rings",
                                               F.expr("substring(report_id, 3)").alias("_ze"))
-    j = pos.join(z, F.col("_e") == F.col("_ze"))
-    return j.select("report_id", "zone_report_id",
-                    geo.contains_point(F.col("rings"), F.col("longitude"), F.col("latitude")).alias("inside"))
+    j = pos.join(z, F.col("_e") == F.col("_ze")).withColumn("_edges", F.expr(geo.edges_sql("rings")))
+    return j.select("report_id", "zone_report_id", F.expr(
+        geo.contains_point_edges_sql("_edges", "longitude", "latitude")).alias("inside"))
 
 
 @query("polygon_box_intersects", with_fixtures("zone_reports") + f""",
@@ -495,10 +483,9 @@ def q_polygon_box_intersects(spark, sf_dir):
     """Does each event's search box meet (closed) the zone polygon of the same event?"""
     z = fx.zone_reports(spark, sf_dir).select("report_id", "rings", F.expr("substring(report_id, 3)").alias("_ze"))
     bx = _boxes(spark, sf_dir).select("box_id", "box", F.expr("substring(box_id, 3)").alias("_be"))
-    j = bx.join(z, F.col("_ze") == F.col("_be"))
-    bc = F.col("box")
-    return j.select("box_id", "report_id", geo.polygon_box_intersects(
-        F.col("rings"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"]).alias("meets"))
+    j = bx.join(z, F.col("_ze") == F.col("_be")).withColumn("_edges", F.expr(geo.edges_sql("rings")))
+    return j.select("box_id", "report_id", F.expr(geo.box_meets_edges_sql(
+        "_edges", "box.min_lon", "box.min_lat", "box.max_lon", "box.max_lat")).alias("meets"))
 
 
 @query("disc_box_intersects", with_fixtures("waypoints") + f""",

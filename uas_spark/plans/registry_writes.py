@@ -672,12 +672,12 @@ def q_nest_waypoints(spark, sf_dir):
 
 
 @query("plan_explode_waypoints", with_fixtures("waypoints") + """
-SELECT flight_plan_id, sequence_number, lat, lon FROM waypoints""")
+SELECT flight_plan_id, sequence_number, lat AS latitude, lon AS longitude FROM waypoints""")
 def q_plan_explode_waypoints(spark, sf_dir):
     """Nested plan bodies back to ordered child rows (round trip through G1)."""
     nested = listings.nest_waypoints(fx.waypoints(spark, sf_dir))
     out = listings.explode_plan_waypoints(nested)
-    return out.select("flight_plan_id", "sequence_number", "lat", "lon")
+    return out.select("flight_plan_id", "sequence_number", "latitude", "longitude")
 
 
 @query("union_plan_shapes", with_fixtures("flight_plans") + f"""

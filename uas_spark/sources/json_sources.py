@@ -16,12 +16,18 @@ POSITION_BODY = ("reportId string, recordedAt string, latitude double, longitude
 ZONE_BODY = ("reportId string, zoneId string, recordedAt string, state string, ceilingFt double, "
              "polygon string")
 OWNER_BODY = ("ownerId string, ownerType string, companyName string, firstName string, lastName string, "
-              "phoneNumber string, email string")
+              "phoneNumber string, addressLine1 string, addressLine2 string, addressCity string, "
+              "addressState string, addressZip string, email string")
+PILOT_BODY = "pilotId string, name string, phoneNumber string, licenseNumber string"
+REGISTRATION_BODY = ("registrationId string, serialNumber string, make string, modelNumber string, ownerId string, "
+                     "startDate date, endDate date")
+WAIVER_BODY = ("waiverId string, waiverType string, pilotId string, ownerId string, conditions string, "
+               "startTime string, endTime string")
 AUTH_BODY = ("authorizationId string, ownerId string, pilotId string, maxAltitudeFt double, startTime string, "
              "endTime string, status string, area string")
 PLAN_BODY = ("flightPlanId string, planType string, ownerId string, registrationId string, pilotId string, "
              "airspaceAuthorizationId string, startTime string, endTime string, "
-             "waypoints array<struct<lat:double,lon:double,altitudeMinFt:double,altitudeMaxFt:double,"
+             "waypoints array<struct<latitude:double,longitude:double,altitudeMinFt:double,altitudeMaxFt:double,"
              "radiusMeters:double>>, polygonArea string, polygonMaxAltitudeFt double")
 SENSOR_BODY = ("sensorId string, name string, notes string, latitude double, longitude double, "
                "sensingRadiusMeters double, status string")
@@ -47,12 +53,6 @@ def read_bodies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parse_bodies(spark.read.text(path).withColumnRenamed("value", "body"), "body", schema)
 
 
-def stream_bodies(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
-    """The same as a stream (ST1)."""
-    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "body")
-    return parse_bodies(raw, "body", schema)
-
-
 def to_instant(text: Column) -> Column:
     """ISO-8601 instant text to a timestamp (null when it does not parse)."""
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"))
@@ -78,11 +78,6 @@ def geojson_encode(rings: Column) -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")))
 
 
-def point_from_lat_lon(lat: Column, lon: Column) -> Column:
-    """A point; x is lon, y is lat."""
-    return F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
-
-
 # ------------------------------------------------------------------ S7: sensors and profiles
 
 def sensors_from_bodies(df: DataFrame, body_col: str = "body") -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -18,10 +16,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one test table; ``timestamp_ntz`` columns become UTC ``timestamp``.
 
     Only the columns a query later selects are read (parquet column pruning), and
-    filters on them reach the scan as pushed filters. A table stored as one small file
-    is a single scan task; ``spread`` gives it one partition per core so the map side of
-    every query is parallel (a large table already has more scan tasks than cores and is
-    left as read).
+    filters on them reach the scan as pushed filters. Scan tasks follow the files: nothing
+    is dealt out anew.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     cols = []
@@ -30,4 +26,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             cols.append(F.col(f.name).cast("timestamp").alias(f.name))
         else:
             cols.append(F.col(f.name))
-    return spread(df.select(*cols))
+    return df.select(*cols)
