@@ -20,6 +20,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table as it is stored (no repartitioning, so scan tasks follow its files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

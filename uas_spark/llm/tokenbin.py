@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import prepare, shared_folder, text_bytes
 from .tokens import END_ID, tokenizer_path, worker_encoder
 
 NULL_ID = -(1 << 63)  # stands for a null document id in .ids
@@ -117,8 +117,7 @@ def read(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
 
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder."""
-    prepare(spark)
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
