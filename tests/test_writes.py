@@ -121,7 +121,7 @@ def test_lifecycle_fold_window_recheck(spark):
                                 ("w1", 4, "rescinded", None, None, None)],
                                "target_id string, seq long, status string, conditions string, "
                                "start_time timestamp, end_time timestamp")
-    got = [r.outcome for r in patches.lifecycle_fold(base, ps, "waiver_id", "conditions", "2026-08-02 00:00:00")
+    got = [r.outcome for r in patches.lifecycle_fold(base, ps, "waiver_id", "conditions")
            .orderBy("seq").collect()]
     assert got == ["end_before_start", "accepted", "accepted", "accepted"]
 
@@ -321,3 +321,27 @@ def test_far_end_dates_stay_small(spark):
     assert got == {"a": "r2", "b": "r1", "c": None, "d": None}
     none = registrations.active_registration(regs.filter("false"), probes).collect()
     assert len(none) == 4 and all(r.r_registration_id is None for r in none)
+
+
+def test_plan_patches_see_each_other_and_the_table_follows(spark):
+    t = lambda d: dt.datetime(2026, 8, d)
+    plans = spark.createDataFrame([("fp", "o", "r0", None, "a1", t(1), t(5), t(1))],
+                                  "flight_plan_id string, owner_id string, registration_id string, pilot_id string, "
+                                  "airspace_authorization_id string, start_time timestamp, end_time timestamp, updated_at timestamp")
+    none = lambda cols: spark.createDataFrame([], cols)
+    ps = spark.createDataFrame([
+        ("fp", 1, '{"startTime":"2026-08-04T00:00:00Z"}'), ("fp", 2, '{"endTime":"2026-08-03T00:00:00Z"}'),
+        ("fp", 3, '{"endTime":"2026-08-09T00:00:00Z","airspaceAuthorizationId":"nope"}'),
+        ("fp", 4, '{"startTime":"2026-08-06T00:00:00Z"}'), ("fp", 5, '{"registrationId":null}'),
+        ("fp", 6, '{"startTime":"2026-08-08T00:00:00Z","airspaceAuthorizationId":"nope"}')],
+        "target_id string, seq long, raw string")
+    judged = patches.flight_plan_patch(plans, ps, none("pilot_id string, organization_owner_id string"),
+                                       none("registration_id string, owner_id string"), none("authorization_id string"))
+    got = {r.seq: r.outcome for r in judged.collect()}
+    # 2 ends before the start that 1 set; 3 and 6 change nothing; 4 starts after the stored end
+    assert got == {1: "accepted", 2: "end_before_start", 3: "authorization_not_found", 4: "end_before_start",
+                   5: "accepted", 6: "end_before_start"}
+    out = patches.apply_accepted(plans, judged, "flight_plan_id", ["start_time", "end_time"], "2026-09-01 00:00:00",
+                                 cleared={"registration_id": "has_registration"}).first()
+    assert (out.registration_id, out.airspace_authorization_id, out.start_time, out.end_time, out.updated_at) == (
+        None, "a1", t(4), t(5), dt.datetime(2026, 9, 1))

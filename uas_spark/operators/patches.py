@@ -124,16 +124,54 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
             .drop("_tid", "_s0", "_k1", "_k1_status", "_k2", "_eff")
 
 
+def apply_accepted(base: DataFrame, judged: DataFrame, key: str, fields: list[str], stamp: str,
+                   target_col: str = "target_id", seq_col: str = "seq",
+                   cleared: dict[str, str] | None = None) -> DataFrame:
+    """The table after its accepted patches (M17-M20): per id and field the last value given by
+    an accepted patch, ``updated_at = stamp``, and ``rescinded_at = stamp`` where a patch moved
+    the status to rescinded. One partial aggregate per id, joined back; rows without an accepted
+    patch are unchanged.
+
+    ``judged``: the patches with ``outcome``. ``fields`` are columns of both sides in which null
+    keeps the stored value; ``cleared`` maps a nullable column to a column of ``judged`` that is
+    true where the patch lists the field, so that a listed null clears it.
+    """
+    ok = judged.filter("outcome = 'accepted'")
+    fields = [f for f in fields if f in base.columns]
+    cleared = cleared or {}
+    seq = F.col(seq_col)
+    agg = ok.groupBy(F.col(target_col).alias("_tid")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), seq)).alias("_p_" + f) for f in fields],
+        *[F.max_by(F.struct(F.col(f).alias("v")), F.when(F.col(c), seq)).alias("_c_" + f) for f, c in cleared.items()])
+    out, cols = base.join(agg, base[key] == agg["_tid"], "left"), []
+    for c in base.columns:
+        if c in cleared:
+            col = F.when(F.col("_c_" + c).isNotNull(), F.col("_c_" + c)["v"]).otherwise(F.col(c))
+        elif c in fields:
+            col = F.coalesce(F.col("_p_" + c), F.col(c))
+        elif c == "updated_at":
+            col = F.when(F.col("_n") > 0, _stamp(stamp)).otherwise(F.col(c))
+        elif c == "rescinded_at" and "status" in fields:
+            moved = (F.col("_p_status") == "rescinded") & (F.col("status") != "rescinded")
+            col = F.when(moved, _stamp(stamp)).otherwise(F.col(c))
+        else:
+            col = F.col(c)
+        cols.append(col.alias(c))
+    return out.select(*cols)
+
+
 # ------------------------------------------------------------------ M19: lifecycle as an ordered fold
 
-def lifecycle_fold(base: DataFrame, patches: DataFrame, key: str, field: str, stamp: str,
+def lifecycle_fold(base: DataFrame, patches: DataFrame, key: str, field: str,
                    target_col: str = "target_id", seq_col: str = "seq") -> DataFrame:
     """M19 (waivers): the lifecycle gate plus window re-check. A patch may set ``field``,
     ``start_time``, ``end_time`` and ``status``; an accepted patch whose merged window has
     ``end <= start`` is refused with 'end_before_start'. Acceptance depends on values set by
     earlier patches, so this is an ordered fold per id over its sorted patches.
 
-    Returns one row per patch: (target_id, seq, outcome, status_after).
+    Returns one row per patch: (target_id, seq, outcome, status_after); ``apply_accepted`` joined
+    with the patches gives the table afterwards.
     """
     ft = base.schema[field].dataType.simpleString()
     b = base.select(F.col(key).alias("_tid"), F.col("status").alias("_s0"), F.col(field).alias("_f0"),
@@ -209,47 +247,55 @@ def delete_idempotent(profiles: DataFrame, deletes: DataFrame, key: str = "senso
 # ------------------------------------------------------------------ M20
 
 def flight_plan_patch(plans: DataFrame, patches: DataFrame, pilots: DataFrame, registrations: DataFrame,
-                      auths: DataFrame, raw_col: str = "raw", target_col: str = "target_id") -> DataFrame:
+                      auths: DataFrame, raw_col: str = "raw", target_col: str = "target_id",
+                      seq_col: str = "seq") -> DataFrame:
     """link/unlink (``registrationId``, ``pilotId``, ``airspaceAuthorizationId``: absent
-    keeps, null clears, value sets) and window patches (absent keeps), each judged against the
-    stored plan. Shape and owner are immutable. Reasons in the reference's order: not_found,
-    pilot_not_found, registration_not_found, registration_owner_mismatch,
-    authorization_not_found, end_before_start; else accepted.
-
-    Returns the patches with ``outcome`` and the merged link fields and window.
+    keeps, null clears, value sets) and window patches (absent keeps), applied to a plan in
+    ``seq`` order. Shape and owner are immutable. Reasons in the reference's order: not_found,
+    pilot_not_found, registration_not_found, registration_owner_mismatch, end_before_start (the
+    row's own check), authorization_not_found (its foreign key); else accepted.
+
+    The link checks look at values being set only, so they do not depend on earlier patches;
+    the window does, and a plan's patches that give a time fold in order. The others only need
+    to know the window as of their turn, which cannot be bad. Returns the patches with
+    ``outcome``, the links and times they give and which links they list (``has_*``).
     """
     from .refs import ref_authorization_exists, ref_pilot_under_owner, ref_registration_owner
     raw = F.col(raw_col)
+    when = F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")
     p = patches.select(
         "*",
-        json_has_key(raw, "pilotId").alias("_has_pilot"), F.get_json_object(raw, "$.pilotId").alias("_pilot"),
-        json_has_key(raw, "registrationId").alias("_has_reg"),
-        F.get_json_object(raw, "$.registrationId").alias("_reg"),
-        json_has_key(raw, "airspaceAuthorizationId").alias("_has_auth"),
-        F.get_json_object(raw, "$.airspaceAuthorizationId").alias("_auth"),
-        F.try_to_timestamp(F.get_json_object(raw, "$.startTime"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")).alias("_st"),
-        F.try_to_timestamp(F.get_json_object(raw, "$.endTime"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")).alias("_en"))
+        json_has_key(raw, "pilotId").alias("has_pilot"), F.get_json_object(raw, "$.pilotId").alias("pilot_id"),
+        json_has_key(raw, "registrationId").alias("has_registration"),
+        F.get_json_object(raw, "$.registrationId").alias("registration_id"),
+        json_has_key(raw, "airspaceAuthorizationId").alias("has_authorization"),
+        F.get_json_object(raw, "$.airspaceAuthorizationId").alias("airspace_authorization_id"),
+        F.try_to_timestamp(F.get_json_object(raw, "$.startTime"), when).alias("start_time"),
+        F.try_to_timestamp(F.get_json_object(raw, "$.endTime"), when).alias("end_time"))
     base = plans.select(F.col("flight_plan_id").alias("_fid"), F.col("owner_id").alias("_owner"),
-                        F.col("registration_id").alias("_reg0"), F.col("pilot_id").alias("_pilot0"),
-                        F.col("airspace_authorization_id").alias("_auth0"), F.col("start_time").alias("_st0"),
-                        F.col("end_time").alias("_en0"))
+                        F.col("start_time").alias("_st0"), F.col("end_time").alias("_en0"))
     p = p.join(base, F.col(target_col) == F.col("_fid"), "left")
-    # checks only look at values being set (a null value clears and needs no check)
-    p = ref_pilot_under_owner(p, pilots, "_pilot", "_owner")
-    p = ref_registration_owner(p, registrations, "_reg", "_owner")
-    p = ref_authorization_exists(p, auths, "_auth")
-    new_reg = F.when(F.col("_has_reg"), F.col("_reg")).otherwise(F.col("_reg0"))
-    new_pilot = F.when(F.col("_has_pilot"), F.col("_pilot")).otherwise(F.col("_pilot0"))
-    new_auth = F.when(F.col("_has_auth"), F.col("_auth")).otherwise(F.col("_auth0"))
-    new_st = F.coalesce(F.col("_st"), F.col("_st0"))
-    new_en = F.coalesce(F.col("_en"), F.col("_en0"))
-    outcome = (F.when(F.col("_fid").isNull(), "not_found")
-                .when(~F.col("pilot_found"), "pilot_not_found")
-                .when(F.col("registration_check").isNotNull(), F.col("registration_check"))
-                .when(~F.col("authorization_found"), "authorization_not_found")
-                .when(new_en <= new_st, "end_before_start")
-                .otherwise("accepted"))
-    out = p.select(*patches.columns, outcome.alias("outcome"), new_reg.alias("registration_id"),
-                   new_pilot.alias("pilot_id"), new_auth.alias("airspace_authorization_id"),
-                   new_st.alias("start_time"), new_en.alias("end_time"))
-    return out
+    p = ref_pilot_under_owner(p, pilots, "pilot_id", "_owner")
+    p = ref_registration_owner(p, registrations, "registration_id", "_owner")
+    p = ref_authorization_exists(p, auths, "airspace_authorization_id")
+    p = p.withColumn("_before", F.when(F.col("_fid").isNull(), "not_found")
+                     .when(~F.col("pilot_found"), "pilot_not_found")
+                     .otherwise(F.col("registration_check"))).withColumn("_auth_ok", F.col("authorization_found"))
+    timed = p.filter("_before IS NULL AND (start_time IS NOT NULL OR end_time IS NOT NULL)")
+    g = timed.groupBy(F.col(target_col).alias("_tid")).agg(
+        F.first("_st0").alias("_st0"), F.first("_en0").alias("_en0"), F.array_sort(F.collect_list(F.struct(
+            F.col(seq_col).alias("seq"), F.col("start_time").alias("st"), F.col("end_time").alias("en"),
+            F.col("_auth_ok").alias("ok")))).alias("ps"))
+    bad = "coalesce(q.en, a.en) <= coalesce(q.st, a.st)"
+    fold = F.expr(f"""aggregate(ps, named_struct('st', _st0, 'en', _en0, 'out', cast(array() AS array<bigint>)),
+        (a, q) -> named_struct('st', IF({bad} OR NOT q.ok, a.st, coalesce(q.st, a.st)),
+            'en', IF({bad} OR NOT q.ok, a.en, coalesce(q.en, a.en)),
+            'out', IF({bad}, concat(a.out, array(cast(q.seq AS bigint))), a.out)), a -> a.out)""")
+    late = g.select("_tid", F.explode(fold).alias("_lseq"))
+    p = p.join(late, (F.col(target_col) == F.col("_tid")) & (F.col(seq_col) == F.col("_lseq")), "left")
+    outcome = (F.when(F.col("_before").isNotNull(), F.col("_before"))
+                .when(F.col("_lseq").isNotNull(), "end_before_start")
+                .when(~F.col("_auth_ok"), "authorization_not_found").otherwise("accepted"))
+    return p.select(*patches.columns, outcome.alias("outcome"), "pilot_id", "registration_id",
+                    "airspace_authorization_id", "start_time", "end_time", "has_pilot", "has_registration",
+                    "has_authorization")

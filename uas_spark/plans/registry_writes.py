@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, listings, patches, refs, registrations
 from ..sources import fixtures as fx
 from .oracle_fixtures import iso, with_fixtures
-from .registry import query
+from .registry import ORACLE, query
 
 STAMP = "2024-02-01 00:00:00"
 AS_OF = "2023-11-15"
@@ -238,6 +238,12 @@ def q_registration_sequential_accept(spark, sf_dir):
     return out.select("registration_id", "outcome")
 
 
+def _judged(key: str) -> str:
+    """The oracle of a patch operator as a named table j, for the table after its accepted patches."""
+    head, _, tail = ORACLE[key].rpartition("\nSELECT ")
+    return f"{head},\nj AS (SELECT {tail})\n"
+
+
 def _reg_patches(spark, sf_dir):
     p = fx.lineitem_pairs(spark, sf_dir)
     d0 = F.to_date(F.lit("2023-09-01"))
@@ -268,6 +274,24 @@ def q_registration_patch_overlap(spark, sf_dir):
     return out.select("registration_id", "seq", "outcome")
 
 
+@query("registration_patch_table", _judged("registration_patch_overlap") + f""",
+k AS (SELECT p.registration_id, arg_max(p.start_date, p.seq) FILTER (WHERE p.start_date IS NOT NULL) AS sd,
+             arg_max(p.end_date, p.seq) FILTER (WHERE p.end_date IS NOT NULL) AS ed
+      FROM p JOIN j ON j.registration_id = p.registration_id AND j.seq = p.seq WHERE j.outcome = 'accepted' GROUP BY 1)
+SELECT r.registration_id, CAST(coalesce(k.sd, r.start_date) AS VARCHAR) AS start_date,
+       CAST(coalesce(k.ed, r.end_date) AS VARCHAR) AS end_date,
+       CASE WHEN k.registration_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('r.created_at')} END AS updated_at
+FROM registrations r LEFT JOIN k ON k.registration_id = r.registration_id""")
+def q_registration_patch_table(spark, sf_dir):
+    """The registrations after their accepted patches."""
+    r, ps = fx.registrations(spark, sf_dir), _reg_patches(spark, sf_dir)
+    judged = registrations.registration_patch_overlap(r, ps)
+    out = patches.apply_accepted(r, judged, "registration_id", ["start_date", "end_date"], STAMP,
+                                 target_col="registration_id")
+    return out.select("registration_id", F.col("start_date").cast("string"), F.col("end_date").cast("string"),
+                      "updated_at")
+
+
 @query("join_positions_registration", with_fixtures("live_positions", "registrations") + """
 SELECT position_id, registration_id, owner_id FROM (
   SELECT p.report_id AS position_id, r.registration_id, r.owner_id,
@@ -449,10 +473,48 @@ fold(target_id, rn, s, c, st, en, seq, outcome, status_after) AS (
 SELECT target_id, seq, outcome, status_after FROM fold WHERE seq IS NOT NULL""")
 def q_waiver_lifecycle(spark, sf_dir):
     out = patches.lifecycle_fold(fx.waivers(spark, sf_dir), _waiver_patches(spark, sf_dir), "waiver_id",
-                                 "conditions", STAMP)
+                                 "conditions")
     return out.select("target_id", "seq", "outcome", "status_after")
 
 
+@query("authorization_lifecycle_table", _judged("authorization_lifecycle") + f""",
+k AS (SELECT p.target_id, arg_max(p.status, p.seq) FILTER (WHERE p.status IS NOT NULL) AS ns,
+             arg_max(p.max_altitude_ft, p.seq) FILTER (WHERE p.max_altitude_ft IS NOT NULL) AS alt
+      FROM p JOIN j ON j.target_id = p.target_id AND j.seq = p.seq WHERE j.outcome = 'accepted' GROUP BY 1)
+SELECT a.authorization_id, coalesce(k.ns, a.status) AS status, coalesce(k.alt, a.max_altitude_ft) AS max_altitude_ft,
+       CASE WHEN k.ns = 'rescinded' AND a.status <> 'rescinded' THEN '{STAMP}.000000'
+            WHEN a.status = 'rescinded' THEN {iso('a.start_time')} END AS rescinded_at,
+       CASE WHEN k.target_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('a.created_at')} END AS updated_at
+FROM authorizations a LEFT JOIN k ON k.target_id = a.authorization_id""")
+def q_authorization_lifecycle_table(spark, sf_dir):
+    """The authorizations after their accepted patches."""
+    a = fx.authorizations(spark, sf_dir)
+    judged = patches.lifecycle_outcomes(a, fx.lifecycle_patches(spark, sf_dir, "A-"), "authorization_id",
+                                        ["max_altitude_ft"], present_cols=["pilot_present"])
+    out = patches.apply_accepted(a, judged, "authorization_id", ["status", "max_altitude_ft"], STAMP)
+    return out.select("authorization_id", "status", "max_altitude_ft", "rescinded_at", "updated_at")
+
+
+@query("waiver_lifecycle_table", _judged("waiver_lifecycle") + f""",
+k AS (SELECT p.target_id, arg_max(p.status, p.seq) FILTER (WHERE p.status IS NOT NULL) AS ns,
+             arg_max(p.conditions, p.seq) FILTER (WHERE p.conditions IS NOT NULL) AS c,
+             arg_max(p.start_time, p.seq) FILTER (WHERE p.start_time IS NOT NULL) AS st
+      FROM wp p JOIN j ON j.target_id = p.target_id AND j.seq = p.seq WHERE j.outcome = 'accepted' GROUP BY 1)
+SELECT w.waiver_id, coalesce(k.ns, w.status) AS status, coalesce(k.c, w.conditions) AS conditions,
+       coalesce({iso('k.st')}, {iso('w.start_time')}) AS start_time,
+       CASE WHEN k.ns = 'rescinded' AND w.status <> 'rescinded' THEN '{STAMP}.000000'
+            WHEN w.status = 'rescinded' THEN {iso('w.start_time')} END AS rescinded_at,
+       CASE WHEN k.target_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('w.created_at')} END AS updated_at
+FROM waivers w LEFT JOIN k ON k.target_id = w.waiver_id""")
+def q_waiver_lifecycle_table(spark, sf_dir):
+    """The waivers after their accepted patches."""
+    w, ps = fx.waivers(spark, sf_dir), _waiver_patches(spark, sf_dir)
+    judged = patches.lifecycle_fold(w, ps, "waiver_id", "conditions").select("target_id", "seq", "outcome")
+    out = patches.apply_accepted(w, ps.join(judged, ["target_id", "seq"]), "waiver_id",
+                                 ["status", "conditions", "start_time", "end_time"], STAMP)
+    return out.select("waiver_id", "status", "conditions", "start_time", "rescinded_at", "updated_at")
+
+
 def _profiles(spark, sf_dir):
     p = fx.sensor_profiles_raw(spark, sf_dir)
     return p.select("sensor_id", "profile_json", "created_at", F.col("created_at").alias("updated_at"))
@@ -700,47 +762,91 @@ def q_in_list(spark, sf_dir):
 
 
 def _plan_patches(spark, sf_dir):
+    """Patches per return flag: R clears the pilot, links an authorization and, on even lines,
+    moves the start; A links a registration; N sets the pilot and the end, clears the registration."""
     p = fx.lineitem_pairs(spark, sf_dir)
     k, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+
+    def day(n):
+        return F.concat(F.lit('"2024-01-'), F.lpad((ln % 7 + n).cast("string"), 2, "0"), F.lit('T00:00:00Z"'))
     raw = (F.when(F.col("l_returnflag") == "R",
                   F.concat(F.lit('{"pilotId":null,"airspaceAuthorizationId":"'),
-                           F.when(ln == 3, F.lit("A-X")).otherwise(F.lit("A-")), pk.cast("string"), F.lit('"}')))
+                           F.when(ln == 3, F.lit("A-X")).otherwise(F.lit("A-")), pk.cast("string"), F.lit('"'),
+                           F.when(ln % 2 == 0, F.concat(F.lit(',"startTime":'), day(10))).otherwise(F.lit("")), F.lit("}")))
             .when(F.col("l_returnflag") == "A",
-                  F.concat(F.lit('{"registrationId":"R-'), (sk * 7).cast("string"),
-                           F.lit('","startTime":"2024-01-'), F.lpad((ln % 7 + 10).cast("string"), 2, "0"),
-                           F.lit('T00:00:00Z"}')))
+                  F.concat(F.lit('{"registrationId":"R-'), (sk * 7).cast("string"), F.lit('"}')))
             .otherwise(F.concat(F.lit('{"pilotId":"P-'), (pk - pk % 3).cast("string"),
-                                F.lit('","registrationId":null}'))))
+                                F.lit('","registrationId":null,"endTime":'), day(13), F.lit("}"))))
     return p.select(F.concat(F.lit("FP-"), k.cast("string")).alias("target_id"), ln.cast("long").alias("seq"),
                     raw.alias("raw"))
 
 
-@query("flight_plan_patch", with_fixtures("flight_plans", "pilots", "registrations", "authorizations",
-                                          "lineitem_pairs") + """,
+_PLAN_FOLD = with_fixtures("flight_plans", "pilots", "registrations", "authorizations",
+                          "lineitem_pairs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
 p AS (SELECT 'FP-' || CAST(l_orderkey AS VARCHAR) AS target_id, CAST(l_linenumber AS BIGINT) AS seq, l_returnflag AS fl,
              l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln FROM lineitem_pairs),
-v AS (SELECT p.*, f.flight_plan_id IS NOT NULL AS found, f.owner_id, f.start_time, f.end_time,
+v AS (SELECT p.*, f.flight_plan_id IS NOT NULL AS found, f.owner_id,
         CASE WHEN fl = 'N' THEN 'P-' || CAST(pk - pk % 3 AS VARCHAR) END AS set_pilot,
         CASE WHEN fl = 'A' THEN 'R-' || CAST(sk * 7 AS VARCHAR) END AS set_reg,
         CASE WHEN fl = 'R' THEN (CASE WHEN ln = 3 THEN 'A-X' ELSE 'A-' END) || CAST(pk AS VARCHAR) END AS set_auth,
-        CASE WHEN fl = 'A' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 9) END AS set_start
-      FROM p LEFT JOIN flight_plans f ON f.flight_plan_id = p.target_id)
-SELECT target_id, seq,
+        CASE WHEN fl = 'R' AND ln % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 9) END AS set_start,
+        CASE WHEN fl = 'N' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 12) END AS set_end
+      FROM p LEFT JOIN flight_plans f ON f.flight_plan_id = p.target_id),
+c AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rn,
   CASE WHEN NOT found THEN 'not_found'
        WHEN set_pilot IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pilots x WHERE x.pilot_id = set_pilot
             AND x.organization_owner_id = v.owner_id) THEN 'pilot_not_found'
        WHEN set_reg IS NOT NULL AND set_reg NOT IN (SELECT registration_id FROM registrations)
             THEN 'registration_not_found'
        WHEN set_reg IS NOT NULL AND (SELECT r.owner_id FROM registrations r WHERE r.registration_id = set_reg)
-            <> v.owner_id THEN 'registration_owner_mismatch'
-       WHEN set_auth IS NOT NULL AND set_auth NOT IN (SELECT authorization_id FROM authorizations)
-            THEN 'authorization_not_found'
-       WHEN end_time <= coalesce(set_start, start_time) THEN 'end_before_start'
-       ELSE 'accepted' END AS outcome
-FROM v""")
+            <> v.owner_id THEN 'registration_owner_mismatch' END AS before,
+  set_auth IS NOT NULL AND set_auth NOT IN (SELECT authorization_id FROM authorizations) AS no_auth FROM v),
+fold(target_id, rn, st, en, seq, outcome) AS (
+  SELECT flight_plan_id, CAST(0 AS BIGINT), start_time, end_time, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM flight_plans
+  UNION ALL
+  SELECT target_id, rn, CASE WHEN oc = 'accepted' THEN coalesce(set_start, st) ELSE st END,
+         CASE WHEN oc = 'accepted' THEN coalesce(set_end, en) ELSE en END, seq, oc
+  FROM (SELECT f.target_id, c.rn, f.st, f.en, c.set_start, c.set_end, c.seq,
+          CASE WHEN c.before IS NOT NULL THEN c.before
+               WHEN coalesce(c.set_end, f.en) <= coalesce(c.set_start, f.st) THEN 'end_before_start'
+               WHEN c.no_auth THEN 'authorization_not_found' ELSE 'accepted' END AS oc
+        FROM fold f JOIN c ON c.target_id = f.target_id AND c.rn = f.rn + 1) x),
+j AS (SELECT target_id, seq, outcome FROM fold WHERE seq IS NOT NULL
+      UNION ALL SELECT target_id, seq, before FROM c WHERE NOT found)
+"""
+
+
+@query("flight_plan_patch", _PLAN_FOLD + "SELECT target_id, seq, outcome FROM j")
 def q_flight_plan_patch(spark, sf_dir):
-    """One link/window patch per lineitem pair against the stored plans."""
-    out = patches.flight_plan_patch(fx.flight_plans(spark, sf_dir), _plan_patches(spark, sf_dir),
-                                    fx.pilots(spark, sf_dir), fx.registrations(spark, sf_dir),
-                                    fx.authorizations(spark, sf_dir))
-    return out.select("target_id", "seq", "outcome")
+    """A link/window patch per order line, those of a plan in order."""
+    return _plan_outcomes(spark, sf_dir).select("target_id", "seq", "outcome")
+
+
+def _plan_outcomes(spark, sf_dir):
+    return patches.flight_plan_patch(fx.flight_plans(spark, sf_dir), _plan_patches(spark, sf_dir),
+                                     fx.pilots(spark, sf_dir), fx.registrations(spark, sf_dir),
+                                     fx.authorizations(spark, sf_dir))
+
+
+@query("flight_plan_patch_table", _PLAN_FOLD + f""",
+k AS (SELECT c.target_id, count(*) AS n,
+        max(c.seq) FILTER (WHERE c.fl IN ('R', 'N')) AS ps, arg_max_null(c.set_pilot, c.seq) FILTER (WHERE c.fl IN ('R', 'N')) AS pilot,
+        max(c.seq) FILTER (WHERE c.fl IN ('A', 'N')) AS rs, arg_max_null(c.set_reg, c.seq) FILTER (WHERE c.fl IN ('A', 'N')) AS reg,
+        arg_max(c.set_auth, c.seq) FILTER (WHERE c.set_auth IS NOT NULL) AS auth,
+        arg_max(c.set_start, c.seq) FILTER (WHERE c.set_start IS NOT NULL) AS st,
+        arg_max(c.set_end, c.seq) FILTER (WHERE c.set_end IS NOT NULL) AS en
+      FROM c JOIN j ON j.target_id = c.target_id AND j.seq = c.seq WHERE j.outcome = 'accepted' GROUP BY 1)
+SELECT f.flight_plan_id, CASE WHEN k.ps IS NOT NULL THEN k.pilot ELSE f.pilot_id END AS pilot_id,
+       CASE WHEN k.rs IS NOT NULL THEN k.reg ELSE f.registration_id END AS registration_id,
+       coalesce(k.auth, f.airspace_authorization_id) AS airspace_authorization_id,
+       coalesce({iso('k.st')}, {iso('f.start_time')}) AS start_time, coalesce({iso('k.en')}, {iso('f.end_time')}) AS end_time,
+       CASE WHEN k.n > 0 THEN '{STAMP}.000000' ELSE {iso('f.created_at')} END AS updated_at
+FROM flight_plans f LEFT JOIN k ON k.target_id = f.flight_plan_id""")
+def q_flight_plan_patch_table(spark, sf_dir):
+    """The plans after their accepted patches."""
+    out = patches.apply_accepted(
+        fx.flight_plans(spark, sf_dir), _plan_outcomes(spark, sf_dir), "flight_plan_id", ["start_time", "end_time"], STAMP,
+        cleared={"pilot_id": "has_pilot", "registration_id": "has_registration",
+                 "airspace_authorization_id": "has_authorization"})
+    return out.select("flight_plan_id", "pilot_id", "registration_id", "airspace_authorization_id", "start_time",
+                      "end_time", "updated_at")
