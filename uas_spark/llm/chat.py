@@ -47,16 +47,21 @@ def _prefix(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFram
             .withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop(*[f"__{n}" for n in sums]))
 
 
-def laid_out(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per turn with its position, its tokens, where it starts on the line (at) and its
-    window (big_before, is_big, stretch)."""
+def numbered(conversations: DataFrame) -> DataFrame:
+    """(conv_id, block, pos, role, text, tokens): the turns with their position and tokens."""
     rows = (conversations.filter("conv_id IS NOT NULL")
             .select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"),
                     F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .withColumn("block", F.expr(f"floor(turn / {BLOCK_TURNS}D)"))
             .withColumn("tokens", word_count_column(F.col("text")) + TURN_TOKENS))
-    rows = _prefix(rows, ["turn", "role", "text"], {"pos": "1L"}).withColumn("is_system", F.expr("pos = 0 AND role = 'system'"))
+    return _prefix(rows, ["turn", "role", "text"], {"pos": "1L"}).drop("turn")
+
+
+def laid_out(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """One row per turn, without its text: where it starts on the line (at) and its window
+    (big_before, is_big, stretch)."""
+    rows = turns.select("conv_id", "block", "pos", "tokens", F.expr("pos = 0 AND role = 'system'").alias("is_system"))
     left = rows.groupBy("conv_id").agg(
         F.greatest(F.lit(budget - history) - F.coalesce(F.max(F.expr("CASE WHEN is_system THEN tokens END")), F.lit(0)),
                    F.lit(budget // 4)).alias("room"))
@@ -65,8 +70,8 @@ def laid_out(conversations: DataFrame, budget: int = BUDGET, history: int = HIST
     rows = rows.join(longest, "conv_id", "left").withColumn(
         "stride", F.expr("greatest(room - coalesce(longest, 0), 1)"))
     rows = _prefix(rows, ["pos"], {"at": "CASE WHEN is_system THEN 0L ELSE tokens END",
-                                    "line": "CASE WHEN is_system OR is_big THEN 0L ELSE tokens END",
-                                    "big_before": "CASE WHEN is_big THEN 1L ELSE 0L END"})
+                                   "line": "CASE WHEN is_system OR is_big THEN 0L ELSE tokens END",
+                                   "big_before": "CASE WHEN is_big THEN 1L ELSE 0L END"})
     return rows.withColumn("stretch", F.expr("CASE WHEN is_big THEN 0L ELSE floor(line / cast(stride AS double)) END"))
 
 
@@ -81,23 +86,25 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     system turn, is too long to fit: turns are never cut.
     """
     prepare(conversations.sparkSession)
-    turns = saved(laid_out(conversations, budget, history))
+    texts = saved(numbered(conversations))
+    turns = saved(laid_out(texts, budget, history))
     key = ["conv_id", "big_before", "is_big", "stretch"]
     heads = turns.groupBy(*key).agg(F.min("pos").alias("window"), F.min("at").alias("from"))
-    body = ["conv_id", "window", "place", "pos", "role", "text", "tokens"]
+    body = ["conv_id", "window", "place", "pos"]
     span = turns.join(heads, key).withColumn("place", F.lit(2)).select(*body)
     later = heads.filter("window > 0").select("conv_id", "window", "from")
-    system = (turns.filter("is_system").select("conv_id", "pos", "role", "text", "tokens")
-              .join(later, "conv_id").withColumn("place", F.lit(0)).select(*body))
+    system = (turns.filter("is_system").select("conv_id", "pos").join(later, "conv_id")
+              .withColumn("place", F.lit(0)).select(*body))
     # a turn is history of the windows that start between its end and `history` past its start
     past = (turns.filter(f"NOT is_system AND tokens <= {history}")
             .withColumn("piece", F.explode(F.expr(f"sequence(floor((at + tokens) / {history}D), floor((at + {history}) / {history}D))")))
-            .select("conv_id", "piece", "pos", "role", "text", "tokens", "at"))
+            .select("conv_id", "piece", "pos", "tokens", "at"))
     history_rows = (past.join(later.withColumn("piece", F.expr(f"floor(from / {history}D)")), ["conv_id", "piece"])
                     .filter(f"pos < window AND at + tokens <= from AND at >= from - {history}")
                     .withColumn("place", F.lit(1)).select(*body))
-    every = span.unionByName(system).unionByName(history_rows)
-    every = every.withColumns({"role": escaped(F.col("role")), "is_loss": F.expr("place = 2 AND role = 'assistant'"),
+    # texts join the laid-out turns once, at the end
+    every = span.unionByName(system).unionByName(history_rows).join(texts.drop("block"), ["conv_id", "pos"])
+    every = every.withColumns({"is_loss": F.expr("place = 2 AND role = 'assistant'"), "role": escaped(F.col("role")),
                                "text": escaped(F.col("text"))})
     turn = F.struct("place", "pos", "is_loss", F.concat(F.lit(START), "role", F.lit(SEP)).alias("head"), "text")
     grouped = every.groupBy("conv_id", "window").agg(
