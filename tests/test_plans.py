@@ -26,9 +26,15 @@ def test_latest_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in p
 
 
-def test_filters_and_columns_reach_the_scan(spark):
-    df = QUERIES["zone_latest_fresh"](spark, SF)
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in p
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in p \
-        or "props" not in p.split("ReadSchema")[1].split("\n")[0]
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from uas_spark.operators import asof, listings
+    from uas_spark.sources import fixtures as fx
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # plan texts in full
+    fx.observed_reports(spark, SF).write.parquet(str(tmp_path / "zones"))
+    zones = spark.read.parquet(str(tmp_path / "zones"))
+    out = asof.zone_latest_fresh(zones, "2024-01-20 12:00:00", 30).select("zone_id", "report_id")
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(recorded_at" in p and "rings" not in p.split("ReadSchema")[1].split("\n")[0]
+    hist = listings.history(zones, "zone_id", key="Z-1", from_ts="2024-01-10 00:00:00")
+    p = hist._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(zone_id,Z-1)" in p and "GreaterThanOrEqual(recorded_at" in p

@@ -23,6 +23,8 @@ ENUMS = {
                     "operations_over_people"],
     "status": ["proposed", "approved", "rescinded"],
 }
+# Fixed value: the message of a ceiling that does not fit the state.
+CEILING_MESSAGE = "ceilingFt is required when state is 'foggy', and not allowed otherwise"
 ISO_INSTANT_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"
 ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -53,33 +55,38 @@ def polygon_ok(rings: Column) -> Column:
         (r[0]["lon"] == F.element_at(r, -1)["lon"]) & (r[0]["lat"] == F.element_at(r, -1)["lat"]))), F.lit(False))
 
 
+# Fixed values: (path, message) of each fault of a spatial probe.
+PROBE_FAULTS = {
+    "both": ("", "Provide either lat/lon or lat1/lon1/lat2/lon2, not both"),
+    "point": ("lon", "lat and lon must both be provided"),
+    "extent": ("lat1", "lat1, lon1, lat2, and lon2 must all be provided"),
+    "none": ("", "Provide either a point (lat/lon) or an extent (lat1/lon1/lat2/lon2)"),
+    "height": ("lat2", "The extent must have nonzero height (lat1 and lat2 must differ)"),
+    "width": ("lon2", "The extent must have nonzero width (lon1 and lon2 must differ)"),
+}
+
+
+def _fault(name: str) -> Column:
+    path, message = PROBE_FAULTS[name]
+    return F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))
+
+
 def spatial_probe_issues(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     """V3: a probe is a complete point or a complete extent, never both, neither or partial;
-    an extent needs nonzero height and width (both may be reported). Returns the issue list."""
-    def present(*cs):
-        return [F.col(c).isNotNull() if isinstance(c, str) else c.isNotNull() for c in cs]
-    pl, pn = present(lat, lon)
-    e = present(lat1, lon1, lat2, lon2)
-    has_point = pl | pn
-    has_ext = e[0] | e[1] | e[2] | e[3]
-    point_full = pl & pn
-    ext_full = e[0] & e[1] & e[2] & e[3]
-    c = (lambda x: F.col(x) if isinstance(x, str) else x)
-
-    def issue(path, msg):
-        return F.struct(F.lit(path).alias("path"), F.lit(msg).alias("message"))
-
-    first = (F.when(has_point & has_ext, F.array(issue("", "Provide either lat/lon or lat1/lon1/lat2/lon2, not both")))
-              .when(has_point & ~point_full, F.array(issue("lon", "lat and lon must both be provided")))
-              .when(has_ext & ~ext_full, F.array(issue("lat1", "lat1, lon1, lat2, and lon2 must all be provided")))
-              .when(~has_point & ~has_ext,
-                    F.array(issue("", "Provide either a point (lat/lon) or an extent (lat1/lon1/lat2/lon2)"))))
-    h = F.when(c(lat1) == c(lat2), F.array(issue(
-        "lat2", "The extent must have nonzero height (lat1 and lat2 must differ)"))).otherwise(F.array())
-    w = F.when(c(lon1) == c(lon2), F.array(issue(
-        "lon2", "The extent must have nonzero width (lon1 and lon2 must differ)"))).otherwise(F.array())
-    return F.when(first.isNotNull(), first).when(ext_full, F.concat(h, w)).otherwise(
-        F.array().cast("array<struct<path:string,message:string>>"))
+    an extent needs nonzero height and width (both may be reported). Returns the issue list.
+
+    What is wrong follows from how many of the two point fields and of the four extent fields
+    are given, so it is looked up in a table with a place for each of the 3 x 5 cases.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in (lat, lon, lat1, lon1, lat2, lon2)]
+    given = [c.isNotNull().cast("int") for c in cols]
+    case = (given[0] + given[1]) * 5 + given[2] + given[3] + given[4] + given[5]
+    whole = {10: None, 4: None}  # two of two and none, none and four of four
+    group = {(True, True): "both", (True, False): "point", (False, True): "extent", (False, False): "none"}
+    empty = F.array().cast("array<struct<path:string,message:string>>")
+    table = F.array(*[empty if k in whole else F.array(_fault(group[k >= 5, k % 5 > 0])) for k in range(15)])
+    flat = F.array_compact(F.array(F.when(cols[2] == cols[4], _fault("height")), F.when(cols[3] == cols[5], _fault("width"))))
+    return F.when(case == 4, flat).otherwise(F.element_at(table, case + 1))
 
 
 def spatial_filter_kind(lat, lon, lat1, lon1, lat2, lon2) -> Column:

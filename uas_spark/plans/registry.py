@@ -137,7 +137,8 @@ _ZPROBES_SQL = ("zprobes AS (SELECT 'q-' || CAST(event_id AS VARCHAR) AS probe_i
 SELECT p.probe_id, p.zone_id, {iso('p.at')} AS probe_at, o.report_id, o.state
 FROM zprobes p ASOF LEFT JOIN observed_reports o ON p.zone_id = o.zone_id AND o.recorded_at <= p.at""")
 def q_join_zone_asof(spark, sf_dir):
-    out = asof.join_zone_asof(_zone_time_probes(spark, sf_dir), fx.observed_reports(spark, sf_dir))
+    out = asof.join_zone_asof(_zone_time_probes(spark, sf_dir), fx.observed_reports(spark, sf_dir).select(
+        "zone_id", "recorded_at", "report_id", "state", "ingested_at"))
     return out.select("probe_id", "zone_id", F.col("at").alias("probe_at"), F.col("rep.report_id").alias("report_id"),
                       F.col("rep.state").alias("state"))
 
@@ -162,7 +163,9 @@ SELECT probe_id, zone_id, {iso('j.at')} AS probe_at,
             THEN b_state ELSE f_state END AS state
 FROM j""")
 def q_join_zone_forecast_nearest(spark, sf_dir):
-    out = asof.join_zone_forecast_nearest(_zone_time_probes(spark, sf_dir), fx.forecast_reports(spark, sf_dir))
+    out = asof.join_zone_forecast_nearest(
+        _zone_time_probes(spark, sf_dir), fx.forecast_reports(spark, sf_dir).select(
+            "zone_id", "recorded_at", "report_id", "state", "ingested_at"))
     return out.select("probe_id", "zone_id", F.col("at").alias("probe_at"), F.col("rep.report_id").alias("report_id"),
                       F.col("rep.state").alias("state"))
 

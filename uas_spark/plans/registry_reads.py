@@ -199,7 +199,7 @@ def q_val_history_query(spark, sf_dir):
 SELECT report_id,
   concat_ws('; ',
     CASE WHEN event_id % 6 = 5 THEN 'state: Invalid enum value' END,
-    CASE WHEN (event_id % 6 = 2) <> (event_id % 4 = 1 OR event_id % 6 = 2) THEN 'ceilingFt: ceilingFt is required when state is foggy, and forbidden otherwise' END,
+    CASE WHEN (event_id % 6 = 2) <> (event_id % 4 = 1 OR event_id % 6 = 2) THEN 'ceilingFt: ceilingFt is required when state is ''foggy'', and not allowed otherwise' END,
     CASE WHEN NOT (47.0 + value / 4 > -90 AND 47.0 + value / 4 < 90) THEN 'polygon: latitude out of range' END) AS reason
 FROM zone_reports WHERE event_id % 6 = 5 OR (event_id % 6 = 2) <> (event_id % 4 = 1 OR event_id % 6 = 2)
    OR NOT (47.0 + value / 4 > -90 AND 47.0 + value / 4 < 90)""".replace("FROM zone_reports", "FROM (SELECT z.*, e.value FROM zone_reports z JOIN events e USING (event_id))"))
@@ -213,7 +213,7 @@ def q_reject_report(spark, sf_dir):
     body = e.select(F.concat(F.lit("z-"), eid.cast("string")).alias("report_id"), st.alias("state"),
                     ceiling.alias("ceiling_ft"), (F.lit(47.0) + F.col("value") / 4).alias("vlat"))
     rules = [v.Rule("state", "Invalid enum value", v.enum_ok(F.col("state"), "visibility_state")),
-             v.Rule("ceilingFt", "ceilingFt is required when state is foggy, and forbidden otherwise",
+             v.Rule("ceilingFt", v.CEILING_MESSAGE,
                     v.iff_present(F.col("state") == "foggy", F.col("ceiling_ft"))),
              v.Rule("polygon", "latitude out of range", v.coordinates_ok(F.col("vlat"), F.lit(0.0)))]
     _, bad = v.validate(body, rules)
