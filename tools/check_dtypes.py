@@ -1,4 +1,4 @@
-"""Compare pandas dtypes of every non-streaming query (Spark toPandas vs DuckDB df)."""
+"""Compare pandas dtypes of queries (Spark toPandas vs DuckDB df): those named, or every non-streaming one."""
 import os, sys; sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb
 from uas_spark.session import build_session
@@ -9,8 +9,7 @@ sf = "/root/testdata/sf0.01"
 con = duckdb.connect()
 for t in TABLES: con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
 bad = []
-for k in QUERIES:
-    if k.startswith("stream_"): continue
+for k in sys.argv[1:] or [k for k in QUERIES if not k.startswith("stream_")]:
     sdf = QUERIES[k](spark, sf)
     nullable_int = [f.name for f in sdf.schema.fields]
     if not nullable_int: continue

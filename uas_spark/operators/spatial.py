@@ -58,11 +58,14 @@ def _bucket_size(bucket_us: int) -> Column:
     return F.lit(float(bucket_us)) * F.pow(F.lit(8.0), F.col("g_tl"))
 
 
-def _with_windows(df: DataFrame, from_us: Column, to_us: Column, bucket_us: int) -> tuple[DataFrame, Column]:
+def _with_windows(df: DataFrame, from_us: Column, to_us: Column, bucket_us: int,
+                  source: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """Explode windows into the buckets of their time level (``g_tl, g_tb``; at most 16 rows,
-    however long the window), and the array of the levels in use."""
+    however long the window), and the array of the levels in use. They are found by a scalar
+    subquery, on ``source`` if given: a cheaper table with all windows of ``df``."""
     leveled = df.withColumn("g_tl", _time_level(from_us, to_us, bucket_us))
-    levels = leveled.select(F.array_sort(F.collect_set("g_tl"))).scalar()
+    levels = (df if source is None else source).select(
+        F.array_sort(F.collect_set(_time_level(from_us, to_us, bucket_us)))).scalar()
     size = _bucket_size(bucket_us)
     return leveled.withColumn("g_tb", F.explode(F.sequence(F.floor(from_us / size).cast("long"),
                                                            F.floor(to_us / size).cast("long")))), levels
@@ -82,11 +85,13 @@ def _owning_cell(b1: str, b2: str, cell: float) -> Column:
     return (F.floor(x / size) == F.col("g_cx")) & (F.floor(y / size) == F.col("g_cy"))
 
 
-def _meeting_cells(boxes: DataFrame, bbox_col: str, shapes: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+def _meeting_cells(boxes: DataFrame, bbox_col: str, shapes: DataFrame, cell: float,
+                   source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides' cells. A pair meets at the higher of its two own levels (``_at_common_level``):
     each side goes to its own level and to the higher ones that the other side uses, so a box as
-    large as the world costs a few rows, not millions."""
-    b = geo.explode_box_cells(boxes, bbox_col, geo.levels_of(shapes, "_sb", cell), cell).withColumnRenamed("g_own", "_bown")
+    large as the world costs a few rows, not millions. ``source``: a cheaper table with all boxes
+    of ``shapes``."""
+    b = geo.explode_box_cells(boxes, bbox_col, geo.levels_of(shapes if source is None else source, "_sb", cell), cell).withColumnRenamed("g_own", "_bown")
     s = geo.explode_box_cells(shapes, "_sb", geo.levels_of(boxes, bbox_col, cell), cell).withColumnRenamed("g_own", "_sown")
     return b, s
 
@@ -151,7 +156,8 @@ def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, key:
     ``window`` = (shape_from, shape_to, box_at) adds the closed time test and puts the time
     bucket into the join key; ``cheap`` is an extra filter evaluated before the exact test.
     """
-    b, s = _meeting_cells(boxes, bbox_col, _light(shapes, rings_col), cell)
+    light = _light(shapes, rings_col)
+    b, s = _meeting_cells(boxes, bbox_col, light, cell)
     keys = list(CELL_KEYS)
     bc = F.col(bbox_col)
     test = (F.expr(_at_common_level)
@@ -159,7 +165,7 @@ def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, key:
             & _owning_cell(bbox_col, "_sb", cell))
     if window is not None:
         f, t, at = window
-        s, levels = _with_windows(s.filter(F.col(f) <= F.col(t)), _us(f), _us(t), bucket_us)
+        s, levels = _with_windows(s.filter(F.col(f) <= F.col(t)), _us(f), _us(t), bucket_us, light)
         b = _with_instants(b, _us(at), levels, bucket_us)
         keys += ["g_tl", "g_tb"]
         test = test & (F.col(f) <= F.col(at)) & (F.col(t) >= F.col(at))
@@ -222,7 +228,7 @@ def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "
     la = _light(a, "a_area").filter("a_start_time <= a_end_time")
     p = geo.with_point_cells(probes, lon, lat, geo.levels_of(la, "_sb", cell), cell)
     la, levels = _with_windows(geo.explode_box_cells(la, "_sb", None, cell), _us("a_start_time"), _us("a_end_time"),
-                               bucket_us)
+                               bucket_us, la)
     p = _with_instants(p, _us(at_col), levels, bucket_us)
     cond = ((F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col))
             & geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)))
@@ -268,17 +274,19 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
     w = waypoints.select(F.col("flight_plan_id").alias("w_plan"), F.col("lat").alias("w_lat"),
                          F.col("lon").alias("w_lon"), F.col("radius_meters").alias("w_r"),
                          F.col("altitude_min_ft").alias("w_min"), F.col("altitude_max_ft").alias("w_max"))
-    wp_plans = pl.filter(F.col("f_plan_type") == "waypoints")
-    w = w.join(wp_plans, F.col("w_plan") == F.col("f_flight_plan_id"), "inner")
-    w = w.withColumn("_sb", F.explode(geo.disc_boxes(F.col("w_lat"), F.col("w_lon"), F.col("w_r"))))
-    b, w = _meeting_cells(boxes, "box", w, cell)
+    wp_plans = pl.filter(F.col("f_plan_type") == "waypoints").select(
+        "f_flight_plan_id", "f_plan_type", "f_created_at", "f_start_time", "f_end_time")
+    discs = w.withColumn("_sb", F.explode(geo.disc_boxes(F.col("w_lat"), F.col("w_lon"), F.col("w_r"))))
+    w = discs.join(wp_plans, F.col("w_plan") == F.col("f_flight_plan_id"), "inner")
+    b, w = _meeting_cells(boxes, "box", w, cell, discs)
     keys = list(CELL_KEYS)
     bc = F.col("box")
     cheap = (F.expr(_at_common_level)
              & geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
              & _owning_cell("box", "_sb", cell))
     if window is not None:
-        w, levels = _with_windows(w.filter("f_start_time <= f_end_time"), _us("f_start_time"), _us("f_end_time"), bucket_us)
+        w, levels = _with_windows(w.filter("f_start_time <= f_end_time"), _us("f_start_time"), _us("f_end_time"),
+                                  bucket_us, wp_plans)
         b = _with_instants(b, _us(at_col), levels, bucket_us)
         keys += ["g_tl", "g_tb"]
         cheap = cheap & (F.col("f_start_time") <= F.col(at_col)) & (F.col("f_end_time") >= F.col(at_col))
@@ -321,7 +329,7 @@ def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to
     z = intervals.withColumn("_lo", F.greatest(F.coalesce(F.col(from_col), t_min), t_min))
     z = z.withColumn("_hi", F.least(F.coalesce(F.col(to_col), t_max), t_max)).filter("_lo <= _hi")
     p = geo.with_point_cells(positions, "longitude", "latitude", geo.levels_of(z, "_sb", cell), cell)
-    z, levels = _with_windows(geo.explode_box_cells(z, "_sb", None, cell), F.col("_lo"), F.col("_hi"), bucket_us)
+    z, levels = _with_windows(geo.explode_box_cells(z, "_sb", None, cell), F.col("_lo"), F.col("_hi"), bucket_us, z)
     p = _with_instants(p.withColumn("_pt", _us("recorded_at")), F.col("_pt"), levels, bucket_us)
     return p.join(z, CELL_KEYS + ["g_tl", "g_tb"], "inner").drop("g_own", "g_tl", "_lo", "_hi")
 
