@@ -144,7 +144,7 @@ def test_wide_shapes_and_long_windows_stay_small(spark):
     got = sorted((r.report_id, r.z_report_id) for r in spatial.join_positions_zone_current(pos, zones).collect())
     assert got == [("p", "a"), ("q", "b")]
     windows = spark.createDataFrame([(0, 3_000_000_000_000_000)], "a long, b long")
-    n, levels = spatial._with_windows(windows, F.col("a"), F.col("b"), spatial.HOUR_US)
+    n, levels = spatial.with_windows(windows, F.col("a"), F.col("b"), spatial.HOUR_US)
     assert n.count() <= spatial.BUCKETS
 
 

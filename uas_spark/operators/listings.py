@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import WINDOW_BUCKET_US, with_instants, with_windows
+
 
 def _ts(x: str) -> Column:
     return F.to_timestamp(F.lit(x))
@@ -72,13 +74,20 @@ def list_waivers(waivers: DataFrame, pilot_id=None, owner_id=None, waiver_type=N
 def join_waivers_active(probes: DataFrame, waivers: DataFrame, at_col: str = "at") -> DataFrame:
     """Per (pilot_id, owner_id, at) probe, waivers of that pilot or that owner active at ``at``.
 
-    Two equi-joins (on pilot, on owner) with the closed range as a residual, unioned.
+    Two equi-joins, on (pilot, time bucket) and (owner, time bucket), unioned: a pilot or owner
+    with very many waivers meets only those of about the probe's time.
     """
-    w = waivers.select(*[F.col(c).alias("w_" + c) for c in waivers.columns])
+    w = waivers.select(*[F.col(c).alias("w_" + c) for c in waivers.columns]).filter("w_start_time <= w_end_time")
+    us = F.unix_micros
+    timed, levels = with_windows(w, us("w_start_time"), us("w_end_time"), WINDOW_BUCKET_US, w)
+    asked = with_instants(probes, us(F.col(at_col)), levels, WINDOW_BUCKET_US)
     rng = (F.col("w_start_time") <= F.col(at_col)) & (F.col("w_end_time") >= F.col(at_col))
-    by_pilot = probes.join(w, (F.col("pilot_id") == F.col("w_pilot_id")) & rng, "inner")
-    by_owner = probes.join(w, (F.col("owner_id") == F.col("w_owner_id")) & rng, "inner")
-    return by_pilot.unionByName(by_owner)
+    out = []
+    for who in ("pilot_id", "owner_id"):
+        side = timed.filter(F.col("w_" + who).isNotNull()).withColumn(who, F.col("w_" + who))
+        out.append(asked.filter(F.col(who).isNotNull()).join(side, [who, "g_tl", "g_tb"]).filter(rng)
+                   .select(*probes.columns, *w.columns))
+    return out[0].unionByName(out[1])
 
 
 def list_by_created(df: DataFrame, id_col: str) -> DataFrame:

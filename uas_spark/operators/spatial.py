@@ -58,7 +58,7 @@ def _bucket_size(bucket_us: int) -> Column:
     return F.lit(float(bucket_us)) * F.pow(F.lit(8.0), F.col("g_tl"))
 
 
-def _with_windows(df: DataFrame, from_us: Column, to_us: Column, bucket_us: int,
+def with_windows(df: DataFrame, from_us: Column, to_us: Column, bucket_us: int,
                   source: DataFrame | None = None) -> tuple[DataFrame, Column]:
     """Explode windows into the buckets of their time level (``g_tl, g_tb``; at most 16 rows,
     however long the window), and the array of the levels in use. They are found by a scalar
@@ -71,7 +71,7 @@ def _with_windows(df: DataFrame, from_us: Column, to_us: Column, bucket_us: int,
                                                            F.floor(to_us / size).cast("long")))), levels
 
 
-def _with_instants(df: DataFrame, at_us: Column, levels: Column, bucket_us: int) -> DataFrame:
+def with_instants(df: DataFrame, at_us: Column, levels: Column, bucket_us: int) -> DataFrame:
     """The bucket of an instant at each time level in use."""
     out = df.withColumn("g_tl", F.explode(levels))
     return out.withColumn("g_tb", F.floor(at_us / _bucket_size(bucket_us)).cast("long"))
@@ -165,8 +165,8 @@ def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, key:
             & _owning_cell(bbox_col, "_sb", cell))
     if window is not None:
         f, t, at = window
-        s, levels = _with_windows(s.filter(F.col(f) <= F.col(t)), _us(f), _us(t), bucket_us, light)
-        b = _with_instants(b, _us(at), levels, bucket_us)
+        s, levels = with_windows(s.filter(F.col(f) <= F.col(t)), _us(f), _us(t), bucket_us, light)
+        b = with_instants(b, _us(at), levels, bucket_us)
         keys += ["g_tl", "g_tb"]
         test = test & (F.col(f) <= F.col(at)) & (F.col(t) >= F.col(at))
     if cheap is not None:
@@ -227,9 +227,9 @@ def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "
     a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
     la = _light(a, "a_area").filter("a_start_time <= a_end_time")
     p = geo.with_point_cells(probes, lon, lat, geo.levels_of(la, "_sb", cell), cell)
-    la, levels = _with_windows(geo.explode_box_cells(la, "_sb", None, cell), _us("a_start_time"), _us("a_end_time"),
+    la, levels = with_windows(geo.explode_box_cells(la, "_sb", None, cell), _us("a_start_time"), _us("a_end_time"),
                                bucket_us, la)
-    p = _with_instants(p, _us(at_col), levels, bucket_us)
+    p = with_instants(p, _us(at_col), levels, bucket_us)
     cond = ((F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col))
             & geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)))
     if alt_col is not None:
@@ -285,9 +285,9 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
              & geo.bbox_overlaps(F.col("_sb"), bc["min_lon"], bc["min_lat"], bc["max_lon"], bc["max_lat"])
              & _owning_cell("box", "_sb", cell))
     if window is not None:
-        w, levels = _with_windows(w.filter("f_start_time <= f_end_time"), _us("f_start_time"), _us("f_end_time"),
+        w, levels = with_windows(w.filter("f_start_time <= f_end_time"), _us("f_start_time"), _us("f_end_time"),
                                   bucket_us, wp_plans)
-        b = _with_instants(b, _us(at_col), levels, bucket_us)
+        b = with_instants(b, _us(at_col), levels, bucket_us)
         keys += ["g_tl", "g_tb"]
         cheap = cheap & (F.col("f_start_time") <= F.col(at_col)) & (F.col("f_end_time") >= F.col(at_col))
     if alt_col is not None:
@@ -329,8 +329,8 @@ def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to
     z = intervals.withColumn("_lo", F.greatest(F.coalesce(F.col(from_col), t_min), t_min))
     z = z.withColumn("_hi", F.least(F.coalesce(F.col(to_col), t_max), t_max)).filter("_lo <= _hi")
     p = geo.with_point_cells(positions, "longitude", "latitude", geo.levels_of(z, "_sb", cell), cell)
-    z, levels = _with_windows(geo.explode_box_cells(z, "_sb", None, cell), F.col("_lo"), F.col("_hi"), bucket_us, z)
-    p = _with_instants(p.withColumn("_pt", _us("recorded_at")), F.col("_pt"), levels, bucket_us)
+    z, levels = with_windows(geo.explode_box_cells(z, "_sb", None, cell), F.col("_lo"), F.col("_hi"), bucket_us, z)
+    p = with_instants(p.withColumn("_pt", _us("recorded_at")), F.col("_pt"), levels, bucket_us)
     return p.join(z, CELL_KEYS + ["g_tl", "g_tb"], "inner").drop("g_own", "g_tl", "_lo", "_hi")
 
 

@@ -152,6 +152,11 @@ def text_ok(value: Column) -> Column:
     return F.coalesce(F.length(value) > 0, F.lit(False))
 
 
+def positive_ok(value: Column) -> Column:
+    """V9: a positive number (a sensor's radius)."""
+    return F.coalesce(value > 0, F.lit(False))
+
+
 def iso_instant_ok(text: Column) -> Column:
     """ISO-8601 UTC instant (``Z`` only) that parses."""
     return F.coalesce(text.rlike(ISO_INSTANT_RE)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.timefn import api_projection
+from ..functions.timefn import api_projection, record_json
 from ..operators import sensors as sn
 from ..operators import spatial
 from ..operators import validate as v
@@ -166,6 +166,15 @@ def q_val_required_text(spark, sf_dir):
     return c.select("c_custkey", (v.text_ok(first) & v.text_ok(oid)).alias("ok"))
 
 
+@query("val_positive_radius", """
+SELECT s_suppkey, s_suppkey % 7 > 2 AS ok FROM supplier""")
+def q_val_positive_radius(spark, sf_dir):
+    """V9: sensing radii must be positive; some are negative, zero or missing."""
+    s = fx.load(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 7
+    return s.select("s_suppkey", v.positive_ok(F.when(k != 1, (k - 2) * 500.0)).alias("ok"))
+
+
 @query("val_iso_time", """
 SELECT event_id, event_id % 4 IN (0, 1) AS instant_ok, event_id % 3 = 0 AS date_ok FROM events""")
 def q_val_iso_time(spark, sf_dir):
@@ -346,6 +355,36 @@ def q_api_projection(spark, sf_dir):
     return api_projection(o)
 
 
+@query("api_records", with_fixtures("owners", "sensors", "observed_reports", "pilots") + """
+SELECT 'owner' AS kind, owner_id AS id, 'addressCity,' || CASE WHEN address_line2 IS NULL THEN 'addressLine1'
+         ELSE 'addressLine1,addressLine2' END || CASE WHEN company_name IS NULL THEN '' ELSE ',companyName' END
+         || ',createdAt,ownerId' AS keys, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM owners
+UNION ALL
+SELECT 'sensor', sensor_id, 'createdAt,notes,sensorId,status', strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') FROM sensors
+UNION ALL
+SELECT 'zone', report_id, CASE WHEN ceiling_ft IS NULL THEN '' ELSE 'ceilingFt,' END || 'recordedAt,reportId,state',
+       strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%gZ') FROM observed_reports
+UNION ALL
+SELECT 'pilot', pilot_id, 'createdAt,licenseNumber,pilotId', strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') FROM pilots""")
+def q_api_records(spark, sf_dir):
+    """S12 as JSON records of four types: optional fields are left out when null (company name,
+    second address line, ceiling), other nulls are written (a sensor's notes)."""
+    tables = {"owner": (fx.owners(spark, sf_dir), ["owner_id", "company_name", "address_line1", "address_line2",
+                                                   "address_city", "created_at"]),
+              "sensor": (fx.sensors(spark, sf_dir), ["sensor_id", "notes", "status", "created_at"]),
+              "zone": (fx.observed_reports(spark, sf_dir), ["report_id", "state", "ceiling_ft", "recorded_at"]),
+              "pilot": (fx.pilots(spark, sf_dir), ["pilot_id", "license_number", "created_at"])}
+    out = None
+    for kind, (df, cols) in tables.items():
+        rec = api_projection(df.select(*cols))
+        one = rec.select(F.lit(kind).alias("kind"), record_json(rec).alias("j")).select(
+            "kind", F.get_json_object("j", "$." + rec.columns[0]).alias("id"),
+            F.array_join(F.array_sort(F.json_object_keys("j")), ",").alias("keys"),
+            F.get_json_object("j", "$." + rec.columns[-1]).alias("stamp"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("json_profile_extract", with_fixtures("sensor_profiles") + """
 SELECT sensor_id, poll_min, latency_max, label FROM sensor_profiles""")
 def q_json_profile_extract(spark, sf_dir):
