@@ -47,11 +47,9 @@ def _camel(name: str) -> str:
     return head + "".join(p[:1].upper() + p[1:] for p in rest)
 
 
-def api_projection(df: DataFrame, rename: dict[str, str] | None = None,
-                   drop_when_null: tuple[str, ...] = ()) -> DataFrame:
+def api_projection(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
     """Stored row to public record: camelCase names, ISO instants with milliseconds,
-    dates as text. Columns in ``drop_when_null`` are optional in the record; ``to_json``
-    leaves them out when null, so use ``record_json`` for the JSON form.
+    dates as text; ``record_json`` gives the JSON form.
     """
     rename = rename or {}
     out = []

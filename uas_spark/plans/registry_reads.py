@@ -14,6 +14,7 @@ from ..sources import fixtures as fx
 from ..sources import json_sources as js
 from . import oracle_fixtures as of
 from .oracle_fixtures import contains_sql, iso, with_fixtures
+from .registry import _BOXES_SQL as _BOX_SQL
 from .registry import FORECAST_AT, query
 
 # ============================================================ V1-V12
@@ -424,14 +425,6 @@ def _boxes(spark, sf_dir):
     return _event_boxes(spark, sf_dir)
 
 
-_BOX_SQL = """boxes AS (SELECT 'b-' || CAST(event_id AS VARCHAR) AS box_id,
-  -123.0::DOUBLE + CAST(event_id * 19 % 1024 AS DOUBLE) / 1024.0 - CAST(1 + event_id % 4 AS DOUBLE) / 256.0 AS bx0,
-  47.0::DOUBLE + CAST(event_id * 23 % 512 AS DOUBLE) / 1024.0 - CAST(1 + event_id % 4 AS DOUBLE) / 256.0 AS by0,
-  -123.0::DOUBLE + CAST(event_id * 19 % 1024 AS DOUBLE) / 1024.0 + CAST(1 + event_id % 4 AS DOUBLE) / 256.0 AS bx1,
-  47.0::DOUBLE + CAST(event_id * 23 % 512 AS DOUBLE) / 1024.0 + CAST(1 + event_id % 4 AS DOUBLE) / 256.0 AS by1,
-  value * 5 AS altitude_ft, ts AS at FROM events)"""
-
-
 @query("zone_observed_in_extent", with_fixtures("observed_reports") + f""",
 {_BOX_SQL},
 pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY recorded_at DESC, report_id) rn

@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.validate import ENUMS
 from .tables import load
 
-# Enumerations of the reference's schemas.
-VISIBILITY_STATES = ["clear", "cloudy", "foggy", "rainy", "stormy"]
-WIND_STATES = ["calm", "slight_winds", "heavy_winds", "dangerous_winds"]
-WAIVER_TYPES = ["operations_from_moving_vehicle", "night_operations",
-                "beyond_visual_line_of_sight", "operations_over_people"]
-STATUSES = ["proposed", "approved", "rescinded"]
+VISIBILITY_STATES, WIND_STATES = ENUMS["visibility_state"], ENUMS["wind_state"]
+WAIVER_TYPES = ENUMS["waiver_type"]
 
 
 def _k(c: str) -> Column:
