@@ -104,7 +104,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives no rows.
     """
     fps = saved(fingerprints(docs, id_col, text_col, shingle_words))
-    first = saved(fps.groupBy("fp").agg(F.min("id").alias("first_id")))
+    # each fingerprint makes some 50 cells: without a number of its own, this small table would be
+    # gathered into a few large tasks
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = saved(fps.groupBy("fp").agg(F.min("id").alias("first_id")).repartition(n, "fp"))
     comp = components(links(first.select("fp")))
     named = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
