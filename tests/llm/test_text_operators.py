@@ -220,3 +220,31 @@ def test_estimated_counts_and_score(docs):
     assert lmscore.score(docs([]), model).count() == 0
     empty = lmscore.score(df, lmscore.fit(docs([]))).first()
     assert empty.n_known == 0 and empty.train_tokens == 0 and math.isfinite(empty.score) and math.isfinite(empty.base_score)
+
+
+@pytest.mark.parametrize("max_bits,frequent", [(1 << 29, 1 << 19), (1 << 13, 1 << 19), (1 << 13, 4)])
+def test_no_ngram_is_lost_to_the_filters_bound(docs, monkeypatch, max_bits, frequent):
+    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    monkeypatch.setattr(lmscore, "BITS_PER_KEY", 48)  # next to no false hits, so scores compare
+    monkeypatch.setattr(lmscore, "_FLUSH", 500)
+    rng = random.Random(3)
+    text = [[f"w{min(int(rng.expovariate(0.02)), 300)}" for _ in range(120)] for _ in range(40)]
+    train, more = [(i, " ".join(t)) for i, t in enumerate(text)], [(99, "w1 w2 unseen w3 w3 w250"), (98, None)]
+    model = lmscore.fit(docs(train), max_bits=max_bits)
+    assert (model["low"].max() > 1) == (max_bits < 1 << 20)
+    one, two = collections.Counter(), collections.Counter()
+    for _, t in train:
+        w = [None, *tokens(t)]
+        one.update(w[1:])
+        two.update(zip(w, w[1:]))
+    total = sum(one.values()) + 0.1 * (len(one) + 1)
+    middle = lambda c: 0.0 if not c else 1.0 if c == 1 else 1.5 * 2 ** int(math.log2(c))
+    exp = {}
+    for d, t in [*train, *more]:
+        w = [None, *tokens(t)]
+        exp[d] = sum(math.log10((min(middle(two[x, y]), middle(one[x])) + lmscore.PRIOR * (middle(one[y]) + 0.1) / total)
+                                / (middle(one[x]) + lmscore.PRIOR)) for x, y in zip(w, w[1:]))
+    got = {r.id: r.score for r in lmscore.score(docs([*train, *more]), model).collect()}
+    assert got.keys() == exp.keys()
+    for d in exp:
+        assert abs(got[d] - exp[d]) < 1e-3 * abs(exp[d]), (d, got[d], exp[d])
