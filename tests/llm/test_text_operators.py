@@ -248,3 +248,10 @@ def test_no_ngram_is_lost_to_the_filters_bound(docs, monkeypatch, max_bits, freq
     assert got.keys() == exp.keys()
     for d in exp:
         assert abs(got[d] - exp[d]) < 1e-3 * abs(exp[d]), (d, got[d], exp[d])
+
+
+def test_disclosing_terms_of_single_documents(docs):
+    rows = [(i, f"water stone river cloud {i % 7}") for i in range(2000)]
+    rows += [(5000, "water zephyrine stone bob@mail.example.org river"), (5001, None)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}
+    assert clean[5000] == "water [TERM] stone [EMAIL] river" and clean[3] == rows[3][1]
