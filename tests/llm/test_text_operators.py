@@ -255,3 +255,19 @@ def test_disclosing_terms_of_single_documents(docs):
     rows += [(5000, "water zephyrine stone bob@mail.example.org river"), (5001, None)]
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}
     assert clean[5000] == "water [TERM] stone [EMAIL] river" and clean[3] == rows[3][1]
+
+
+def test_disclosing_terms_are_counted_and_marked_in_whole_documents(docs):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice(["water", "stone", "river", "cloud"]) for _ in range(n))
+    rows = [(i, filler(60)) for i in range(3000)]
+    # near the address in 3 of 10 documents only, and once more farther away; short and with a digit as well
+    for i in range(10):
+        near, far = ("Zephyrine q7 Bo ann@mail.example.org", "zephyrine Q7 bo") if i < 3 else ("ann@mail.example.org", "Zephyrine q7 Bo")
+        rows.append((5000 + i, f"{near} {filler(60)} {far} {filler(3)}"))
+    rows.append((6000, f"{filler(3)} call +1 (555) 555-0100 {filler(60)} zephyrine"))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}
+    for i in range(10):
+        words = set(re.findall(r"\w+", clean[5000 + i].lower()))
+        assert not words & {"zephyrine", "q7", "bo", "ann"} and "water" in words, clean[5000 + i]
+    assert "zephyrine" in clean[6000]
