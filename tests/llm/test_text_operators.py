@@ -271,3 +271,11 @@ def test_disclosing_terms_are_counted_and_marked_in_whole_documents(docs):
         words = set(re.findall(r"\w+", clean[5000 + i].lower()))
         assert not words & {"zephyrine", "q7", "bo", "ann"} and "water" in words, clean[5000 + i]
     assert "zephyrine" in clean[6000]
+
+
+def test_no_language_is_lost_from_the_sample(docs):
+    text = "the quiet river runs below the old bridge and the winter garden"
+    rows = [(i, f"{text} {i % 3}", f"x{i:03}") for i in range(60)]  # a document for each label
+    rows += [(100 + i, f"{text} " * 40, "long") for i in range(30)]
+    model = langid.fit(docs(rows), sample_chars=100)  # less than one text of the last label
+    assert model.labels == sorted({r[2] for r in rows})

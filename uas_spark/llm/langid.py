@@ -213,7 +213,8 @@ class Model:
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
         usable: Column | None = None, order: int = ORDER, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on a random sample of about ``sample_chars`` characters of whole texts per label.
+    """Fit on a random sample of about ``sample_chars`` characters of whole texts per label: the
+    texts of smallest hash until there are that many, at least one of them for the model.
 
     The sample's size does not depend on the table's, so the model's is bounded: at most
     ``sample_chars * order`` n-grams per language. One tenth of the sample only calibrates.
@@ -222,20 +223,32 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     rows = docs.select(F.col(label_col).cast("string").alias("label"), text_or_empty(text_col).alias("t"),
                        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
                        (usable if usable is not None else F.lit(True)).alias("usable"))
-    rows = rows.filter("usable AND label IS NOT NULL AND t <> ''")
-    sizes = rows.groupBy("label").agg(F.sum(F.length("t")).alias("n")).collect()
-    labels = sorted(r.label for r in sizes)
+    scale = 1 << 30
+    rows = rows.filter("usable AND label IS NOT NULL").filter(F.col("t").rlike(r"\p{L}")).withColumn(
+        "draw", F.pmod(F.xxhash64("id", "t", F.lit(11)), F.lit(scale)))
+    # by steps of the draw that grow by a twelfth at most, so a sample ends soon after its budget
+    step = F.floor(8 * F.log2(F.col("draw") + 1))
+    sizes = rows.groupBy("label", step.alias("step")).agg(F.sum(F.length("t")).alias("n"), F.min("draw").alias("low")).collect()
+    labels = sorted({r.label for r in sizes})
     if not labels:
         return Model([], {}, order)
-    scale = 1 << 30
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r.label), F.lit(int(scale * min(1, sample_chars / r.n))))])
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(scale))
-    picked = rows.filter(draw < share[F.col("label")]).select(
-        "label", "t", (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(10)) == 0).alias("held"))
+    last, least = {}, {}
+    for x in labels:
+        n = 0
+        for r in sorted((r for r in sizes if r.label == x), key=lambda r: r.step):
+            least.setdefault(x, r.low)
+            if n < sample_chars:
+                last[x] = r.step
+            n += r.n
+    of = lambda d: F.create_map(*[F.lit(v) for x in labels for v in (x, int(d[x]))])[F.col("label")]
+    # a label's first document is always for the model
+    picked = rows.filter(step <= of(last)).select("label", "t", (
+        (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(10)) == 0) & (F.col("draw") != of(least))).alias("held"))
     t = _counted(picked.filter("NOT held"), order).toArrow()
     cols = {c: t.column(c).to_numpy() for c in ("n", "h", "ctx", "suf", "c")}
     label = np.array(t.column("label").to_pylist(), object)
-    labels = sorted(set(label.tolist())) or labels
+    if missing := set(labels) - set(label.tolist()):
+        raise ValueError(f"no model for the labels {sorted(missing)}")
     grams = {x: [{c: cols[c][(label == x) & (cols["n"] == n)].view(np.uint64) if c != "c" else
                   cols[c][(label == x) & (cols["n"] == n)] for c in ("h", "ctx", "suf", "c")}
                  for n in range(1, order + 1)] for x in labels}
