@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, lmscore, packing, pii, quality, simhash, tokenbin
+from . import (ann, chat, decontaminate, langid, lmscore, negatives, packing, pii, quality, simhash, spelling,
+               tokenbin, wrappers)
 from .common import id_bucket, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,76 @@ def op10(spark, sf_dir):
                                    "conv_id long, turn long, role string, text string")
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.windows(own.unionByName(marked)))
+
+
+# the given pages hold one article element each, with headings and paragraphs
+_BLOCKS = "regexp_split_to_array(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '</?(?:p|h[1-6])(?: [^>]*)?>')"
+_BARE = "regexp_replace(regexp_replace(b, '<br[^>]*>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+for _ref, _char in (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&#39;", "''"), ("&amp;?", "&")):
+    _BARE = f"regexp_replace({_BARE}, '{_ref}', '{_char}', 'g')"
+
+
+@query("op11_main_text", f"""
+WITH b AS (SELECT page_id, url, list_filter(list_transform({_BLOCKS}, lambda b: trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))),
+                  lambda b: b <> '') blocks FROM pages)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text,
+       CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) n_chars FROM b""")
+def op11(spark, sf_dir):
+    return wrappers.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+# crc32 by its rule (reflected polynomial 0xEDB88320), over the UTF-8 bytes of code points below 2048
+_CRC = """
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1
+         THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) t),
+"""
+_UTF8 = ("flatten(list_transform(regexp_split_to_array(s, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] "
+         "ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END))")
+
+
+@query("op12_spelling", f"""
+WITH RECURSIVE {_CRC}
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') id, unnest(regexp_extract_all(translate(text,
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) r FROM documents),
+met AS (SELECT id, r, count(*) n, id || ':' || r s FROM runs WHERE length(r) >= {spelling.MIN_CHARS} GROUP BY ALL),
+crc AS (SELECT r, n, xor(list_reduce({_UTF8}, lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256]), 4294967295), 4294967295) h
+        FROM met, bits),
+v AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END word,
+             CAST(sum(n) AS BIGINT) n FROM crc GROUP BY 1
+      HAVING length(word) >= {spelling.MIN_CHARS} AND sum(n) >= {spelling.MIN_COUNT}),
+cut AS (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) k FROM v)),
+near AS (SELECT DISTINCT a.word, b.word other, b.n k FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) n_near, max(k) k FROM near GROUP BY 1),
+told AS (SELECT v.word, v.n, coalesce(n_near, 0) n_near, CASE WHEN best.k >= {spelling.FORM_RATIO} * v.n THEN best.k END form_n
+         FROM v LEFT JOIN best USING (word)),
+forms AS (SELECT told.word, min(other) form FROM told JOIN near ON near.word = told.word AND near.k = form_n GROUP BY 1),
+walk AS (SELECT word, word AS last, 0 AS step FROM told
+         UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.last),
+roots AS (SELECT word, arg_max(last, step) root FROM walk GROUP BY 1)
+SELECT told.word, form, root, n, n_near, form_n FROM told LEFT JOIN forms USING (word) JOIN roots USING (word)""")
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
+                  list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id positive_id, score positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) rank, vec_id negative_id, positive_score,
+       score negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND {negatives.LOW} * positive_score <= 100 * score
+     AND 100 * score <= {negatives.HIGH} * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= {negatives.NEGATIVES}""")
+def op13(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
