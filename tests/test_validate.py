@@ -30,6 +30,26 @@ def test_iso_text_rules(spark):
     assert [(r.i, r.d) for r in out] == [(True, False), (False, False), (False, True)]
 
 
+def test_instants_with_short_and_long_texts(spark):
+    texts = ["2024-01-01T00:00Z", "2024-01-01T00:00:00.123456789Z", "2024-01-01T00:00:00.1Z", "2024-01-01T02:00:00+02:00",
+             "2024-01-01T24:00Z", "2024-02-30T00:00Z", "2024-01-01T00Z", "2024-01-01", "2024-01-01T00:00:00.Z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(v.iso_instant_ok(F.col("t")).alias("ok"), F.unix_micros(js.to_instant(F.col("t"))).alias("us")).collect()
+    t0 = 1_704_067_200_000_000
+    assert [r.us for r in out] == [t0, t0 + 123456, t0 + 100000, t0, None, None, None, None, None, None]
+    assert [r.ok for r in out] == [True, True, True] + [False] * 7
+
+
+def test_positions_are_two_numbers(spark):
+    def ring(first):
+        return f'{{"type":"Polygon","coordinates":[[{first},[3.0,0.0],[3.0,3.0],[0.0,0.0]]]}}'
+    texts = [ring("[0.0,0.0]"), ring("[0.0]"), ring("[0.0,0.0,5.0]"), ring("[]"), ring("[0.0,null]"), ring('"x"'),
+             '{"type":"Polygon","coordinates":[[[1.0],[3.0],[3.0],[1.0]]]}', '{"type":"Polygon","coordinates":[]}',
+             '{"type":"Polygon","coordinates":[[]]}', '{"type":"Point","coordinates":[1.0,2.0]}', "nothing", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(js.geojson_decode(F.col("t")).alias("r"))
+    assert [r.ok for r in df.select(v.polygon_ok(F.col("r")).alias("ok")).collect()] == [True] + [False] * 11
+
+
 def test_validate_report_joins_issues(spark):
     df = spark.createDataFrame([("hazy", 10.0), ("foggy", 5.0), ("clear", None)], "state string, ceiling double")
     rules = [v.Rule("state", "Invalid enum value", v.enum_ok(F.col("state"), "visibility_state")),

@@ -213,24 +213,148 @@ def _day(n):
 
 
 def test_patch_overlap_brute_force(spark):
+    """Patches see the accepted ones before them, in seq order per serial."""
     rng = random.Random(11)
     stored = [(f"r{i}", f"S{i % 4}", "o", _day(a := rng.randint(0, 200)), _day(a + rng.randint(0, 30)), i) for i in range(60)]
-    ps = [(f"r{rng.randint(0, 65)}", k, _day(rng.randint(0, 220)) if rng.random() < 0.5 else None,
-           _day(rng.randint(0, 220)) if rng.random() < 0.5 else None) for k in range(400)]
+    ps = [(f"r{rng.randint(0, 65)}", k // 2, _day(rng.randint(0, 220)) if rng.random() < 0.5 else None,
+           _day(rng.randint(0, 220)) if rng.random() < 0.5 else None) for k in range(600)]
+    ps = list({(p[0], p[1]): p for p in ps}.values())
     got = registrations.registration_patch_overlap(
         spark.createDataFrame(stored, REG),
         spark.createDataFrame(ps, "registration_id string, seq long, start_date date, end_date date")).collect()
-    by = {r[0]: r for r in stored}
+    now = {r[0]: [r[1], r[3], r[4]] for r in stored}
     exp = {}
-    for rid, seq, s, e in ps:
-        if rid not in by:
-            exp[seq] = "not_found"
+    for rid, seq, s, e in sorted(ps, key=lambda p: (p[1], p[0])):
+        if rid not in now:
+            exp[rid, seq] = "not_found"
+            continue
+        row = now[rid]
+        ns, ne = s or row[1], e or row[2]
+        hit = (s or e) and any(x[0] == row[0] and k != rid and x[1] <= ne and x[2] >= ns for k, x in now.items())
+        exp[rid, seq] = "registration_overlap" if hit else "end_before_start" if ne < ns else "accepted"
+        if exp[rid, seq] == "accepted":
+            row[1:] = ns, ne
+    assert {(r.registration_id, r.seq): r.outcome for r in got} == exp and len(set(exp.values())) == 4
+
+
+def test_patched_registrations_never_overlap(spark):
+    """Two patches of one batch that would meet: the second is refused."""
+    stored = [("a", "S", "o", _day(0), _day(10), 0), ("b", "S", "o", _day(20), _day(30), 1)]
+    ps = [("a", 1, None, _day(15)), ("b", 2, _day(15), None), ("b", 3, _day(16), None)]
+    got = registrations.registration_patch_overlap(
+        spark.createDataFrame(stored, REG),
+        spark.createDataFrame(ps, "registration_id string, seq long, start_date date, end_date date")).collect()
+    assert {r.seq: r.outcome for r in got} == {1: "accepted", 2: "registration_overlap", 3: "accepted"}
+
+
+def _brute_accept(reqs, owners, stored):
+    taken, ids, out = [(r[1], r[3], r[4]) for r in stored], {r[0] for r in stored}, {}
+    for rid, serial, owner, s, e, arrival in sorted(reqs, key=lambda r: (r[5], r[0])):
+        if owner not in owners:
+            out[rid, arrival] = "owner_not_found"
+        elif any(x[0] == serial and x[1] <= e and s <= x[2] for x in taken):
+            out[rid, arrival] = "registration_overlap"
+        elif rid in ids:
+            out[rid, arrival] = "duplicate_id"
+        else:
+            out[rid, arrival] = "accepted"
+            taken.append((serial, s, e))
+            ids.add(rid)
+    return out
+
+
+def test_sequential_accept_brute_force(spark):
+    rng = random.Random(23)
+    owners = spark.createDataFrame([("o",)], "owner_id string")
+    for trial in range(4):
+        def one(i):
+            a = rng.randint(0, 150)
+            return (f"r{rng.randint(0, 120) if rng.random() < 0.4 else i + 1000}", f"S{rng.randint(0, 2)}",
+                    "o" if rng.random() < 0.95 else "x", _day(a), _day(a + rng.choice([0, 1, 3, 10, 60, -1])), i)
+        reqs = [one(i) for i in range(300)]
+        stored = [(f"r{i}", f"S{i % 3}", "o", _day(a := rng.randint(0, 150)), _day(a + rng.randint(0, 6)), None)
+                  for i in range(5 * trial)]
+        got = registrations.sequential_accept(spark.createDataFrame(reqs, REG), owners,
+                                              spark.createDataFrame(stored, REG) if stored else None).collect()
+        exp = _brute_accept(reqs, {"o"}, stored)
+        assert {(r.registration_id, r.arrival): r.outcome for r in got} == exp and len(got) == 300
+        assert set(exp.values()) >= {"accepted", "registration_overlap", "duplicate_id"}
+
+
+def test_a_large_cluster_is_settled_without_a_fold_of_all(spark):
+    """A quarter of a million requests of one serial that all hang together, first come first served."""
+    owners = spark.createDataFrame([("o",)], "owner_id string")
+    n = 250_000
+    r = spark.range(n).select(
+        F.concat(F.lit("r"), F.col("id")).alias("registration_id"), F.lit("S").alias("serial_number"), F.lit("o").alias("owner_id"),
+        F.date_add(F.lit(dt.date(2020, 1, 1)), (F.xxhash64("id") % 1800).cast("int")).alias("start_date"), F.col("id").alias("arrival"))
+    r = r.withColumn("end_date", F.date_add("start_date", (F.pmod(F.xxhash64("arrival", F.lit(1)), F.lit(40))).cast("int")))
+    got = registrations.sequential_accept(r, owners).groupBy("outcome").count().collect()
+    rows = [(x.start_date, x.end_date) for x in r.orderBy("arrival").collect()]
+    days, accepted = set(), 0
+    for s, e in rows:
+        span = range(s.toordinal(), e.toordinal() + 1)
+        if days.isdisjoint(span):
+            days.update(span)
+            accepted += 1
+    assert {x.outcome: x["count"] for x in got} == {"accepted": accepted, "registration_overlap": n - accepted}
+
+
+def _brute_windows(base, ps):
+    now, out = {b[0]: [b[1], b[2]] for b in base}, {}
+    for tid, seq, st, en, ok in sorted(ps, key=lambda p: (p[0], p[1])):
+        if st is None and en is None:
             continue
-        row = by[rid]
-        ns, ne = s or row[3], e or row[4]
-        hit = (s or e) and any(x[1] == row[1] and x[0] != rid and x[3] <= ne and x[4] >= ns for x in stored)
-        exp[seq] = "registration_overlap" if hit else "end_before_start" if ne < ns else "accepted"
-    assert {r.seq: r.outcome for r in got} == exp and len(set(exp.values())) == 4
+        new = [st or now[tid][0], en or now[tid][1]]
+        out[tid, seq] = new[1] <= new[0]
+        if ok and not out[tid, seq]:
+            now[tid] = new
+    return out
+
+
+def test_window_checks_brute_force(spark):
+    from uas_spark.operators import folds
+    rng = random.Random(7)
+
+    def hour():
+        return dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randint(0, 500))
+    base = [(f"t{i}", dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randint(1, 500))) for i in range(8)]
+    # one id holds most patches, so that its segments lie in several ranges of the deal
+    ps = [(f"t{rng.choice([0] * 12 + list(range(8)))}", k, hour() if rng.random() < 0.5 else None,
+           hour() if rng.random() < 0.4 else None, rng.random() < 0.9) for k in range(3000)]
+    got = folds.window_checks(
+        spark.createDataFrame(ps, "_tid string, _seq long, _st timestamp, _en timestamp, _ok boolean"),
+        spark.createDataFrame(base, "_tid string, _st0 timestamp, _en0 timestamp")).collect()
+    exp = _brute_windows(base, ps)
+    assert {(r._tid, r._seq): r._bad for r in got} == exp and len(got) == len(exp)
+
+
+def test_lifecycle_refuses_a_window_that_ends_before_it_starts(spark):
+    base = spark.createDataFrame([("a1", "o1", "proposed", _t("2026-08-01 14:00:00"), _t("2026-08-01 18:00:00"))], AUTH)
+    ps = spark.createDataFrame(
+        [("a1", 1, "approved", None, None, _t("2026-07-01 00:00:00")), ("a1", 2, None, 5.0, _t("2026-08-01 17:00:00"), None),
+         ("a1", 3, None, None, None, _t("2026-08-01 16:00:00")), ("a1", 4, "approved", None, None, None),
+         ("a1", 5, None, None, None, _t("2026-07-01 00:00:00")), ("a1", 6, "rescinded", None, None, None)],
+        "target_id string, seq long, status string, max_altitude_ft double, start_time timestamp, end_time timestamp")
+    judged = patches.lifecycle_outcomes(base, ps, "authorization_id", ["max_altitude_ft"])
+    assert [r.outcome for r in judged.orderBy("seq").collect()] == [
+        "end_before_start", "accepted", "end_before_start", "accepted", "approved_immutable", "accepted"]
+    out = patches.apply_accepted(base, judged, "authorization_id", ["status", "start_time", "end_time"], "2026-08-01 00:00:00").first()
+    assert (out.status, out.start_time, out.end_time) == ("rescinded", _t("2026-08-01 17:00:00"), _t("2026-08-01 18:00:00"))
+
+
+def test_stretches_brute_force(spark):
+    rng = random.Random(31)
+    regs = [(f"r{rng.randint(0, 99):02d}-{i}", f"S{i % 3}", "o", _day(a := rng.randint(0, 60)), _day(a + rng.choice([-1, 0, 2, 9, 40])), i)
+            for i in range(90)]
+    probes = [(f"p{s}-{d}", f"S{s}", _day(d)) for s in range(4) for d in range(0, 110)] + [("n1", None, _day(1)), ("n2", "S1", None)]
+    got = registrations.active_registration(
+        spark.createDataFrame(regs, REG), spark.createDataFrame(probes, "probe_id string, serial_number string, date date")).collect()
+    exp = {}
+    for pid, serial, d in probes:
+        hits = [r for r in regs if r[1] == serial and d is not None and r[3] <= d <= r[4]]
+        exp[pid] = min(hits, key=lambda r: (-r[3].toordinal(), r[0]))[0] if hits else None
+    assert {r.probe_id: r.r_registration_id for r in got} == exp and len(got) == len(probes)
 
 
 def test_dateless_patch_never_overlaps(spark):
@@ -312,8 +436,7 @@ def test_registration_probe_overlap(spark):
 def test_far_end_dates_stay_small(spark):
     regs = spark.createDataFrame([("r1", "S", "o", dt.date(2026, 1, 1), dt.date(9999, 12, 31), 0),
                                   ("r2", "S", "o", dt.date(2026, 3, 1), dt.date(2026, 3, 9), 1)], REG)
-    exploded, _ = registrations._with_ranges(regs, "start_date", "end_date")
-    assert exploded.count() <= 2 * registrations.BUCKETS
+    assert registrations._stretches(regs).count() == 3
     probes = spark.createDataFrame([("a", "S", dt.date(2026, 3, 5)), ("b", "S", dt.date(2400, 1, 1)),
                                     ("c", "S", dt.date(2025, 1, 1)), ("d", "T", dt.date(2026, 3, 5))],
                                    "probe_id string, serial_number string, date date")

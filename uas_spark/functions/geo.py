@@ -8,9 +8,9 @@ executors; there is no Python UDF.
 
 Semantics kept from the reference's spatial SQL:
 
-* ``contains_point``: strict interior. A point on any ring edge is not
+* point in polygon (``operators.covering``): strict interior. A point on any ring edge is not
   contained; points inside a hole are not contained.
-* ``polygon_box_intersects``: closed. Touching counts.
+* polygon meets box (``box_meets_edges_sql``): closed. Touching counts.
 * ``disc_box_intersects``: a point buffered by metres meets a box; a radius
   ``<= 0`` never meets anything.
 
@@ -72,65 +72,6 @@ def normalize_box(lat1, lon1, lat2, lon2) -> Column:
                     F.greatest(_c(lon1), _c(lon2)).alias("max_lon"), F.greatest(_c(lat1), _c(lat2)).alias("max_lat"))
 
 
-def _edge_ids(ring: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(ring) - 2)
-
-
-def contains_point(rings, lon, lat) -> Column:
-    """Strict point-in-polygon (even-odd over all rings, boundary excluded)."""
-    x, y = _c(lon), _c(lat)
-
-    def on_edge(r, i):
-        a, b = r[i], r[i + 1]
-        cross = (b["lon"] - a["lon"]) * (y - a["lat"]) - (b["lat"] - a["lat"]) * (x - a["lon"])
-        return ((cross == 0)
-                & (x >= F.least(a["lon"], b["lon"])) & (x <= F.greatest(a["lon"], b["lon"]))
-                & (y >= F.least(a["lat"], b["lat"])) & (y <= F.greatest(a["lat"], b["lat"])))
-
-    touches = F.exists(_c(rings), lambda r: F.exists(_edge_ids(r), lambda i: on_edge(r, i)))
-    return _even_odd(rings, x, y) & ~touches
-
-
-def _even_odd(rings, x: Column, y: Column) -> Column:
-    def crosses(r, i):
-        a, b = r[i], r[i + 1]
-        dy = b["lat"] - a["lat"]
-        x_at = (b["lon"] - a["lon"]) * (y - a["lat"]) / F.nullif(dy, F.lit(0.0)) + a["lon"]
-        return F.coalesce(((a["lat"] > y) != (b["lat"] > y)) & (x < x_at), F.lit(False))
-
-    n = F.aggregate(_c(rings), F.lit(0),
-                    lambda acc, r: acc + F.size(F.filter(_edge_ids(r), lambda i: crosses(r, i))))
-    return (n % 2) == 1
-
-
-def polygon_box_intersects(rings, min_lon, min_lat, max_lon, max_lat) -> Column:
-    """Closed polygon meets closed box.
-
-    An edge meets the box iff their bounding boxes overlap and the edge's line
-    does not leave all four corners strictly on one side (separating axes).
-    If no edge meets the box, the box is wholly inside or outside, so testing
-    one corner by even-odd decides.
-    """
-    bx0, by0, bx1, by1 = _c(min_lon), _c(min_lat), _c(max_lon), _c(max_lat)
-
-    def edge_meets(r, i):
-        a, b = r[i], r[i + 1]
-        ex, ey = b["lon"] - a["lon"], b["lat"] - a["lat"]
-
-        def side(cx, cy):
-            return ex * (cy - a["lat"]) - ey * (cx - a["lon"])
-
-        s = [side(bx0, by0), side(bx1, by0), side(bx1, by1), side(bx0, by1)]
-        all_pos = (s[0] > 0) & (s[1] > 0) & (s[2] > 0) & (s[3] > 0)
-        all_neg = (s[0] < 0) & (s[1] < 0) & (s[2] < 0) & (s[3] < 0)
-        overlap = ((F.least(a["lon"], b["lon"]) <= bx1) & (F.greatest(a["lon"], b["lon"]) >= bx0)
-                   & (F.least(a["lat"], b["lat"]) <= by1) & (F.greatest(a["lat"], b["lat"]) >= by0))
-        return overlap & ~all_pos & ~all_neg
-
-    any_edge = F.exists(_c(rings), lambda r: F.exists(_edge_ids(r), lambda i: edge_meets(r, i)))
-    return any_edge | _even_odd(rings, bx0, by0)
-
-
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in metres."""
     p1, p2 = F.radians(_c(lat1)), F.radians(_c(lat2))
@@ -141,13 +82,25 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
 
 
 def disc_box_intersects(lat, lon, radius_m, min_lon, min_lat, max_lon, max_lat) -> Column:
-    """Disc of ``radius_m`` metres around (lat, lon) meets the closed box. The centre is taken on
-    the turn around the globe that brings it nearest to the box."""
-    turn = F.lit(360.0) * F.round(((_c(min_lon) + _c(max_lon)) / 2 - _c(lon)) / 360.0)
-    near = _c(lon) + turn
-    px = F.least(F.greatest(near, _c(min_lon)), _c(max_lon))
-    py = F.least(F.greatest(_c(lat), _c(min_lat)), _c(max_lat))
-    return (_c(radius_m) > 0) & (haversine_m(lat, near, py, px) <= _c(radius_m))
+    """Disc of ``radius_m`` metres around (lat, lon) meets the closed box, exactly on the sphere.
+
+    A centre within the box's longitudes is nearest to it along its own meridian. Any other is
+    nearest to a point of one of the two sides that are meridians: the foot of the great circle at
+    right angles to it, if that lies on the side, or one of the side's ends. The box point at the
+    clamped coordinates is tried first: if that is near enough, the disc meets the box.
+    """
+    la, lo, r = _c(lat), _c(lon), _c(radius_m)
+    x0, y0, x1, y1 = _c(min_lon), _c(min_lat), _c(max_lon), _c(max_lat)
+    near = lo + F.lit(360.0) * F.round(((x0 + x1) / 2 - lo) / 360.0)
+    clamped = haversine_m(la, near, F.least(F.greatest(la, y0), y1), F.least(F.greatest(near, x0), x1))
+
+    def foot(x):
+        """Nearest latitude of the side at longitude ``x``."""
+        phi, d = F.radians(la), F.radians(x - lo)
+        return F.least(F.greatest(F.degrees(F.atan2(F.sin(phi), F.cos(phi) * F.cos(d))), y0), y1)
+
+    side = F.least(*[haversine_m(la, lo, y, x) for x in (x0, x1) for y in (foot(x), y0, y1)])
+    return (r > 0) & F.when(clamped <= r, F.lit(True)).when((near >= x0) & (near <= x1), F.lit(False)).otherwise(side <= r)
 
 
 def disc_boxes(lat, lon, radius_m) -> Column:
@@ -235,21 +188,6 @@ def levels_of(df, bbox_col: str, cell: float = DEFAULT_CELL_DEG) -> Column:
 UNROLL_EDGES = 8
 
 
-def _edge(e: Column, i):
-    return e["x1"][i], e["y1"][i], e["x2"][i], e["y2"][i]
-
-
-def _on_edge(x1, y1, x2, y2, x, y) -> Column:
-    cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-    return ((cross == 0) & (x >= F.least(x1, x2)) & (x <= F.greatest(x1, x2))
-            & (y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2)))
-
-
-def _crosses(x1, y1, x2, y2, x, y) -> Column:
-    c = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
-    return F.coalesce(c, F.lit(False))
-
-
 def _edge_meets_box(x1, y1, x2, y2, bx0, by0, bx1, by1) -> Column:
     ex, ey = x2 - x1, y2 - y1
     s = [ex * (cy - y1) - ey * (cx - x1) for cx, cy in ((bx0, by0), (bx1, by0), (bx1, by1), (bx0, by1))]
@@ -260,52 +198,6 @@ def _edge_meets_box(x1, y1, x2, y2, bx0, by0, bx1, by1) -> Column:
     return overlap & ~all_pos & ~all_neg
 
 
-def _unrolled_any(n: Column, k: int, pred) -> Column:
-    out = F.lit(False)
-    for i in range(k):
-        out = out | ((F.lit(i) < n) & pred(i))
-    return out
-
-
-def _unrolled_count(n: Column, k: int, pred) -> Column:
-    out = F.lit(0)
-    for i in range(k):
-        out = out + F.when((F.lit(i) < n) & pred(i), 1).otherwise(0)
-    return out
-
-
-def contains_point_edges(e: Column, lon, lat) -> Column:
-    """Strict point-in-polygon over prepared ``edges`` (boundary excluded, holes counted by
-    even-odd). Small polygons run as generated code; larger ones loop in one pass."""
-    x, y = _c(lon), _c(lat)
-    n = F.size(e["x1"])
-    k = UNROLL_EDGES
-    fast_touch = _unrolled_any(n, k, lambda i: _on_edge(*_edge(e, i), x, y))
-    fast_count = _unrolled_count(n, k, lambda i: _crosses(*_edge(e, i), x, y))
-    fast = ~fast_touch & (fast_count % 2 == 1)
-
-    def step(acc, i):
-        return (F.when(acc < 0, acc).when(_on_edge(*_edge(e, i), x, y), F.lit(-1))
-                 .otherwise(acc + F.when(_crosses(*_edge(e, i), x, y), 1).otherwise(0)))
-
-    slow = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step) % 2 == 1
-    return F.when(n <= k, fast).otherwise(slow)
-
-
-def box_meets_edges(e: Column, min_lon, min_lat, max_lon, max_lat) -> Column:
-    """Closed polygon (prepared ``edges``) meets closed box: an edge meets the box (separating
-    axes) or, failing that, a box corner lies inside by even-odd."""
-    bx0, by0, bx1, by1 = _c(min_lon), _c(min_lat), _c(max_lon), _c(max_lat)
-    n = F.size(e["x1"])
-    k = UNROLL_EDGES
-    fast = (_unrolled_any(n, k, lambda i: _edge_meets_box(*_edge(e, i), bx0, by0, bx1, by1))
-            | (_unrolled_count(n, k, lambda i: _crosses(*_edge(e, i), bx0, by0)) % 2 == 1))
-    ids = F.sequence(F.lit(0), n - 1)
-    slow = (F.exists(ids, lambda i: _edge_meets_box(*_edge(e, i), bx0, by0, bx1, by1))
-            | (F.size(F.filter(ids, lambda i: _crosses(*_edge(e, i), bx0, by0))) % 2 == 1))
-    return F.when(n <= k, fast).otherwise(slow)
-
-
 # --------------------------------------------------------------------------- SQL-text forms
 # The same exact tests built as SQL text, for arguments that are column names: the JVM parses
 # one string per column, instead of receiving every expression node from Python one call at a
@@ -333,21 +225,10 @@ def _sql_meets(x1, y1, x2, y2, bx0, by0, bx1, by1) -> str:
             f"AND NOT ({' AND '.join(v + ' < 0' for v in sides)}))")
 
 
-def contains_point_edges_sql(e: str, x: str, y: str) -> str:
-    """``contains_point_edges`` as SQL text over column names."""
-    k, n = UNROLL_EDGES, f"size({e}.x1)"
-    touch = " OR ".join(f"({i} < {n} AND {_sql_on_edge(*_sql_edge(e, i), x, y)})" for i in range(k))
-    count = " + ".join(f"(CASE WHEN {i} < {n} AND {_sql_crosses(*_sql_edge(e, i), x, y)} THEN 1 ELSE 0 END)"
-                       for i in range(k))
-    ed = _sql_edge(e, "i_")
-    slow = (f"aggregate(sequence(0, {n} - 1), 0, (acc_, i_) -> CASE WHEN acc_ < 0 THEN acc_ "
-            f"WHEN {_sql_on_edge(*ed, x, y)} THEN -1 "
-            f"ELSE acc_ + CASE WHEN {_sql_crosses(*ed, x, y)} THEN 1 ELSE 0 END END) % 2 = 1")
-    return f"(CASE WHEN {n} <= {k} THEN NOT ({touch}) AND ({count}) % 2 = 1 ELSE {slow} END)"
-
-
 def box_meets_edges_sql(e: str, bx0: str, by0: str, bx1: str, by1: str) -> str:
-    """``box_meets_edges`` as SQL text over column names."""
+    """Closed polygon (prepared ``edges``) meets closed box: an edge meets the box (separating
+    axes) or, failing that, a box corner lies inside by even-odd. Small polygons run as generated
+    code; larger ones loop in one pass."""
     k, n = UNROLL_EDGES, f"size({e}.x1)"
     meets = " OR ".join(f"({i} < {n} AND {_sql_meets(*_sql_edge(e, i), bx0, by0, bx1, by1)})" for i in range(k))
     count = " + ".join(f"(CASE WHEN {i} < {n} AND {_sql_crosses(*_sql_edge(e, i), bx0, by0)} THEN 1 ELSE 0 END)"

@@ -28,6 +28,18 @@ def date_text(d) -> Column:
     return F.date_format(_c(d), DATE_TEXT)
 
 
+# An instant with a zone, its seconds optional, its fraction of any length.
+_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
+
+
+def to_instant(text: Column) -> Column:
+    """ISO-8601 instant text to a timestamp (null when it does not parse). Seconds may be left out;
+    digits beyond the microsecond are cut off."""
+    full = F.regexp_replace(text, r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")
+    micro = F.regexp_replace(full, r"(\.\d{6})\d+", "$1")
+    return F.when(text.rlike(_INSTANT), micro.try_cast("timestamp"))
+
+
 def texts_for_instants(df: DataFrame) -> DataFrame:
     """Replace every top-level timestamp column by its microsecond text and every date by
     ``yyyy-MM-dd``, keeping names (used by query outputs so they compare as text)."""

@@ -155,23 +155,49 @@ def _beats(a: Column, b: Column) -> Column:
             | ((a["ingested_at"] == b["ingested_at"]) & (a["report_id"] < b["report_id"])))
 
 
+def _asof_both(probes: DataFrame, reports: DataFrame, key: str, probe_us: Column, report_us: Column,
+               bucket_us: int) -> DataFrame:
+    """For every probe, the last report at or before it (``prev``) and the first one after it (``next``)
+    in the same key; reports of a key have distinct instants.
+
+    One deal by (key, bucket) serves both: its rows are swept forwards and backwards, each way
+    seeded with the nearest report of the buckets on that side, found on the summary of buckets.
+    """
+    p = probes.select(F.col(key).alias("_k"), probe_us.alias("_t"), F.struct(*[F.col(c) for c in probes.columns]).alias("prb"))
+    r = reports.select(F.col(key).alias("_k"), report_us.alias("_t"), F.struct(*[F.col(c) for c in reports.columns]).alias("rep"))
+    p = p.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    r = r.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    ends = r.groupBy("_k", "_b").agg(F.min_by("rep", "_t").alias("_first"), F.max_by("rep", "_t").alias("_last"))
+    marks = p.select("_k", "_b").distinct().withColumn("_side", F.lit(0))
+    ends = marks.unionByName(ends.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    # in either order a bucket's mark comes before its own summary
+    up = Window.partitionBy("_k").orderBy("_b", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_k").orderBy(F.desc("_b"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seeds = ends.select("_k", "_b", "_side", F.last("_last", ignorenulls=True).over(up).alias("_before"),
+                        F.last("_first", ignorenulls=True).over(down).alias("_after")).filter("_side = 0")
+    # order of the sweep: the seed from before, reports and probes by time (a report first), the seed from after
+    u = (seeds.select("_k", "_b", F.lit(0).alias("_part"), F.lit(0).alias("_side"), F.col("_before").alias("rep"))
+         .unionByName(seeds.select("_k", "_b", F.lit(2).alias("_part"), F.lit(0).alias("_side"), F.col("_after").alias("rep")))
+         .unionByName(r.select("_k", "_b", F.lit(1).alias("_part"), F.lit(1).alias("_side"), "rep", "_t"), allowMissingColumns=True)
+         .unionByName(p.select("_k", "_b", F.lit(1).alias("_part"), F.lit(2).alias("_side"), "prb", "_t"), allowMissingColumns=True))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    fwd = Window.partitionBy("_k", "_b").orderBy("_part", "_t", "_side").rowsBetween(*so_far)
+    back = Window.partitionBy("_k", "_b").orderBy(F.desc("_part"), F.desc("_t"), F.desc("_side")).rowsBetween(*so_far)
+    out = u.withColumn("prev", F.last("rep", ignorenulls=True).over(fwd)).withColumn(
+        "next", F.last("rep", ignorenulls=True).over(back)).filter("_side = 2")
+    return out.select(*[F.col("prb." + c).alias(c) for c in probes.columns], "prev", "next")
+
+
 def join_zone_forecast_nearest(probes: DataFrame, forecast: DataFrame, at_col: str = "at",
                                bucket_us: int = HOUR_US) -> DataFrame:
     """T4 for many (zone_id, at) probes: nearest forecast either side of ``at``."""
-    inst = forecast_instants(forecast)
-    back = _asof_last(probes, inst, "zone_id", _us(at_col), _us("recorded_at"), [], bucket_us)
-    # forward search = backward search on negated time
-    fwd = _asof_last(probes, inst, "zone_id", -_us(at_col), -_us("recorded_at"), [], bucket_us)
-    pk = probes.columns
-    b = back.select(*pk, F.col("rep").alias("prev"))
-    f = fwd.select(F.col("probe_id").alias("_pid"), F.col("rep").alias("next"))
-    j = b.join(f, b["probe_id"] == f["_pid"], "inner").drop("_pid")
+    j = _asof_both(probes, forecast_instants(forecast), "zone_id", _us(at_col), _us("recorded_at"), bucket_us)
     t = _us(at_col)
     dp = t - _us(F.col("prev.recorded_at"))
     dn = _us(F.col("next.recorded_at")) - t
     pick_prev = (F.col("next").isNull()
                  | (F.col("prev").isNotNull() & ((dp < dn) | ((dp == dn) & _beats(F.col("prev"), F.col("next"))))))
-    return j.select(*pk, F.when(pick_prev, F.col("prev")).otherwise(F.col("next")).alias("rep"))
+    return j.select(*probes.columns, F.when(pick_prev, F.col("prev")).otherwise(F.col("next")).alias("rep"))
 
 
 # ------------------------------------------------------------------ validity intervals

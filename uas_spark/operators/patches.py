@@ -3,8 +3,8 @@
 Patches are DataFrames of (target id, seq, fields...). Several patches to one id are
 applied in ``seq`` order. Where the outcome of a patch does not depend on values set
 by earlier patches, the operator uses partial aggregates per id joined back to the
-patches (skew-safe). Where it does (time windows re-checked after each patch), it is
-an ordered fold per id with ``aggregate`` over the id's sorted patches.
+patches (skew-safe). Where it does (time windows re-checked after each patch), the patches
+are folded in segments that do not depend on each other (``folds.window_checks``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timefn import to_instant
+from .folds import window_checks
+
 
 def _stamp(stamp: str) -> Column:
     return F.to_timestamp(F.lit(stamp))
@@ -74,16 +77,23 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
                        pilot_ok: Column | None = None, target_col: str = "target_id",
                        seq_col: str = "seq", present_cols: list[str] | None = None) -> DataFrame:
     """``proposed`` takes any patch; ``approved`` only a pure rescind; ``rescinded``
-    nothing. A patch failing the pilot check is refused first and changes nothing. A patch
+    nothing. A patch failing the pilot check is refused first and changes nothing. Where patches
+    have ``start_time`` and ``end_time``, one that the gate lets pass must leave a window that ends
+    after its start; else it is refused with 'end_before_start' and changes nothing. A patch
     touches a field if it gives a value, or if a column of ``present_cols`` says that it lists
     the field's key (an explicit null clears the field and is a touch too).
 
     The status moves at most twice, so each patch's outcome follows from per-id minima over
     the effective patches (one partial aggregate, no fold): k1, the first status move, with
     its status, and k2, the first pure rescind. A pure rescind is itself a move, so k2 >= k1
-    always, and after an approval at k1 the next accepted patch is k2.
+    always, and after an approval at k1 the next accepted patch is k2. Windows move only while the
+    status is proposed, so they are checked (``window_checks``) as if it stayed so: up to k1 that is
+    what happens, and after it the gate decides alone.
     Returns the patches with ``outcome`` and ``status_after``.
     """
+    windowed = {"start_time", "end_time"} <= set(patches.columns)
+    if windowed:
+        other_fields = [*dict.fromkeys([*other_fields, "start_time", "end_time"])]
     touches = None
     for f in other_fields:
         c = F.col(f).isNotNull()
@@ -94,7 +104,12 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
     touches = touches if touches is not None else F.lit(False)
     eff = pilot_ok if pilot_ok is not None else F.lit(True)
     p = patches.withColumn("_eff", eff)
-    moves = F.col("_eff") & F.col("status").isin("approved", "rescinded")
+    if windowed:
+        p = _with_window_check(p, base.select(F.col(key).alias("_tid"), F.col("start_time").alias("_st0"),
+                                              F.col("end_time").alias("_en0")), target_col, seq_col, F.col("_eff"))
+    else:
+        p = p.withColumn("_bad", F.lit(False))
+    moves = F.col("_eff") & ~F.col("_bad") & F.col("status").isin("approved", "rescinded")
     pure = F.col("_eff") & (F.col("status") == "rescinded") & ~touches
     agg = p.groupBy(F.col(target_col).alias("_tid")).agg(
         F.min(F.when(moves, F.col(seq_col))).alias("_k1"),
@@ -115,13 +130,23 @@ def lifecycle_outcomes(base: DataFrame, patches: DataFrame, key: str, other_fiel
                 .when(rescinded_from.isNotNull() & (seq > rescinded_from), "rescinded_terminal")
                 .when(approved_from.isNotNull() & (seq > approved_from) & (seq != F.coalesce(F.col("_k2"), F.lit(-1))),
                       "approved_immutable")
+                .when(F.col("_bad"), "end_before_start")
                 .otherwise("accepted"))
     status_after = (F.when(F.col("_s0").isNull(), F.lit(None))
                      .when(rescinded_from.isNotNull() & (seq >= rescinded_from), "rescinded")
                      .when(approved_from.isNotNull() & (seq >= approved_from), "approved")
                      .otherwise("proposed"))
     return p.withColumn("outcome", outcome).withColumn("status_after", status_after) \
-            .drop("_tid", "_s0", "_k1", "_k1_status", "_k2", "_eff")
+            .drop("_tid", "_s0", "_k1", "_k1_status", "_k2", "_eff", "_bad")
+
+
+def _with_window_check(patches: DataFrame, base: DataFrame, target_col: str, seq_col: str, ok: Column) -> DataFrame:
+    """``patches`` with ``_bad`` (see ``window_checks``); a patch without times is not bad."""
+    checked = window_checks(patches.select(F.col(target_col).alias("_tid"), F.col(seq_col).alias("_seq"),
+                                           F.col("start_time").alias("_st"), F.col("end_time").alias("_en"),
+                                           ok.alias("_ok")), base)
+    out = patches.join(checked, (F.col(target_col) == F.col("_tid")) & (F.col(seq_col) == F.col("_seq")), "left")
+    return out.withColumn("_bad", F.coalesce("_bad", F.lit(False))).drop("_tid", "_seq")
 
 
 def apply_accepted(base: DataFrame, judged: DataFrame, key: str, fields: list[str], stamp: str,
@@ -161,46 +186,18 @@ def apply_accepted(base: DataFrame, judged: DataFrame, key: str, fields: list[st
     return out.select(*cols)
 
 
-# ------------------------------------------------------------------ M19: lifecycle as an ordered fold
+# ------------------------------------------------------------------ M19
 
 def lifecycle_fold(base: DataFrame, patches: DataFrame, key: str, field: str,
                    target_col: str = "target_id", seq_col: str = "seq") -> DataFrame:
-    """M19 (waivers): the lifecycle gate plus window re-check. A patch may set ``field``,
-    ``start_time``, ``end_time`` and ``status``; an accepted patch whose merged window has
-    ``end <= start`` is refused with 'end_before_start'. Acceptance depends on values set by
-    earlier patches, so this is an ordered fold per id over its sorted patches.
+    """M19 (waivers): the gate of M18 and the check of the merged window, for patches that may set
+    ``field``, ``start_time``, ``end_time`` and ``status``.
 
     Returns one row per patch: (target_id, seq, outcome, status_after); ``apply_accepted`` joined
     with the patches gives the table afterwards.
     """
-    ft = base.schema[field].dataType.simpleString()
-    b = base.select(F.col(key).alias("_tid"), F.col("status").alias("_s0"), F.col(field).alias("_f0"),
-                    F.col("start_time").alias("_st0"), F.col("end_time").alias("_en0"))
-    g = patches.groupBy(F.col(target_col).alias("_tid")).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(seq_col).cast("bigint").alias("seq"), F.col("status").alias("status"),
-        F.col(field).cast(ft).alias("f"), F.col("start_time").alias("st"), F.col("end_time").alias("en")))).alias("ps"))
-    g = g.join(b, "_tid", "left")
-    acc = f"named_struct('s', _s0, 'f', _f0, 'st', _st0, 'en', _en0, " \
-          f"'out', cast(array() as array<struct<seq:bigint, outcome:string, status_after:string>>))"
-    gate = ("CASE WHEN st.s = 'rescinded' THEN 'rescinded_terminal' "
-            "WHEN st.s = 'approved' AND NOT coalesce(p.status = 'rescinded' AND p.f IS NULL AND p.st IS NULL "
-            "AND p.en IS NULL, false) THEN 'approved_immutable' "
-            "WHEN coalesce(p.en, st.en) <= coalesce(p.st, st.st) THEN 'end_before_start' ELSE 'accepted' END")
-    step = f"""named_struct(
-        's', IF(({gate}) = 'accepted', coalesce(p.status, st.s), st.s),
-        'f', IF(({gate}) = 'accepted', coalesce(p.f, st.f), st.f),
-        'st', IF(({gate}) = 'accepted', coalesce(p.st, st.st), st.st),
-        'en', IF(({gate}) = 'accepted', coalesce(p.en, st.en), st.en),
-        'out', concat(st.out, array(named_struct('seq', p.seq, 'outcome', {gate},
-               'status_after', IF(({gate}) = 'accepted', coalesce(p.status, st.s), st.s)))))"""
-    fold = F.expr(f"aggregate(ps, {acc}, (st, p) -> {step}, st -> st.out)")
-    out = g.select(F.col("_tid").alias(target_col), F.col("_s0"),
-                   F.when(F.col("_s0").isNull(), F.transform("ps", lambda p: F.struct(
-                       p["seq"].alias("seq"), F.lit("not_found").alias("outcome"),
-                       F.lit(None).cast("string").alias("status_after")))).otherwise(fold).alias("o"))
-    return out.select(target_col, F.explode("o").alias("o")).select(
-        target_col, F.col("o.seq").alias(seq_col), F.col("o.outcome").alias("outcome"),
-        F.col("o.status_after").alias("status_after"))
+    out = lifecycle_outcomes(base, patches, key, [field], target_col=target_col, seq_col=seq_col)
+    return out.select(target_col, F.col(seq_col).cast("bigint").alias(seq_col), "outcome", "status_after")
 
 
 # ------------------------------------------------------------------ M21-M23
@@ -256,13 +253,12 @@ def flight_plan_patch(plans: DataFrame, patches: DataFrame, pilots: DataFrame, r
     row's own check), authorization_not_found (its foreign key); else accepted.
 
     The link checks look at values being set only, so they do not depend on earlier patches;
-    the window does, and a plan's patches that give a time fold in order. The others only need
-    to know the window as of their turn, which cannot be bad. Returns the patches with
+    the window does, and a plan's patches that give a time are checked in order (``window_checks``).
+    The others only need to know the window as of their turn, which cannot be bad. Returns the patches with
     ``outcome``, the links and times they give and which links they list (``has_*``).
     """
     from .refs import ref_authorization_exists, ref_pilot_under_owner, ref_registration_owner
     raw = F.col(raw_col)
-    when = F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX")
     p = patches.select(
         "*",
         json_has_key(raw, "pilotId").alias("has_pilot"), F.get_json_object(raw, "$.pilotId").alias("pilot_id"),
@@ -270,8 +266,8 @@ def flight_plan_patch(plans: DataFrame, patches: DataFrame, pilots: DataFrame, r
         F.get_json_object(raw, "$.registrationId").alias("registration_id"),
         json_has_key(raw, "airspaceAuthorizationId").alias("has_authorization"),
         F.get_json_object(raw, "$.airspaceAuthorizationId").alias("airspace_authorization_id"),
-        F.try_to_timestamp(F.get_json_object(raw, "$.startTime"), when).alias("start_time"),
-        F.try_to_timestamp(F.get_json_object(raw, "$.endTime"), when).alias("end_time"))
+        to_instant(F.get_json_object(raw, "$.startTime")).alias("start_time"),
+        to_instant(F.get_json_object(raw, "$.endTime")).alias("end_time"))
     base = plans.select(F.col("flight_plan_id").alias("_fid"), F.col("owner_id").alias("_owner"),
                         F.col("start_time").alias("_st0"), F.col("end_time").alias("_en0"))
     p = p.join(base, F.col(target_col) == F.col("_fid"), "left")
@@ -281,20 +277,10 @@ def flight_plan_patch(plans: DataFrame, patches: DataFrame, pilots: DataFrame, r
     p = p.withColumn("_before", F.when(F.col("_fid").isNull(), "not_found")
                      .when(~F.col("pilot_found"), "pilot_not_found")
                      .otherwise(F.col("registration_check"))).withColumn("_auth_ok", F.col("authorization_found"))
-    timed = p.filter("_before IS NULL AND (start_time IS NOT NULL OR end_time IS NOT NULL)")
-    g = timed.groupBy(F.col(target_col).alias("_tid")).agg(
-        F.first("_st0").alias("_st0"), F.first("_en0").alias("_en0"), F.array_sort(F.collect_list(F.struct(
-            F.col(seq_col).alias("seq"), F.col("start_time").alias("st"), F.col("end_time").alias("en"),
-            F.col("_auth_ok").alias("ok")))).alias("ps"))
-    bad = "coalesce(q.en, a.en) <= coalesce(q.st, a.st)"
-    fold = F.expr(f"""aggregate(ps, named_struct('st', _st0, 'en', _en0, 'out', cast(array() AS array<bigint>)),
-        (a, q) -> named_struct('st', IF({bad} OR NOT q.ok, a.st, coalesce(q.st, a.st)),
-            'en', IF({bad} OR NOT q.ok, a.en, coalesce(q.en, a.en)),
-            'out', IF({bad}, concat(a.out, array(cast(q.seq AS bigint))), a.out)), a -> a.out)""")
-    late = g.select("_tid", F.explode(fold).alias("_lseq"))
-    p = p.join(late, (F.col(target_col) == F.col("_tid")) & (F.col(seq_col) == F.col("_lseq")), "left")
+    windows = base.select(F.col("_fid").alias("_tid"), "_st0", "_en0")
+    p = _with_window_check(p, windows, target_col, seq_col, F.col("_before").isNull() & F.col("_auth_ok"))
     outcome = (F.when(F.col("_before").isNotNull(), F.col("_before"))
-                .when(F.col("_lseq").isNotNull(), "end_before_start")
+                .when(F.col("_bad"), "end_before_start")
                 .when(~F.col("_auth_ok"), "authorization_not_found").otherwise("accepted"))
     return p.select(*patches.columns, outcome.alias("outcome"), "pilot_id", "registration_id",
                     "airspace_authorization_id", "start_time", "end_time", "has_pilot", "has_registration",

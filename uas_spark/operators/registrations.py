@@ -1,43 +1,21 @@
 """Drone registrations: overlap, sequential acceptance, as-of lookup.
 
-Date-ranged joins never join a serial's every registration with every probe. A range goes to
-the level of day buckets (32 days, or 8, 64, ... times as many) at which it meets at most 16 of
-them, however far its end date lies; probes carry one bucket for each level in use; the join
-key is (serial, level, bucket), so a hot serial is split by time.
+Dates are days, so what a serial's many registrations come to is summed up per (serial, date)
+first, in aggregates that split a hot serial; what is then sorted or folded per serial has a few
+rows a calendar day at most, however many registrations or probes the serial has.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import asof
-
-
-BUCKET_DAYS, TOP, BUCKETS = 32, 6, 16
-
-
-def _days(d: Column) -> Column:
-    return F.unix_date(d)
-
-
-def _bucket_days() -> Column:
-    return F.lit(float(BUCKET_DAYS)) * F.pow(F.lit(8.0), F.col("_lvl"))
-
-
-def _with_ranges(df: DataFrame, start: str, end: str) -> tuple[DataFrame, Column]:
-    """Explode closed date ranges into the buckets (``_lvl, _b``) of their level; the levels in use."""
-    level = F.lit(TOP)
-    for k in reversed(range(TOP)):
-        size = float(BUCKET_DAYS * 8 ** k)
-        level = F.when(F.floor(_days(F.col(end)) / size) - F.floor(_days(F.col(start)) / size) < BUCKETS,
-                       F.lit(k)).otherwise(level)
-    leveled = df.filter(F.col(start) <= F.col(end)).withColumn("_lvl", level)
-    levels = leveled.select(F.array_sort(F.collect_set("_lvl"))).scalar()
-    return leveled.withColumn("_b", F.explode(F.sequence(
-        F.floor(_days(F.col(start)) / _bucket_days()).cast("long"),
-        F.floor(_days(F.col(end)) / _bucket_days()).cast("long")))), levels
+from .folds import ordered_fold
 
 
 def registration_overlap(candidates: DataFrame, stored: DataFrame) -> DataFrame:
@@ -56,128 +34,146 @@ def registration_overlap(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 
 def self_overlap(registrations: DataFrame) -> DataFrame:
     """M13 over a whole stored table: does each registration overlap (closed ranges, touching
-    dates overlap) another one of the same serial?
-
-    A linear sweep per serial ordered by (start, id): a registration overlaps an earlier one iff
-    the running maximum end before it reaches its start, and a later one iff the next start is
-    within its range. No pairs are formed, so a serial with many registrations costs a sort,
-    not a square. Adds boolean ``overlap``.
-    """
-    w = Window.partitionBy("serial_number").orderBy("start_date", "registration_id")
-    prev_end = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    next_start = F.lead("start_date").over(w)
-    return registrations.withColumn("overlap", F.coalesce(prev_end >= F.col("start_date"), F.lit(False))
-                                    | F.coalesce(next_start <= F.col("end_date"), F.lit(False)))
-
+    dates overlap) one of the same serial with another id? Adds boolean ``overlap``."""
+    out = registration_overlap(registrations, registrations)
+    return out.withColumn("overlap", F.col("overlapping_id").isNotNull()).drop("overlapping_id")
 
-def _overlap_clusters(rows: DataFrame) -> DataFrame:
-    """Connected runs of overlapping date ranges per serial (``cluster`` column).
 
-    Sorted by start, a new run begins where the start passes the running maximum end of
-    everything before it. Ranges in different runs never overlap, so each run can be
-    judged on its own.
-    """
-    w = Window.partitionBy("serial_number").orderBy("start_date", "_kind", "arrival")
-    prev_end = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new_run = F.when(prev_end.isNull() | (F.col("start_date") > prev_end), 1).otherwise(0)
-    return rows.withColumn("_new", new_run).withColumn(
-        "cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+_RANGE = ["serial_number", "start_date", "end_date"]
+_NEVER = -1 << 62
 
 
-def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame | None = None,
-                      max_rounds: int = 50) -> DataFrame:
+def sequential_accept(requests: DataFrame, owners: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Registrations judged one after the other in ``arrival`` order; a rejected request
     never blocks a later one. Check order: owner, overlap, duplicate id. An id is a global key:
     it conflicts with stored ids and with any earlier accepted request, of any serial.
 
-    Within an overlap cluster the fold below is exact. Ids that meet across clusters are settled
-    by repeating it: a request whose id an earlier request took in the last round is treated as
-    a stored id. Each round settles at least the next request of the chain, as every decision
-    depends on earlier arrivals only; the rounds end when nothing changes. Without an id that
-    occurs twice there is one round.
-    """
-    taken = requests.filter("false").select("registration_id", F.col("arrival").cast("bigint").alias("arrival"))
-    twice = (requests.groupBy("registration_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-             .select("registration_id"))
-    contested = not twice.isEmpty()
-    for _ in range(max_rounds):
-        out = _accept_round(requests, owners, stored, taken)
-        if not contested:
-            return out
-        out = cut_lineage(out)
-        first = (out.filter("outcome = 'accepted'").join(twice, "registration_id", "left_semi")
-                 .groupBy("registration_id").agg(F.min("arrival").alias("_first")))
-        late = cut_lineage(requests.join(first, "registration_id").filter(F.col("arrival") > F.col("_first"))
-                           .select("registration_id", F.col("arrival").cast("bigint").alias("arrival")))
-        if late.exceptAll(taken).isEmpty() and taken.exceptAll(late).isEmpty():
-            return out
-        taken = late
-    raise RuntimeError("sequential_accept did not settle")
-
-
-def _accept_round(requests: DataFrame, owners: DataFrame, stored: DataFrame | None, taken: DataFrame) -> DataFrame:
-    """One round of M14; ``taken`` are (registration_id, arrival) of requests whose id is gone.
-
-    Requests failing the owner check are rejected without entering the fold (they change
-    nothing). The others, with the stored registrations, are cut into overlap clusters per
-    serial; the ordered fold (``aggregate`` over the cluster's requests sorted by arrival,
-    carrying the accepted ranges) runs per (serial, cluster), so only requests that can
-    actually conflict share a group. Duplicate ids are checked against stored ids and earlier
-    accepted ids of the same cluster. Returns (registration_id, serial_number, arrival, outcome).
+    Requests whose owner is unknown change nothing. Ids that several requests give are settled in
+    rounds: a request whose id an earlier request took in the last round counts as one with a
+    stored id. Every decision depends on earlier arrivals only, so each round settles at least
+    the next of these requests, and the rounds end when nothing changes, however many it takes. Without an id that
+    occurs twice there is one round. Returns (registration_id, serial_number, arrival, outcome).
     """
     r = requests.join(owners.select(F.col("owner_id").alias("_oid")).distinct(),
                       F.col("owner_id") == F.col("_oid"), "left")
-    r = r.withColumn("owner_ok", F.col("_oid").isNotNull()).drop("_oid")
+    r = r.select("registration_id", *_RANGE, F.col("arrival").cast("bigint").alias("arrival"),
+                 F.col("_oid").isNotNull().alias("owner_ok"))
+    no_owner = r.filter(~F.col("owner_ok")).select("registration_id", "serial_number", "arrival",
+                                                   F.lit("owner_not_found").alias("outcome"))
+    r = r.filter("owner_ok").drop("owner_ok")
+    ranges = r.filter("false").select(*_RANGE)
     if stored is not None:
         known = stored.select(F.col("registration_id").alias("_sid")).distinct()
         r = r.join(known, F.col("registration_id") == F.col("_sid"), "left") \
              .withColumn("stored_id", F.col("_sid").isNotNull()).drop("_sid")
+        ranges = stored.select(*_RANGE).distinct()
     else:
         r = r.withColumn("stored_id", F.lit(False))
-    gone = taken.select(F.col("registration_id").alias("_tid"), F.col("arrival").alias("_tarr"))
-    r = r.join(gone, (F.col("registration_id") == F.col("_tid")) & (F.col("arrival") == F.col("_tarr")), "left") \
-         .withColumn("stored_id", F.col("stored_id") | F.col("_tid").isNotNull()).drop("_tid", "_tarr")
-    no_owner = r.filter(~F.col("owner_ok")).select("registration_id", "serial_number",
-                                                   F.col("arrival").cast("bigint").alias("arrival"),
-                                                   F.lit("owner_not_found").alias("outcome"))
-    req = r.filter(F.col("owner_ok")).select("registration_id", "serial_number", "start_date", "end_date",
-                                             F.col("arrival").cast("bigint").alias("arrival"), "stored_id",
-                                             F.lit(1).alias("_kind"))
-    rows = req
-    if stored is not None:
-        rows = rows.unionByName(stored.select("registration_id", "serial_number", "start_date", "end_date",
-                                              F.lit(None).cast("bigint").alias("arrival"),
-                                              F.lit(True).alias("stored_id"), F.lit(0).alias("_kind")))
-    rows = _overlap_clusters(rows)
-    seed = rows.filter(F.col("_kind") == 0).groupBy("serial_number", "cluster").agg(
-        F.collect_list(F.struct(F.col("start_date").alias("s"), F.col("end_date").alias("e"))).alias("seed"))
-    g = rows.filter(F.col("_kind") == 1).groupBy("serial_number", "cluster").agg(
-        F.array_sort(F.collect_list(F.struct("arrival", "registration_id", "start_date", "end_date",
-                                             "stored_id"))).alias("reqs"))
-    g = g.join(seed, ["serial_number", "cluster"], "left")
-    g = g.withColumn("seed", F.coalesce(F.col("seed").cast("array<struct<s:date,e:date>>"),
-                                        F.array().cast("array<struct<s:date,e:date>>")))
-    fold = F.expr("""
-      aggregate(reqs,
-        named_struct('acc', seed, 'ids', cast(array() as array<string>),
-                     'out', cast(array() as array<struct<registration_id:string, arrival:bigint, outcome:string>>)),
-        (st, q) -> named_struct(
-          'acc', IF(NOT exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
-                    AND NOT q.stored_id AND NOT array_contains(st.ids, q.registration_id),
-                    concat(st.acc, array(named_struct('s', q.start_date, 'e', q.end_date))), st.acc),
-          'ids', IF(NOT exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
-                    AND NOT q.stored_id AND NOT array_contains(st.ids, q.registration_id),
-                    concat(st.ids, array(q.registration_id)), st.ids),
-          'out', concat(st.out, array(named_struct('registration_id', q.registration_id,
-                    'arrival', q.arrival,
-                    'outcome', CASE WHEN exists(st.acc, a -> a.s <= q.end_date AND q.start_date <= a.e)
-                                      THEN 'registration_overlap'
-                                    WHEN q.stored_id OR array_contains(st.ids, q.registration_id) THEN 'duplicate_id'
-                                    ELSE 'accepted' END)))),
-        st -> st.out)""")
-    folded = g.select("serial_number", F.explode(fold).alias("o")).select(
-        F.col("o.registration_id"), "serial_number", F.col("o.arrival"), F.col("o.outcome"))
-    return folded.unionByName(no_owner)
+    r = cut_lineage(r)
+    twice = r.groupBy("registration_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("registration_id")
+    if twice.isEmpty():
+        return _accept_round(r.withColumnRenamed("stored_id", "gone"), ranges).unionByName(no_owner)
+    twice = cut_lineage(twice)
+    taken = r.filter("false").select("registration_id", "arrival")
+    while True:
+        gone = taken.withColumn("_taken", F.lit(True))
+        out = cut_lineage(_accept_round(
+            r.join(gone, ["registration_id", "arrival"], "left")
+             .withColumn("gone", F.col("stored_id") | F.col("_taken").isNotNull()).drop("_taken", "stored_id"), ranges))
+        first = (out.filter("outcome = 'accepted'").join(twice, "registration_id", "left_semi")
+                 .groupBy("registration_id").agg(F.min("arrival").alias("_first")))
+        late = cut_lineage(r.join(first, "registration_id").filter(F.col("arrival") > F.col("_first"))
+                           .select("registration_id", "arrival").distinct())
+        if late.exceptAll(taken).isEmpty() and taken.exceptAll(late).isEmpty():
+            return out.unionByName(no_owner)
+        taken = late
+
+
+def _accept_round(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """One round of M14: registration_id, serial_number, start_date, end_date, arrival, gone.
+
+    Most requests are settled without the fold. Of equal ranges only the first to arrive can be
+    accepted; and one that holds the whole range of an earlier request can't: if that one was accepted they
+    overlap, if not, they overlap what it overlapped. So per serial and start date only requests
+    shorter than all earlier ones are left: for one serial a few per calendar day, however many
+    requests it has. Both steps are aggregates over (serial, start date). The rest are folded per
+    serial in arrival order against the accepted ranges, which are disjoint and found by bisection.
+    A gone request (its id is taken) is never accepted; it is an overlap if its range met an
+    accepted one by its arrival.
+    """
+    clean = requests.filter(~F.col("gone"))
+    proper = F.col("start_date") <= F.col("end_date")
+    first = clean.filter(proper).groupBy(*_RANGE).agg(F.min(F.struct("arrival", "registration_id")).alias("k"))
+    shorter = Window.partitionBy("serial_number", "start_date").orderBy("end_date").rowsBetween(
+        Window.unboundedPreceding, -1)
+    left = first.withColumn("_k", F.min("k").over(shorter)).filter(F.col("_k").isNull() | (F.col("k") < F.col("_k")))
+    left = left.select(*_RANGE, "k.arrival", "k.registration_id").unionByName(
+        clean.filter(~proper).select(*_RANGE, "arrival", "registration_id"))
+    rows = (left.withColumn("kind", F.lit(1))
+            .unionByName(stored.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+            .unionByName(requests.filter("gone").select(*_RANGE).distinct().withColumn("kind", F.lit(2)),
+                         allowMissingColumns=True))
+    rows = rows.select("serial_number", F.unix_date("start_date").alias("s"), F.unix_date("end_date").alias("e"),
+                       "kind", "arrival", "registration_id")
+
+    class Taken:
+        """Disjoint accepted ranges by start, when each came, and those that end before they start."""
+
+        def __init__(self) -> None:
+            self.s: list[int] = []
+            self.e: list[int] = []
+            self.by: list[tuple] = []
+            self.odd: list[tuple] = []
+            self.asked: list[tuple] = []
+
+        def meets(self, s: int, e: int) -> bool:
+            i = bisect_right(self.s, e)
+            return (i > 0 and self.e[i - 1] >= s) or any(a <= e and s <= b for a, b, _ in self.odd)
+
+        def add(self, s: int, e: int, by: tuple) -> None:
+            if s > e:
+                self.odd.append((s, e, by))
+                return
+            lo, hi = bisect_right(self.e, s - 1), bisect_right(self.s, e)
+            if lo < hi:  # stored ranges may overlap one another: they become one
+                s, e = min(s, self.s[lo]), max(e, self.e[hi - 1])
+            self.s[lo:hi], self.e[lo:hi], self.by[lo:hi] = [s], [e], [by]
+
+        def since(self, s: int, e: int) -> tuple | None:
+            met = [*self.by[bisect_right(self.e, s - 1):bisect_right(self.s, e)], *(k for a, b, k in self.odd if a <= e and s <= b)]
+            return min(met, default=None)
+
+    def step(taken: Taken, row: tuple) -> Iterator[tuple]:
+        serial, s, e, kind, arrival, rid = row
+        if kind == 0:
+            taken.add(s, e, (_NEVER, ""))
+        elif kind == 2:
+            taken.asked.append((serial, s, e))
+        elif not taken.meets(s, e):
+            taken.add(s, e, (arrival, rid))
+            yield serial, s, e, 1, arrival, rid
+
+    def end(taken: Taken) -> Iterator[tuple]:
+        for serial, s, e in taken.asked:
+            by = taken.since(s, e)
+            if by is not None:
+                yield serial, s, e, 2, *by
+
+    done = cut_lineage(ordered_fold(rows, ["serial_number"], ["kind", "arrival", "registration_id", "s", "e"],
+                                    "serial_number string, s int, e int, kind int, arrival bigint, registration_id string",
+                                    lambda row: Taken(), step, end))
+    done = done.select("serial_number", F.date_from_unix_date("s").alias("start_date"),
+                       F.date_from_unix_date("e").alias("end_date"), "kind", "arrival", "registration_id")
+    won = done.filter("kind = 1").drop("kind").withColumn("_won", F.lit(True))
+    out = clean.join(won, [*_RANGE, "arrival", "registration_id"], "left").select(
+        "registration_id", "serial_number", "arrival",
+        F.when(F.col("_won"), "accepted").otherwise("registration_overlap").alias("outcome"))
+    met = done.filter("kind = 2").select(*_RANGE, F.struct("arrival", "registration_id").alias("_since"))
+    lost = requests.filter("gone").join(met, _RANGE, "left").select(
+        "registration_id", "serial_number", "arrival",
+        F.when(F.struct("arrival", "registration_id") > F.col("_since"), "registration_overlap")
+         .otherwise("duplicate_id").alias("outcome"))
+    return out.unionByName(lost)
 
 
 def other_overlaps(ranges: DataFrame, stored: DataFrame, key: str = "_pk") -> DataFrame:
@@ -185,68 +181,179 @@ def other_overlaps(ranges: DataFrame, stored: DataFrame, key: str = "_pk") -> Da
 
     ``ranges``: key, registration_id, serial_number, start_date, end_date. No pairs: some other
     registration starts by the range's end and ends on or after its start exactly if the largest
-    end among the others that start by then reaches the start. One sort per serial carries the
-    two largest ends with their ids; the second largest so far is the largest of what each row
-    left standing when compared with the largest before it.
+    end among the others that start by then reaches the start. Each (serial, start date) yields its
+    two largest ends with their ids, limited before the shuffle; a running maximum over a serial's
+    dates, at most one row a calendar day, carries the two largest so far. A serial with many
+    registrations is thus spread over its dates.
     """
-    st = stored.select("serial_number", F.col("start_date").alias("_v"), F.lit(0).alias("_kind"),
-                       F.struct("end_date", "registration_id").alias("_x"))
-    c = ranges.select("serial_number", F.col("end_date").alias("_v"), F.lit(1).alias("_kind"), F.col(key).alias(key),
-                      F.col("start_date").alias("_from"), F.col("registration_id").alias("_self"))
-    rows = c.unionByName(st, allowMissingColumns=True)
-    w = Window.partitionBy("serial_number").orderBy("_v", "_kind", F.col("_x.registration_id"))
-    before = F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = F.struct("end_date", "registration_id")
+    top = Window.partitionBy("serial_number", "start_date").orderBy(F.desc("end_date"), F.desc("registration_id"))
+    best = stored.select("serial_number", "start_date", "end_date", "registration_id").withColumn(
+        "_rn", F.row_number().over(top)).filter("_rn <= 2")
+    days = best.groupBy("serial_number", F.col("start_date").alias("_day")).agg(
+        F.max(F.when(F.col("_rn") == 1, x)).alias("_x1"), F.max(F.when(F.col("_rn") == 2, x)).alias("_x2"))
+    asked = ranges.select("serial_number", F.col("end_date").alias("_day")).distinct()
+    days = days.join(asked, ["serial_number", "_day"], "full")
+    w = Window.partitionBy("serial_number").orderBy("_day")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # least() skips nulls, so the first row must be kept from standing as its own second
-    rows = rows.withColumn("_low", F.when(F.col("_x").isNotNull() & before.isNotNull(), F.least(F.col("_x"), before)))
-    rows = rows.withColumn("_m1", F.max("_x").over(upto)).withColumn("_m2", F.max("_low").over(upto))
-    best = F.when(F.col("_m1.registration_id") == F.col("_self"), F.col("_m2")).otherwise(F.col("_m1"))
-    return (rows.filter("_kind = 1").withColumn("_best", best).filter(F.col("_best.end_date") >= F.col("_from"))
+    before = F.max("_x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # greatest() and least() skip nulls: a date's largest end stands second only beside an earlier one
+    second = F.greatest(F.col("_x2"), F.when(F.col("_x1").isNotNull() & before.isNotNull(), F.least(F.col("_x1"), before)))
+    days = days.withColumn("_low", second).select("serial_number", "_day", F.max("_x1").over(upto).alias("_m1"),
+                                                  F.max("_low").over(upto).alias("_m2"))
+    c = ranges.select(key, "serial_number", F.col("end_date").alias("_day"), F.col("start_date").alias("_from"),
+                      F.col("registration_id").alias("_self"))
+    other = F.when(F.col("_m1.registration_id") == F.col("_self"), F.col("_m2")).otherwise(F.col("_m1"))
+    return (c.join(days, ["serial_number", "_day"]).withColumn("_best", other)
+            .filter(F.col("_best.end_date") >= F.col("_from"))
             .select(key, F.col("_best.registration_id").alias("overlapping_id")))
 
 
+def _hull_clusters(rows: DataFrame) -> DataFrame:
+    """``rows`` (serial_number, _lo, _hi) with ``_cluster``: hulls in different clusters of a serial never meet.
+
+    One row per serial and first date carries the largest last date; a cluster begins where the
+    date passes the running maximum. At most one row a calendar day and serial is sorted.
+    """
+    days = rows.groupBy("serial_number", "_lo").agg(F.max("_hi").alias("_hi"))
+    w = Window.partitionBy("serial_number").orderBy("_lo")
+    before = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("_new", F.when(before.isNull() | (F.col("_lo") > before), 1).otherwise(0))
+    days = days.select("serial_number", "_lo", F.sum("_new").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cluster"))
+    return rows.join(days, ["serial_number", "_lo"])
+
+
 def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFrame:
-    """A patch that gives a date re-runs M13 for its merged range against the other stored
-    registrations of the serial; one without a date never overlaps. Absent fields keep their
-    value; owner and serial are immutable; each patch is judged against the stored table.
-    Returns patches with ``outcome``: 'not_found', 'registration_overlap', 'end_before_start'
-    (which the stored table's own constraint finds after the overlap check) or 'accepted'.
+    """Patches judged one after the other, per serial in ``seq`` order (then by id). A patch that gives a
+    date re-runs M13 for its merged range against the other registrations of the serial as the
+    patches before it left them; one without a date never overlaps. Absent fields keep their value;
+    owner and serial are immutable. Adds ``outcome``: 'not_found', 'registration_overlap',
+    'end_before_start' (which the table's own constraint finds after the overlap check) or
+    'accepted'; and ``serial_number``.
+
+    A registration can only take dates that it has or that a patch gives it. Those span its hull;
+    registrations are folded together only where hulls meet, and only where a patch gives a date.
+    """
+    base = stored.select("registration_id", "serial_number", F.col("start_date").alias("_s0"), F.col("end_date").alias("_e0"))
+    p = patches.join(base.select("registration_id", "serial_number"), "registration_id", "left")
+    p = p.withColumn("_dated", F.col("serial_number").isNotNull()
+                     & (F.col("start_date").isNotNull() | F.col("end_date").isNotNull()))
+    given = patches.groupBy("registration_id").agg(F.min("start_date").alias("_ps"), F.max("end_date").alias("_pe"),
+                                                   F.count(F.coalesce("start_date", "end_date")).alias("_n"))
+    hull = base.join(given, "registration_id", "left")
+    hull = hull.select("registration_id", "serial_number", "_s0", "_e0", F.least("_s0", "_e0", "_ps").alias("_lo"),
+                       F.greatest("_e0", "_s0", "_pe").alias("_hi"), (F.coalesce("_n", F.lit(0)) > 0).alias("_patched"))
+    hull = cut_lineage(_hull_clusters(hull))
+    live = hull.filter("_patched").select("serial_number", "_cluster").distinct()
+    hull = hull.join(live, ["serial_number", "_cluster"], "left_semi")
+    one = hull.select("serial_number", "_cluster", "registration_id", F.lit(None).cast("long").alias("seq"),
+                      F.unix_date("_s0").alias("s"), F.unix_date("_e0").alias("e"))
+    many = (p.filter("_dated").select("registration_id", F.col("seq").cast("long").alias("seq"),
+                                      F.unix_date("start_date").alias("s"), F.unix_date("end_date").alias("e"))
+            .join(hull.select("registration_id", "serial_number", "_cluster"), "registration_id"))
+    rows = one.unionByName(many).select("serial_number", "_cluster", "registration_id", "seq", "s", "e")
+
+    class Ranges:
+        """Current ranges of a cluster, by place; arrays once the first patch comes."""
+
+        def __init__(self) -> None:
+            self.at: dict[str, int] = {}
+            self.first: list[tuple[int, int]] = []
+            self.now: np.ndarray | None = None
+
+        def patch(self, rid: str, s: int | None, e: int | None) -> str:
+            if self.now is None:
+                self.now = np.array(self.first, np.int64).T.copy()
+            i = self.at[rid]
+            s, e = (int(self.now[k, i]) if v is None else v for k, v in enumerate((s, e)))
+            hits = (self.now[0] <= e) & (self.now[1] >= s)
+            hits[i] = False
+            if hits.any():
+                return "registration_overlap"
+            if e < s:
+                return "end_before_start"
+            self.now[:, i] = s, e
+            return "accepted"
+
+    def step(ranges: Ranges, row: tuple) -> Iterator[tuple]:
+        _, _, rid, seq, s, e = row
+        if seq is None:
+            ranges.at[rid] = len(ranges.first)
+            ranges.first.append((s, e))
+        else:
+            yield rid, seq, ranges.patch(rid, s, e)
+
+    judged = ordered_fold(rows, ["serial_number", "_cluster"], [F.col("seq").asc_nulls_first(), "registration_id"],
+                          "registration_id string, _seq bigint, _outcome string", lambda row: Ranges(), step)
+    p = p.join(judged, (p["registration_id"] == judged["registration_id"]) & (p["seq"] == judged["_seq"])
+               & p["_dated"], "left").drop(judged["registration_id"])
+    outcome = F.when(F.col("serial_number").isNull(), "not_found").otherwise(F.coalesce("_outcome", F.lit("accepted")))
+    return p.withColumn("outcome", outcome).drop("_seq", "_outcome", "_dated")
+
+
+def _stretches(registrations: DataFrame) -> DataFrame:
+    """Each serial's ranges cut into disjoint stretches of days, each owned by the covering registration
+    of newest start, then smallest id: (serial, _from, _to, rep).
+
+    Of ranges with one start only those are left that outlast all of smaller id. The rest are
+    swept by start with a stack: a range stands on those it interrupts, which go on after it.
     """
-    base = stored.select("registration_id", "serial_number", F.col("start_date").alias("_s0"),
-                         F.col("end_date").alias("_e0"))
-    p = (patches.join(base, "registration_id", "left")
-         .withColumn("new_start", F.coalesce(F.col("start_date"), F.col("_s0")))
-         .withColumn("new_end", F.coalesce(F.col("end_date"), F.col("_e0")))
-         .withColumn("_pk", F.concat_ws("#", "registration_id", F.col("seq").cast("string"))))
-    dated = p.filter(F.col("serial_number").isNotNull() & (F.col("start_date").isNotNull() | F.col("end_date").isNotNull()))
-    hit = other_overlaps(dated.select("_pk", "registration_id", "serial_number", F.col("new_start").alias("start_date"),
-                                      F.col("new_end").alias("end_date")), stored)
-    p = p.join(hit.withColumnRenamed("overlapping_id", "_hit"), "_pk", "left")
-    outcome = (F.when(F.col("serial_number").isNull(), "not_found")
-                .when(F.col("_hit").isNotNull(), "registration_overlap")
-                .when(F.col("new_end") < F.col("new_start"), "end_before_start")
-                .otherwise("accepted"))
-    return p.withColumn("outcome", outcome).drop("_s0", "_e0", "_pk", "_hit")
+    r = registrations.filter(F.col("start_date") <= F.col("end_date")).select(
+        F.col("serial_number").alias("serial"), F.unix_date("start_date").alias("s"), F.unix_date("end_date").alias("e"),
+        "registration_id", "owner_id")
+    smaller = Window.partitionBy("serial", "s").orderBy("registration_id").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_e", F.max("e").over(smaller)).filter("_e IS NULL OR e > _e").drop("_e")
+
+    class Sweep:
+        def __init__(self) -> None:
+            self.stack: list[tuple] = []
+            self.at = 0
+
+        def upto(self, day: int | None) -> Iterator[tuple]:
+            """Stretches that end before ``day`` (all, if none is given)."""
+            while self.stack:
+                serial, s, e, rid, owner = self.stack[-1]
+                last = e if day is None or e < day else day - 1
+                if last >= self.at:
+                    yield serial, self.at, last, rid, owner, s, e
+                    self.at = last + 1
+                if day is not None and e >= day:
+                    return
+                self.stack.pop()
+
+        def push(self, row: tuple) -> Iterator[tuple]:
+            yield from self.upto(row[1])
+            self.at = row[1]
+            self.stack.append(row)
+
+    out = ordered_fold(r, ["serial"], ["s", F.desc("registration_id")],
+                       "serial string, f int, t int, registration_id string, owner_id string, s int, e int",
+                       lambda row: Sweep(), Sweep.push, lambda sweep: sweep.upto(None))
+    return out.select("serial", F.date_from_unix_date("f").alias("_day"), F.struct(
+        F.date_from_unix_date("t").alias("last"), "registration_id", "owner_id",
+        F.date_from_unix_date("s").alias("start_date"), F.date_from_unix_date("e").alias("end_date")).alias("rep"))
 
 
 def active_registration(registrations: DataFrame, probes: DataFrame, serial_col: str = "serial_number",
                         date_col: str = "date", probe_key: str = "probe_id") -> DataFrame:
     """Per probe (serial, date) the registration whose closed range covers the date;
     the newest start wins, then the smallest registration_id. Probes without one are kept
-    with null registration columns."""
-    r = registrations.select(F.col("registration_id").alias("r_registration_id"),
-                             F.col("serial_number").alias("r_serial"), F.col("owner_id").alias("r_owner_id"),
-                             F.col("start_date").alias("r_start_date"), F.col("end_date").alias("r_end_date"))
-    r, levels = _with_ranges(r, "r_start_date", "r_end_date")
-    # without any registration a probe still needs one row to be kept by the left join
-    p = (probes.withColumn("_plvl", F.explode(F.when(F.size(levels) > 0, levels).otherwise(F.array(F.lit(0)))))
-         .withColumn("_pb", F.floor(_days(F.col(date_col)) / (F.lit(float(BUCKET_DAYS)) * F.pow(F.lit(8.0), F.col("_plvl"))))))
-    # left join: a probe without a covering registration keeps one row of nulls, so the top-1
-    # per probe needs no join back to the probes
-    j = p.join(r, (F.col(serial_col) == F.col("r_serial")) & (F.col("_plvl") == F.col("_lvl"))
-               & (F.col("_pb") == F.col("_b")) & (F.col("r_start_date") <= F.col(date_col)) & (F.col("r_end_date") >= F.col(date_col)), "left")
-    best = asof.top1(j, [probe_key], [F.col("r_start_date").desc_nulls_last(), F.col("r_registration_id")])
-    return best.drop("_plvl", "_pb", "_lvl", "_b", "r_serial")
+    with null registration columns (``r_*``).
+
+    The distinct (serial, date) of the probes are looked up in the serial's stretches by one sort
+    per serial, a few rows a calendar day; each probe then meets exactly one row, in one shuffle.
+    """
+    st = _stretches(registrations)
+    asked = probes.select(F.col(serial_col).alias("serial"), F.col(date_col).alias("_day")).distinct()
+    rows = asked.withColumn("_kind", F.lit(1)).unionByName(st.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("serial").orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("rep", F.last("rep", ignorenulls=True).over(w)).filter("_kind = 1")
+    hit = F.when(F.col("rep.last") >= F.col("_day"), F.col("rep"))
+    found = rows.select("serial", "_day", hit.alias("rep"))
+    out = probes.join(found, (F.col(serial_col) == F.col("serial")) & (F.col(date_col) == F.col("_day")), "left")
+    return out.select(*probes.columns, *[F.col(f"rep.{c}").alias(f"r_{c}")
+                                         for c in ("registration_id", "owner_id", "start_date", "end_date")])
 
 
 def list_registrations(registrations: DataFrame, serial: str | None = None, owner: str | None = None,

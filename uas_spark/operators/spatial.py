@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 from . import asof
+from .covering import CELL_KEYS, covering, holds_point
 
 HOUR_US = asof.HOUR_US
 # Time bucket of window joins (authorizations, plans): about the typical window length, so a
 # window explodes into few buckets while a probe still meets few windows per bucket.
 WINDOW_BUCKET_US = 6 * HOUR_US
-CELL_KEYS = ["g_lvl", "g_cx", "g_cy"]
 
 
 def _us(c):
@@ -107,22 +108,16 @@ def _light(shapes: DataFrame, rings_col: str) -> DataFrame:
 def _rings_back(cand: DataFrame, shapes: DataFrame, key: list[str], rings_col: str) -> DataFrame:
     """Join the exact-test data of each shape to the candidate pairs by the shape's full key.
 
-    The shapes side is prepared once per shape (flat edge arrays and a rectangle flag), so
-    the per-pair test loops over primitive arrays, and rectangles skip it: their bounding-box
-    test, already applied, is exact. One shuffle of the few candidates and of each shape once,
-    instead of shuffling rings with every exploded cell and bucket.
+    The shapes side is prepared once per shape (flat edge arrays), so the per-pair test loops over
+    primitive arrays, and rectangles skip it: their bounding-box test, already applied, is exact.
+    One shuffle of the few candidates and of each shape once, instead of shuffling rings with
+    every exploded cell and bucket.
     """
     r = f"`{rings_col}`"
     prep = shapes.select(*key, F.expr(geo.edges_sql(r)).alias("_edges"), F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
     return cand.join(prep, key, "inner")
 
 
-def _exact_contains(lon: str, lat: str) -> Column:
-    """Rectangles pass (their bbox test was exact); others run the edge test (SQL text: one
-    JVM call instead of one per expression node)."""
-    return F.expr(f"_rect OR {geo.contains_point_edges_sql('_edges', f'`{lon}`', f'`{lat}`')}")
-
-
 def _exact_box(box_col: str) -> Column:
     b = f"`{box_col}`"
     return F.expr(f"_rect OR {geo.box_meets_edges_sql('_edges', f'{b}.min_lon', f'{b}.min_lat', f'{b}.max_lon', f'{b}.max_lat')}")
@@ -130,19 +125,44 @@ def _exact_box(box_col: str) -> Column:
 
 # ------------------------------------------------------------------ points in polygons
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, lon: str = "lon", lat: str = "lat",
-                     cell: float = geo.DEFAULT_CELL_DEG) -> DataFrame:
-    """All (point, shape) pairs with the point strictly inside the shape.
+def _levels(cov: DataFrame) -> Column:
+    """The grid levels that a (saved) covering uses, as an array."""
+    return cov.select(F.array_sort(F.collect_set("g_lvl"))).scalar()
+
 
-    Column names of ``points`` and ``shapes`` must be disjoint.
+def points_in_shapes(points: DataFrame, shapes: DataFrame, rings_col: str, key: list[str], lon: str = "lon",
+                     lat: str = "lat", cell: float = geo.DEFAULT_CELL_DEG) -> DataFrame:
+    """All (point, shape) pairs with the point strictly inside the shape, without the rings; ``key``
+    identifies a shape.
+
+    Points meet the cells of the shapes' coverings: a cell carries the edges that cross it, no
+    more, and a point in an inside cell is not tested. Column names must be disjoint.
     """
-    r = f"`{rings_col}`"
-    s = shapes.select("*", F.expr(geo.bbox_sql(r)).alias("_sb"), F.expr(geo.edges_sql(r)).alias("_edges"),
-                      F.expr(geo.is_rectangle_sql(r)).alias("_rect"))
-    p = geo.with_point_cells(points, lon, lat, geo.levels_of(s, "_sb", cell), cell)
-    j = p.join(geo.explode_box_cells(s, "_sb", None, cell), CELL_KEYS, "inner")
-    j = j.filter(guarded(geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)), _exact_contains(lon, lat)))
-    return j.drop(*CELL_KEYS, "g_own", "_sb", "_edges", "_rect")
+    cov = cut_lineage(covering(shapes, key, rings_col, cell))
+    p = geo.with_point_cells(points, lon, lat, _levels(cov), cell)
+    j = p.join(cov, CELL_KEYS, "inner").filter(holds_point(lon, lat, cell))
+    return j.drop(*CELL_KEYS, "_sb", "_edges", "_rect", "_odd").join(shapes.drop(rings_col), key)
+
+
+def _covered(light: DataFrame, cov: DataFrame, key: list[str]) -> DataFrame:
+    """``light`` (shapes without rings) with a row per cell of its covering, without the edges; ``_in``
+    tells the cells that need no test."""
+    return light.join(cov.select(*key, *CELL_KEYS, "_sb", "_rect", (~F.col("_rect") & (F.size("_edges.x1") == 0)).alias("_in")),
+                      key)
+
+
+def _in_box(lon: str, lat: str) -> Column:
+    """What is known of a pair before its cell's edges: a rectangle's box is the exact test."""
+    return ~F.col("_rect") | geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat))
+
+
+def _tested(cand: DataFrame, cov: DataFrame, key: list[str], lon: str, lat: str, cell: float) -> DataFrame:
+    """Candidates whose cell needs a test get its edges, by shape and cell; the others pass."""
+    edges = cov.filter("size(_edges.x1) > 0").select(*key, *CELL_KEYS, "_edges", "_odd")
+    open_ = F.when(F.col("_rect") | F.col("_in"), F.lit(None)).otherwise(F.col("g_lvl"))
+    j = cand.withColumn("g_lvl", F.coalesce(open_, F.lit(-1))).join(edges, [*key, *CELL_KEYS], "left")
+    return j.filter((F.col("g_lvl") < 0) | holds_point(lon, lat, cell)).drop(
+        *CELL_KEYS, "_sb", "_rect", "_in", "_edges", "_odd")
 
 
 def boxes_meet_shapes(boxes: DataFrame, shapes: DataFrame, rings_col: str, key: list[str], bbox_col: str = "box",
@@ -189,12 +209,13 @@ def zone_observed_at_point(observed: DataFrame, probes: DataFrame, stamp: str |
     The report is chosen per zone first, then tested against the point. Probes: probe_id, lat, lon.
     """
     pick = asof.zone_asof(observed, at) if at is not None else asof.zone_latest_fresh(observed, stamp, stale_minutes)
-    return points_in_shapes(probes, _zone_cols(pick), "z_rings")
+    return points_in_shapes(probes, _zone_cols(pick), "z_rings", ["z_recorded_at", "z_report_id"])
 
 
 def zone_forecast_at_point(forecast: DataFrame, probes: DataFrame, at: str) -> DataFrame:
     """Nearest forecast per zone (T4), then point containment."""
-    return points_in_shapes(probes, _zone_cols(asof.zone_forecast_nearest(forecast, at)), "z_rings")
+    return points_in_shapes(probes, _zone_cols(asof.zone_forecast_nearest(forecast, at)), "z_rings",
+                            ["z_recorded_at", "z_report_id"])
 
 
 def zone_observed_in_extent(observed: DataFrame, boxes: DataFrame, stamp: str | None = None,
@@ -224,19 +245,18 @@ def covering_authorizations(auths: DataFrame, probes: DataFrame, at_col: str = "
     carry their cell and bucket at the levels in use, so the join key includes time.
     """
     a = auths if status is None else auths.filter(F.col("status") == status)
-    a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns])
-    la = _light(a, "a_area").filter("a_start_time <= a_end_time")
-    p = geo.with_point_cells(probes, lon, lat, geo.levels_of(la, "_sb", cell), cell)
-    la, levels = with_windows(geo.explode_box_cells(la, "_sb", None, cell), _us("a_start_time"), _us("a_end_time"),
-                               bucket_us, la)
+    a = a.select(*[F.col(c).alias("a_" + c) for c in a.columns]).filter("a_start_time <= a_end_time")
+    key = ["a_authorization_id"]
+    cov = cut_lineage(covering(a, key, "a_area", cell))
+    light = a.drop("a_area")
+    p = geo.with_point_cells(probes, lon, lat, _levels(cov), cell)
+    la, levels = with_windows(_covered(light, cov, key), _us("a_start_time"), _us("a_end_time"), bucket_us, light)
     p = with_instants(p, _us(at_col), levels, bucket_us)
-    cond = ((F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col))
-            & geo.bbox_contains_strict(F.col("_sb"), F.col(lon), F.col(lat)))
+    cond = (F.col("a_start_time") <= F.col(at_col)) & (F.col("a_end_time") >= F.col(at_col)) & _in_box(lon, lat)
     if alt_col is not None:
         cond = cond & (F.col("a_max_altitude_ft") >= F.col(alt_col))
-    cand = p.join(la, CELL_KEYS + ["g_tl", "g_tb"], "inner").filter(cond).drop(*CELL_KEYS, "g_own", "g_tl", "g_tb", "_sb")
-    j = _rings_back(cand, a, ["a_authorization_id"], "a_area")
-    return j.filter(_exact_contains(lon, lat)).drop("_edges", "_rect")
+    cand = p.join(la, CELL_KEYS + ["g_tl", "g_tb"], "inner").filter(cond).drop("g_tl", "g_tb")
+    return _tested(cand, cov, key, lon, lat, cell)
 
 
 def intersecting_authorizations(auths: DataFrame, boxes: DataFrame, alt_col: str | None = None,
@@ -277,8 +297,9 @@ def intersecting_flight_plans(plans: DataFrame, waypoints: DataFrame, boxes: Dat
     wp_plans = pl.filter(F.col("f_plan_type") == "waypoints").select(
         "f_flight_plan_id", "f_plan_type", "f_created_at", "f_start_time", "f_end_time")
     discs = w.withColumn("_sb", F.explode(geo.disc_boxes(F.col("w_lat"), F.col("w_lon"), F.col("w_r"))))
-    w = discs.join(wp_plans, F.col("w_plan") == F.col("f_flight_plan_id"), "inner")
-    b, w = _meeting_cells(boxes, "box", w, cell, discs)
+    # saved once: its levels, and the boxes', are read before the join is planned
+    w = cut_lineage(discs.join(wp_plans, F.col("w_plan") == F.col("f_flight_plan_id"), "inner"))
+    b, w = _meeting_cells(boxes, "box", w, cell)
     keys = list(CELL_KEYS)
     bc = F.col("box")
     cheap = (F.expr(_at_common_level)
@@ -320,18 +341,29 @@ def sensor_coverage(sensors: DataFrame, positions: DataFrame, cell: float = geo.
 
 # ------------------------------------------------------------------ positions against zones
 
-def _interval_join(positions: DataFrame, intervals: DataFrame, from_col: str, to_col: str,
+def _interval_join(positions: DataFrame, intervals: DataFrame, cov: DataFrame, from_col: str, to_col: str,
                    bucket_us: int, cell: float) -> DataFrame:
-    """Grid-cell x time-bucket equi-join of positions with zone validity intervals (rings left
-    out; the caller joins them back for the candidates). An interval is cut to the stretch of
-    time that the positions span, one without any of it goes; an open end is that stretch's."""
-    t_min, t_max = (positions.select(f(_us("recorded_at"))).scalar() for f in (F.min, F.max))
+    """Grid-cell x time-bucket equi-join of positions with zone validity intervals, whose shapes
+    ``cov`` covers (edges left out; ``_tested`` joins them to the candidates). An interval is cut to
+    the stretch of time that the positions span, one without any of it goes; an open end is that
+    stretch's."""
+    span = positions.select(F.struct(F.min(_us("recorded_at")).alias("t0"), F.max(_us("recorded_at")).alias("t1"))).scalar()
+    t_min, t_max = span["t0"], span["t1"]
     z = intervals.withColumn("_lo", F.greatest(F.coalesce(F.col(from_col), t_min), t_min))
-    z = z.withColumn("_hi", F.least(F.coalesce(F.col(to_col), t_max), t_max)).filter("_lo <= _hi")
-    p = geo.with_point_cells(positions, "longitude", "latitude", geo.levels_of(z, "_sb", cell), cell)
-    z, levels = with_windows(geo.explode_box_cells(z, "_sb", None, cell), F.col("_lo"), F.col("_hi"), bucket_us, z)
+    z = cut_lineage(z.withColumn("_hi", F.least(F.coalesce(F.col(to_col), t_max), t_max)).filter("_lo <= _hi"))
+    p = geo.with_point_cells(positions, "longitude", "latitude", _levels(cov), cell)
+    z, levels = with_windows(_covered(z, cov, _ZONE_KEY), F.col("_lo"), F.col("_hi"), bucket_us, z)
     p = with_instants(p.withColumn("_pt", _us("recorded_at")), F.col("_pt"), levels, bucket_us)
-    return p.join(z, CELL_KEYS + ["g_tl", "g_tb"], "inner").drop("g_own", "g_tl", "_lo", "_hi")
+    return p.join(z, CELL_KEYS + ["g_tl", "g_tb"], "inner").drop("g_tl", "g_tb", "_lo", "_hi")
+
+
+_ZONE_KEY = ["z_recorded_at", "z_report_id"]
+
+
+def _zone_covering(reports: DataFrame, cell: float) -> DataFrame:
+    """The coverings of all reports' polygons."""
+    return cut_lineage(covering(reports.select(F.col("recorded_at").alias("z_recorded_at"),
+                                               F.col("report_id").alias("z_report_id"), "rings"), _ZONE_KEY, "rings", cell))
 
 
 def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucket_us: int = HOUR_US,
@@ -343,19 +375,16 @@ def join_positions_zone_current(positions: DataFrame, observed: DataFrame, bucke
     exactly one interval per zone holds any instant, so "as-of first, polygon after" equals
     "interval and polygon together".
     """
-    iv = asof.observed_intervals(observed, interval_bucket_us)
+    cov = _zone_covering(observed, cell)
+    iv = asof.observed_intervals(observed.drop("rings"), interval_bucket_us)
     iv = iv.select(*[F.col(c).alias("z_" + c) for c in observed.columns if c != "rings"],
-                   F.expr(geo.bbox_sql("rings")).alias("_sb"),
                    F.col("valid_from_us").alias("z_t_us"), F.col("valid_to_us").alias("z_to_us"))
-    j = _interval_join(positions, iv, "z_t_us", "z_to_us", bucket_us, cell)
+    j = _interval_join(positions, iv, cov, "z_t_us", "z_to_us", bucket_us, cell)
     cheap = ((F.col("_pt") >= F.col("z_t_us"))
              & (F.col("z_to_us").isNull() | (F.col("_pt") < F.col("z_to_us")))
-             & geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")))
-    cand = j.filter(cheap).drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_to_us")
-    rings = observed.select(F.col("recorded_at").alias("z_recorded_at"), F.col("report_id").alias("z_report_id"),
-                            F.col("rings").alias("z_rings"))
-    j = _rings_back(cand, rings, ["z_recorded_at", "z_report_id"], "z_rings")
-    return j.filter(_exact_contains("longitude", "latitude")).drop("_edges", "_rect")
+             & _in_box("longitude", "latitude"))
+    cand = j.filter(cheap).drop("_pt", "z_t_us", "z_to_us")
+    return _tested(cand, cov, _ZONE_KEY, "longitude", "latitude", cell)
 
 
 def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, bucket_us: int = HOUR_US,
@@ -365,18 +394,13 @@ def join_positions_forecast_zone(positions: DataFrame, forecast: DataFrame, buck
     Forecast intervals are cut at midpoints between a zone's neighbouring target instants;
     a probe exactly on a midpoint goes to the side that wins T4's tie rule.
     """
-    iv = asof.forecast_intervals(forecast, interval_bucket_us)
+    cov = _zone_covering(forecast, cell)
+    iv = asof.forecast_intervals(forecast.drop("rings"), interval_bucket_us)
     iv = iv.select(*[F.col(c).alias("z_" + c) for c in forecast.columns if c != "rings"],
-                   F.expr(geo.bbox_sql("rings")).alias("_sb"),
                    F.unix_micros(F.col("recorded_at")).alias("z_t_us"),
                    F.col("valid_from_us").alias("z_from_us"), F.col("valid_to_us").alias("z_to_us"),
                    "lo2", "hi2", "lo_in", "hi_in")
-    j = _interval_join(positions, iv, "z_from_us", "z_to_us", bucket_us, cell)
-    cheap = (asof.in_forecast_interval(F.col("_pt"))
-             & geo.bbox_contains_strict(F.col("_sb"), F.col("longitude"), F.col("latitude")))
-    cand = j.filter(cheap).drop(*CELL_KEYS, "g_tb", "_sb", "_pt", "z_t_us", "z_from_us", "z_to_us", "lo2", "hi2",
-                                "lo_in", "hi_in")
-    rings = forecast.select(F.col("recorded_at").alias("z_recorded_at"), F.col("report_id").alias("z_report_id"),
-                            F.col("rings").alias("z_rings"))
-    j = _rings_back(cand, rings, ["z_recorded_at", "z_report_id"], "z_rings")
-    return j.filter(_exact_contains("longitude", "latitude")).drop("_edges", "_rect")
+    j = _interval_join(positions, iv, cov, "z_from_us", "z_to_us", bucket_us, cell)
+    cheap = asof.in_forecast_interval(F.col("_pt")) & _in_box("longitude", "latitude")
+    cand = j.filter(cheap).drop("_pt", "z_t_us", "z_from_us", "z_to_us", "lo2", "hi2", "lo_in", "hi_in")
+    return _tested(cand, cov, _ZONE_KEY, "longitude", "latitude", cell)

@@ -9,10 +9,14 @@ carrying all issues (``array<struct<path, message>>``) and the joined report tex
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timefn import to_instant
+
 # The reference's enumerations and instant/date text patterns.
 ENUMS = {
     "visibility_state": ["clear", "cloudy", "foggy", "rainy", "stormy"],
@@ -25,7 +29,7 @@ ENUMS = {
 }
 # Fixed value: the message of a ceiling that does not fit the state.
 CEILING_MESSAGE = "ceilingFt is required when state is 'foggy', and not allowed otherwise"
-ISO_INSTANT_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?Z$"
+ISO_INSTANT_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z$"
 ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -49,10 +53,14 @@ def vertices_ok(rings: Column) -> Column:
 
 
 def polygon_ok(rings: Column) -> Column:
-    """V2: at least one ring; each ring has at least 4 positions and is closed (no
-    self-intersection check, as in the reference)."""
-    return F.coalesce((F.size(rings) >= 1) & F.forall(rings, lambda r: (F.size(r) >= 4) & (
-        (r[0]["lon"] == F.element_at(r, -1)["lon"]) & (r[0]["lat"] == F.element_at(r, -1)["lat"]))), F.lit(False))
+    """V2: at least one ring; each ring has at least 4 positions, all of two numbers (others are
+    decoded to null), and is closed (no self-intersection check, as in the reference)."""
+    def whole(v):
+        return v["lon"].isNotNull() & v["lat"].isNotNull()
+
+    return F.coalesce((F.size(rings) >= 1) & F.forall(rings, lambda r: (F.size(r) >= 4) & F.forall(r, whole) & (
+        (F.get(r, 0)["lon"] == F.try_element_at(r, F.lit(-1))["lon"])
+        & (F.get(r, 0)["lat"] == F.try_element_at(r, F.lit(-1))["lat"]))), F.lit(False))
 
 
 # Fixed values: (path, message) of each fault of a spatial probe.
@@ -66,27 +74,38 @@ PROBE_FAULTS = {
 }
 
 
-def _fault(name: str) -> Column:
-    path, message = PROBE_FAULTS[name]
-    return F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))
+def all_or_none(group: list[Column]) -> Column:
+    """All columns of a group are given, or none."""
+    given = [c.isNotNull() for c in group]
+    return reduce(and_, given) | ~reduce(or_, given)
+
+
+def any_given(group: list[Column]) -> Column:
+    return reduce(or_, [c.isNotNull() for c in group])
 
 
 def spatial_probe_issues(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     """V3: a probe is a complete point or a complete extent, never both, neither or partial;
     an extent needs nonzero height and width (both may be reported). Returns the issue list.
 
-    What is wrong follows from how many of the two point fields and of the four extent fields
-    are given, so it is looked up in a table with a place for each of the 3 x 5 cases.
+    Precedence: whether one kind is given comes first; then whether the kind given is complete;
+    then, of a complete extent, whether its corners differ.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in (lat, lon, lat1, lon1, lat2, lon2)]
-    given = [c.isNotNull().cast("int") for c in cols]
-    case = (given[0] + given[1]) * 5 + given[2] + given[3] + given[4] + given[5]
-    whole = {10: None, 4: None}  # two of two and none, none and four of four
-    group = {(True, True): "both", (True, False): "point", (False, True): "extent", (False, False): "none"}
-    empty = F.array().cast("array<struct<path:string,message:string>>")
-    table = F.array(*[empty if k in whole else F.array(_fault(group[k >= 5, k % 5 > 0])) for k in range(15)])
-    flat = F.array_compact(F.array(F.when(cols[2] == cols[4], _fault("height")), F.when(cols[3] == cols[5], _fault("width"))))
-    return F.when(case == 4, flat).otherwise(F.element_at(table, case + 1))
+    point, extent = cols[:2], cols[2:]
+    only_point, only_extent = any_given(point) & ~any_given(extent), any_given(extent) & ~any_given(point)
+
+    def fault(name: str, ok: Column) -> Rule:
+        return Rule(*PROBE_FAULTS[name], ok)
+
+    return issues([
+        fault("both", ~(any_given(point) & any_given(extent))),
+        fault("none", any_given(point) | any_given(extent)),
+        fault("point", ~only_point | all_or_none(point)),
+        fault("extent", ~only_extent | all_or_none(extent)),
+        fault("height", ~only_extent | ~all_or_none(extent) | (cols[2] != cols[4])),
+        fault("width", ~only_extent | ~all_or_none(extent) | (cols[3] != cols[5])),
+    ])
 
 
 def spatial_filter_kind(lat, lon, lat1, lon1, lat2, lon2) -> Column:
@@ -158,10 +177,8 @@ def positive_ok(value: Column) -> Column:
 
 
 def iso_instant_ok(text: Column) -> Column:
-    """ISO-8601 UTC instant (``Z`` only) that parses."""
-    return F.coalesce(text.rlike(ISO_INSTANT_RE)
-                      & F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX")).isNotNull(),
-                      F.lit(False))
+    """ISO-8601 UTC instant (``Z`` only, seconds optional, any number of fraction digits) that parses."""
+    return F.coalesce(text.rlike(ISO_INSTANT_RE) & to_instant(text).isNotNull(), F.lit(False))
 
 
 def iso_date_ok(text: Column) -> Column:

@@ -203,7 +203,12 @@ _def("lifecycle_patches", """
 SELECT 'A-' || CAST(l_orderkey AS VARCHAR) AS target_id, CAST(l_linenumber AS BIGINT) AS seq,
        CASE l_returnflag WHEN 'R' THEN 'rescinded' WHEN 'A' THEN 'approved' END AS status,
        CASE WHEN l_linestatus = 'O' THEN l_quantity * 10 END AS max_altitude_ft,
-       l_partkey % 5 = 0 AS pilot_present
+       l_partkey % 5 = 0 AS pilot_present,
+       CASE l_partkey % 15 WHEN 5 THEN 'own' WHEN 10 THEN 'P-' || CAST(l_partkey AS VARCHAR) END AS pilot_pick,
+       CASE WHEN l_partkey % 7 IN (3, 6) THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours((l_suppkey * 13 + l_linenumber * 5) % 720)
+         END AS start_time,
+       CASE WHEN l_partkey % 7 IN (5, 6) THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours((l_suppkey * 17 + l_linenumber * 7) % 760)
+         END AS end_time
 FROM lineitem_pairs""", ("lineitem_pairs",))
 
 
@@ -267,6 +272,21 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
             f"+ cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))")
 
 
+def disc_meets_sql(w: str, b: str) -> str:
+    """The disc of alias ``w`` (lat, lon, radius_meters) meets the box of alias ``b`` (bx0, by0, bx1, by1):
+    straight up or down within the box's longitudes, else the nearest point of its two meridian sides."""
+    la, lo = f"{w}.lat", f"{w}.lon"
+    x0, y0, x1, y1 = f"{b}.bx0", f"{b}.by0", f"{b}.bx1", f"{b}.by1"
+    clamp = haversine_sql(la, lo, f"least(greatest({la}, {y0}), {y1})", f"least(greatest({lo}, {x0}), {x1})")
+
+    def foot(x):
+        return (f"least(greatest(degrees(atan2(sin(radians({la})), cos(radians({la})) * cos(radians({x} - {lo})))), "
+                f"{y0}), {y1})")
+    side = ", ".join(haversine_sql(la, lo, y, x) for x in (x0, x1) for y in (foot(x), y0, y1))
+    return (f"({w}.radius_meters > 0 AND CASE WHEN {clamp} <= {w}.radius_meters THEN true "
+            f"WHEN {lo} BETWEEN {x0} AND {x1} THEN false ELSE least({side}) <= {w}.radius_meters END)")
+
+
 def iso(ts: str) -> str:
     """Microsecond text of an instant, the same text Spark's ``iso_text`` gives."""
     return f"strftime({ts}, '%Y-%m-%d %H:%M:%S.%f')"

@@ -261,9 +261,8 @@ UNION ALL
 SELECT b.box_id, f.flight_plan_id, f.plan_type, {iso('f.created_at')} AS created_at
 FROM boxes b JOIN flight_plans f ON f.plan_type = 'waypoints' AND f.start_time <= b.at AND f.end_time >= b.at
 WHERE EXISTS (SELECT 1 FROM waypoints w WHERE w.flight_plan_id = f.flight_plan_id
-   AND b.altitude_ft > w.altitude_min_ft AND b.altitude_ft <= w.altitude_max_ft AND w.radius_meters > 0
-   AND {of.haversine_sql('w.lat', 'w.lon', 'least(greatest(w.lat, b.by0), b.by1)', 'least(greatest(w.lon, b.bx0), b.bx1)')}
-       <= w.radius_meters)""")
+   AND b.altitude_ft > w.altitude_min_ft AND b.altitude_ft <= w.altitude_max_ft
+   AND {of.disc_meets_sql('w', 'b')})""")
 def q_join_boxes_flight_plans(spark, sf_dir):
     out = spatial.intersecting_flight_plans(fx.flight_plans(spark, sf_dir), fx.waypoints(spark, sf_dir),
                                             _event_boxes(spark, sf_dir), alt_col="altitude_ft", at_col="at")

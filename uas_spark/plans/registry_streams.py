@@ -75,13 +75,13 @@ def q_stream_ingest_positions(spark, sf_dir):
 SELECT report_id FROM live_positions""")
 def q_stream_dedup_bounded(spark, sf_dir):
     """ST2 over several micro-batches: retries and most first reports come far later than the
-    delay; each report is stored once and none is lost."""
+    delay; the two queries together store each report once and lose none."""
     d = _scratch(spark)
-    _position_source(spark, sf_dir, os.path.join(d, "src"), retries=True)
-    q = st.stream_dedup_bounded(spark, os.path.join(d, "src"), os.path.join(d, "table"), os.path.join(d, "ckpt"),
-                                delay="1 hour", files_per_trigger=1)
-    q.awaitTermination()
-    return spark.read.parquet(os.path.join(d, "table")).select("report_id")
+    src, table = os.path.join(d, "src"), os.path.join(d, "table")
+    _position_source(spark, sf_dir, src, retries=True)
+    st.stream_dedup_bounded(spark, src, table, os.path.join(d, "ckpt"), "1 hour", files_per_trigger=1).awaitTermination()
+    st.stream_late_reports(spark, src, table, os.path.join(d, "late"), "1 hour", files_per_trigger=1).awaitTermination()
+    return spark.read.parquet(table).select("report_id")
 
 
 @query("stream_latest_position", with_fixtures("live_positions") + f"""
@@ -92,25 +92,31 @@ def q_stream_latest_position(spark, sf_dir):
     """ST3: the latest positions kept current by several micro-batches in no order of time."""
     d = _scratch(spark)
     _position_source(spark, sf_dir, os.path.join(d, "src"), retries=False)
-    q = st.stream_latest_position(spark, os.path.join(d, "src"), os.path.join(d, "changes"), os.path.join(d, "ckpt"),
+    q = st.stream_latest_position(spark, os.path.join(d, "src"), os.path.join(d, "snapshot"), os.path.join(d, "ckpt"),
                                   files_per_trigger=1)
     q.awaitTermination()
-    return st.latest_snapshot(spark, os.path.join(d, "changes")).select("drone_serial_number", "report_id",
-                                                                        "recorded_at")
+    return st.latest_snapshot(spark, os.path.join(d, "snapshot")).select("drone_serial_number", "report_id",
+                                                                         "recorded_at")
 
 
-@query("stream_zone_staleness", with_fixtures("observed_reports") + """,
+@query("stream_zone_staleness", with_fixtures("observed_reports") + f""",
 m AS (SELECT max(recorded_at) AS stamp FROM observed_reports)
-SELECT zone_id, report_id FROM (
-  SELECT o.*, row_number() OVER (PARTITION BY zone_id ORDER BY recorded_at DESC, report_id) rn
-  FROM observed_reports o, m WHERE o.recorded_at >= m.stamp - INTERVAL 30 MINUTE) WHERE rn = 1""")
+SELECT zone_id, report_id, {iso('recorded_at')} AS recorded_at,
+       CASE WHEN recorded_at >= m.stamp - INTERVAL 30 MINUTE THEN 'fresh' ELSE 'left' END AS state
+FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY recorded_at DESC, report_id) rn FROM observed_reports), m
+WHERE rn = 1""")
 def q_stream_zone_staleness(spark, sf_dir):
-    """ST4: fresh zones after the last of several micro-batches, at the newest report so far."""
+    """ST4 over micro-batches in the order of time: every zone's last report, and whether the zone is
+    still fresh at the newest report of all or has left the view by its timer."""
     d = _scratch(spark)
     z = fx.observed_reports(spark, sf_dir).select("report_id", "zone_id", "recorded_at")
-    z.repartition(3, F.col("report_id")).write.mode("overwrite").json(os.path.join(d, "src"))
-    q = st.stream_zone_staleness(spark, os.path.join(d, "src"), os.path.join(d, "sink"), os.path.join(d, "ckpt"),
-                                 stamp_of_batch=st.newest_report, files_per_trigger=1)
-    q.awaitTermination()
-    out = spark.read.schema("zone_id string, report_id string, batch_id int").parquet(os.path.join(d, "sink"))
-    return out.join(out.agg(F.max("batch_id").alias("batch_id")), "batch_id").select("zone_id", "report_id")
+    src, sink, ckpt = (os.path.join(d, x) for x in ("src", "sink", "ckpt"))
+    first, last = z.agg(F.min("recorded_at"), F.max("recorded_at")).first()
+    for k in range(3):
+        lo, hi = first + (last - first) * k / 3, first + (last - first) * (k + 1) / 3
+        part = z.filter((F.col("recorded_at") >= F.lit(lo)) & ((F.col("recorded_at") < F.lit(hi)) if k < 2 else F.lit(True)))
+        part.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(os.path.join(src, str(k)))
+        # one run of the stream after each arrival: the state outlives the runs
+        st.stream_zone_staleness(spark, os.path.join(src, "*"), sink, ckpt).awaitTermination()
+    return st.zone_states(spark, sink).select("zone_id", "report_id", "recorded_at", F.when(
+        F.col("change") == "leave", "left").otherwise("fresh").alias("state"))

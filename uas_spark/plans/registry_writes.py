@@ -255,20 +255,31 @@ def _reg_patches(spark, sf_dir):
                      .alias("end_date"))
 
 
-@query("registration_patch_overlap", with_fixtures("registrations", "lineitem_pairs") + """,
+@query("registration_patch_overlap", with_fixtures("registrations", "lineitem_pairs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
 p AS (SELECT 'R-' || CAST(l_orderkey AS VARCHAR) AS registration_id, CAST(l_linenumber AS BIGINT) AS seq,
         CASE WHEN l_linestatus = 'O' THEN DATE '2023-09-01' + CAST(l_partkey % 180 AS INTEGER) END AS start_date,
         CASE WHEN l_returnflag = 'R' THEN DATE '2023-09-01' + CAST(l_suppkey % 200 AS INTEGER) END AS end_date
       FROM lineitem_pairs),
-m AS (SELECT p.registration_id, p.seq, p.start_date IS NOT NULL OR p.end_date IS NOT NULL AS dated, b.serial_number, b.registration_id IS NOT NULL AS found,
-             coalesce(p.start_date, b.start_date) AS ns, coalesce(p.end_date, b.end_date) AS ne
-      FROM p LEFT JOIN registrations b ON b.registration_id = p.registration_id)
-SELECT registration_id, seq,
-  CASE WHEN NOT found THEN 'not_found'
-       WHEN dated AND EXISTS (SELECT 1 FROM registrations s WHERE s.serial_number = m.serial_number
-                    AND s.registration_id <> m.registration_id AND s.start_date <= m.ne AND m.ns <= s.end_date)
-         THEN 'registration_overlap' WHEN ne < ns THEN 'end_before_start' ELSE 'accepted' END AS outcome
-FROM m""")
+m AS (SELECT p.*, b.serial_number, p.start_date IS NOT NULL OR p.end_date IS NOT NULL AS dated,
+             row_number() OVER (PARTITION BY b.serial_number ORDER BY p.seq, p.registration_id) AS rn
+      FROM p LEFT JOIN registrations b ON b.registration_id = p.registration_id),
+fold(serial_number, rn, cur, registration_id, seq, outcome) AS (
+  SELECT serial_number, CAST(0 AS BIGINT), list({'r': registration_id, 's': start_date, 'e': end_date}),
+         CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM registrations GROUP BY 1
+  UNION ALL
+  SELECT serial_number, rn,
+         CASE WHEN outcome = 'accepted' AND dated
+              THEN list_transform(cur, lambda x: CASE WHEN x.r = rid THEN {'r': x.r, 's': ns, 'e': ne} ELSE x END) ELSE cur END,
+         rid, seq, outcome
+  FROM (SELECT *, CASE WHEN NOT dated THEN 'accepted'
+                       WHEN len(list_filter(cur, lambda x: x.r <> rid AND x.s <= ne AND ns <= x.e)) > 0 THEN 'registration_overlap'
+                       WHEN ne < ns THEN 'end_before_start' ELSE 'accepted' END AS outcome
+        FROM (SELECT *, coalesce(sd, me.s) AS ns, coalesce(ed, me.e) AS ne
+              FROM (SELECT f.serial_number, f.cur, m.rn, m.registration_id AS rid, m.seq, m.dated, m.start_date AS sd,
+                           m.end_date AS ed, list_filter(f.cur, lambda x: x.r = m.registration_id)[1] AS me
+                    FROM fold f JOIN m ON m.serial_number = f.serial_number AND m.rn = f.rn + 1) a) b) c)
+SELECT registration_id, seq, outcome FROM fold WHERE seq IS NOT NULL
+UNION ALL SELECT registration_id, seq, 'not_found' FROM m WHERE serial_number IS NULL""")
 def q_registration_patch_overlap(spark, sf_dir):
     out = registrations.registration_patch_overlap(fx.registrations(spark, sf_dir), _reg_patches(spark, sf_dir))
     return out.select("registration_id", "seq", "outcome")
@@ -296,30 +307,30 @@ def q_registration_patch_table(spark, sf_dir):
 SELECT position_id, registration_id, owner_id FROM (
   SELECT p.report_id AS position_id, r.registration_id, r.owner_id,
          row_number() OVER (PARTITION BY p.report_id ORDER BY r.start_date DESC, r.registration_id) rn
-  FROM live_positions p JOIN registrations r ON r.serial_number = p.drone_serial_number
+  FROM live_positions p LEFT JOIN registrations r ON r.serial_number = p.drone_serial_number
    AND r.start_date <= CAST(p.recorded_at AS DATE) AND r.end_date >= CAST(p.recorded_at AS DATE)) WHERE rn = 1""")
 def q_join_positions_registration(spark, sf_dir):
     pos = fx.live_positions(spark, sf_dir).select(F.col("report_id").alias("position_id"), "drone_serial_number",
                                                   F.to_date("recorded_at").alias("date"))
     out = registrations.active_registration(fx.registrations(spark, sf_dir), pos, "drone_serial_number", "date",
                                             "position_id")
-    return out.filter(F.col("r_registration_id").isNotNull()).select(
+    return out.select(
         "position_id", F.col("r_registration_id").alias("registration_id"), F.col("r_owner_id").alias("owner_id"))
 
 
 @query("registration_active_by_serial", with_fixtures("registrations") + f"""
-SELECT serial_number, registration_id FROM (
+SELECT s.serial_number, r.registration_id FROM (SELECT DISTINCT serial_number FROM registrations) s LEFT JOIN (
   SELECT serial_number, registration_id,
          row_number() OVER (PARTITION BY serial_number ORDER BY start_date DESC, registration_id) rn
-  FROM registrations WHERE start_date <= DATE '{AS_OF}' AND end_date >= DATE '{AS_OF}') WHERE rn = 1""")
+  FROM registrations WHERE start_date <= DATE '{AS_OF}' AND end_date >= DATE '{AS_OF}') r
+  ON r.serial_number = s.serial_number AND r.rn = 1""")
 def q_registration_active_by_serial(spark, sf_dir):
     """T5 for every serial on one date (default 'today' is a parameter here)."""
     r = fx.registrations(spark, sf_dir)
     probes = r.select("serial_number").distinct().select(
         F.col("serial_number").alias("probe_id"), "serial_number", F.to_date(F.lit(AS_OF)).alias("date"))
     out = registrations.active_registration(r, probes)
-    return out.filter(F.col("r_registration_id").isNotNull()).select(
-        "serial_number", F.col("r_registration_id").alias("registration_id"))
+    return out.select("serial_number", F.col("r_registration_id").alias("registration_id"))
 
 
 @query("list_registrations", with_fixtures("registrations") + f"""
@@ -408,26 +419,45 @@ def q_patch_nullable(spark, sf_dir):
     return out.select("authorization_id", "pilot_id")
 
 
-@query("authorization_lifecycle", with_fixtures("authorizations", "lifecycle_patches").replace("WITH ", "WITH RECURSIVE ", 1) + """,
-p AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rn FROM lifecycle_patches),
-fold(target_id, rn, s, seq, outcome, status_after) AS (
-  SELECT authorization_id, CAST(0 AS BIGINT), status, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
-  FROM authorizations
+@query("authorization_lifecycle", with_fixtures("authorizations", "lifecycle_patches", "pilots").replace(
+    "WITH ", "WITH RECURSIVE ", 1) + """,
+q AS (SELECT l.*, a.owner_id, CASE WHEN l.pilot_pick = 'own' THEN 'P-' || substr(a.owner_id, 3) ELSE l.pilot_pick END AS pilot_id,
+             row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rn
+      FROM lifecycle_patches l LEFT JOIN authorizations a ON a.authorization_id = l.target_id),
+p AS (SELECT q.*, pilot_id IS NULL OR EXISTS (SELECT 1 FROM pilots x WHERE x.pilot_id = q.pilot_id
+        AND x.organization_owner_id = q.owner_id) AS pilot_ok FROM q),
+fold(target_id, rn, s, st, en, seq, outcome, status_after) AS (
+  SELECT authorization_id, CAST(0 AS BIGINT), status, start_time, end_time, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
+         CAST(NULL AS VARCHAR) FROM authorizations
   UNION ALL
-  SELECT target_id, rn, CASE WHEN outcome = 'accepted' THEN coalesce(pst, s) ELSE s END, seq, outcome,
+  SELECT target_id, rn, CASE WHEN outcome = 'accepted' THEN coalesce(pst, s) ELSE s END,
+         CASE WHEN outcome = 'accepted' THEN coalesce(pstart, st) ELSE st END,
+         CASE WHEN outcome = 'accepted' THEN coalesce(pend, en) ELSE en END, seq, outcome,
          CASE WHEN outcome = 'accepted' THEN coalesce(pst, s) ELSE s END
-  FROM (SELECT f.target_id, p.rn, f.s, p.seq, p.status AS pst,
-               CASE WHEN f.s = 'rescinded' THEN 'rescinded_terminal'
+  FROM (SELECT f.target_id, p.rn, f.s, f.st, f.en, p.seq, p.status AS pst, p.start_time AS pstart, p.end_time AS pend,
+               CASE WHEN NOT p.pilot_ok THEN 'pilot_not_found'
+                    WHEN f.s = 'rescinded' THEN 'rescinded_terminal'
                     WHEN f.s = 'approved' AND NOT coalesce(p.status = 'rescinded' AND p.max_altitude_ft IS NULL
-                         AND NOT p.pilot_present, false)
+                         AND p.start_time IS NULL AND p.end_time IS NULL AND NOT p.pilot_present, false)
                       THEN 'approved_immutable'
+                    WHEN coalesce(p.end_time, f.en) <= coalesce(p.start_time, f.st) THEN 'end_before_start'
                     ELSE 'accepted' END AS outcome
         FROM fold f JOIN p ON p.target_id = f.target_id AND p.rn = f.rn + 1) x)
 SELECT target_id, seq, outcome, status_after FROM fold WHERE seq IS NOT NULL""")
 def q_authorization_lifecycle(spark, sf_dir):
-    out = patches.lifecycle_outcomes(fx.authorizations(spark, sf_dir), fx.lifecycle_patches(spark, sf_dir, "A-"),
-                                     "authorization_id", ["max_altitude_ft"], present_cols=["pilot_present"])
-    return out.select("target_id", "seq", "outcome", "status_after")
+    """M18 with the pilot check under the authorization's owner and the window check."""
+    return _auth_outcomes(spark, sf_dir).select("target_id", "seq", "outcome", "status_after")
+
+
+def _auth_outcomes(spark, sf_dir):
+    a = fx.authorizations(spark, sf_dir)
+    p = fx.lifecycle_patches(spark, sf_dir, "A-")
+    p = p.join(a.select(F.col("authorization_id").alias("target_id"), F.col("owner_id").alias("_owner")), "target_id", "left")
+    p = p.withColumn("pilot_id", F.when(F.col("pilot_pick") == "own", F.concat(F.lit("P-"), F.expr("substring(_owner, 3)")))
+                     .otherwise(F.col("pilot_pick")))
+    p = refs.ref_pilot_under_owner(p, fx.pilots(spark, sf_dir), "pilot_id", "_owner")
+    return patches.lifecycle_outcomes(a, p, "authorization_id", ["max_altitude_ft"], pilot_ok=F.col("pilot_found"),
+                                      present_cols=["pilot_present"])
 
 
 def _waiver_patches(spark, sf_dir):
@@ -440,7 +470,9 @@ def _waiver_patches(spark, sf_dir):
                     F.when(F.col("l_linestatus") == "O", F.concat(F.lit("cond "), F.col("l_suppkey").cast("string")))
                      .alias("conditions"),
                     F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "N"), st).alias("start_time"),
-                    F.lit(None).cast("timestamp").alias("end_time"))
+                    F.when((F.col("l_returnflag") == "N") & (F.col("l_partkey") % 3 == 0), F.timestamp_seconds(
+                        F.unix_seconds(F.to_timestamp(F.lit("2024-01-01 00:00:00"))) + (F.col("l_suppkey") * 11 % 760) * 3600))
+                     .alias("end_time"))
 
 
 @query("waiver_lifecycle", with_fixtures("waivers", "lineitem_pairs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -449,7 +481,8 @@ wp AS (SELECT 'WV-' || CAST(l_orderkey AS VARCHAR) AS target_id, CAST(l_linenumb
               CASE WHEN l_linestatus = 'O' THEN 'cond ' || CAST(l_suppkey AS VARCHAR) END AS conditions,
               CASE WHEN l_linestatus = 'F' AND l_returnflag = 'N'
                    THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(l_partkey % 720) END AS start_time,
-              CAST(NULL AS TIMESTAMP) AS end_time,
+              CASE WHEN l_returnflag = 'N' AND l_partkey % 3 = 0
+                   THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(l_suppkey * 11 % 760) END AS end_time,
               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn
        FROM lineitem_pairs),
 fold(target_id, rn, s, c, st, en, seq, outcome, status_after) AS (
@@ -479,29 +512,37 @@ def q_waiver_lifecycle(spark, sf_dir):
 
 @query("authorization_lifecycle_table", _judged("authorization_lifecycle") + f""",
 k AS (SELECT p.target_id, arg_max(p.status, p.seq) FILTER (WHERE p.status IS NOT NULL) AS ns,
-             arg_max(p.max_altitude_ft, p.seq) FILTER (WHERE p.max_altitude_ft IS NOT NULL) AS alt
+             arg_max(p.max_altitude_ft, p.seq) FILTER (WHERE p.max_altitude_ft IS NOT NULL) AS alt,
+             arg_max(p.start_time, p.seq) FILTER (WHERE p.start_time IS NOT NULL) AS st,
+             arg_max(p.end_time, p.seq) FILTER (WHERE p.end_time IS NOT NULL) AS en,
+             max(p.seq) FILTER (WHERE p.pilot_present) AS ps,
+             arg_max_null(p.pilot_id, p.seq) FILTER (WHERE p.pilot_present) AS pilot
       FROM p JOIN j ON j.target_id = p.target_id AND j.seq = p.seq WHERE j.outcome = 'accepted' GROUP BY 1)
 SELECT a.authorization_id, coalesce(k.ns, a.status) AS status, coalesce(k.alt, a.max_altitude_ft) AS max_altitude_ft,
+       CASE WHEN k.ps IS NOT NULL THEN k.pilot ELSE a.pilot_id END AS pilot_id,
+       coalesce({iso('k.st')}, {iso('a.start_time')}) AS start_time, coalesce({iso('k.en')}, {iso('a.end_time')}) AS end_time,
        CASE WHEN k.ns = 'rescinded' AND a.status <> 'rescinded' THEN '{STAMP}.000000'
             WHEN a.status = 'rescinded' THEN {iso('a.start_time')} END AS rescinded_at,
        CASE WHEN k.target_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('a.created_at')} END AS updated_at
 FROM authorizations a LEFT JOIN k ON k.target_id = a.authorization_id""")
 def q_authorization_lifecycle_table(spark, sf_dir):
     """The authorizations after their accepted patches."""
-    a = fx.authorizations(spark, sf_dir)
-    judged = patches.lifecycle_outcomes(a, fx.lifecycle_patches(spark, sf_dir, "A-"), "authorization_id",
-                                        ["max_altitude_ft"], present_cols=["pilot_present"])
-    out = patches.apply_accepted(a, judged, "authorization_id", ["status", "max_altitude_ft"], STAMP)
-    return out.select("authorization_id", "status", "max_altitude_ft", "rescinded_at", "updated_at")
+    out = patches.apply_accepted(fx.authorizations(spark, sf_dir), _auth_outcomes(spark, sf_dir), "authorization_id",
+                                 ["status", "max_altitude_ft", "start_time", "end_time"], STAMP,
+                                 cleared={"pilot_id": "pilot_present"})
+    return out.select("authorization_id", "status", "max_altitude_ft", "pilot_id", "start_time", "end_time", "rescinded_at",
+                      "updated_at")
 
 
 @query("waiver_lifecycle_table", _judged("waiver_lifecycle") + f""",
 k AS (SELECT p.target_id, arg_max(p.status, p.seq) FILTER (WHERE p.status IS NOT NULL) AS ns,
              arg_max(p.conditions, p.seq) FILTER (WHERE p.conditions IS NOT NULL) AS c,
-             arg_max(p.start_time, p.seq) FILTER (WHERE p.start_time IS NOT NULL) AS st
+             arg_max(p.start_time, p.seq) FILTER (WHERE p.start_time IS NOT NULL) AS st,
+             arg_max(p.end_time, p.seq) FILTER (WHERE p.end_time IS NOT NULL) AS en
       FROM wp p JOIN j ON j.target_id = p.target_id AND j.seq = p.seq WHERE j.outcome = 'accepted' GROUP BY 1)
 SELECT w.waiver_id, coalesce(k.ns, w.status) AS status, coalesce(k.c, w.conditions) AS conditions,
        coalesce({iso('k.st')}, {iso('w.start_time')}) AS start_time,
+       coalesce({iso('k.en')}, {iso('w.end_time')}) AS end_time,
        CASE WHEN k.ns = 'rescinded' AND w.status <> 'rescinded' THEN '{STAMP}.000000'
             WHEN w.status = 'rescinded' THEN {iso('w.start_time')} END AS rescinded_at,
        CASE WHEN k.target_id IS NOT NULL THEN '{STAMP}.000000' ELSE {iso('w.created_at')} END AS updated_at
@@ -512,7 +553,7 @@ def q_waiver_lifecycle_table(spark, sf_dir):
     judged = patches.lifecycle_fold(w, ps, "waiver_id", "conditions").select("target_id", "seq", "outcome")
     out = patches.apply_accepted(w, ps.join(judged, ["target_id", "seq"]), "waiver_id",
                                  ["status", "conditions", "start_time", "end_time"], STAMP)
-    return out.select("waiver_id", "status", "conditions", "start_time", "rescinded_at", "updated_at")
+    return out.select("waiver_id", "status", "conditions", "start_time", "end_time", "rescinded_at", "updated_at")
 
 
 def _profiles(spark, sf_dir):
@@ -768,7 +809,8 @@ def _plan_patches(spark, sf_dir):
     k, pk, sk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
 
     def day(n):
-        return F.concat(F.lit('"2024-01-'), F.lpad((ln % 7 + n).cast("string"), 2, "0"), F.lit('T00:00:00Z"'))
+        at = (F.when(ln % 4 == 1, "T00:00Z").when(ln % 4 == 3, "T00:00:00.123456789Z").otherwise("T00:00:00Z"))
+        return F.concat(F.lit('"2024-01-'), F.lpad((ln % 7 + n).cast("string"), 2, "0"), at, F.lit('"'))
     raw = (F.when(F.col("l_returnflag") == "R",
                   F.concat(F.lit('{"pilotId":null,"airspaceAuthorizationId":"'),
                            F.when(ln == 3, F.lit("A-X")).otherwise(F.lit("A-")), pk.cast("string"), F.lit('"'),
@@ -789,8 +831,10 @@ v AS (SELECT p.*, f.flight_plan_id IS NOT NULL AS found, f.owner_id,
         CASE WHEN fl = 'N' THEN 'P-' || CAST(pk - pk % 3 AS VARCHAR) END AS set_pilot,
         CASE WHEN fl = 'A' THEN 'R-' || CAST(sk * 7 AS VARCHAR) END AS set_reg,
         CASE WHEN fl = 'R' THEN (CASE WHEN ln = 3 THEN 'A-X' ELSE 'A-' END) || CAST(pk AS VARCHAR) END AS set_auth,
-        CASE WHEN fl = 'R' AND ln % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 9) END AS set_start,
-        CASE WHEN fl = 'N' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 12) END AS set_end
+        CASE WHEN fl = 'R' AND ln % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 9)
+             + to_microseconds(CASE WHEN ln % 4 = 3 THEN 123456 ELSE 0 END) END AS set_start,
+        CASE WHEN fl = 'N' THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(ln % 7 + 12)
+             + to_microseconds(CASE WHEN ln % 4 = 3 THEN 123456 ELSE 0 END) END AS set_end
       FROM p LEFT JOIN flight_plans f ON f.flight_plan_id = p.target_id),
 c AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS rn,
   CASE WHEN NOT found THEN 'not_found'

@@ -364,15 +364,20 @@ def lifecycle_patches(spark, sf_dir, prefix: str = "A-") -> DataFrame:
     """Patches against authorizations (or waivers): id from l_orderkey, order by line number.
 
     Return flag R asks to rescind, A to approve, N leaves status alone; open lines
-    (linestatus O) also set a field, and every fifth part number lists ``pilotId`` with a null,
-    so some rescinds are not pure.
+    (linestatus O) also set a field, and every fifth part number lists ``pilotId``, so some rescinds
+    are not pure: with a null, with the pilot of the owner's own number or with another's. Three of
+    seven part numbers give a start, an end or both, often an end before the start.
     """
     p = lineitem_pairs(spark, sf_dir)
     status = F.when(_k("l_returnflag") == "R", "rescinded").when(_k("l_returnflag") == "A", "approved")
+    m, t0 = _k("l_partkey") % 7, _ts("2024-01-01 00:00:00")
     return p.select(
         _s(prefix, "l_orderkey").alias("target_id"),
         _k("l_linenumber").cast("long").alias("seq"),
         status.alias("status"),
         F.when(_k("l_linestatus") == "O", _k("l_quantity") * 10).alias("max_altitude_ft"),
         (_k("l_partkey") % 5 == 0).alias("pilot_present"),
+        F.when(_k("l_partkey") % 15 == 5, "own").when(_k("l_partkey") % 15 == 10, _s("P-", "l_partkey")).alias("pilot_pick"),
+        F.when(m.isin(3, 6), _plus_seconds(t0, (_k("l_suppkey") * 13 + _k("l_linenumber") * 5) % 720 * 3600)).alias("start_time"),
+        F.when(m.isin(5, 6), _plus_seconds(t0, (_k("l_suppkey") * 17 + _k("l_linenumber") * 7) % 760 * 3600)).alias("end_time"),
     )

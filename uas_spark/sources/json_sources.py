@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timefn import to_instant  # noqa: F401  (part of reading bodies)
+
 POSITION_BODY = ("reportId string, recordedAt string, latitude double, longitude double, altitudeFt double, "
                  "sensorId string")
 ZONE_BODY = ("reportId string, zoneId string, recordedAt string, state string, ceilingFt double, "
@@ -53,25 +55,17 @@ def read_bodies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parse_bodies(spark.read.text(path).withColumnRenamed("value", "body"), "body", schema)
 
 
-def to_instant(text: Column) -> Column:
-    """ISO-8601 instant text to a timestamp (null when it does not parse)."""
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"))
-
-
 # ------------------------------------------------------------------ S8, S9: GeoJSON
 
 def geojson_decode(text: Column) -> Column:
-    """GeoJSON Polygon text to rings (``array<array<struct<lon,lat>>>``); x is lon."""
+    """GeoJSON Polygon text to rings (``array<array<struct<lon,lat>>>``); x is lon. A position of
+    fewer or more than two numbers becomes null, which V1 and V2 refuse."""
     g = F.from_json(text, GEOJSON_POLYGON)
     rings = F.transform(g["coordinates"], lambda r: F.transform(
-        r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+        r, lambda p: F.when(F.size(p) == 2, F.struct(F.get(p, 0).alias("lon"), F.get(p, 1).alias("lat")))))
     return F.when(g["type"] == "Polygon", rings)
 
 
-def geojson_type(text: Column) -> Column:
-    return F.get_json_object(text, "$.type")
-
-
 def geojson_encode(rings: Column) -> Column:
     """Rings back to GeoJSON Polygon text (positions as [lon, lat])."""
     coords = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
@@ -91,6 +85,12 @@ def profile_variant(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def store_profiles(profiles: DataFrame, path: str, text_col: str = "profile_json", col: str = "profile") -> None:
+    """Profile texts parsed once and stored as VARIANT in Parquet under ``col``."""
+    (profiles.withColumn(col, profile_variant(F.col(text_col))).drop(text_col)
+     .write.mode("overwrite").parquet(path))
+
+
 def profile_is_object(v: Column) -> Column:
     """A profile must be a JSON object."""
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
