@@ -29,7 +29,7 @@ from .common import prepare, saved, shared_folder
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 5, 80, 100
 PASS, PLANES, SEED = 1 << 15, 8, 20240711
-_ROWS, _ANCHORS = 2048, 512  # rows and anchors estimated at once
+_ROWS, _ANCHORS = 8192, 128  # rows and anchors estimated at once
 _EXACT = float(1 << 53)
 _SLACK = 1e-9  # relative rounding of the interval's own arithmetic
 _MIN, _MAX, _HUGE = -(1 << 63), (1 << 63) - 1, 1e150
@@ -139,17 +139,24 @@ def _coded(rows: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of one vector length at a time: (dims, row, vec_id, label, x, code, aligned, size)."""
+    """Rows of one vector length at a time, some thousand: (dims, row, vec_id, label, x, code, aligned, size)."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+
+    def rows(d: int) -> tuple:
+        p = pa.Table.from_batches(held.pop(d)).combine_chunks().to_batches()[0]
+        return (d, p.column(0).to_numpy(), p.column(1).to_pylist(), p.column(2).to_numpy(),
+                np.asarray(p.column(3).flatten()).reshape(p.num_rows, d),
+                np.frombuffer(b"".join(p.column(4).to_pylist()), "<u8").reshape(p.num_rows, -1),
+                p.column(5).to_numpy(), p.column(6).to_numpy())
+
     for b in batches:
         dims = b.column(3).value_lengths().to_numpy()
         for d in sorted(set(dims.tolist())):
-            part = b.filter(pa.array(dims == d))
-            for at in range(0, part.num_rows, _ROWS):
-                p = part.slice(at, _ROWS)
-                yield (d, p.column(0).to_numpy(), p.column(1).to_numpy(zero_copy_only=False), p.column(2).to_numpy(),
-                       np.asarray(p.column(3).flatten()).reshape(p.num_rows, d),
-                       np.frombuffer(b"".join(p.column(4).to_pylist()), "<u8").reshape(p.num_rows, -1),
-                       p.column(5).to_numpy(), p.column(6).to_numpy())
+            held.setdefault(d, []).append(b.filter(pa.array(dims == d)))
+            if sum(p.num_rows for p in held[d]) >= _ROWS:
+                yield rows(d)
+    for d in list(held):
+        yield rows(d)
 
 
 _FOUND = "anchor_row long, positive long, low long, row long, vec_id long, score long"
@@ -171,28 +178,25 @@ def _scan(rows: DataFrame, asked: list, k: int, same: bool) -> DataFrame:
         blocks = {d: [(Anchors(np.array([a[2] for a in of[at:at + _ANCHORS]]), rotation(d)), of[at:at + _ANCHORS])
                       for at in range(0, len(of), _ANCHORS)] for d, of in shared.value.items()}
         best: dict[tuple, list] = {}
-        for d, row, vid, label, x, code, aligned, size in _groups(batches):
-            ids = [None if np.isnan(v) else int(v) for v in vid] if vid.dtype.kind == "f" else vid.tolist()
+        for d, row, ids, label, x, code, aligned, size in _groups(batches):
             for anchors, of in blocks.get(d, ()):
                 least, most = anchors.interval(code, aligned, size)
-                order = np.argsort(-most, axis=1, kind="stable")
                 for i, (anchor, own, q, wanted) in enumerate(of):
                     fits = (label == own) & (row != anchor) if same else label != own
-                    for place, positive in wanted:
-                        top = best.setdefault((anchor, place), [])
-                        low, high = (_MIN, _MAX) if same else (-(-LOW * positive // 100), HIGH * positive // 100)
-                        may = fits & (most[i] >= low) & (least[i] <= high)
-                        cand = order[i][may[order[i]]]
-                        # rows of the largest upper bounds first: their scores raise the bar for the rest
-                        for at in range(0, len(cand), 64):
-                            c = cand[at:at + 64]
-                            if len(top) == k:
-                                c = c[most[i][c] >= -top[-1][0]]
-                                if not len(c):
-                                    break
-                            for s, j in zip(scores(x[c], q).tolist(), c.tolist()):
-                                if low <= s <= high:
-                                    top.append((-s, ids[j] is None, ids[j] or 0, int(row[j])))
+                    tops = [best.setdefault((anchor, place), []) for place, _ in wanted]
+                    ranges = [(_MIN, _MAX) if same else (-(-LOW * p // 100), HIGH * p // 100) for _, p in wanted]
+                    # what a row must be able to reach for some entry: its range, and its k-th best so far
+                    bar = min(max(low, -top[-1][0]) if len(top) == k else low for (low, _), top in zip(ranges, tops))
+                    c = np.flatnonzero(fits & (most[i] >= bar) & (least[i] <= max(high for _, high in ranges)))
+                    if not len(c):
+                        continue
+                    s = scores(x[c], q)
+                    for (low, high), top in zip(ranges, tops):
+                        ok = np.flatnonzero((s >= low) & (s <= high))
+                        if len(ok) > k:  # ties at the k-th place stay in
+                            ok = ok[s[ok] >= np.partition(s[ok], len(ok) - k)[-k]]
+                        if len(ok):
+                            top += [(-int(s[j]), ids[c[j]] is None, ids[c[j]] or 0, int(row[c[j]])) for j in ok]
                             top.sort()
                             del top[k:]
         wants = {(a[0], place): positive for of in shared.value.values() for a in of for place, positive in a[3]}
