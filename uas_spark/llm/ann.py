@@ -8,24 +8,25 @@ divided by the scalar it estimates the cosine without bias, with an error of at
 ``epsilon`` standard deviations of a known size. Only vectors whose upper bound reaches the k-th
 largest lower bound are reranked, by the exact cosine of the original vectors.
 
-All vectors are coded. Queries are a stated set, searched in blocks of ``BLOCK``: one block is
-broadcast (its size is fixed), each task scans its vectors against it and returns at most k per
-query, and these few rows meet per query.
+All vectors are coded, those of each length with a rotation of their own. Queries are a stated set,
+searched in passes of ``PASS``: a pass's queries are broadcast (their number is fixed), each task scans
+its vectors against some of them at a time and returns at most k per query, and these few rows
+meet per query. Passes append to one folder, so no plan grows with their number.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, saved
+from .common import prepare, saved, shared_folder
 
-BLOCK = 4096
+PASS = 1 << 15
 EPSILON, QUERY_BITS, SEED = 3.0, 4, 20240229
 _ROWS = 4096  # vectors estimated at once
 _QUERIES = 256
@@ -58,33 +59,39 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.abs(o).sum(axis=1) / np.sqrt(wide)
 
 
-def index(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, x, code, corr) of every usable vector, and their dimensions.
+def index(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(row, vec_id, x, code, corr) of every usable row; ``row`` numbers the rows.
 
-    Vectors that are null, empty, zero or hold null or non-finite components take no part; nor do
-    those of another length than the commonest (the longer at a tie).
+    Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors
+    of any length do; rows that share an id are rows of their own.
     """
-    prepare(vectors.sparkSession)
+    spark = prepare(vectors.sparkSession)
     x = F.col("x")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x")).filter(
-        F.col("id").isNotNull() & x.isNotNull() & F.expr(
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x")).filter(
+        x.isNotNull() & F.expr(
             "forall(x, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')) AND exists(x, v -> v <> 0)"))
-    rows = rows.groupBy("id").agg(F.min("x").alias("x"))  # repeated rows of an id count once
-    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).head(1)
-    dims = sizes[0].d if sizes else 1
-    turn = vectors.sparkSession.sparkContext.broadcast(rotation(dims))
+    rows = saved(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
         for b in batches:
-            flat = np.asarray(b.column(1).flatten()).reshape(b.num_rows, dims)
-            code, corr = encode(flat, turn.value)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(corr)],
-                ["id", "x", "code", "corr"])
+            xs = [np.array(v) for v in b.column(2).to_pylist()]
+            codes, corr = [b""] * len(xs), np.zeros(len(xs))
+            size = np.array([len(v) for v in xs])
+            for d in set(size.tolist()):
+                at = np.flatnonzero(size == d)
+                if d not in turns:
+                    turns[d] = rotation(d)
+                code, corr[at] = encode(np.stack([xs[i] for i in at]), turns[d])
+                for i, c in zip(at, code):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary()), pa.array(corr)],
+                                             ["row", "vec_id", "x", "code", "corr"])
 
-    coded = rows.filter(F.size("x") == dims).mapInArrow(
-        run, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>, code binary, corr double")
-    return saved(coded), dims
+    # every core works on a share of the vectors
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return saved(rows.repartition(n, "row").mapInArrow(
+        run, "row long, vec_id long, x array<double>, code binary, corr double"))
 
 
 def _quantised(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,83 +122,100 @@ def estimate(code: np.ndarray, corr: np.ndarray, planes: np.ndarray, lo: np.ndar
     return signed / root / safe, epsilon * (spread[None, :] + rounding) / safe
 
 
-def _search(vectors: DataFrame, block: dict, k: int, epsilon: float) -> DataFrame:
-    """At most k (query_id, vec_id, score) per query and task."""
-    shared = vectors.sparkSession.sparkContext.broadcast(block)
+class _Block:
+    """Some queries of one length: scaled vectors, their lengths, and rotated bit planes."""
+
+    def __init__(self, rows: list, turn: np.ndarray):
+        self.rows = [r for r, _ in rows]
+        self.x = _scaled(np.array([x for _, x in rows]))
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+        self.planes, self.lo, self.step, self.total = _quantised(_unit(self.x) @ turn[:self.x.shape[1]])
+
+
+def _search(vectors: DataFrame, asked: list, k: int, epsilon: float) -> DataFrame:
+    """At most k (query, row, vec_id, score) per query and task; ``asked``: (row, x) of the queries."""
+    by_size: dict[int, list] = {}
+    for row, x in asked:
+        by_size.setdefault(len(x), []).append((row, x))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        q, ids, own, planes, lo, step, total = (m[x] for x in ("x", "id", "norm", "planes", "lo", "step", "total"))
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-score, id), sorted
+        blocks = {d: [_Block(of[at:at + _QUERIES], rotation(d)) for at in range(0, len(of), _QUERIES)]
+                  for d, of in shared.value.items()}
+        best: dict[int, list[tuple]] = {r: [] for of in shared.value.values() for r, _ in of}  # (-score, no id, id, row)
         for b in batches:
-            for at in range(0, b.num_rows, _ROWS):
-                part = b.slice(at, _ROWS)
-                vid = part.column(0).to_numpy()
-                x = _scaled(np.asarray(part.column(1).flatten()).reshape(part.num_rows, q.shape[1]))
-                code = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(part.num_rows, -1)
-                norm = np.sqrt((x * x).sum(axis=1))
-                corr = part.column(3).to_numpy()
-                for s in range(0, len(ids), _QUERIES):
-                    e = min(s + _QUERIES, len(ids))
-                    est, err = estimate(code, corr, planes[s:e], lo[s:e], step[s:e], total[s:e], epsilon)
-                    low = np.where(vid[None, :] == ids[s:e, None], -np.inf, est - err)
-                    if low.shape[1] > k:
-                        floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k]
-                    else:
-                        floor = np.full(e - s, -np.inf)
-                    floor = np.maximum(floor, [-best[i][-1][0] if len(best[i]) == k else -np.inf for i in range(s, e)])
-                    which, cand = np.nonzero((est + err >= floor[:, None]) & (vid[None, :] != ids[s:e, None]))
-                    cut = np.searchsorted(which, np.arange(e - s + 1))
-                    for i in range(e - s):
-                        c = cand[cut[i]:cut[i + 1]]
-                        if len(c):
-                            exact = (x[c] * q[s + i]).sum(axis=1) / (norm[c] * own[s + i])
-                            if len(c) > k:  # ties at the k-th place stay in
-                                stay = exact >= np.partition(exact, len(c) - k)[-k]
-                                c, exact = c[stay], exact[stay]
-                            best[s + i] = sorted([*best[s + i], *zip((-exact).tolist(), vid[c].tolist())])[:k]
-        found = [(ids[i], -d, v) for i, top in enumerate(best) for d, v in top]
-        qs, ds, vs = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(vs, pa.int64()),
-                                          pa.array(ds, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score double")
+            size = b.column(2).value_lengths().to_numpy()
+            for d in sorted(set(size.tolist()) & set(blocks)):
+                whole = b.filter(pa.array(size == d))
+                for at in range(0, whole.num_rows, _ROWS):
+                    _scan(whole.slice(at, _ROWS), blocks[d], best, k, epsilon)
+        found = [(q, r, None if no else v, -s) for q, top in best.items() for s, no, v, r in top]
+        cols = list(zip(*found)) if found else [()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["query", "row", "vec_id", "score"])
+
+    return vectors.mapInArrow(run, _FOUND)
+
+
+_FOUND = "query long, row long, vec_id long, score double"
+
+
+def _scan(part: pa.RecordBatch, blocks: list[_Block], best: dict[int, list[tuple]], k: int, epsilon: float) -> None:
+    """Take the rows of ``part``, vectors of one length, into the best of the queries of ``blocks``."""
+    row, ids = part.column(0).to_numpy(), part.column(1).to_pylist()
+    x = _scaled(np.asarray(part.column(2).flatten()).reshape(part.num_rows, -1))
+    code = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u8").reshape(part.num_rows, -1)
+    norm, corr = np.sqrt((x * x).sum(axis=1)), part.column(4).to_numpy()
+    for q in blocks:
+        est, err = estimate(code, corr, q.planes, q.lo, q.step, q.total, epsilon)
+        own = row[None, :] == np.array(q.rows)[:, None]
+        low = np.where(own, -np.inf, est - err)
+        floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q.rows), -np.inf)
+        floor = np.maximum(floor, [-best[r][-1][0] if len(best[r]) == k else -np.inf for r in q.rows])
+        which, cand = np.nonzero((est + err >= floor[:, None]) & ~own)
+        cut = np.searchsorted(which, np.arange(len(q.rows) + 1))
+        for i, r in enumerate(q.rows):
+            c = cand[cut[i]:cut[i + 1]]
+            if len(c):
+                exact = (x[c] * q.x[i]).sum(axis=1) / (norm[c] * q.norm[i])
+                if len(c) > k:  # ties at the k-th place stay in
+                    stay = exact >= np.partition(exact, len(c) - k)[-k]
+                    c, exact = c[stay], exact[stay]
+                best[r] = sorted([*best[r], *((-s, ids[j] is None, ids[j] or 0, int(row[j]))
+                                              for s, j in zip(exact.tolist(), c.tolist()))])[:k]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
-            epsilon: float = EPSILON) -> DataFrame:
+            epsilon: float = EPSILON, at_once: int = PASS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine of every query row.
 
-    ``is_query`` chooses the queries by ``vec_id``. Candidates are all rows with another id; ties
-    go to the smaller id. Repeated rows of an id count once (with the smallest of their vectors). A query with fewer candidates gets
-    them all; one that takes no part (see ``index``) gets none; an empty table gives no rows;
+    ``is_query`` chooses the queries by ``vec_id``. Candidates are all other rows with a vector of the
+    query's length, those of the same id too; ties go to the smaller id (null ids last, then by place
+    in the table). Rows that share an id are queries of their own. A query with fewer candidates
+    gets them all; one that takes no part (see ``index``) gets none; an empty table gives no rows;
     other columns are ignored.
     """
     spark = prepare(vectors.sparkSession)
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("x"))
-    coded, dims = index(src, "vec_id", "x")
-    asked = saved(coded.withColumnRenamed("id", "vec_id").filter(is_query).select("vec_id", "x"))
-    n = asked.count()
-    blocks = max(-(-n // BLOCK), 1)
-    turn = rotation(dims)
-    # every core works on a share of the vectors
-    spread = coded.repartition(max(spark.sparkContext.defaultParallelism,
-                                   int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    spread = saved(spread) if blocks > 1 else spread
-    found = []
-    for k_block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k_block).orderBy("vec_id").toArrow()
-        if not rows.num_rows:
-            continue
-        x = _scaled(np.asarray(rows.column("x").combine_chunks().flatten()).reshape(rows.num_rows, dims))
-        planes, lo, step, total = _quantised(_unit(x) @ turn[:dims])
-        block = {"x": x, "id": rows.column("vec_id").to_numpy(), "norm": np.sqrt((x * x).sum(axis=1)),
-                 "planes": planes, "lo": lo, "step": step, "total": total}
-        top = _search(spread, block, k, epsilon)
-        found.append(saved(top) if blocks > 1 else top)
-    if not found:
+    coded = index(src, "vec_id", "x")
+    asked = coded.filter(F.coalesce(is_query, F.lit(False)))
+    folder, block = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}", []
+
+    def scan() -> None:
+        if block:
+            _search(coded, block, k, epsilon).write.mode("append").parquet(folder)
+            block.clear()
+
+    none = True
+    for r in asked.select("row", "x").toLocalIterator():
+        none = False
+        block.append((r.row, r.x))
+        if len(block) == at_once:
+            scan()
+    scan()
+    if none:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    every = reduce(DataFrame.unionByName, found)
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (every.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    first = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    names = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return (spark.read.schema(_FOUND).parquet(folder).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+            .join(names, "query").select("query_id", "rank", "vec_id", "score"))
