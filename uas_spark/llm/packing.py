@@ -4,10 +4,11 @@ Lengths are whole numbers up to the capacity, so the instance is a histogram wit
 ``capacity`` entries, however many documents there are. On it
 
 1. Martello-Toth dominance reduction fixes, for the longest remaining piece, a set of at most
-   two pieces that provably is part of some optimal packing: the piece alone if nothing fits
+   three pieces that provably is part of some optimal packing: the piece alone if nothing fits
    beside it; with the largest fitting partner if that fills the sequence, or if no two pieces
-   fit beside it, or if no three do and the partner is at least as long as any fitting pair. All pieces of equal
-   length are fixed at once. What nothing dominates is left.
+   fit beside it, or if no three do and the partner is at least as long as any fitting pair; with the
+   fullest pair that holds this partner, if no three fit and no pair between the two does. All
+   pieces of equal length are fixed at once. What nothing dominates is left.
 2. Best fit decreasing packs the rest, again many equal sequences at a time.
 
 The plan says, for each length, which sequences its first, second, ... piece goes to. Pieces
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +66,17 @@ class _Lengths:
             total, k = total + m * a, k - m
         return total if not k else 1 << 60
 
+    def two_above(self, length: int, but: int) -> int:
+        """Sum of the two shortest pieces longer than ``length``, without one piece of length ``but``; a
+        huge number if there are fewer."""
+        total, k = 0, 2
+        for a in self.order[bisect.bisect_right(self.order, length):]:
+            m = min(self.n[a] - (a == but), k)
+            total, k = total + m * a, k - m
+            if not k:
+                return total
+        return 1 << 60
+
     def best_pair(self, room: int) -> int:
         """Largest sum of two pieces of at most ``room``; 0 if no two fit."""
         best, lo, hi = 0, 0, len(self.order) - 1
@@ -79,27 +92,40 @@ class _Lengths:
 
 
 def _reduce(left: _Lengths, capacity: int, plan: "_Plan") -> dict[int, int]:
-    """Fix dominating sets; returns the counts of the pieces that none was found for.
+    """Fix dominating sets of one, two or three pieces; returns the counts of the pieces that none was found for.
 
     A set dominates for j whatever else is packed, as long as its partner is the longest fitting
-    one of all remaining pieces; so pieces passed over stay in as partners of shorter ones.
+    one of all remaining pieces; so pieces passed over stay in as partners of shorter ones. Beside j
+    and its longest partner i a third piece y is fixed if no three others fit with j, i and y
+    are the fullest pair, and no two pieces between them in length fit.
     """
     j = left.largest_within(capacity)
     while j:
-        n, room = left.n[j], capacity - j
+        room = capacity - j
         left.take(j, 1)  # the piece itself is not its own partner
-        i = left.largest_within(room)
-        dominates = i and (i == room or left.smallest(2) > room
-                           or left.smallest(3) > room and i >= left.best_pair(room))
+        i, chosen = left.largest_within(room), None
+        if not i:
+            chosen = [j]
+        elif i == room or left.smallest(2) > room:
+            chosen = [j, i]
+        elif left.smallest(3) > room:
+            best = left.best_pair(room)
+            left.take(i, 1)
+            y = left.largest_within(room - i)
+            left.give(i, 1)
+            if i >= best:
+                chosen = [j, i]
+            elif y and i + y == best and left.two_above(y, i) > room:
+                chosen = [j, i, y]
         left.give(j, 1)
-        if not i or dominates:
-            # what holds for one pair holds for its copies: fixing it takes only i and j away
-            k = n if not i else n // 2 if i == j else min(n, left.n[i])
-            left.take(j, k)
-            if i:
-                left.take(i, k)
-            plan.new([j, i] if i else [j], k)
-        if not i or not dominates or j not in left.n:
+        if chosen:
+            # what holds for one set holds for its copies: fixing it takes only its own pieces away
+            need = Counter(chosen)
+            k = min(left.n[x] // m for x, m in need.items())
+            for x, m in need.items():
+                left.take(x, k * m)
+            plan.new(chosen, k)
+        if not chosen or len(chosen) == 1 or j not in left.n:
             j = left.largest_within(j - 1)
     return dict(left.n)
 
