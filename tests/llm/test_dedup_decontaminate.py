@@ -53,10 +53,15 @@ def test_links_match_all_pairs(spark):
     pairs = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2]
     exp = groups([signed[f] for f in fps], [(signed[a], signed[b]) for a, b in pairs])
     df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(df)).collect()}
-    assert {n: got.get(n, n) for n in exp} == exp
     linked = {n for e in pairs for n in (signed[e[0]], signed[e[1]])}
-    assert set(got) == linked
+    for limit in (2, 16, 1000):  # cells split, mixed, and all paired
+        found = simhash.links(df, limit)
+        got = {r.node: r.root for r in components(found).collect()}
+        assert {n: got.get(n, n) for n in exp} == exp
+        assert set(got) == linked
+    # unsplit cells give every link, as pairs of fingerprints that share a cell
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in found.collect()} == {
+        (max(signed[a], signed[b]), min(signed[a], signed[b])) for a, b in pairs}
 
 
 def test_cells_share_exactly_within_distance_two(spark):
@@ -109,8 +114,12 @@ def test_keep_one(docs, odd_rows):
     df = docs(odd_rows, clash=True)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    # 1, 2 and 3 have no words; 5 is repeated and 6 a copy of it; rows without an id stay
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "7", "8", "9", "None", "None"])
+    # 1, 2, 3 and a row without an id have no words; 5 is repeated and 6 a copy of it
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "7", "8", "9", "None"])
+    x, y = "one text about rivers and stones", "another text that tells of letters"
+    kept = simhash.keep_one(docs([(5, x), (5, y), (9, y), (None, y), (None, "a third one of its own")])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", x), ("5", y), ("None", "a third one of its own")])
+    assert simhash.keep_one(docs([])).count() == 0
 
 
 def slow_leaks(docs, items, threshold=0.8):
@@ -152,6 +161,27 @@ def test_leaks_brute_force(spark, docs, odd_rows):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in rows if r[0] not in bad)
     assert decontaminate.leaks(docs([]), bench).count() == 0
     assert decontaminate.leaks(docs(rows), bench.filter("false")).count() == 0
+    leak = items[0][1] + " w1 w2 w3 w4 w5 w6"
+    left = decontaminate.clean(docs([(5, leak), (5, "clean"), (None, leak), (None, "clean")], clash=True), bench).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("5", "clean"), ("None", "clean")]
+    assert decontaminate.clean(docs([]), bench).count() == 0
     # a filter that lets nearly everything through changes nothing
     full = decontaminate.leaks(docs(rows), bench, filter_bits=256).collect()
     assert sorted((r.id, r.item_id, r.n_found, r.n_item) for r in full) == exp
+
+
+def test_a_common_phrase_makes_no_candidates(spark, docs, monkeypatch):
+    """Documents and items that share an opening phrase: no more pairs than there are rows."""
+    rng = random.Random(8)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    opening = "once upon a time there was"
+    bench = spark.createDataFrame([(i, f"{opening} {words(30)}") for i in range(400)], "item_id long, text string")
+    rows = [(i, f"{opening} {words(60)}") for i in range(400)]
+    seen = []
+    keep = decontaminate.saved
+    monkeypatch.setattr(decontaminate, "saved", lambda df: seen.append(keep(df)) or seen[-1])
+    out = decontaminate.leaks(docs(rows), bench)
+    assert out.count() == 0
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_found" in joined and seen[0].count() == 800  # two shingles of the phrase in each document
+    assert len({r.shingle for r in seen[0].collect()}) == 2

@@ -45,6 +45,21 @@ def text_bytes(name: str = "text") -> Column:
     return text_or_empty(name).cast("binary")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """One name for a row by its id and text: rows that share an id but not a text have names of their
+    own, and so have rows with a null id; a null text differs from an empty one."""
+    i, t = F.col(id_col).cast("string"), F.col(text_col).cast("string")
+    return F.concat_ws(":", i.isNull().cast("string"), F.coalesce(i, F.lit("")), F.coalesce(F.md5(t.cast("binary")), F.lit("-")))
+
+
 def id_bucket(id_col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

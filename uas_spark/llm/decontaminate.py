@@ -3,12 +3,13 @@
 An item leaks into a document if the document holds at least ``threshold`` of the item's
 distinct five-word shingles. Comparing MinHash sketches of both sides fails here: a 40-word item
 inside a 20,000-word document has a Jaccard similarity near zero. So the sketch is taken of the
-small side only. Each of ``slots`` hash functions picks the item's minimum shingle, a uniform
-sample of its shingles, so a document holding a share c of them holds each pick with probability
-c; one at or above the threshold is missed with probability (1 - threshold) ** slots at most
-(below 1e-11 for 0.8 and 16). Documents are partitioned by powers of two of their shingle count,
-and an item is searched only in partitions whose largest document could hold enough of it.
-Candidates are verified by exact shingle containment, on the shingles' text.
+small side only. Each of ``slots`` hash functions picks the minimum of the half of the item's shingles that the
+fewest items share, so a phrase common to many items is no one's sample. A document that lacks at
+most a fifth of the item's shingles holds at least three fifths of that half, and each pick with that
+chance: it is missed with probability 0.4 ** slots at most (below 3e-10 for 24). Documents are
+partitioned by powers of two of their shingle count, and an item is searched only in partitions
+whose largest document could hold enough of it. Documents that hold a pick are the candidates; they
+are verified by exact shingle containment, on the shingles' text.
 
 The one pass over the documents keeps the shingles that a Bloom filter of all item shingles lets
 through. The filter has a fixed number of bits, so the broadcast is bounded whatever the size of
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, row_key, saved, unused
 
-WORDS, THRESHOLD, SLOTS = 5, 0.8, 16
+WORDS, THRESHOLD, SLOTS = 5, 0.8, 24
 FILTER_BITS = 1 << 24  # 2 MB
 # ASCII characters other than letters and digits separate words; bytes of other characters don't
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -111,16 +112,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     spark = prepare(docs.sparkSession)
     of_items = _shingles(items.filter(F.col(item_col).isNotNull()), item_col, item_text, None, size)
     of_items = of_items.select(F.col("id").alias("item_id"), "shingle", "h").distinct()
-    # the sketch: per slot the item's minimum shingle; picks = number of slots that picked it
-    slot = of_items.select("item_id", "shingle", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot"))
-    pick = (slot.groupBy("item_id", "slot")
-            .agg(F.min_by("shingle", F.struct(F.xxhash64("shingle", "slot"), "shingle")).alias("shingle"))
-            .groupBy("item_id", "shingle").agg(F.count("*").alias("picks")))
+    # the sketch: per slot the minimum of the less common half of the item's shingles
+    held_by = of_items.groupBy("shingle").agg(F.count("*").alias("n_items"))
     total = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    index = (of_items.select("item_id", "shingle").join(total, "item_id")
-             .join(pick, ["item_id", "shingle"], "left").fillna(0, ["picks"])
-             # the smallest partition in which a document can hold enough of the item
-             .withColumn("least_class", F.expr(f"cast(floor(log2(greatest(ceil(n_item * {threshold} - 1e-9), 1))) as int)")))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n_items", F.xxhash64("shingle"), "shingle"))
+    half = (of_items.join(held_by, "shingle").join(total, "item_id").withColumn("rank", rank)
+            .filter(F.col("rank") * 2 <= F.col("n_item") + 1))
+    slot = half.select("item_id", "n_item", "shingle", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot"))
+    pick = (slot.groupBy("item_id", "n_item", "slot")
+            .agg(F.min_by("shingle", F.struct(F.xxhash64("shingle", "slot"), "shingle")).alias("shingle"))
+            .select("item_id", "n_item", "shingle").distinct()
+            # the smallest partition in which a document can hold enough of the item
+            .withColumn("least_class", F.expr(f"cast(floor(log2(greatest(ceil(n_item * {threshold} - 1e-9), 1))) as int)")))
 
     bits = spark.sparkContext.broadcast(_filter_bits(of_items, filter_bits))
 
@@ -131,18 +134,23 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         return (one(a) & one(b)).astype(bool)
 
     hits = _shingles(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, keep, size)
-    hits = (hits.groupBy("id", "shingle").agg(F.max("n_shingles").alias("n"))  # repeated rows count once
-            .select("id", "shingle", F.expr("cast(floor(log2(n)) as int)").alias("class")))
-    both = hits.join(index, "shingle").filter("class >= least_class")
-    pairs = both.groupBy("id", "item_id").agg(
-        F.count("*").alias("n_found"), F.max("n_item").alias("n_item"), F.sum("picks").alias("picks"))
-    return (pairs.filter(f"picks > 0 AND n_found >= n_item * {threshold} - 1e-9")
-            .select("id", "item_id", "n_found", "n_item",
-                    (F.col("n_found") / F.col("n_item")).alias("containment")))
+    hits = saved(hits.groupBy("id", "shingle").agg(F.max("n_shingles").alias("n"))  # repeated rows count once
+                 .select("id", "shingle", F.expr("cast(floor(log2(n)) as int)").alias("class")))
+    found = (hits.join(pick, "shingle").filter("class >= least_class").select("id", "item_id", "n_item").distinct())
+    held = found.join(of_items.select("item_id", "shingle"), "item_id").join(hits.select("id", "shingle"), ["id", "shingle"])
+    return (held.groupBy("id", "item_id", "n_item").agg(F.count("*").alias("n_found"))
+            .filter(f"n_found >= n_item * {threshold} - 1e-9")
+            .select("id", "item_id", "n_found", "n_item", (F.col("n_found") / F.col("n_item")).alias("containment")))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; columns unchanged. Rows
-    with a null id can't be reported by ``leaks`` and stay."""
-    bad = leaks(docs, items, id_col, text_col, **kw).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """``docs`` without the rows that hold a benchmark item; columns unchanged.
+
+    Rows are told apart by id and text: rows that share an id are judged one by one, rows without an
+    id like any others, repeated rows alike. Null and empty texts stay; an empty table, or one without items, gives
+    back what it has.
+    """
+    key = unused(docs, "__key")
+    named = docs.withColumn(key, row_key(id_col, text_col))
+    bad = leaks(named, items, key, text_col, **kw).select(F.col("id").alias(key)).distinct()
+    return named.join(bad, key, "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, saved, text_bytes
+from .common import prepare, saved, text_bytes, unused
 
 SAMPLE = 4000  # documents the scorer is fitted on, about; a larger corpus does not raise it
 DIMS = 1 << 15
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     if not found:
         return np.zeros(dims), 0.0, {}
     post = dict(zip(patterns.tolist(), fit_labellers(patterns, n)[0].tolist()))
-    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 30)) \
+    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(7)), F.lit(1 << 30)) \
         < int((1 << 30) * min(1.0, sample / n.sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +183,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     return w, b, post
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column __quality, the scorer's probability of good."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out: str = "__quality") -> DataFrame:
+    """``docs`` with a last column ``out``, the scorer's probability of good."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     names = docs.columns
 
@@ -196,10 +196,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
                 at, value = features(t, len(w))
                 z.append(float(np.dot(w[at], value)) + const)
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*names, "__quality"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*names, out])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__quality", T.DoubleType())])
-    return docs.withColumn("__t", text_bytes(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    return docs.withColumn(unused(docs, "__t"), text_bytes(text_col)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,5 +219,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     or has no word hold nothing to reject and stay."""
     w, b, _ = fit(docs, id_col, text_col)
     no_word = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
-    return (scored(docs, (w, b), text_col)
-            .filter((F.col("__quality") >= KEEP_AT) | no_word).drop("__quality"))
+    score = unused(docs, "__quality")
+    return scored(docs, (w, b), text_col, score).filter((F.col(score) >= KEEP_AT) | no_word).drop(score)

@@ -5,9 +5,9 @@ Fingerprints link when they differ in few bits. Distinct fingerprints are embedd
 number of ones in each short bit segment: differing in d bits moves that vector by at most d
 in Manhattan distance, so the distance is a lower bound. A grid range join puts every
 fingerprint into the unit-radius cells around its vector: two fingerprints share a cell exactly
-if their vectors are within distance 2. Those left alone are done; the others are verified
-exactly on bits. Both steps are linear in the number of fingerprints: neither forms the pairs
-of a cell, so a dense ball of near copies costs no more than a sparse one.
+if their vectors are within distance 2. The pairs of a cell are verified on bits. A cell with many
+fingerprints is not paired but split on exact bit patterns, which is linear, so a dense ball of
+near copies costs no more than a sparse one.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, text_bytes
+from .common import prepare, row_key, saved, text_bytes, unused
 from .components import components
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 2
+CELL_PAIRS = 16  # cells with more fingerprints are split
 # even bit positions: the low bit of each two-bit segment
 _LOW = 0x5555555555555555
 
@@ -75,22 +76,27 @@ def _cells(fp: str) -> str:
             f"flatten(transform(sequence(0, 31), i -> {step})))))")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Star links (a, b) whose components are those of "differ in at most 2 bits".
+def links(fps: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """Links (a, b) whose components are those of "differ in at most 2 bits".
 
-    ``fps`` holds distinct longs (fp). Grid step: cells with one member only are dropped.
-    Exact step: two fingerprints differ in at most 2 bits exactly if some value is within one
-    bit of both, so each remaining fingerprint is linked, over itself and its 64 one-bit
-    neighbours, to the smallest fingerprint that shares the neighbour.
+    ``fps`` holds distinct longs (fp). Every two fingerprints of a cell are compared, if there are at
+    most ``cell_pairs``. Those of larger cells are split: two differ in at most 2 bits exactly if some
+    value is within one bit of both, so each is linked, over itself and its 64 one-bit neighbours,
+    to the smallest of these cells' fingerprints that shares the neighbour.
     """
     at = fps.select("fp", F.explode(F.expr(_cells("fp"))).alias("cell"))
-    crowded = at.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    near = saved(at.join(crowded.select("cell"), "cell", "left_semi").select("fp").distinct())
-    mid = near.select("fp", F.explode(F.expr(
+    crowded = at.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    near = saved(at.join(crowded, "cell"))
+    few = near.filter(F.col("n") <= cell_pairs)
+    pairs = (few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell")
+             .filter("b < a AND bit_count(a ^ b) <= 2").select("a", "b"))
+    dense = near.filter(F.col("n") > cell_pairs).select("fp").distinct()
+    mid = dense.select("fp", F.explode(F.expr(
         "concat(array(fp), transform(sequence(0, 63), i -> fp ^ (1L << i)))")).alias("mid"))
     rep = mid.groupBy("mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi")
-    return (mid.join(rep, "mid").filter("fp <> lo AND bit_count(fp ^ lo) <= 2")
-            .select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct())
+    stars = (mid.join(rep, "mid").filter("fp <> lo AND bit_count(fp ^ lo) <= 2")
+             .select(F.col("fp").alias("a"), F.col("lo").alias("b")))
+    return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -104,29 +110,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives no rows.
     """
     fps = saved(fingerprints(docs, id_col, text_col, shingle_words))
+    named = _components(fps)
+    low = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return (fps.join(named.join(low, "root").select("fp", "component_id"), "fp")
+            .select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, first_id, root): the distinct fingerprints, their smallest id, and their component."""
     # each fingerprint makes some 50 cells: without a number of its own, this small table would be
     # gathered into a few large tasks
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = saved(fps.groupBy("fp").agg(F.min("id").alias("first_id")).repartition(n, "fp"))
     comp = components(links(first.select("fp")))
-    named = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
-        .withColumn("root", F.coalesce("root", "fp"))
-    low = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return (fps.join(named.join(low, "root").select("fp", "component_id"), "fp")
-            .select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return (first.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+            .withColumn("root", F.coalesce("root", "fp")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group left (the smallest id), columns unchanged.
+    """``docs`` with one row of each group left, columns unchanged: the one with the smallest id, of
+    several texts under it the one whose hash is smallest; rows without an id come last.
 
-    Rows that share an id are one document: the row with the smallest text stays. Rows with a
-    null id can't be named by a group and all stay.
+    Rows are told apart by id and text, so rows that share an id are documents of their own and rows
+    without an id are compared like any others. Of rows equal in both, one stays. Null and empty
+    texts are one group; an empty table gives no rows.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    dup = saved(near_duplicates(named, id_col, text_col))
-    lead = dup.filter("id = component_id").groupBy("id").agg(F.count("*").alias("n"))
-    one = named.join(lead.filter("n = 1").select(F.col("id").alias(id_col)), id_col, "left_semi")
-    again = named.join(lead.filter("n > 1").select(F.col("id").alias(id_col)), id_col, "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    again = again.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
-    return one.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"))
+                       .alias("k"), F.col(text_col).alias("t"))
+    fps = saved(fingerprints(rows, "k", "t"))
+    named = _components(fps)
+    lead = saved(named.groupBy("root").agg(F.min("first_id").alias("k")).select("k.key"))
+    # rows equal in id and text: one of them
+    n = fps.select("id.key").join(lead, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    key, rank = unused(docs, "__key"), unused(docs, "__rank")
+    lead = saved(n.withColumnRenamed("key", key).withColumnRenamed("n", rank))
+    mine = docs.withColumn(key, row_key(id_col, text_col))
+    one = mine.join(lead.filter(F.col(rank) == 1).select(key), key, "left_semi")
+    again = mine.join(lead.filter(F.col(rank) > 1).select(key), key, "left_semi")
+    again = again.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(rank) == 1)
+    return one.select(*docs.columns).unionByName(again.select(*docs.columns))
