@@ -282,8 +282,8 @@ def test_no_language_is_lost_from_the_sample(docs):
     assert model.labels == sorted({r[2] for r in rows})
 
 
-def _brute_disclosed(rows):
-    """(id, text) -> disclosed terms, by the formula over whole distinct documents; near and shared candidates."""
+def _brute_disclosed(rows, far):
+    """(id, text) -> disclosed terms, by the formula over whole distinct documents."""
     docs = {(d, t) for d, t in rows if t}
     n = len(docs | {(d, t or "") for d, t in rows})
     terms = {k: {m.group().lower() for m in pii._TERM.finditer(k[1])
@@ -297,12 +297,13 @@ def _brute_disclosed(rows):
     c_all = collections.Counter((e, t) for k in docs for e in ents[k] for t in every[k])
     out = {}
     for k in docs:
-        out[k] = {t for e in ents[k] for t in terms[k] if (c[e, t] > 1 or (e, t) in near)
+        out[k] = {t for e in ents[k] for t in terms[k] if (far and c[e, t] > 1 or (e, t) in near)
                   and min(1, math.log((c_all[e, t] - pii.DISCOUNT) * n / (df[t] * df_e[e])) / max(math.log(n / df_e[e]), 1e-9)) >= pii.THRESHOLD}
     return out
 
 
-def test_disclosing_terms_equal_brute_force_pmi(docs):
+@pytest.mark.parametrize("far", [False, True])
+def test_disclosing_terms_equal_brute_force_pmi(docs, far):
     rng = random.Random(12)
     vocab = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(300)]
@@ -310,8 +311,8 @@ def test_disclosing_terms_equal_brute_force_pmi(docs):
         who = i % 9
         rows.append((1000 + i, f"name{who} {' '.join(rng.choices(vocab, k=30 + 3 * i))} p{who}@mail.example.org {' '.join(rng.choices(vocab, k=30))}"))
     rows += rows[300:312] * 2 + [(1, None), (None, rows[301][1])]  # copies change nothing
-    want = _brute_disclosed(rows)
-    got = pii.report(docs(rows, clash=True)).collect()
+    want = _brute_disclosed(rows, far)
+    got = pii.report(docs(rows, clash=True), far=far).collect()
     text = {}
     for d, t in rows:
         text.setdefault(d, set()).add(t)
@@ -323,12 +324,12 @@ def test_disclosing_terms_equal_brute_force_pmi(docs):
         assert not marked and not any(options) or any(w == o for w, o in zip(words, [want.get((r.id, t), set()) for t in text[r.id] if t]))
         seen += bool(marked)
     assert seen > 30
-    assert {f"name{k}" for k in range(9)} <= set().union(*want.values())
+    assert ({f"name{k}" for k in range(9)} <= set().union(*want.values())) == far
 
 
 def test_a_name_far_from_its_address_is_marked(docs):
     filler = "water stone river cloud " * 12
     rows = [(i, filler) for i in range(300)]
     rows += [(500 + i, f"Zephyrine {filler * (1 + i % 5)} ann@mail.example.org") for i in range(20)]
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows), far=True).collect()}
     assert all("zephyrine" not in clean[500 + i].lower() and "water" in clean[500 + i] for i in range(20))
