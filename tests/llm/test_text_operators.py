@@ -309,7 +309,7 @@ def test_disclosing_terms_equal_brute_force_pmi(docs, far):
     rows = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(300)]
     for i in range(40):  # names far from their address, in several documents
         who = i % 9
-        rows.append((1000 + i, f"name{who} {' '.join(rng.choices(vocab, k=30 + 3 * i))} p{who}@mail.example.org {' '.join(rng.choices(vocab, k=30))}"))
+        rows.append((1000 + i, f"name{who} {' '.join(rng.choices(vocab, k=30 + 3 * i))} near{who} p{who}@mail.example.org {' '.join(rng.choices(vocab, k=30))}"))
     rows += rows[300:312] * 2 + [(1, None), (None, rows[301][1])]  # copies change nothing
     want = _brute_disclosed(rows, far)
     got = pii.report(docs(rows, clash=True), far=far).collect()
