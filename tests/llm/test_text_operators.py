@@ -32,6 +32,66 @@ def test_kneser_ney_probabilities_sum_to_one(spark, docs):
         assert (np.abs(total - 1) < 0.02).all(), (context, total)
 
 
+def plain_kneser_ney(texts, alphabet, order=4):
+    """p(character | history) of one language, by dictionaries of whole n-grams."""
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for t in texts:
+        for i in range(1, len(t)):
+            for n in range(1, min(order, i + 1) + 1):
+                counts[n][t[i + 1 - n:i + 1]] += 1
+    shares, weights = [{}], [{}]
+    for n in range(1, order + 1):
+        c = counts[n]
+        if n < order:  # distinct characters before
+            before = collections.Counter(g[1:] for g in counts[n + 1])
+            c = {g: max(before[g], 1) for g in counts[n]}
+        n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, x in c.items():
+            total[g[:-1]] += x
+            kinds[g[:-1]] += 1
+        shares.append({g: (x - d) / total[g[:-1]] for g, x in c.items()})
+        weights.append({ctx: d * kinds[ctx] / total[ctx] for ctx in total})
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        n = len(gram)
+        return shares[n].get(gram, 0.0) + weights[n].get(gram[:-1], 1.0) * p(gram[1:])
+    return p
+
+
+def test_model_equals_plain_kneser_ney(spark, docs):
+    rng = random.Random(11)
+    vocabulary = {"en": "the river bridge of stone and water was old".split(),
+                  "fr": "le pont de pierre sur la rivière était très vieux".split(), "xx": "abba baab zzz aabb".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(12)), x) for i, x in
+            enumerate(rng.choice(sorted(vocabulary)) for _ in range(90))]
+    df = docs(rows)
+    # the same tenth calibrates and stays out
+    ids = df.select("doc_id", "lang", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("t")).withColumn(
+        "draw", F.pmod(F.xxhash64("id", "t", F.lit(11)), F.lit(1 << 30))).withColumn(
+        "held", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(10)) == 0).collect()
+    least = {x: min(r.draw for r in ids if r.lang == x) for x in vocabulary}
+    used = {r.doc_id for r in ids if not r.held or r.draw == least[r.lang]}
+    assert len(used) < len(rows)
+    plain = lambda t: " " + re.sub(r"[\W\d_]+", " ", t.lower() + " ")
+    texts = {x: [plain(t) for i, t, lang in rows if i in used and lang == x] for x in vocabulary}
+    alphabet = len({c for ts in texts.values() for t in ts for c in t[1:]}) + 1
+    models = {x: plain_kneser_ney(ts, alphabet) for x, ts in texts.items()}
+    model = langid.fit(df)
+    assert model.labels == sorted(vocabulary)
+    for t in [rows[0][1], rows[1][1], "The old pont, 7 zebras & a rivière", "q", "ab"]:
+        own = plain(t)
+        for label, h in zip(model.labels, model.cross_entropy(t)):
+            p = [models[label](own[max(i - 3, 0):i + 1]) for i in range(1, len(own))]
+            assert abs(h + sum(map(math.log, p)) / len(p)) < 1e-4, (t, label)
+    right = {i: min(models, key=lambda x: (-sum(math.log(models[x](plain(t)[max(k - 3, 0):k + 1]))
+                                                for k in range(1, len(plain(t)))), x)) for i, t, _ in rows}
+    assert {r.id: r.lang_pred for r in langid.predict(df, model).collect()} == right
+
+
 def test_long_texts_score_like_their_blocks(docs, monkeypatch):
     model = langid.fit(docs([(i, "a quiet river runs below the old bridge", "en") for i in range(20)]))
     text = "the river and the bridge " * 200
@@ -144,6 +204,60 @@ def test_em_recovers_labellers():
     assert ((post[inverse] >= 0.5) == good).mean() > 0.99
 
 
+def plain_em(votes, rounds=200):
+    """Posterior of good per document, one document after the other."""
+    post = [0.1 if 1 in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        mass = [sum(1 - p for p in post), sum(post)]
+        chance = [[[(sum((p if c else 1 - p) for v, p in zip(votes, post) if v[k] == x) + 0.5) / (mass[c] + 1.5)
+                    for x in range(3)] for k in range(quality.N_LABELLERS)] for c in (0, 1)]
+        prior = (mass[1] + 1) / (len(votes) + 2)
+        new = []
+        for v in votes:
+            ll = [sum(math.log(chance[c][k][x]) for k, x in enumerate(v) if x) for c in (0, 1)]
+            new.append(1 / (1 + math.exp(max(-50, min(50, math.log(1 - prior) - math.log(prior) + ll[0] - ll[1])))))
+        done = max(abs(x - y) for x, y in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    return post
+
+
+def plain_scores(x, target, rounds=300):
+    """Logistic regression on a dense matrix by Adam: the probability of good per row."""
+    share = min(max(target.mean(), 0.01), 0.99)
+    weight = target / share + (1 - target) / (1 - share)
+    x, ridge = np.hstack([x, np.ones((len(x), 1))]), np.full(x.shape[1] + 1, 1e-4)
+    ridge[-1] = 0
+    w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(1, rounds + 1):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - target) * weight / weight.sum()) + ridge * w
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        w = w - 0.2 * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-6)
+    return 1 / (1 + np.exp(-x @ w))
+
+
+def test_quality_equals_plain_em_and_scorer(docs):
+    rng = random.Random(2)
+    good = "a quiet river ran below the old stone bridge in winter and the mountain was white with snow".split()
+    rows = [(i, " ".join(rng.choice(good) for _ in range(40))) for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choice(["BUY", "NOW!!!", "$$$", "|", "click", "x9#z"]) for _ in range(40))) for i in range(12)]
+    texts = [t.encode() for _, t in rows]
+    votes = [quality.votes(t) for t in texts]
+    post = plain_em(votes)
+    weights = 3 ** np.arange(quality.N_LABELLERS)
+    pattern, inverse, n = np.unique(np.array(votes) @ weights, return_inverse=True, return_counts=True)
+    assert np.abs(quality.fit_labellers(pattern, n.astype(float))[0][inverse] - post).max() < 1e-6
+    x = np.zeros((len(rows), quality.DIMS))
+    for k, t in enumerate(texts):
+        np.add.at(x[k], *quality.features(t))
+    exp = plain_scores(x, np.array(post))
+    got = {r.id: r for r in quality.classify(docs(rows)).collect()}
+    for (i, _), p in zip(rows, exp):
+        assert abs(got[i].score - p) < 5e-3 and (abs(p - quality.KEEP_AT) < 5e-3 or got[i].keep == (p >= quality.KEEP_AT))
+    assert all(got[i].keep == (i < 100) for i, _ in rows)
+
+
 def test_quality_on_labelled_documents(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     lab = spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
@@ -223,6 +337,23 @@ def test_estimated_counts_and_score(docs):
     assert empty.n_known == 0 and empty.train_tokens == 0 and math.isfinite(empty.score) and math.isfinite(empty.base_score)
 
 
+def test_the_filters_bound_holds_for_many_segments(docs, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(100))) for i in range(40)]
+    whole = {r.id: r for r in lmscore.score(docs(rows), lmscore.fit(docs(rows))).collect()}
+    monkeypatch.setattr(lmscore, "SEGMENT_TEXT", 4)  # as if there were terabytes of text
+    small = lmscore.fit(docs(rows), max_bits=1 << 13)
+    assert len(small["filter"]) <= (1 << 13) // 8 and small["power"] == 7
+    monkeypatch.setattr(lmscore, "MAX_POWER", 5)
+    model = lmscore.fit(docs(rows))
+    assert model["power"] == 5 and model["tokens"] == 40 * 101
+    for r in lmscore.score(docs(rows), model).collect():
+        assert (r.n_tokens, r.n_known) == (101, 101) and abs(r.base_score - whole[r.id].base_score) < 1e-6
+        assert abs(r.score - whole[r.id].score) < 0.02 * abs(r.score)  # false hits of the filter differ
+    with pytest.raises(ValueError):
+        lmscore.fit(docs(rows), max_bits=512)
+
+
 @pytest.mark.parametrize("max_bits,frequent", [(1 << 29, 1 << 19), (1 << 13, 1 << 19), (1 << 13, 4)])
 def test_no_ngram_is_lost_to_the_filters_bound(docs, monkeypatch, max_bits, frequent):
     monkeypatch.setattr(lmscore, "FREQUENT", frequent)

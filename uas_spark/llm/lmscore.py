@@ -35,6 +35,7 @@ BITS_PER_KEY, PROBES = 12, 6
 FREQUENT = 1 << 19
 PRIOR = 100.0  # weight of the unigram model against a context's own counts
 SEGMENT_TEXT = 4 << 20  # bytes of text a segment stands for
+MAX_POWER = 20  # segments are at most 2 ** MAX_POWER; more text makes them larger instead
 _FLUSH = 2_000_000  # tokens
 _END = np.uint64(xxhash.xxh64_intdigest(b" "))  # the end token: no word holds a blank
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -180,33 +181,39 @@ def _unigrams(segments: DataFrame, level: int, frequent: bool) -> DataFrame:
 
 def fit(train: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS) -> dict:
     """Count every text of ``train`` and build the filter. The result's arrays are bounded by
-    ``max_bits`` and ``FREQUENT``; its "rare" is a DataFrame (h, c) of the other words, its "tail"
-    one of the segments' bigrams that are not in the filter."""
+    ``max_bits`` (at least 1,024: a segment takes a word of 64 bits), ``MAX_POWER`` and ``FREQUENT``;
+    its "rare" is a DataFrame (h, c) of the other words, its "tail" one of the segments' bigrams that
+    are not in the filter. The driver gets a segment's piece of the filter, and sums over all segments."""
+    if max_bits < 1 << 10:
+        raise ValueError("a filter takes 1,024 bits at least")
     spark = prepare(train.sparkSession)
     texts = train.select(text_bytes(text_col).alias("t"))
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    power = max(4, int(np.ceil(np.log2(max(size / SEGMENT_TEXT, 1)))))
+    wanted = int(np.ceil(np.log2(max(size / SEGMENT_TEXT, 1))))
+    power = max(4, min(wanted, MAX_POWER, (max_bits >> 6).bit_length() - 1))
     most = max_bits >> power
     segments = saved(_counts(texts, 64 - power).groupBy("seg").applyInArrow(
         lambda t: _segment(t, most),
         "seg int, low int, bits long, filter binary, tail binary, tail_high binary, tail_level binary, keys binary, counts binary, tokens long, words long, "
         "by_level array<long>"))
-    got = segments.select("seg", "low", "bits", "filter", "tokens", "words", "by_level").toArrow().to_pylist()
-    by = {r["seg"]: r for r in got}
-    levels = np.sum([r["by_level"] for r in got], axis=0) if got else np.zeros(_LEVELS, int)
+    got = segments.select("seg", "low", "bits", "filter").toArrow()
+    tokens, n_words, *levels = segments.agg(F.sum("tokens"), F.sum("words"), *[
+        F.sum(F.col("by_level")[k]) for k in range(_LEVELS)]).first()
+    levels = np.array([x or 0 for x in levels])
     at_least = np.cumsum(levels[::-1])[::-1]  # words of each level or more
     level = int(np.argmax(at_least <= FREQUENT))
     top = _unigrams(segments, level, True).toArrow()
     h, c = top.column("h").to_numpy().view("<u8"), top.column("c").to_numpy()
     order = np.argsort(h)
-    empty = {"low": 1, "bits": 64, "filter": bytes(8)}
-    parts = [by.get(s, empty) for s in range(1 << power)]
-    size = np.array([p["bits"] for p in parts], np.int64)
-    return {"power": power, "low": np.array([p["low"] for p in parts]), "bits": size,
-            "first": np.concatenate([[0], np.cumsum(size // 8)[:-1]]),
-            "filter": np.frombuffer(b"".join(p["filter"] for p in parts), np.uint8),
-            "h": h[order], "c": c[order], "tokens": sum(r["tokens"] for r in got),
-            "words": sum(r["words"] for r in got), "rare": _unigrams(segments, level, False),
+    seg, n = got.column("seg").to_numpy(), 1 << power
+    low, bits, parts = np.ones(n, np.int64), np.full(n, 64, np.int64), [bytes(8)] * n  # as without a key
+    low[seg], bits[seg] = got.column("low").to_numpy(), got.column("bits").to_numpy()
+    for k, part in zip(seg.tolist(), got.column("filter")):
+        parts[k] = part.as_py()
+    return {"power": power, "low": low, "bits": bits, "first": np.concatenate([[0], np.cumsum(bits // 8)[:-1]]),
+            "filter": np.frombuffer(b"".join(parts), np.uint8),
+            "h": h[order], "c": c[order], "tokens": tokens or 0, "words": n_words or 0,
+            "rare": _unigrams(segments, level, False),
             "tail": segments.select("seg", "tail", "tail_high", "tail_level")}
 
 
