@@ -417,6 +417,41 @@ def test_keyed_append_reads_the_batch_dates_only(spark, tmp_path):
     assert listed and all("recorded_date" in x and "2026-01-04" in x for x in listed)
 
 
+def test_small_batches_skip_row_groups_without_their_ids(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from uas_spark.sources import sinks
+    table, n = str(tmp_path / "t"), 20000
+    rows = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("report_id"), F.timestamp_seconds(
+        F.lit(1_767_225_600) + F.col("id") % 7200).alias("recorded_at"), F.lit(0).alias("v"))
+    for part in range(5):
+        sinks.append_time_partitioned(rows.filter(F.pmod(F.xxhash64("report_id", F.lit(part)), F.lit(5)) == part), table)
+    assert max(map(os.path.getsize, glob.glob(table + "/*/*.parquet"))) < 1 << 18  # no filter of a megabyte each
+    stored = spark.read.parquet(table)
+    total = stored.count()
+
+    def read(batch):
+        found = ingest.touched(stored, batch, "recorded_date", "recorded_at", "report_id")
+        found.collect()
+        return found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    fresh = rows.limit(300).withColumn("report_id", F.concat("report_id", F.lit("x"))).persist()
+    assert read(fresh) < total * 0.2  # 300 new ids: nearly every row group is skipped
+    again = stored.drop("recorded_date").limit(1)
+    assert 0 < read(again) < total * 0.6  # a retry reads the group that holds it
+    mixed = fresh.unionByName(stored.drop("recorded_date").limit(40)).withColumn("v", F.lit(1))
+    odd = mixed.unionByName(mixed.limit(1).withColumn("report_id", F.lit(None).cast("string")))
+    few = {tuple(r) for r in ingest.dedup_append(stored, odd).collect()}
+    monkeypatch.setattr(ingest, "touched", lambda s, b, part, at, _: ingest.touched_days(s, b, part, at))
+    assert few == {tuple(r) for r in ingest.dedup_append(stored, odd).collect()} and len(few) == 301
+    monkeypatch.undo()
+    assert read(rows) == total  # a batch beyond LOOKUP_ROWS is compared by its dates alone
+    assert read(rows.limit(0)) == 0 and ingest.dedup_append(stored, rows.limit(0)).count() == 0
+
+
 def test_registration_probe_overlap(spark):
     rng = random.Random(3)
     stored = [(f"r{i}", f"S{i % 3}", "o", _day(a := rng.randint(0, 300)), _day(a + rng.randint(0, 20)), i) for i in range(40)]

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSITION_KEY = ["recorded_at", "report_id"]
+# A batch of at most so many rows (a micro-batch, a client's retry) is looked up by its ids.
+LOOKUP_ROWS = 1000
 
 
 def first_arrival(batch: DataFrame, key: list[str], arrival: list) -> DataFrame:
@@ -31,18 +33,35 @@ def touched_days(stored: DataFrame, batch: DataFrame, partition_col: str, ts_col
     return stored.filter(F.col(partition_col).isin(days)) if days else stored.filter(F.lit(False))
 
 
+def touched(stored: DataFrame, batch: DataFrame, partition_col: str, ts_col: str, id_col: str,
+            most: int = LOOKUP_ROWS) -> DataFrame:
+    """The rows of ``stored`` that can share a key with ``batch``: of its dates and, where it has at most
+    ``most`` rows, of its ids. Those are literal filters, so the scan skips the other partitions, and the
+    row groups whose Bloom filter (``sinks.append_time_partitioned``) has none of the ids; the join that
+    follows is exact either way. At most ``most + 1`` rows come to the driver."""
+    few = batch.select(F.to_date(F.col(ts_col)), F.col(id_col)).head(most + 1)
+    if len(few) > most:
+        return touched_days(stored, batch, partition_col, ts_col)
+    days, ids = ({r[k] for r in few if r[k] is not None} for k in (0, 1))
+    if not days or not ids:
+        return stored.filter(F.lit(False))
+    return stored.filter(F.col(partition_col).isin(list(days)) & F.col(id_col).isin(sorted(ids)))
+
+
 def dedup_append(stored: DataFrame, batch: DataFrame, key: list[str] = POSITION_KEY,
                  arrival: list | None = None, ts_col: str = "recorded_at",
-                 partition_col: str = "recorded_date") -> DataFrame:
+                 partition_col: str = "recorded_date", id_col: str = "report_id") -> DataFrame:
     """M1/M2/M3: rows of ``batch`` whose key is neither stored nor earlier in the batch.
 
     ``arrival`` orders the batch (default: its columns). A ``stored`` table that is partitioned
-    by ``partition_col`` is read in the batch's dates only: the key holds the instant, so an
-    equal key lies in an equal partition.
+    by ``partition_col`` is read in the batch's dates only (the key holds the instant, so an
+    equal key lies in an equal partition), and for a small batch in the row groups that may hold
+    its ids (``touched``).
     """
     new = first_arrival(batch, key, arrival or [F.col(c) for c in batch.columns])
     if partition_col in stored.columns:
-        stored = touched_days(stored, batch, partition_col, ts_col)
+        stored = (touched(stored, batch, partition_col, ts_col, id_col) if id_col in key
+                  else touched_days(stored, batch, partition_col, ts_col))
     return new.join(stored.select(*key), key, "left_anti")
 
 
