@@ -155,3 +155,53 @@ def test_world_sized_search_box(spark):
     boxes = boxes.select("box_id", geo.normalize_box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("box"))
     got = sorted(r.box_id for r in spatial.intersecting_authorizations(auths, boxes).collect())
     assert got == ["near", "world"]
+
+
+def _first_join(df):
+    """The keys of the join nearest to the result."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return next(line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_candidates_are_tested_where_they_meet(spark):
+    probes = spark.createDataFrame([("hit", 47.62, -122.41, dt.datetime(2026, 8, 1, 15))],
+                                   "probe_id string, lat double, lon double, at timestamp")
+    boxes = _box(spark, [("b", 47.6, -122.5, 47.7, -122.4, 1.0)])
+    slanted = _auths(spark).withColumn("area", F.expr("array(slice(area[0], 1, 3) || slice(area[0], 1, 1))"))
+    for auths in (_auths(spark), slanted):
+        points = spatial.covering_authorizations(auths, probes, "at")
+        boxed = spatial.intersecting_authorizations(auths, boxes)
+        for got in (points, boxed):  # no join of the candidate pairs with the shapes
+            join = _first_join(got)
+            assert "g_cx" in join and "a_authorization_id" not in join, join
+        assert boxed.count() == 1
+    many = _auths(spark).withColumn("area", F.expr(
+        "array(slice(area[0], 1, 1) || transform(sequence(1, 20), i -> named_struct('lon', area[0][0].lon + i / 1100D, "
+        "'lat', area[0][0].lat)) || slice(area[0], 3, 3))"))
+    assert spatial.intersecting_authorizations(many, boxes).count() == 1
+
+
+def test_sensor_cells_within_the_radius(spark):
+    sensors = spark.createDataFrame([("s", 47.5, 179.99, 5000.0), ("t", 47.5, -122.5, 3000.0)],
+                                    "sensor_id string, latitude double, longitude double, sensing_radius_meters double")
+    rows = [(f"{i}-{j}-{x}", 47.45 + i / 200, x - 0.05 + j / 200) for i in range(21) for j in range(21) for x in (-122.5, -180.0, 179.99)]
+    pos = spark.createDataFrame(rows, "report_id string, latitude double, longitude double")
+    every = sensors.selectExpr("sensor_id", "latitude a", "longitude b", "sensing_radius_meters r").crossJoin(pos)
+    want = every.filter(geo.haversine_m(F.col("a"), F.col("b"), F.col("latitude"), F.col("longitude")) <= F.col("r"))
+    want = sorted((r.sensor_id, r.report_id) for r in want.filter("abs(longitude) <= 180").collect())
+    got = sorted((r.s_sensor_id, r.report_id) for r in spatial.sensor_coverage(sensors, pos.filter("abs(longitude) <= 180")).collect())
+    assert got == want and len(got) > 100
+
+
+def test_buckets_follow_how_often_zones_report(spark):
+    start = dt.datetime(2026, 8, 1)
+    zones = spark.createDataFrame([(f"r{i}", "z", start + dt.timedelta(seconds=10 * i)) for i in range(360)],
+                                  "report_id string, zone_id string, recorded_at timestamp")
+    zones = zones.withColumn("state", F.lit("good")).withColumn("ingested_at", F.col("recorded_at"))
+    zones = zones.withColumn("rings", geo.box_rings(*[F.lit(v) for v in SQ]))
+    pos = spark.createDataFrame([(f"p{i}", start + dt.timedelta(seconds=10 * i + 5), 47.62, -122.41) for i in range(360)],
+                                "report_id string, recorded_at timestamp, latitude double, longitude double")
+    out = spatial.join_positions_zone_current(pos, zones)
+    assert sorted((r.report_id, r.z_report_id) for r in out.collect()) == sorted((f"p{i}", f"r{i}") for i in range(360))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "1.0E7" in plan and "3.6E9" not in plan  # buckets of ten seconds, not of an hour
