@@ -464,3 +464,32 @@ def test_a_name_far_from_its_address_is_marked(docs):
     rows += [(500 + i, f"Zephyrine {filler * (1 + i % 5)} ann@mail.example.org") for i in range(20)]
     clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows), far=True).collect()}
     assert all("zephyrine" not in clean[500 + i].lower() and "water" in clean[500 + i] for i in range(20))
+
+
+def test_candidates_come_from_whole_documents(docs):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(300)]
+    for i in range(40):  # names far from their addresses, some in one document only
+        who = i % 25
+        rows.append((1000 + i, f"name{who} {' '.join(rng.choices(vocab, k=30 + 3 * i))} p{who}@mail.example.org q{i}@mail.example.org 10.0.{who}.7"))
+    rows += rows[300:312] * 2 + [(1, None), (None, rows[301][1])]  # copies change nothing
+    texts = {(d, t) for d, t in rows if t}
+    n = len(texts | {(d, t or "") for d, t in rows})
+    every = {k: {m.group().lower() for m in pii._TERM.finditer(k[1])} for k in texts}
+    ents = {k: {pii._entity(kind, k[1][s:e]) for kind, s, e in pii.base_spans(k[1])} for k in texts}
+    df = collections.Counter(t for k in texts for t in every[k])
+    df_e = collections.Counter(e for k in texts for e in ents[k])
+    c = collections.Counter((e, t) for k in texts for e in ents[k] for t in every[k])
+    tells = lambda e, t: math.log((c[e, t] - pii.DISCOUNT) * n / (df[t] * df_e[e])) >= pii.THRESHOLD * math.log(n / df_e[e])
+    want = {}
+    for k in texts:
+        free = [m.group().lower() for m in pii._TERM.finditer(k[1])
+                if not any(s < m.end() and m.start() < e for _, s, e in pii.base_spans(k[1]))]
+        want[k] = {t for t in free if any(tells(e, t) for e in ents[k])}
+    got = pii.report(docs(rows)).collect()
+    for r in got:
+        marked = [x.split(":") for x in r.spans.split(",") if x.startswith("term:")]
+        options = [(want[k], {k[1][int(a):int(b)].lower() for _, a, b in marked}) for k in texts if k[0] == r.id]
+        assert any(w == g for w, g in options) if options else not marked
+    assert len(got) == len(rows) and {f"name{k}" for k in range(25)} <= set().union(*want.values())

@@ -9,10 +9,11 @@ read a tenth of a document lower (a continuity correction) rather than cut: a te
 
     log(N (c(t, e) - 1/10) / (df(t) df(e))) >= threshold * IC(e),
 
-which a single document can reach in a corpus of any size but a few documents. Candidates are the
-terms that stand near e somewhere; with ``far``, also those that stand with e, however far, in two
-documents or more. Each is counted over whole documents. A term that discloses e is marked
-wherever it occurs in a document with e: removed if it reveals nearly everything, else generalised.
+which a single document can reach in a corpus of any size but a few documents. Candidates are all
+terms of the documents with e, wherever they stand (``far=False``: only those that stand near e
+somewhere; ``far=True``: these and the ones that stand with e in two documents or more). Each is counted
+over whole documents. A term that discloses e is marked wherever it occurs in a document with e:
+removed if it reveals nearly everything, else generalised.
 """
 
 from __future__ import annotations
@@ -222,6 +223,63 @@ def _document_counts(docs: DataFrame, terms: DataFrame, extra: DataFrame | None,
     return seen.groupBy("term").agg(F.sum("n").alias("df")).join(terms, "term", "left_semi")
 
 
+def _all_counts(docs: DataFrame, extra: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """(term, df): in how many distinct documents each term occurs that some document with an entity
+    holds. One pass over every text; ``extra`` as for ``_document_counts``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(n: Counter, held: set) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()),
+                                               pa.array([t in held for t in n], pa.bool_())], ["term", "n", "held"])
+        n, held = Counter(), set()
+        for b in batches:
+            for text, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {w.lower() for w in set(_TERM.findall(text))}
+                for term in own:
+                    n[term] += more
+                if base_spans(text):
+                    held |= own
+            if len(n) > 100_000:
+                yield flush(n, held)
+                n, held = Counter(), set()
+        yield flush(n, held)
+
+    texts = docs.select(text_or_empty(text_col).alias("t"), F.lit(1).alias("more"))
+    if extra is not None:
+        again = _source(docs, id_col, text_col).select(_key(), "t").join(extra, "d").dropDuplicates(["d"])
+        texts = texts.unionByName(again.select("t", (-F.col("more")).cast("int").alias("more")))
+    seen = texts.mapInArrow(run, "term string, n long, held boolean")
+    return seen.groupBy("term").agg(F.sum("n").alias("df"), F.bool_or("held").alias("held")).filter("held").drop("held")
+
+
+def _disclosing_whole(docs: DataFrame, held: DataFrame, extra: DataFrame | None, n: int,
+                      id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``disclosing`` with all terms of whole documents as candidates.
+
+    Entities of the same documents have the same shares, so one of them stands for all: a document of many
+    addresses that no other has pairs its terms once. What ``df`` and ``df_e`` alone rule out is not paired.
+    """
+    def share(c: str) -> Column:
+        value = F.expr(f"ln(({c} - {DISCOUNT}D) * {n}D / (df * df_e)) / greatest(ln({n}D / df_e), 1e-9)")
+        return F.least(value, F.lit(1.0))
+
+    of = held.groupBy("entity").agg(F.count("*").alias("df_e"), F.expr("bit_xor(xxhash64(d))").alias("x"),
+                                    F.expr("bit_xor(xxhash64(d, 1))").alias("y"))
+    of = saved(of.groupBy("df_e", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "df_e"))
+    held = saved(held.join(of, "entity"))
+    sizes = of.select("df_e").distinct().agg(F.max("df_e")).first()[0] or 1
+    # c is at most df and df_e, and the most documents a term can have rises with df_e
+    most = (sizes - DISCOUNT) * n / sizes / (n / sizes) ** threshold if n else 0
+    counts = saved(_all_counts(docs, extra, id_col, text_col).filter(F.col("df") <= most * (1 + 1e-9) + 1))
+    both = saved(_occurrences(docs, counts.select("term"), id_col, text_col).join(counts, "term"))
+    pairs = both.select("d", "term", "df").join(held, "d").filter(share("least(df, df_e)") >= threshold)
+    told = (pairs.groupBy("entity", "term", "df", "df_e").agg(F.count("*").alias("c"))
+            .withColumn("share", share("c")).filter(F.col("share") >= threshold).select("entity", "term", "share"))
+    # of the entities that a term discloses in a document, the one it tells most of
+    found = (held.select("d", "entity").join(told, "entity").groupBy("d", "term")
+             .agg(F.max(F.struct("share", "entity")).alias("m")))
+    return both.select("d", "term", "at").join(found, ["d", "term"]).select("d", "m.entity", "term", "at", "m.share")
+
+
 def _occurrences(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, term, at) for the rows of ``docs`` with an entity: which of ``terms`` they hold, and
     where outside entities."""
@@ -276,15 +334,19 @@ def _shared_terms(docs: DataFrame, held: DataFrame, of_entity: DataFrame, id_col
     return found.groupBy("entity", "term").agg(F.sum("n").alias("n")).filter("n > 1").select("entity", "term")
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, threshold: float, far: bool = False) -> DataFrame:
+def disclosing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, threshold: float,
+               far: bool | None = None) -> DataFrame:
     """(d, entity, term, at, share): the terms that disclose an entity in each document that holds
-    both, with their places there and discounted PMI / IC."""
+    both, with their places there and discounted PMI / IC. By default terms anywhere in a document with the
+    entity are candidates, and the entity is the one that the term tells most of."""
     held = rows.select(_key(), F.explode("entities").alias("entity")).distinct()
     of_entity = held.groupBy("entity").agg(F.count("*").alias("df_e"))
     # rows of one id and text are one document in c, df(e), df(t) and N
     again = saved(rows.groupBy(_key()).agg((F.count("*") - 1).alias("more")).filter("more > 0"))
     more = again.agg(F.sum("more")).first()[0] or 0
     n = rows.count() - more
+    if far is None:
+        return _disclosing_whole(docs, held, again if more else None, n, id_col, text_col, threshold)
     near = rows.select(F.inline("near"))
     if far:
         near = near.unionByName(_shared_terms(docs, held, of_entity, id_col, text_col))
@@ -306,14 +368,14 @@ def disclosing(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, thr
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-         far: bool = False) -> DataFrame:
+         far: bool | None = None) -> DataFrame:
     """(id, tk, base, extra) per row of ``docs``.
 
     ``base`` holds the pattern spans "kind:start:end" by kind, then start; ``extra`` the spans
     (start, end, share) of terms that disclose an entity of the same row. Null and empty texts
     have none; repeated rows each get their spans; other columns are ignored; an empty table
-    gives no rows. ``far`` takes candidates from whole documents too; where a document with an entity
-    has near copies, all its rare words stand with the entity in several documents, and are marked.
+    gives no rows. Candidates come from whole documents, whatever their distance to the entity, so the rare
+    words of a document with an entity of its own are marked; ``far`` as in the module's description.
     """
     rows = saved(_scan(docs, id_col, text_col))
     told = disclosing(docs, rows, id_col, text_col, threshold, far)
@@ -322,7 +384,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     return rows.withColumn("d", _key()).join(extra, "d", "left").select("id", "tk", "base", "extra")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: bool = False) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: bool | None = None) -> DataFrame:
     """Counts, digest and text of the spans per row of ``docs`` (see ``find``)."""
     found = find(docs, id_col, text_col, far=far)
     count = [F.expr(f"cast(size(filter(base, x -> startswith(x, '{k}:'))) as long)").alias(f"n_{k}")
@@ -343,7 +405,7 @@ def _redacted(text: str, base: list[str], extra: list[dict]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", far: bool | None = None) -> DataFrame:
     """``docs`` with entities replaced by their kind, weaker disclosing terms by [TERM] and the
     strongest removed; the columns, and texts without spans (null ones too), are unchanged. Repeated rows
     are treated alike; an empty table gives no rows."""
