@@ -503,3 +503,25 @@ def test_plan_patches_see_each_other_and_the_table_follows(spark):
                                  cleared={"registration_id": "has_registration"}).first()
     assert (out.registration_id, out.airspace_authorization_id, out.start_time, out.end_time, out.updated_at) == (
         None, "a1", t(4), t(5), dt.datetime(2026, 9, 1))
+
+
+def test_rows_without_a_reference_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from uas_spark.operators import refs
+    plans = spark.range(2000).select(F.col("id").cast("string").alias("flight_plan_id"), F.lit("O-1").alias("owner_id"),
+                                     F.when(F.col("id") < 2, F.concat(F.lit("P-"), F.col("id"))).alias("pilot_id"))
+    pilots = spark.createDataFrame([("P-1", "O-1"), (None, "O-1")], "pilot_id string, organization_owner_id string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = refs.ref_pilot_under_owner(plans, pilots).withColumn("task", F.spark_partition_id())
+        rows = out.select("flight_plan_id", "pilot_found", "task").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 2000 and [r.flight_plan_id for r in rows if not r.pilot_found] == ["0"]
+    per_task = [sum(1 for r in rows if r.task == t) for t in {r.task for r in rows}]
+    assert len(per_task) > 2 and max(per_task) < 1000
