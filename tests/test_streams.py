@@ -148,3 +148,18 @@ def test_appends_are_clustered_with_bloom_filters(spark, tmp_path):
     leaf = miss._jdf.queryExecution().executedPlan().collectLeaves().head()
     metrics = leaf.metrics() if leaf.metrics().contains("numOutputRows") else leaf.executedPlan().collectLeaves().head().metrics()
     assert metrics.apply("numOutputRows").value() < 400  # nearly all row groups were skipped
+
+
+def test_source_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from uas_spark.plans import registry_streams as rs
+    spark.range(40).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+                           F.col("id").alias("user_id"), F.lit(1.0).alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(rs, "SOURCE_ROWS", 10, raising=False)
+    per = rs._position_source(spark, str(tmp_path), str(tmp_path / "src"), retries=True)
+    files = glob.glob(str(tmp_path / "src" / "*.json"))
+    assert per == 2 and len(files) == 8 and all(sum(1 for _ in open(f)) <= 11 for f in files)
+    assert len({line for f in files for line in open(f)}) == 40  # every body, twice, in two files

@@ -8,6 +8,7 @@ stream must equal.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -25,9 +26,13 @@ def _scratch(spark) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/streams/" + uuid.uuid4().hex
 
 
-def _position_source(spark, sf_dir, path: str, retries: bool, bad: bool = False) -> None:
-    """Bodies {serial, body} in four files, so that a stream meets them in several micro-batches;
-    odd events as one-element arrays. With ``retries`` every body is sent twice (a client retry,
+# Bodies of one source file: a task writes one file, so files grow in number, not in size.
+SOURCE_ROWS = 100_000
+
+
+def _position_source(spark, sf_dir, path: str, retries: bool, bad: bool = False) -> int:
+    """Bodies {serial, body} in files of about ``SOURCE_ROWS``, four at least; a quarter of them (returned) makes
+    a micro-batch, so that a stream meets them in several; odd events as one-element arrays. With ``retries`` every body is sent twice (a client retry,
     in another file). With ``bad``, the bodies of events ending in 5 also hold an impossible
     latitude."""
     e = fx.load(spark, sf_dir, "events")
@@ -46,7 +51,10 @@ def _position_source(spark, sf_dir, path: str, retries: bool, bad: bool = False)
                  F.col("event_id").alias("k"))
     if retries:
         b = b.unionAll(b.withColumn("k", F.col("k") + 1))
-    b.repartition(4, F.col("k") % 4).drop("k").write.mode("overwrite").json(path)
+    per = max(1, math.ceil(b.count() / 4 / SOURCE_ROWS))
+    place = F.coalesce(F.pmod("k", F.lit(4 * per)), F.lit(0)).cast("int")
+    b.repartitionById(4 * per, place).drop("k").write.mode("overwrite").json(path)
+    return per
 
 
 @query("stream_ingest_positions", with_fixtures("live_positions") + f"""
@@ -59,9 +67,9 @@ def q_stream_ingest_positions(spark, sf_dir):
     """ST1 over several micro-batches, every body sent twice: the table ends with each report of
     the good bodies exactly once, and every body with a bad report is in the rejects."""
     d = _scratch(spark)
-    _position_source(spark, sf_dir, os.path.join(d, "src"), retries=True, bad=True)
+    per = _position_source(spark, sf_dir, os.path.join(d, "src"), retries=True, bad=True)
     q = st.stream_ingest_positions(spark, os.path.join(d, "src"), os.path.join(d, "table"), os.path.join(d, "ckpt"),
-                                   os.path.join(d, "rejects"), files_per_trigger=1)
+                                   os.path.join(d, "rejects"), files_per_trigger=per)
     q.awaitTermination()
     stored = spark.read.parquet(os.path.join(d, "table")).select(
         F.lit("stored").alias("kind"), "report_id", "drone_serial_number", "recorded_at", F.lit(0).cast("long").alias("n"))
@@ -78,9 +86,9 @@ def q_stream_dedup_bounded(spark, sf_dir):
     delay; the two queries together store each report once and lose none."""
     d = _scratch(spark)
     src, table = os.path.join(d, "src"), os.path.join(d, "table")
-    _position_source(spark, sf_dir, src, retries=True)
-    st.stream_dedup_bounded(spark, src, table, os.path.join(d, "ckpt"), "1 hour", files_per_trigger=1).awaitTermination()
-    st.stream_late_reports(spark, src, table, os.path.join(d, "late"), "1 hour", files_per_trigger=1).awaitTermination()
+    per = _position_source(spark, sf_dir, src, retries=True)
+    st.stream_dedup_bounded(spark, src, table, os.path.join(d, "ckpt"), "1 hour", files_per_trigger=per).awaitTermination()
+    st.stream_late_reports(spark, src, table, os.path.join(d, "late"), "1 hour", files_per_trigger=per).awaitTermination()
     return spark.read.parquet(table).select("report_id")
 
 
@@ -91,9 +99,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY drone_serial_number ORDER BY rec
 def q_stream_latest_position(spark, sf_dir):
     """ST3: the latest positions kept current by several micro-batches in no order of time."""
     d = _scratch(spark)
-    _position_source(spark, sf_dir, os.path.join(d, "src"), retries=False)
+    per = _position_source(spark, sf_dir, os.path.join(d, "src"), retries=False)
     q = st.stream_latest_position(spark, os.path.join(d, "src"), os.path.join(d, "snapshot"), os.path.join(d, "ckpt"),
-                                  files_per_trigger=1)
+                                  files_per_trigger=per)
     q.awaitTermination()
     return st.latest_snapshot(spark, os.path.join(d, "snapshot")).select("drone_serial_number", "report_id",
                                                                          "recorded_at")
