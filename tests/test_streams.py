@@ -163,3 +163,16 @@ def test_source_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
     files = glob.glob(str(tmp_path / "src" / "*.json"))
     assert per == 2 and len(files) == 8 and all(sum(1 for _ in open(f)) <= 11 for f in files)
     assert len({line for f in files for line in open(f)}) == 40  # every body, twice, in two files
+
+
+def test_ingest_reads_accepted_rows_from_cache(spark, tmp_path, monkeypatch):
+    src, table, seen, real = tmp_path / "src", str(tmp_path / "table"), [], st.ingest.dedup_append
+
+    def spy(stored, batch, **more):
+        seen.append(batch.storageLevel.useMemory)
+        return real(stored, batch, **more)
+
+    monkeypatch.setattr(st.ingest, "dedup_append", spy)
+    _write_bodies(src, [("SN", json.dumps([_report("a"), _report("b")]))])
+    st.stream_ingest_positions(spark, str(src), table, str(tmp_path / "ck")).awaitTermination()
+    assert seen == [True] and spark.read.parquet(table).count() == 2

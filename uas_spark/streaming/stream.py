@@ -72,18 +72,21 @@ def stream_ingest_positions(spark: SparkSession, source: str, table: str, checkp
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         bodies = batch.withColumn("line", F.monotonically_increasing_id()).persist()
+        # parsed once; the accepted rows are read for their dates, their ids and the append
+        reports = _reports(bodies).filter("pos IS NOT NULL OR report_id IS NOT NULL").persist()
+        good, bad = ingest.atomic_batch(
+            reports, "line", F.coalesce(coordinates_ok(F.col("latitude"), F.col("longitude")), F.lit(False))
+            & F.col("recorded_at").isNotNull() & F.col("report_id").isNotNull())
+        good = good.persist()
         try:
-            good, bad = ingest.atomic_batch(
-                _reports(bodies).filter("pos IS NOT NULL OR report_id IS NOT NULL"), "line",
-                F.coalesce(coordinates_ok(F.col("latitude"), F.col("longitude")), F.lit(False))
-                & F.col("recorded_at").isNotNull() & F.col("report_id").isNotNull())
             new = ingest.dedup_append(_stored(batch.sparkSession, table), good, arrival=[F.col("line"), F.col("pos")])
             append_time_partitioned(new.select(*POSITION_COLS), table)
             if rejects:
                 (bodies.join(bad, "line").select("serial", "body", F.col("bad_rows").alias("n_bad"))
                  .write.mode("overwrite").json(f"{rejects}/batch={batch_id}"))
         finally:
-            bodies.unpersist()
+            for df in (good, reports, bodies):
+                df.unpersist()
 
     return (_bodies(spark, source, files_per_trigger).writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
