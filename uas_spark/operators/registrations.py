@@ -236,6 +236,7 @@ def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFra
     registrations are folded together only where hulls meet, and only where a patch gives a date.
     """
     base = stored.select("registration_id", "serial_number", F.col("start_date").alias("_s0"), F.col("end_date").alias("_e0"))
+    patches = cut_lineage(patches)  # read three times
     p = patches.join(base.select("registration_id", "serial_number"), "registration_id", "left")
     p = p.withColumn("_dated", F.col("serial_number").isNotNull()
                      & (F.col("start_date").isNotNull() | F.col("end_date").isNotNull()))
@@ -255,32 +256,33 @@ def registration_patch_overlap(stored: DataFrame, patches: DataFrame) -> DataFra
     rows = one.unionByName(many).select("serial_number", "_cluster", "registration_id", "seq", "s", "e")
 
     class Ranges:
-        """Current ranges of a cluster, by place; arrays once the first patch comes."""
+        """Current ranges of a cluster, by place; arrays beside the lists once the first patch comes."""
 
         def __init__(self) -> None:
             self.at: dict[str, int] = {}
-            self.first: list[tuple[int, int]] = []
-            self.now: np.ndarray | None = None
+            self.s: list[int] = []
+            self.e: list[int] = []
+            self.now: tuple[np.ndarray, np.ndarray] | None = None
 
         def patch(self, rid: str, s: int | None, e: int | None) -> str:
             if self.now is None:
-                self.now = np.array(self.first, np.int64).T.copy()
-            i = self.at[rid]
-            s, e = (int(self.now[k, i]) if v is None else v for k, v in enumerate((s, e)))
-            hits = (self.now[0] <= e) & (self.now[1] >= s)
-            hits[i] = False
-            if hits.any():
+                self.now = np.array(self.s, np.int64), np.array(self.e, np.int64)
+            (first, last), i = self.now, self.at[rid]
+            s0, e0 = self.s[i], self.e[i]
+            s, e = s0 if s is None else s, e0 if e is None else e
+            if np.count_nonzero((first <= e) & (last >= s)) > (s0 <= e and e0 >= s):  # others than its own
                 return "registration_overlap"
             if e < s:
                 return "end_before_start"
-            self.now[:, i] = s, e
+            self.s[i], self.e[i] = first[i], last[i] = s, e
             return "accepted"
 
     def step(ranges: Ranges, row: tuple) -> Iterator[tuple]:
         _, _, rid, seq, s, e = row
         if seq is None:
-            ranges.at[rid] = len(ranges.first)
-            ranges.first.append((s, e))
+            ranges.at[rid] = len(ranges.s)
+            ranges.s.append(s)
+            ranges.e.append(e)
         else:
             yield rid, seq, ranges.patch(rid, s, e)
 
